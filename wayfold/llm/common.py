@@ -1,40 +1,21 @@
-"""Shared helpers of the training-data operators: scratch tables, let-bindings, model literals."""
+"""Shared helpers of the training-data operators: let-bindings, model literals; scratch tables come with them."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from wayfold.scratch import materialize, scratch_dir
+
+__all__ = ["SPACE_CLASS", "WORD_CLASS", "crc_mod", "double_literal", "let", "materialize", "scratch_dir", "words_of"]
+
 #: The word separators of the contracts: space and \x09-\x0D, nothing else.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a private one where it is unset (local tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="wayfold-scratch-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df once as Parquet in the shared scratch folder and read it back.
-
-    The written table cuts the lineage and survives lost executors; unlike a
-    cached frame it is columnar, so later readers prune columns.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/wayfold/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate value once and use it many times inside body.
 
