@@ -29,7 +29,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import WORD_CLASS
+from wayfold.llm.common import WORD_CLASS, materialize
 
 BINS = 4096
 LEVELS = ("__domain", "__lang", "__source")
@@ -130,7 +130,7 @@ def mix(
     was left of the budget.
     """
     tagged = _tagged(docs, domain, id_col, text_col, lang_col, source_col, seed).where("__tokens > 0")
-    bins = tagged.groupBy(*LEVELS, "__bin").agg(F.sum("__tokens").alias("__sum"))
+    bins = materialize(tagged.groupBy(*LEVELS, "__bin").agg(F.sum("__tokens").alias("__sum")), "bins")
     leaves = budgets(bins, weights, fraction, max_epochs)
     plan = leaves.where("__budget > 0").select(
         *(F.col(k).alias(f"{k}_l") for k in LEVELS),
@@ -147,6 +147,8 @@ def mix(
         .groupBy(*(f"{k}_l" for k in LEVELS), "__whole", "__rest")
         .agg(F.max(F.when(F.col("__start") < F.col("__rest"), F.struct("__bin", "__start"))).alias("__cut"))
     )
+    # Written first, so that Spark knows its size and, while it is small, need not shuffle the texts.
+    cut = materialize(cut, "cuts")
     placed = tagged.join(cut, same).drop(*(f"{k}_l" for k in LEVELS))
     inside = (F.col("__cut").isNotNull()) & (F.col("__bin") == F.col("__cut.__bin"))
     apart = placed.where(~F.coalesce(inside, F.lit(False))).withColumn("__part", F.when(F.col("__bin") < F.col("__cut.__bin"), F.col("__tokens")).otherwise(F.lit(0)))
