@@ -133,7 +133,7 @@ def identify(docs: DataFrame, model: dict[str, list[float]], id_col: str = "doc_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        space, prototypes = Hypervectors(), np.array([model[n] for n in names]).reshape(len(names), -1)
+        space, prototypes = Hypervectors(), np.array([model[n] for n in names])
         for batch in batches:
             langs, scores = [], []
             for text in batch.column(1):
