@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 
 from wayfold.llm.common import WORD_CLASS, materialize
 
-BINS = 4096
+#: Hash ranges of a leaf, and how many of them are summed together.
+BINS, GROUP = 4096, 64
 LEVELS = ("__domain", "__lang", "__source")
 
 
@@ -50,7 +51,7 @@ def _tagged(docs: DataFrame, domain: Column, id_col: str, text_col: str, lang_co
         F.col(source_col).alias("__source"),
         F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD_CLASS)).cast("long").alias("__tokens"),
         order.alias("__order"),
-    ).withColumn("__bin", F.shiftright("__order", 48))
+    ).withColumn("__bin", F.shiftright("__order", 60 - (BINS.bit_length() - 1)))
 
 
 def _weight(weights: Mapping[tuple, float], depth: int) -> Column:
@@ -111,6 +112,21 @@ def _under(children: DataFrame, parents: DataFrame, keys: tuple) -> DataFrame:
     return children.join(given, same).drop(*(f"{k}_p" for k in keys))
 
 
+def _starts(bins: DataFrame) -> DataFrame:
+    """Adds __start, the tokens of a leaf's earlier bins: summed over GROUP bins at a time, then within them."""
+    grouped = bins.withColumn("__group", F.floor(F.col("__bin") / GROUP))
+    before = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    outer = grouped.groupBy(*LEVELS, "__group").agg(F.sum("__sum").alias("__all"))
+    outer = outer.withColumn("__base", F.coalesce(F.sum("__all").over(before(*LEVELS).orderBy("__group")), F.lit(0)))
+    outer = outer.select(*(F.col(k).alias(f"{k}_g") for k in LEVELS), F.col("__group").alias("__g"), "__base")
+    same = F.col("__group") == F.col("__g")
+    for k in LEVELS:
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}_g"))
+    inner = grouped.withColumn("__start", F.coalesce(F.sum("__sum").over(before(*LEVELS, "__group").orderBy("__bin")), F.lit(0)))
+    placed = inner.join(outer, same).withColumn("__start", F.col("__start") + F.col("__base"))
+    return placed.drop(*(f"{k}_g" for k in LEVELS), "__g", "__group", "__base")
+
+
 def mix(
     docs: DataFrame,
     domain: Column,
@@ -140,8 +156,7 @@ def mix(
     same = F.lit(True)
     for k in LEVELS:
         same = same & F.col(k).eqNullSafe(F.col(f"{k}_l"))
-    by_bin = Window.partitionBy(*LEVELS).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
-    start = bins.withColumn("__start", F.coalesce(F.sum("__sum").over(by_bin), F.lit(0)))
+    start = _starts(bins)
     cut = (
         start.join(plan, same)
         .groupBy(*(f"{k}_l" for k in LEVELS), "__whole", "__rest")
