@@ -107,8 +107,8 @@ ORACLES = {
         WHERE NOT (n = 11 AND span <= {SPARSE.canyon_window_s} AND coalesce(mb, 0) > greatest({CANYON}, 10 * speed) AND coalesce(ma, 0) > greatest({CANYON}, 10 * speed))"""),
     "unbacktrack": on_tracks(f"""SELECT event_id, subject_id, device_id FROM (SELECT *, min(counts) OVER p AS lo, max(counts) OVER p AS hi FROM (SELECT t.*, coalesce(t.unix_s > k.first_s AND t.unix_s < k.last_s, false) AS inside,
           CASE WHEN NOT coalesce(t.unix_s > k.first_s AND t.unix_s < k.last_s, false) OR row_number() OVER (PARTITION BY t.subject_id, t.device_id ORDER BY t.event_id) = 1 THEN t.unix_s END AS counts
-          FROM (SELECT * FROM tracks WHERE event_id % 2 = 0) t LEFT JOIN known k USING (subject_id, device_id)) WINDOW p AS (PARTITION BY subject_id, device_id ORDER BY event_id {LAST}))
-        WHERE NOT inside AND NOT coalesce(unix_s > lo AND unix_s < hi, false)""", f"known AS (SELECT subject_id, device_id, min(unix_s) AS first_s, max(unix_s) AS last_s FROM tracks WHERE unix_s < {SPLIT} AND event_id % 3 = 0 GROUP BY ALL)"),
+          FROM tracks t LEFT JOIN known k USING (subject_id, device_id)) WINDOW p AS (PARTITION BY subject_id, device_id ORDER BY event_id {LAST}))
+        WHERE NOT inside AND NOT coalesce(unix_s > lo AND unix_s < hi, false)""", f"known AS (SELECT subject_id, device_id, min(unix_s) AS first_s, max(unix_s) AS last_s FROM tracks WHERE unix_s < {SPLIT} GROUP BY ALL)"),
     "device_windows": on_tracks("SELECT subject_id, device_id, min(unix_s) AS first_s, max(unix_s) AS last_s FROM tracks GROUP BY ALL"),
     "visit_sessions": on_tracks(f"SELECT subject_id, device_id, count, visit_count FROM ({accumulated('timed', 'subject_id, device_id', 6 * HOUR)})"),
     "session_window_visits": on_tracks(f"""SELECT subject_id, min(unix_s) AS start_s, max(unix_s) AS end_s, count(*) AS n FROM (SELECT *, sum(new) OVER ({ORDERED} ROWS UNBOUNDED PRECEDING) AS g FROM

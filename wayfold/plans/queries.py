@@ -180,8 +180,8 @@ def urban_canyon(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def unbacktrack(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tracks(spark, sf_dir)
-    known = clean.device_windows(t.where((F.col("unix_s") < SPLIT) & (F.col("event_id") % 3 == 0)))
-    return clean.unbacktracked(t.where(F.col("event_id") % 2 == 0), known).select("event_id", "subject_id", "device_id")
+    known = clean.device_windows(t.where(F.col("unix_s") < SPLIT))
+    return clean.unbacktracked(t, known).select("event_id", "subject_id", "device_id")
 
 
 @query
