@@ -328,3 +328,21 @@ def test_pipeline_stages(spark):
     assert all(stage(spark, docs.where("false"), sf).count() == 0 for _, stage in corpus_pipeline.STAGES)
 
 
+def test_clashing_columns_pass_through(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{n}.parquet") for n in ("documents", "labels"))
+    clash = ["fp", "root", "node", "kept", "n_tokens", "__tokens", "__domain", "__lang", "__order", "__bin", "__l", "__n", "__text", "__quality", "__epochs", "__taken", "___row", "c0"]
+    docs = docs.select("*", *(F.lit(k).alias(c) for k, c in enumerate(clash)))
+    altered = " or ".join(f"{c} is null or {c} != {k}" for k, c in enumerate(clash))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, SF)
+        assert got.columns == docs.columns and got.where(altered).count() == 0 and got.count() > 0, name
+    assert langid.identify(docs, langid.fit(docs, F.lit(True))).count() == docs.count()
+    assert toxicity.classify(docs, toxicity.fit(docs, labels, F.lit(True))).count() == docs.count()
+    assert "array" in dict(pii.replace_documents(docs.withColumn("__entities", F.lit(1)), with_entities=True).dtypes)["__entities"]
+
+
+def test_stages_with_nulls_everywhere(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    empty = docs.limit(3).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in docs.schema))
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.unionByName(empty), SF).count() >= stage(spark, docs, SF).count() > 0, name

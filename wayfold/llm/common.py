@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wayfold.scratch import materialize, scratch_dir
 
-__all__ = ["SPACE_CLASS", "WORD_CLASS", "crc_mod", "double_literal", "let", "materialize", "scratch_dir", "words_of"]
+__all__ = ["SPACE_CLASS", "WORD_CLASS", "crc_mod", "double_literal", "free_prefix", "let", "materialize", "scratch_dir", "words_of"]
 
 #: The word separators of the contracts: space and \x09-\x0D, nothing else.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
@@ -26,6 +26,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def free_prefix(columns: Iterable[str]) -> str:
+    """Underscores, two at least, that begin none of the names."""
+    prefix, names = "__", [c.lower() for c in columns]
+    while any(n.startswith(prefix) for n in names):
+        prefix += "_"
+    return prefix
+
+
 def words_of(text: Column) -> Column:
     """Words of a text (null: none) by the contract's separators."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS), lambda w: w != "")

@@ -101,10 +101,10 @@ def fit(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str
     """Language prototypes from the rows where training holds and the language is known."""
     import numpy as np
 
-    known = docs.where(training & F.col(lang_col).isNotNull())
-    size = known.groupBy(F.col(lang_col).alias("__l")).agg(F.count("*").alias("__n"))
-    share = F.pmod(F.xxhash64(F.lit("profile"), F.col(id_col)), F.lit(1 << 30)).cast("double") * F.col("__n") < F.lit(float(per_language << 30))
-    chosen = known.join(F.broadcast(size), F.col(lang_col) == F.col("__l")).where(share).select(F.col(lang_col), F.col(text_col))
+    known = docs.where(training & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.col(lang_col).alias("__lang"))
+    size = known.groupBy(F.col("__lang").alias("__l")).agg(F.count("*").alias("__n"))
+    share = F.pmod(F.xxhash64(F.lit("profile"), F.col("__id")), F.lit(1 << 30)).cast("double") * F.col("__n") < F.lit(float(per_language << 30))
+    chosen = known.join(F.broadcast(size), F.col("__lang") == F.col("__l")).where(share).select("__lang", "__text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space, sums = Hypervectors(), {}

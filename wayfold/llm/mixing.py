@@ -19,7 +19,7 @@ source) to a number; what is not listed weighs 1, null keys are keys of their
 own and are listed as None. Documents without words have no tokens and are
 never taken. Repeated rows are rows of their own; ties in the order are broken
 by id, then tokens. Empty tables give no rows. Columns of the input are kept,
-whatever their names.
+whatever their names; what is added to them begins with a prefix of your choice.
 """
 
 from __future__ import annotations
@@ -43,9 +43,12 @@ def order_key(seed: int, doc_id: Column) -> Column:
 
 
 def _tagged(docs: DataFrame, domain: Column, id_col: str, text_col: str, lang_col: str, source_col: str, seed: int) -> DataFrame:
+    """The input's columns as c0, c1 and so on, beside the operator's own."""
     order = order_key(seed, F.col(id_col))
+    kept = [F.col(c).alias(f"c{k}") for k, c in enumerate(docs.columns)]
     return docs.select(
-        "*",
+        *kept,
+        F.col(id_col).alias("__id"),
         domain.alias("__domain"),
         F.col(lang_col).alias("__lang"),
         F.col(source_col).alias("__source"),
@@ -138,10 +141,11 @@ def mix(
     text_col: str = "text",
     lang_col: str = "lang",
     source_col: str = "source",
+    prefix: str = "__",
 ) -> DataFrame:
-    """The taken rows of docs with __domain, __tokens, __epochs and __taken.
+    """The taken rows of docs with domain, tokens, epochs and taken, each named with the prefix.
 
-    __epochs counts how often the row is taken, __taken its tokens over all
+    epochs counts how often the row is taken, taken its tokens over all
     epochs: the last document of a prefix is taken whole but counts with what
     was left of the budget.
     """
@@ -167,15 +171,15 @@ def mix(
     placed = tagged.join(cut, same).drop(*(f"{k}_l" for k in LEVELS))
     inside = (F.col("__cut").isNotNull()) & (F.col("__bin") == F.col("__cut.__bin"))
     apart = placed.where(~F.coalesce(inside, F.lit(False))).withColumn("__part", F.when(F.col("__bin") < F.col("__cut.__bin"), F.col("__tokens")).otherwise(F.lit(0)))
-    ranked = Window.partitionBy(*LEVELS).orderBy("__order", F.col(id_col), "__tokens").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = Window.partitionBy(*LEVELS).orderBy("__order", "__id", "__tokens").rowsBetween(Window.unboundedPreceding, -1)
     at = F.col("__cut.__start") + F.coalesce(F.sum("__tokens").over(ranked), F.lit(0))
     ordered = placed.where(inside).withColumn("__part", F.greatest(F.lit(0), F.least(F.col("__tokens"), F.col("__rest") - at)))
     both = apart.unionByName(ordered)
     chosen = both.select(
-        *docs.columns,
-        "__domain",
-        "__tokens",
-        (F.col("__whole") + F.when(F.col("__part") > 0, 1).otherwise(0)).cast("int").alias("__epochs"),
-        (F.col("__whole") * F.col("__tokens") + F.coalesce("__part", F.lit(0))).alias("__taken"),
+        *(F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)),
+        F.col("__domain").alias(f"{prefix}domain"),
+        F.col("__tokens").alias(f"{prefix}tokens"),
+        (F.col("__whole") + F.when(F.col("__part") > 0, 1).otherwise(0)).cast("int").alias(f"{prefix}epochs"),
+        (F.col("__whole") * F.col("__tokens") + F.coalesce("__part", F.lit(0))).alias(f"{prefix}taken"),
     )
-    return chosen.where("__epochs > 0")
+    return chosen.where(F.col(f"{prefix}epochs") > 0)

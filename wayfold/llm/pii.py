@@ -15,7 +15,8 @@ an original, gets a further keyed syllable until it is distinct.
 
 Null texts stay null with no entity; texts without entities stay as they are,
 byte for byte. Repeated rows are treated alike. Null ids and extra columns need
-no care: every column but the text is passed through.
+no care: every column but the text is passed through, and an input column
+named __entities gives way to the array of that name where it is asked for.
 """
 
 from __future__ import annotations
@@ -216,6 +217,8 @@ def anonymise(text: str, keyed: Surrogates) -> tuple[str, list[Entity]]:
 
 def replace_documents(docs: DataFrame, key: str = DEMO_KEY, text_col: str = "text", with_entities: bool = False) -> DataFrame:
     """docs with surrogates in the text and, if asked for, an array column __entities."""
+    if with_entities:
+        docs = docs.drop("__entities")
     schema = T.StructType([f if f.name != text_col else T.StructField(f.name, T.StringType()) for f in docs.schema])
     kind = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("value", T.StringType()), T.StructField("surrogate", T.StringType())]))
     if with_entities:

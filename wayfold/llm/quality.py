@@ -122,13 +122,13 @@ def ratio(tokens: Column, model: list[float]) -> Column:
     return F.coalesce(F.try_divide(F.aggregate(each, F.lit(0.0), lambda a, x: a + x), 2 * F.size(tokens)), F.lit(0.0))
 
 
-def assess(docs: DataFrame, model: list[float], text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """docs with a struct column __quality: base counts, base_failed, ratio, kept."""
+def verdict(model: list[float], text_col: str = "text", threshold: float = THRESHOLD) -> Column:
+    """Struct of base counts, base_failed, ratio and kept."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     tokens = lambda w: F.when(text.rlike(SYMBOL_RUN), tokens_of(text)).otherwise(w)
     failed = lambda c: (c["n_words"] < 50) | (100 * c["n_repeat_words"] > 50 * c["n_words"])
     parts = lambda w: F.struct(base_counts(text, w).alias("c"), let(tokens(w), lambda t: ratio(t, model)).alias("ratio"))
-    whole = let(
+    return let(
         let(words_of(text), parts),
         lambda x: F.struct(
             *(x["c"][n].alias(n) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")),
@@ -137,9 +137,13 @@ def assess(docs: DataFrame, model: list[float], text_col: str = "text", threshol
             x["ratio"].alias("ratio"),
         ),
     )
-    return docs.withColumn("__quality", whole)
+
+
+def assess(docs: DataFrame, model: list[float], text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """docs with the verdict as column __quality, in place of any such column of theirs."""
+    return docs.withColumn("__quality", verdict(model, text_col, threshold))
 
 
 def filter_documents(docs: DataFrame, model: list[float], text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs without the rows that the rules reject."""
-    return assess(docs, model, text_col, threshold).where("__quality.kept").select(*docs.columns)
+    return docs.where(verdict(model, text_col, threshold)["kept"])

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import materialize
+from wayfold.llm.common import free_prefix, materialize
 from wayfold.llm.components import connected_components
 
 #: Shingles hashed at once, which bounds memory on very long texts.
@@ -126,9 +126,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     nameless = docs.where(F.col(id_col).isNull())
     if nameless.isEmpty():
         return named
-    tagged = nameless.withColumn("__wf_row", F.monotonically_increasing_id())
+    row = free_prefix(docs.columns) + "row"
+    tagged = nameless.withColumn(row, F.monotonically_increasing_id())
     tagged = materialize(tagged, "rows-without-id")
-    found = fingerprints(tagged.select("__wf_row", text_col), "__wf_row", text_col, shingle).withColumnRenamed("doc_id", "__wf_row")
-    first = found.join(classes.where("component_id is null"), "fp").groupBy("root").agg(F.min("__wf_row").alias("__wf_row"))
-    rest = tagged.join(first, "__wf_row", "left_semi").select(*docs.columns)
+    found = fingerprints(tagged.select(row, text_col), row, text_col, shingle).withColumnRenamed("doc_id", row)
+    first = found.join(classes.where("component_id is null"), "fp").groupBy("root").agg(F.min(row).alias(row))
+    rest = tagged.join(first, row, "left_semi").select(*docs.columns)
     return named.unionByName(rest)
