@@ -115,6 +115,7 @@ ORACLES = {
         (SELECT *, CASE WHEN unix_s - lag(unix_s) OVER ({ORDERED}) <= {6 * HOUR} THEN 0 ELSE 1 END AS new FROM tracks)) GROUP BY subject_id, g"""),
     "grid_cells": on_tracks(accumulated("gridded", "subject_id, level, cell_key", HOUR), """gridded AS (SELECT t.*, CAST(level AS INTEGER) AS level, CAST(CAST(floor(lat * n) AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(floor(lon * n) AS BIGINT) AS VARCHAR) AS cell_key
         FROM timed t, (VALUES (0, 1), (1, 10), (2, 100)) v(level, n) WHERE lower(activity) NOT LIKE 'fly%' AND speed <= 67.06 AND elevation < 8848)"""),
+    "admin_polygons": on_tracks("SELECT CASE WHEN lat - 47.0 < (lon + 113.0) / 2 THEN 'low' ELSE 'high' END AS area_key, count(*) AS n FROM tracks WHERE lon >= -113.0 AND lon < -112.5 AND lat >= 47.0 AND lat < 47.25 GROUP BY 1"),
     "admin_index_boxes": on_tracks(accumulated("placed", "subject_id, dataset, area_key", DAY), f"""placed AS (SELECT * FROM timed JOIN (VALUES {BOX_ROWS}) b(dataset, area_key, x1, x2, y1, y2) ON lon >= x1 AND lon < x2 AND lat >= y1 AND lat < y2
         WHERE lower(activity) NOT LIKE 'fly%' AND speed <= 67.06 AND elevation < 8848)"""),
     "admin_hierarchy": """WITH p AS (SELECT c_acctbal, upper(substr(r_name, 1, 3)) AS c3, n_name, CASE WHEN c_custkey % 4 = 0 THEN '' ELSE c_mktsegment END AS city FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
