@@ -309,6 +309,30 @@ def test_neighbours_recall_and_exact_scores(spark):
     assert hits >= 0.97 * total
 
 
+def neighbour_recall(spark, vectors):
+    """Recall at 20 of every 20th id, (vec_id, vector) rows searched against brute force; repeated ids count once."""
+    ids, matrix = np.array([v[0] for v in vectors]), np.array([v[1] for v in vectors])
+    frame = spark.createDataFrame([(int(i), [float(x) for x in v]) for i, v in vectors], "vec_id long, embedding array<double>").coalesce(1)
+    found = {}
+    for r in ann.search(frame, F.col("vec_id") % 20 == 0).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = total = 0
+    for q in sorted({int(i) for i in ids if i % 20 == 0}):
+        score = matrix @ matrix[np.argmax(ids == q)]
+        best = [*dict.fromkeys(int(i) for i in ids[np.lexsort((ids, -score))] if i != q)][:20]
+        hits, total = hits + len(found.get(q, set()) & set(best)), total + len(best)
+    return hits / total
+
+
+def test_neighbours_recall_at_any_norm(spark):
+    rng = np.random.default_rng(3)
+    drawn = rng.standard_normal((2_000, 64))
+    drawn /= np.linalg.norm(drawn, axis=1)[:, None]
+    for norm in (0.01, 1.0, 100.0):
+        scaled = [(i, v * (norm if i % 20 == 0 else 1.0)) for i, v in enumerate(drawn)]
+        assert neighbour_recall(spark, scaled) >= 0.97, norm
+
+
 def test_neighbours_edges(spark):
     rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [1.0, None]), (7, [1.0]), (None, [1.0, 1.0]), (20, [float("inf"), 0.0]), (8, [1.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit(0)).withColumn("rank", F.lit(0))

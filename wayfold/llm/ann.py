@@ -12,6 +12,7 @@ what is broadcast), each against the whole index in place, without shuffling
 it. A task estimates every inner product of its rows, keeps those whose upper
 bound reaches the k-th best lower bound, computes these exactly in double
 precision and returns its k best; the best k over all tasks are the answer.
+Estimates and bounds are those of the unit query, whatever its norm.
 
 Vectors that are null, zero, of another length than the first query's block
 (most frequent length), or with null or non-finite components take no part.
@@ -92,7 +93,7 @@ def exact(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
 def _search_block(index: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int, epsilon: float) -> DataFrame:
     sent = index.sparkSession.sparkContext.broadcast((ids, queries))
 
-    def best(batch_rows: tuple, turned: np.ndarray, norms: np.ndarray) -> Iterator[tuple]:
+    def best(batch_rows: tuple, turned: np.ndarray) -> Iterator[tuple]:
         vec_ids, matrix, norm, correction, signs = batch_rows
         own, asked = sent.value
         bits = signs.shape[1]
@@ -114,8 +115,7 @@ def _search_block(index: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, asked = sent.value
-        norms, turned = unit_rotated(asked, rotation(asked.shape[1]))
-        turned = turned * norms[:, None].astype(np.float32)
+        _, turned = unit_rotated(asked, rotation(asked.shape[1]))
         kept: dict[int, tuple] = {}
         for batch in batches:
             for begin in range(0, batch.num_rows, ROW_BLOCK):
@@ -124,7 +124,7 @@ def _search_block(index: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int
                 code = np.frombuffer(b"".join(part.column(4).to_pylist()), dtype=np.uint8).reshape(part.num_rows, -1)
                 signs = 2 * np.unpackbits(code, axis=1).astype(np.float32) - 1
                 rows = (part.column(0).to_numpy(), matrix, part.column(2).to_numpy(), part.column(3).to_numpy(), signs)
-                for query, found, score in best(rows, turned, norms):
+                for query, found, score in best(rows, turned):
                     if query in kept:
                         found, score = np.concatenate((kept[query][0], found)), np.concatenate((kept[query][1], score))
                     order = np.lexsort((found, -score))
