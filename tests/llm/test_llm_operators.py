@@ -333,6 +333,16 @@ def test_neighbours_recall_at_any_norm(spark):
         assert neighbour_recall(spark, scaled) >= 0.97, norm
 
 
+def test_neighbours_recall_with_repeated_ids(spark):
+    rng = np.random.default_rng(4)
+    drawn = rng.standard_normal((600, 64))
+    drawn /= np.linalg.norm(drawn, axis=1)[:, None]
+    for copies in (3, 5):
+        assert neighbour_recall(spark, [(i, v) for i, v in enumerate(drawn) for _ in range(copies)]) >= 0.97, copies
+    # A query's own copies, more than k of them, must not set the bar.
+    assert neighbour_recall(spark, [(i, v) for i, v in enumerate(drawn) for _ in range(30 if i % 20 == 0 else 1)]) >= 0.97
+
+
 def test_neighbours_edges(spark):
     rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [1.0, None]), (7, [1.0]), (None, [1.0, 1.0]), (20, [float("inf"), 0.0]), (8, [1.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit(0)).withColumn("rank", F.lit(0))

@@ -10,8 +10,8 @@ is the error bound.
 Search: queries go in blocks of QUERY_BLOCK rows (a few MB, the proven bound of
 what is broadcast), each against the whole index in place, without shuffling
 it. A task estimates every inner product of its rows, keeps those whose upper
-bound reaches the k-th best lower bound, computes these exactly in double
-precision and returns its k best; the best k over all tasks are the answer.
+bound reaches the k-th best lower bound over distinct ids other than the
+query's, computes these exactly in double precision and returns its k best ids; the best k over all tasks are the answer.
 Estimates and bounds are those of the unit query, whatever its norm.
 
 Vectors that are null, zero, of another length than the first query's block
@@ -98,20 +98,24 @@ def _search_block(index: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int
         own, asked = sent.value
         bits = signs.shape[1]
         error = epsilon * np.sqrt(np.maximum(0.0, 1 - correction**2) / (bits - 1)) / correction * norm
+        # Rows come sorted by id, so that the rows of one id are neighbours.
+        starts = np.nonzero(np.diff(vec_ids, prepend=vec_ids[0] - 1))[0]
         for begin in range(0, len(own), 256):
-            part = turned[begin : begin + 256]
+            part, asking = turned[begin : begin + 256], own[begin : begin + 256]
             guess = (part @ signs.T) * (norm / correction / np.sqrt(bits))[None, :].astype(np.float32)
             low, high = guess - error[None, :].astype(np.float32), guess + error[None, :].astype(np.float32)
-            keep = min(k + 1, low.shape[1])
+            if len(starts) < low.shape[1]:
+                low = np.maximum.reduceat(low, starts, axis=1)
+            at = np.searchsorted(vec_ids[starts], asking)
+            mine = np.nonzero((at < len(starts)) & (vec_ids[starts][np.minimum(at, len(starts) - 1)] == asking))[0]
+            low[mine, at[mine]] = -np.inf
+            keep = min(k, low.shape[1])
             bar = -np.partition(-low, keep - 1, axis=1)[:, keep - 1]
             for q in range(len(part)):
                 near = np.nonzero(high[q] >= bar[q])[0]
-                near = near[vec_ids[near] != own[begin + q]]
-                if not len(near):
-                    continue
-                score = exact(matrix[near], asked[begin + q])
-                first = np.lexsort((vec_ids[near], -score))[: 2 * k]
-                yield own[begin + q], vec_ids[near][first], score[first]
+                near = near[vec_ids[near] != asking[q]]
+                if len(near):
+                    yield asking[q], vec_ids[near], exact(matrix[near], asked[begin + q])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, asked = sent.value
@@ -123,7 +127,8 @@ def _search_block(index: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int
                 matrix = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
                 code = np.frombuffer(b"".join(part.column(4).to_pylist()), dtype=np.uint8).reshape(part.num_rows, -1)
                 signs = 2 * np.unpackbits(code, axis=1).astype(np.float32) - 1
-                rows = (part.column(0).to_numpy(), matrix, part.column(2).to_numpy(), part.column(3).to_numpy(), signs)
+                order = np.argsort(part.column(0).to_numpy(), kind="stable")
+                rows = tuple(x[order] for x in (part.column(0).to_numpy(), matrix, part.column(2).to_numpy(), part.column(3).to_numpy(), signs))
                 for query, found, score in best(rows, turned):
                     if query in kept:
                         found, score = np.concatenate((kept[query][0], found)), np.concatenate((kept[query][1], score))
