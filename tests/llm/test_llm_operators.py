@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from wayfold.llm import ann, bpe, html_text, langid, licenses, mixing, pii, quality, queries, simhash, toxicity
+from wayfold.llm import ann, bpe, html_text, langid, licenses, mixing, near, pii, quality, queries, simhash, toxicity
 from wayfold.llm.components import connected_components
 
 SF = "/root/testdata/sf0.001"
@@ -96,6 +96,43 @@ def test_keep_one(spark, texts):
     assert odd.where("doc_id is null").count() == 1 and odd.where("doc_id in (0, 1, 2)").count() == 1
 
 
+def edited(words, every, k):
+    return " ".join(f"edit{k}x{i}" if i % every == every - 1 else w for i, w in enumerate(words))
+
+
+def test_near_copies_of_the_stage(spark):
+    rng = np.random.default_rng(8)
+    rows, want = [], set()
+    for group in range(12):
+        words = [f"w{x}" for x in rng.integers(0, 5_000, 400)]
+        # One changed word in 50 leaves a similarity of about 0.82, one in 20 of 0.6.
+        rows += [(10 * group, " ".join(words)), (10 * group + 1, edited(words, 50, 1)), (10 * group + 2, edited(words, 20, 2)), (10 * group + 3, " ".join(words).upper())]
+        want |= {10 * group, 10 * group + 2}
+    # Texts that share an id and are no near copies both stay; ids do not matter to the comparison.
+    other = " ".join(f"v{x}" for x in range(300))
+    rows += [(1, other), (5_000, other), (None, other)]
+    text = {k: v for k, v in reversed(rows)}
+    sets = {k: near.shingles(v) for k, v in text.items()}
+    assert near.similarity(sets[10], sets[11]) >= 0.8 > near.similarity(sets[10], sets[12])
+    docs = spark.createDataFrame([(k, v, "en", "src0", None) for k, v in rows], DOC)
+    got = sorted((r.doc_id, r.text) for r in corpus_pipeline.near_duplicate_stage(spark, docs, SF).collect())
+    assert got == sorted([(k, text[k]) for k in want] + [(1, other)])
+    again = sorted((r.doc_id, r.text) for r in corpus_pipeline.near_duplicate_stage(spark, docs.orderBy(F.desc("doc_id")), SF).collect())
+    assert again == got
+
+
+def test_near_copies_against_brute_force(spark, texts):
+    sets = {k: near.shingles(t) for k, t in texts.items()}
+    root = {k: k for k in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and near.similarity(sets[a], sets[b]) >= 0.8:
+                low, high = sorted((root[a], root[b]))
+                root = {k: low if r == high else r for k, r in root.items()}
+    kept = sorted(r.doc_id for r in near.keep_one(spark.read.parquet(f"{SF}/documents.parquet")).collect())
+    assert kept == sorted(set(root.values()))
+
+
 def slow_base(text):
     words = WORDS.findall(text or "")
     lines, seen, again = (text or "").split("\n"), set(), 0
