@@ -260,6 +260,19 @@ def test_licence_families(spark):
     assert all(r["__licences"] == [] for r in licenses.scan(odd_docs(spark), model).collect() if not (r.text or "").strip())
 
 
+def test_licence_lines_of_the_table(spark):
+    lines = {"All rights reserved.": ["proprietary"]}
+    for (text,) in duckdb.sql("select text from '/root/testdata/sf0.1/documents.parquet' where regexp_matches(text, '(?i)licen[sc]e|all rights reserved')").fetchall():
+        for line in re.findall(r"(?im)^.*(?:licen[sc]e|all rights reserved).*$", text):
+            if len(line) < 200:
+                lines.setdefault(line, None)
+    assert 5 <= len(lines) < 100
+    rows = [(k, t, None, None, None) for k, t in enumerate(lines)]
+    for r in licenses.scan(spark.createDataFrame(rows, DOC), licenses.train()).collect():
+        families = [x.family for x in r["__licences"] if x.confirmed]
+        assert families == lines[r.text] if lines[r.text] else families, r.text
+
+
 def test_surrogates_hold_type_format_and_distinctness():
     keyed = pii.Surrogates("k")
     phones = {f"+1 (212) 555-{i:04d}" for i in range(500)}
