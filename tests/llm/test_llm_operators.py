@@ -300,6 +300,21 @@ def test_surrogates_in_text():
     assert pii.anonymise(text, pii.Surrogates("other"))[0] != out
 
 
+@pytest.mark.parametrize(
+    ("text", "names"),
+    [
+        ("Smith came. Mr. John Smith spoke, then Smith said that John's hat was Smith's.", "John Smith"), ("Frau Dr. Muller kam. Muller ging.", "Muller"),
+        ("Prof. Dr. Muller", "Muller"), ("Mr. J. Smith and Mr J R Brown", "Smith Brown"), ("Mr. John Q. Adams", "John Adams"),
+        ("Señor Don Juan Perez", "Juan Perez"), ("Mr. Don Johnson", "Don Johnson"), ("Herr Prof. Dr. Karl-Heinz Bauer", "Karl-Heinz Bauer"),
+    ],
+)
+def test_surrogates_of_every_mention(text, names):
+    out, found = pii.anonymise(text, pii.Surrogates("k"))
+    assert {e.value for e in found} == set(names.split())
+    fresh = {e.value: e.surrogate for e in found}
+    assert out == re.sub(rf"\b(?:{'|'.join(names.split())})\b", lambda m: fresh[m[0]], text)
+
+
 def test_surrogate_rows(spark):
     odd = odd_docs(spark)
     got = pii.replace_documents(odd, with_entities=True)

@@ -8,7 +8,9 @@ entities stay distinct over the whole corpus, and the same entity gets the same
 surrogate everywhere, with no table to share. Card numbers keep their first
 digit and their checksum's state.
 
-Names after a title draw a given or family name from a pool of the title's
+Names are found after a title or several, with or without initials, which stay;
+every other whole-word mention of a found name in the document is replaced
+alike. Names draw a given or family name from a pool of the title's
 gender and the name's script, chosen by a keyed hash; pools are finite, so a
 surrogate that another entity of the document already holds, or that occurs as
 an original, gets a further keyed syllable until it is distinct.
@@ -55,6 +57,10 @@ SYLLABLES = {"latin": "ba da fa ga ka la ma na pa ra sa ta va za bo do".split(),
 
 _NAME = r"[^\W\d_][^\W\d_'’-]+(?:[-'’][^\W\d_]+)?"
 _TITLE = "|".join(sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True))
+#: Don is a given name too: it goes with another title only after Señor.
+_STACKED = "|".join(t for t in _TITLE.split("|") if t != "Don")
+_MORE = rf"(?: +(?:{_STACKED})\.?(?= )|(?:(?<=Señor)|(?<=Sr)|(?<=Sr\.)) +Don(?= ))*"
+_INITIALS = r"(?:[^\W\d_a-z]\.[ -]*|[^\W\d_a-z] +)*"
 #: Types in the order in which they claim text.
 PATTERNS = [
     ("email", r"(?<![\w.+-])[A-Za-z0-9][\w.+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}(?![\w-])"),
@@ -65,7 +71,7 @@ PATTERNS = [
     ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
     ("ip", r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\w]|\.\d)"),
     ("card", r"(?<![\w-])[3-6]\d{3}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\w-])"),
-    ("name", rf"(?<!\w)(?P<title>{_TITLE})\.? +(?P<given>{_NAME})(?: +(?P<family>{_NAME}))?"),
+    ("name", rf"(?<!\w)(?P<title>(?:{_TITLE})\.?{_MORE}) +{_INITIALS}(?P<given>(?!(?:{_STACKED})\.? ){_NAME})(?: +{_INITIALS}(?P<family>{_NAME}))?"),
 ]
 COMPILED = [(kind, re.compile(p)) for kind, p in PATTERNS]
 HINT = re.compile(rf"[0-9@]|[=:]|(?<!\w)(?:{_TITLE})\.? ")
@@ -183,7 +189,8 @@ def detect(text: str) -> list[tuple[int, int, str, str, str]]:
     for kind, pattern in COMPILED:
         for m in pattern.finditer(text):
             if kind == "name":
-                gender = next(g for g, ts in TITLES.items() if m["title"] in ts)
+                titles = re.findall(r"\w+", m["title"])
+                gender = next((g for t in titles for g in "mf" if t in TITLES[g]), "n")
                 for part in ("given", "family"):
                     if m[part] and m[part][0].isupper():
                         claim(*m.span(part), kind, gender if part == "given" and m["family"] and m["family"][0].isupper() else "n")
@@ -191,6 +198,13 @@ def detect(text: str) -> list[tuple[int, int, str, str, str]]:
                         break
             else:
                 claim(*m.span(1 if kind == "secret" else 0), kind)
+    names: dict[str, str] = {}
+    for _, _, kind, value, gender in sorted(found):
+        if kind == "name":
+            names.setdefault(value, gender)
+    if names:
+        for m in re.finditer(rf"(?<!\w)(?:{'|'.join(map(re.escape, sorted(names, key=len, reverse=True)))})(?!\w)", text):
+            claim(*m.span(), "name", names[m[0]])
     return sorted(found)
 
 
