@@ -349,6 +349,19 @@ def test_html(html, text):
     assert html_text.extract(html) == text
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<table><td>a</td><td>b</table>", "a  b"), ("<table>x<tr>y<td>a</table>", "xy\n\na"), ("<table><tr><div>text</div></tr></table>", "text"),
+        ("<table><tr><td>a<tr><div>d<tr><td>b</table>", "d\n\na\nb"), ("<table><form><tr><td>a<td>b</form></table>", "a  b"), ("<p aria-hidden='true'>seen</p>", "seen"),
+        ("<table><tbody><td>a<tbody><td>b</table>", "a\nb"), ("<table><tbody><tr><td>a</tbody><td>b</table>", "a\nb"), ("<table><tr><td><div>x<table><td>y</table></table>", "x\ny"),
+        ("<table><thead><th>h</thead><tr><td>a</table>", "h\na"), ("<table><tr hidden><td>a</tr><td>b</table>", "b"),
+    ],
+)
+def test_html_tables_lose_no_text(html, text):
+    assert html_text.extract(html) == text
+
+
 def test_html_depth_and_rows(spark):
     assert html_text.extract("<div>" * 20_000 + "deep") == "deep"
     pages = spark.createDataFrame([(1, "u", "<p>a"), (1, "u", "<p>a"), (None, None, None)], "page_id long, url string, html string")

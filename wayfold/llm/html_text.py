@@ -6,7 +6,8 @@ without recursion: elements that a browser does not show are skipped (head,
 scripts, templates, hidden attributes, display:none, visibility:hidden, closed
 details), blocks start lines, paragraphs and headings are set off by a blank
 line, list items carry bullets or numbers by depth, line breaks and preformatted
-text stay, and table cells are padded to their columns.
+text stay, and table cells are padded to their columns. Cells without a row get
+one, and what stands in a table outside its cells comes before the table.
 
 Null pages give null text; empty pages give empty text. Broken markup never
 raises. Repeated rows are rendered each; extra columns pass through.
@@ -44,6 +45,8 @@ CLOSES = {
     "body": ({"head"}, {"html"}),
 }
 SCOPE = {"table", "td", "th", "caption", "button", "html"}
+ROW_GROUPS = {"table", "thead", "tbody", "tfoot", "tr", "form"}
+TABLE_PARTS = {"caption", "colgroup", "col", "thead", "tbody", "tfoot", "tr", "td", "th"}
 INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 SPACES = re.compile(r"[ \t\n\r\f]+")
 
@@ -73,9 +76,21 @@ class TreeBuilder(HTMLParser):
             if tag in stop:
                 return
 
+    def leave_stray(self) -> None:
+        """Close what stands open in a table outside its cells."""
+        for depth in range(len(self.open) - 1, 0, -1):
+            if self.open[depth].tag in ROW_GROUPS:
+                if any(n.tag == "table" for n in self.open[: depth + 1]):
+                    del self.open[depth + 1 :]
+                return
+            if self.open[depth].tag in SCOPE:
+                return
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in ENDS_P:
             self.close_implied({"p"}, SCOPE)
+        if tag in TABLE_PARTS:
+            self.leave_stray()
         if tag in CLOSES:
             self.close_implied(*CLOSES[tag])
         node = Node(tag, dict(attrs))
@@ -102,7 +117,7 @@ class TreeBuilder(HTMLParser):
 def visible(node: Node) -> bool:
     if node.tag in HIDDEN or "hidden" in node.attrs or INVISIBLE.search(node.attrs.get("style") or ""):
         return False
-    return not (node.tag == "input" or (node.attrs.get("aria-hidden") or "").lower() == "true")
+    return node.tag != "input"
 
 
 class Canvas:
@@ -148,26 +163,49 @@ class Canvas:
         return "\n".join(self.lines).strip("\n")
 
 
-def table_lines(node: Node) -> list[str]:
-    """A table's rows with padded cells, its caption first."""
-    caption, rows, stack = [], [], [*reversed(node.children)]
+def table_parts(table: Node) -> tuple[list[Node], list[list[Node]], list]:
+    """Captions, rows of visible cells and stray content; cells outside a row share an implied one."""
+    captions, rows, stray = [], [], []
+    stack: list[tuple] = [(c, None, True) for c in reversed(table.children)]
+    implied: list[Node] | None = None
     while stack:
-        at = stack.pop()
-        if isinstance(at, str) or not visible(at):
-            continue
-        if at.tag == "caption":
-            caption += [x for x in render(at).splitlines() if x.strip()]
-        elif at.tag == "tr":
-            cells = []
-            for cell in at.children:
-                if not isinstance(cell, str) and cell.tag in ("td", "th") and visible(cell):
-                    span = cell.attrs.get("colspan") or "1"
-                    cells.append([x for x in render(cell).splitlines() if x.strip()] or [""])
-                    cells += [[""]] * (min(int(span), 100) - 1 if span.isdecimal() and span.isascii() and len(span) < 5 else 0)
-            if cells:
-                rows.append(cells)
-        else:
-            stack += reversed(at.children)
+        at, row, shown = stack.pop()
+        if isinstance(at, str):
+            if at.strip():
+                stray.append(at)
+        elif at.tag in ("td", "th"):
+            if row is None:
+                if implied is None:
+                    rows.append(implied := [])
+                row = implied
+            if shown and visible(at):
+                row.append(at)
+        elif at.tag == "caption":
+            captions += [at] if shown and visible(at) else []
+        elif at.tag in ROW_GROUPS - {"table"}:
+            if at.tag == "tr":
+                rows.append(row := [])
+            if at.tag != "form":
+                implied = None
+            stack += [(c, row, shown and visible(at)) for c in reversed(at.children)]
+            if at.tag not in ("form", "tr"):
+                stack.insert(len(stack) - len(at.children), (Node("tr", {}), None, True))
+        elif at.tag not in ("colgroup", "col"):
+            stray.append(at)
+    return captions, [r for r in rows if r], stray
+
+
+def table_lines(captions: list[Node], parts: list[list[Node]]) -> list[str]:
+    """A table's rows with padded cells, its caption first."""
+    caption = [x for c in captions for x in render(c).splitlines() if x.strip()]
+    rows = []
+    for part in parts:
+        cells = []
+        for cell in part:
+            span = cell.attrs.get("colspan") or "1"
+            cells.append([x for x in render(cell).splitlines() if x.strip()] or [""])
+            cells += [[""]] * (min(int(span), 100) - 1 if span.isdecimal() and span.isascii() and len(span) < 5 else 0)
+        rows.append(cells)
     width = [0] * max((len(r) for r in rows), default=0)
     for row in rows:
         for k, cell in enumerate(row):
@@ -193,6 +231,11 @@ def render(root: Node) -> str:
             if node.tag in ("li", "blockquote", "dd"):
                 canvas.prefix = prefixes.pop()
             continue
+        if step == "table":
+            canvas.block(2)
+            canvas.verbatim(table_lines(*node))
+            canvas.block(2)
+            continue
         if step == "text":
             if pre:
                 parts = node.split("\n")
@@ -225,9 +268,10 @@ def render(root: Node) -> str:
             canvas.block(2)
             continue
         if tag == "table":
-            canvas.block(2)
-            canvas.verbatim(table_lines(node))
-            canvas.block(2)
+            captions, rows, stray = table_parts(node)
+            stack.append(("table", (captions, rows), pre, 0))
+            for child in reversed(stray):
+                stack.append(("text" if isinstance(child, str) else "open", child, pre, 0))
             continue
         if tag in BLOCK:
             nested = tag in ("ul", "ol") and bool(counters)
