@@ -242,6 +242,20 @@ def test_toxicity_grammar():
     assert g.score("I will kill you.") > 0.7 > g.score("I will kill time.") and g.score("") == g.score(None) < 0.1
 
 
+def test_toxicity_evidence(spark):
+    rng = np.random.default_rng(10)
+    draw = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 5_000, n))
+    shared = draw(400)
+    texts = [(y, f"{shared} {draw(400)}") for y in (0, 1) for _ in range(6)]
+    copies = [(1, f"{t} more") for y, t in texts if y]
+    got = [(r["__y"], r["__text"]) for r in toxicity.distinct_evidence(spark.createDataFrame(texts + copies + texts, "__y int, __text string")).collect()]
+    # Of a text and its copy one may be left out; no text goes for a shared passage, nor under another label.
+    assert len(got) == len(set(got)) and set(got) <= {*texts, *copies} and {t for t in texts if not t[0]} <= set(got)
+    assert all(t in got or (1, f"{t[1]} more") in got for t in texts if t[0])
+    pair = [(1, shared), (1, f"{shared} more")]
+    assert toxicity.distinct_evidence(spark.createDataFrame(pair, "__y int, __text string")).count() == 1
+
+
 def test_toxicity_edges(spark):
     docs = odd_docs(spark)
     labels = spark.createDataFrame([(5, 1, 1), (5, 0, 0), (3, None, None)], LABEL)

@@ -11,9 +11,10 @@ doubtful clause in a long text is not enough, several are.
 
 Insult weights are learned: smoothed log odds of a word, or of a word's stem,
 over labelled training texts. At most ``max_labelled`` labelled rows (the
-smallest id hashes) are used, a documented bound. Of near copies among them,
-recognised by the smallest hash of their three-word windows, one is used, so
-that a copied text's rare words do not look like evidence.
+smallest id hashes) are used, a documented bound. Texts of one label that share
+the smallest hash of their three-word windows are compared with one of them;
+those at MIN_SIMILARITY to it are left out, so that a copied text's rare words
+do not look like evidence. Texts that merely share a passage all count.
 
 Null and empty texts score the bias alone. Repeated rows score each; null ids
 are never held out nor trained on; ids labelled twice are toxic if any row says
@@ -30,12 +31,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import let, words_of
+from wayfold.llm.common import let, materialize, words_of
 
 MAX_LABELLED = 40_000
 MAX_LEXICON = 8_192
 #: A learned word or stem needs so many toxic texts and such a share of them among its texts.
 MIN_SUPPORT, MIN_SHARE = 5, 0.85
+#: Of three-word windows, from which two training texts count as copies.
+MIN_SIMILARITY = 0.8
 STEMS, STEM_SHARE, STEM_SUPPORT = (7, 5), 0.9, 8
 #: Chosen on folds inside the training part: fitted on one, compared on another.
 BIAS, REPEATS = -4.5, 1.5
@@ -121,6 +124,18 @@ class Grammar:
         return 1.0 / (1.0 + math.exp(-logit))
 
 
+def distinct_evidence(texts: DataFrame) -> DataFrame:
+    """(__y, __text) without the verified near copies of another text of the same label."""
+    texts = materialize(texts.distinct(), "labelled-texts")
+    windows = lambda ws: F.transform(ws, lambda w, i: F.xxhash64(w, F.get(ws, i + 1), F.get(ws, i + 2)))
+    texts = texts.withColumn("__grams", F.array_distinct(let(words_of(F.col("__text")), windows)))
+    texts = texts.withColumn("__sketch", F.coalesce(F.array_min("__grams"), F.lit(0)))
+    first = texts.groupBy("__sketch", "__y").agg(F.max_by(F.struct("__text", "__grams"), "__text").alias("__r"))
+    both = F.size(F.array_intersect("__grams", "__r.__grams"))
+    alike = both >= F.lit(MIN_SIMILARITY) * (F.size("__grams") + F.size("__r.__grams") - both)
+    return texts.join(first, ["__sketch", "__y"]).where((F.col("__text") == F.col("__r.__text")) | ~alike).select("__y", "__text")
+
+
 def fit(docs: DataFrame, labels: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED) -> tuple[dict[str, float], dict[str, float]]:
     """Insult weights of words and of stems. training is a condition on the label rows' doc_id."""
     known = (
@@ -128,9 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, id_col: str = "doc
         .orderBy(F.xxhash64("__l"), "__l").limit(max_labelled)
     )
     texts = docs.select(F.col(id_col).alias("__d"), F.col(text_col).alias("__text")).join(F.broadcast(known), F.col("__d") == F.col("__l"))
-    plain = words_of(F.coalesce("__text", F.lit("")))
-    sketch = let(plain, lambda ws: F.array_min(F.transform(ws, lambda w, i: F.xxhash64(w, F.get(ws, i + 1), F.get(ws, i + 2)))))
-    texts = texts.select("__y", "__text", F.coalesce(sketch, F.lit(0)).alias("__sketch")).groupBy("__sketch").agg(F.max("__y").alias("__y"), F.max("__text").alias("__text"))
+    texts = distinct_evidence(texts.select("__y", F.coalesce("__text", F.lit("")).alias("__text")))
     total = texts.agg(F.count("*").alias("n"), F.sum("__y").alias("t")).first()
     if not total.t or total.t == total.n:
         return {}, {}
