@@ -96,6 +96,15 @@ def test_keep_one(spark, texts):
     assert odd.where("doc_id is null").count() == 1 and odd.where("doc_id in (0, 1, 2)").count() == 1
 
 
+def test_keep_one_of_rows_that_share_an_id(spark):
+    rng = np.random.default_rng(9)
+    first, other = (" ".join(f"w{x}" for x in rng.integers(0, 5_000, 200)) for _ in range(2))
+    rows = [(7, first, "en", "src0", None), (7, other, "en", "src0", None), (3, first, "en", "src0", None)]
+    for order in (rows, rows[::-1], [rows[1], rows[0], rows[2]]):
+        docs = spark.createDataFrame(order, DOC).coalesce(1)
+        assert sorted((r.doc_id, r.text) for r in simhash.keep_one(docs).collect()) == [(3, first), (7, other)]
+
+
 def edited(words, every, k):
     return " ".join(f"edit{k}x{i}" if i % every == every - 1 else w for i, w in enumerate(words))
 

@@ -115,21 +115,16 @@ def hex_fingerprint(fp: Column) -> Column:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 3) -> DataFrame:
-    """docs with one row of each component: the one with the smallest id.
+    """docs with one row of each component: the one with the smallest id, null ids last.
 
-    Rows that repeat an id count as one document. A component without any id
-    keeps one of its rows.
+    Of a component's rows with that id the one of the smallest fingerprint and
+    text hash stays: only rows of the same component replace each other.
     """
-    rows, classes = near_duplicates(docs, id_col, text_col, shingle, max_bits)
-    kept = rows.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(id_col)).distinct()
-    named = docs.join(kept, id_col, "left_semi").dropDuplicates([id_col]).select(*docs.columns)
-    nameless = docs.where(F.col(id_col).isNull())
-    if nameless.isEmpty():
-        return named
+    _, classes = near_duplicates(docs, id_col, text_col, shingle, max_bits)
     row = free_prefix(docs.columns) + "row"
-    tagged = nameless.withColumn(row, F.monotonically_increasing_id())
-    tagged = materialize(tagged, "rows-without-id")
-    found = fingerprints(tagged.select(row, text_col), row, text_col, shingle).withColumnRenamed("doc_id", row)
-    first = found.join(classes.where("component_id is null"), "fp").groupBy("root").agg(F.min(row).alias(row))
-    rest = tagged.join(first, row, "left_semi").select(*docs.columns)
-    return named.unionByName(rest)
+    tagged = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "rows-with-number")
+    found = fingerprints(tagged, row, text_col, shingle).withColumnRenamed("doc_id", row)
+    known = tagged.select(row, F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text"))
+    order = F.struct(F.col("id").isNull(), "id", "fp", "text", row)
+    first = found.join(known, row).join(classes, "fp").groupBy("root").agg(F.min(order)[row].alias(row))
+    return tagged.join(first, row, "left_semi").select(*docs.columns)
