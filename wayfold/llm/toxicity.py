@@ -1,31 +1,42 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Words map to symbol classes: insult, threat, intent, target, linking verb,
-negation, reporting verb, other. Small transducers over these classes are
-composed clause by clause: an insult scores its learned weight, more when a
-target is near it; a threat scores when intent and target surround it; negation
-written between linking verb and insult, and a reporting verb with a speaker
-before the clause's insult, scale the match down. The document's score is a
-logistic of its strongest clause and the logarithm of what the others add: one
-doubtful clause in a long text is not enough, several are.
-
-Insult weights are learned: smoothed log odds of a word, or of a word's stem,
-over labelled training texts. At most ``max_labelled`` labelled rows (the
-smallest id hashes) are used, a documented bound. Texts of one label that share
-the smallest hash of their three-word windows are compared with one of them;
-those at MIN_SIMILARITY to it are left out, so that a copied text's rare words
-do not look like evidence. Texts that merely share a passage all count.
-
-Null and empty texts score the bias alone. Repeated rows score each; null ids
-are never held out nor trained on; ids labelled twice are toxic if any row says
-so. Extra columns are ignored.
+Each word of a clause becomes a symbol: a strong, medium or doubtful insult, a
+target, linking verb, negation, speaker, intent, threatening or figurative
+verb, place, reporting verb or other. Five machines read these symbols, each a
+table of weighted arcs, letter for letter: negation rewrites the insults and
+threats in its reach to harmless symbols, reported speech ends a clause with a
+discount, and the insult, target and threat machines, united, match a clause
+by one of their paths. They are composed once into one machine. A clause scores
+its best path: an insult aimed at a target, several insults together, a bare
+insult, or an intent with a threatening verb and a target. Doubtful words (they
+have a plain sense too) need a target just before them or a linking verb; bare
+ones count only where training found them. A document's score is
+the logistic of its best clause and the logarithm of what its other clauses
+add; arcs are bounded such that one clause with a single bare insult stays
+below the cut, and two such clauses or an aimed one do not.
+
+The model is learned on labelled training texts. Insult words and stems are
+those that a large share of their texts is toxic for, strong or medium by their
+log odds; a first fit on one half of the texts finds on the other half the log
+odds of every kind of path, which become the arcs' weights inside their bounds.
+At most ``max_labelled`` labelled rows (the smallest id hashes) are used, a
+documented bound. Texts of one label that share the smallest hash of their
+three-word windows are compared with one of them; those at MIN_SIMILARITY to it
+are left out, so that a copied text's rare words do not look like evidence.
+Texts that merely share a passage all count.
+
+Null and empty texts, and texts without a match, score the bias alone. Repeated
+rows score each; null ids are never held out nor trained on; ids labelled twice
+are toxic if any row says so. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -34,95 +45,284 @@ from pyspark.sql import functions as F
 from wayfold.llm.common import let, materialize, words_of
 
 MAX_LABELLED = 40_000
-MAX_LEXICON = 8_192
 #: A learned word or stem needs so many toxic texts and such a share of them among its texts.
 MIN_SUPPORT, MIN_SHARE = 5, 0.85
+STEMS, STEM_SHARE, STEM_SUPPORT = (7, 5), 0.9, 8
+#: And such a share of all toxic texts, so that chance finds do not grow in number with the training table.
+MIN_RATE = 0.01
+#: Log odds from which a learned word is a strong insult.
+STRONG = 5.0
 #: Of three-word windows, from which two training texts count as copies.
 MIN_SIMILARITY = 0.8
-STEMS, STEM_SHARE, STEM_SUPPORT = (7, 5), 0.9, 8
-#: Chosen on folds inside the training part: fitted on one, compared on another.
-BIAS, REPEATS = -4.5, 1.5
-SEED_WEIGHT, THREAT_WEIGHT = 5.5, 6.5
+BIAS, REPEATS, REPORTED = -4.5, 1.5, -3.0
+#: Lowest and highest weight of a path by its kind; one bare insult must stay under logit(0.7) - BIAS = 5.35.
+BOUNDS = {"bare_strong": (4.4, 5.0), "bare_medium": (3.4, 4.4), "chain_strong": (5.8, 7.0), "chain_medium": (4.8, 6.2), "aimed_strong": (6.2, 7.5), "aimed_medium": (5.6, 7.0), "aimed_doubtful": (5.6, 6.6), "threat": (6.0, 7.5)}
 
 # Seed words of the grammar's classes.
-INSULTS = "idiot idiots moron morons stupid imbecile scum trash loser losers worthless pathetic disgusting dumb filth vermin bastard bitch asshole idiota estúpido estúpida imbécil basura idiotin trottel dumm abschaum connard salaud abruti ordure".split()
-THREATS = "kill hurt destroy beat stab shoot strangle murder burn matar töten umbringen tuer".split()
-INTENTS = "will gonna going shall must should i'll we'll voy vamos werde werden vais allons".split()
-TARGETS = "you your yourself u he she they them him her these those tú usted ustedes du dich euch sie tu toi vous".split()
-LINKS = "are is am be being was were 're eres es son bist ist sind est es êtes sont".split()
-NEGATIONS = "not never no isn't aren't ain't nicht kein keine nunca pas jamais".split()
-REPORTS = "said says wrote writes claimed called reported quoted dijo sagte schrieb dit écrit".split()
+SEEDS = "idiot idiots moron morons imbecile scum loser losers bastard bitch asshole clown idiota estúpido estúpida imbécil idiotin trottel abschaum connard salaud abruti".split()
+DOUBTFUL = "stupid dumb trash garbage filth filthy vermin worthless pathetic disgusting basura dumm ordure".split()
+CLASSES = {
+    "T": "you your yourself u he she they them him her tú usted ustedes du dich euch sie tu toi vous".split(),
+    "L": "are is am be being was were 're eres es son bist ist sind est êtes sont you're they're he's she's".split(),
+    "N": "not never no isn't aren't ain't wasn't weren't don't won't nicht kein keine nunca pas jamais".split(),
+    "R": "said says wrote writes claimed called reported quoted dijo sagte schrieb dit écrit according".split(),
+    "P": "i we ich wir yo je nous".split(),
+    "J": "i'll we'll i'm voy vamos".split(),
+    "X": "will gonna going shall must should werde werden vais allons".split(),
+    "H": "kill strangle murder stab shoot matar töten umbringen tuer".split(),
+    "W": "hurt destroy beat burn crush".split(),
+    "G": "at in on during by".split(),
+}
+#: Targets written in one word with their linking verb count as the target.
+AIMED_LINKS = frozenset("you're they're he's she's".split())
+
+#: O other; I, K, D, A strong, medium, doubtful but learned, and doubtful insults; lower case is what negation leaves of them.
+ALPHABET = "OTLNRPJXHWGIKDAikdahw"
+INSULTS = "IKDA"
+NEGATED = str.maketrans("IKDAHW", "ikdahw")
+REACH = 4
 
 WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 CLAUSE = re.compile(r"[^.!?;\n]+")
 
 
+class Machine(NamedTuple):
+    """Arcs (state, symbol) -> [(symbol out, weight, state)], and the end weights of final states. All starts are 0."""
+
+    arcs: dict[tuple, list[tuple]]
+    finals: dict[object, float]
+
+    def best(self, symbols: str) -> tuple[float, object] | None:
+        """Weight and last state of the best path; ties to the smaller state. None without a path."""
+        now = {0: 0.0}
+        for s in symbols:
+            after: dict[object, float] = {}
+            for state, total in now.items():
+                for _, weight, to in self.arcs.get((state, s), ()):
+                    if after.get(to, -math.inf) < total + weight:
+                        after[to] = total + weight
+            now = after
+        ends = [(total + self.finals[state], state) for state, total in now.items() if state in self.finals]
+        return min(ends, key=lambda e: (-e[0], str(e[1])), default=None)
+
+
+class Builder:
+    """Arcs of one machine as they are drawn."""
+
+    def __init__(self):
+        self.arcs: dict[tuple, list[tuple]] = defaultdict(list)
+        self.finals: dict[object, float] = {}
+
+    def arc(self, state, symbols: str, to, weight: float = 0.0, out: str | None = None) -> None:
+        for s in symbols:
+            self.arcs[state, s].append((out or s, weight, to))
+
+    def window(self, state: str, symbols: str, places: int) -> None:
+        """state1 to state(places), each of these symbols moving one on; what comes later falls out."""
+        for k in range(1, places):
+            self.arc(f"{state}{k}", symbols, f"{state}{k + 1}")
+
+    def made(self) -> Machine:
+        return Machine(dict(self.arcs), self.finals)
+
+
+def without(symbols: str) -> str:
+    return "".join(s for s in ALPHABET if s not in symbols)
+
+
+def negation() -> Machine:
+    """Rewrites insults and threatening verbs within REACH words after a negation."""
+    b = Builder()
+    for k in range(REACH + 1):
+        b.arc(k, "N", REACH)
+        for s in without("N"):
+            b.arc(k, s, max(0, k - 1), 0.0, s.translate(NEGATED) if k else s)
+        b.finals[k] = 0.0
+    return b.made()
+
+
+def reported_speech() -> Machine:
+    """A discount at the end of a clause that someone else is said to have said."""
+    b = Builder()
+    for state in (0, "own"):
+        b.arc(state, "PJ", "own")
+        b.arc(state, without("PJR"), 0)
+        b.finals[state] = 0.0
+    b.arc(0, "R", "told")
+    b.arc("own", "R", 0)
+    b.arc("told", ALPHABET, "told")
+    b.finals["told"] = REPORTED
+    return b.made()
+
+
+def insults(weights: dict[str, float]) -> Machine:
+    """Bare insults and several in one clause."""
+    b = Builder()
+    b.arc(0, ALPHABET, 0)
+    for symbols, name in (("ID", "strong"), ("K", "medium")):
+        bare = f"bare_{name}"
+        b.arc(0, symbols, bare, weights[bare])
+        b.arc(bare, "ID" if name == "medium" else "IDK", "chain_strong", weights["chain_strong"] - weights[bare])
+    b.arc("bare_medium", "K", "chain_medium", weights["chain_medium"] - weights["bare_medium"])
+    for end in ("bare_strong", "bare_medium", "chain_strong", "chain_medium"):
+        b.arc(end, ALPHABET, end)
+        b.finals[end] = 0.0
+    return b.made()
+
+
+def targets(weights: dict[str, float]) -> Machine:
+    """Insults with a target shortly before them, or right after."""
+    b = Builder()
+    b.arc(0, ALPHABET, 0)
+    b.arc(0, "T", "near1")
+    b.window("near", without(INSULTS), 5)
+    # Doubtful words need the target just before, or a linking verb between.
+    b.arc("near1", "L", "linked1")
+    b.window("linked", without(INSULTS + "TPG"), 4)
+    for state in ("near1", "linked1", "linked2", "linked3", "linked4"):
+        b.arc(state, "AD", "aimed_doubtful", weights["aimed_doubtful"])
+    for symbol, name in (("I", "strong"), ("K", "medium")):
+        end = f"aimed_{name}"
+        for state in ("near1", "near2", "near3", "near4", "near5"):
+            b.arc(state, symbol, end, weights[end])
+        b.arc(0, symbol, f"after{symbol}1")
+        b.window(f"after{symbol}", without(INSULTS + "TPG"), 3)
+        for k in (1, 2, 3):
+            b.arc(f"after{symbol}{k}", "T", end, weights[end])
+    for end in ("aimed_strong", "aimed_medium", "aimed_doubtful"):
+        b.arc(end, ALPHABET, end)
+        b.finals[end] = 0.0
+    return b.made()
+
+
+def threats(weights: dict[str, float]) -> Machine:
+    """An intent, a threatening verb and a target; figurative verbs need a speaker and no place that follows."""
+    b = Builder()
+    b.arc(0, ALPHABET, 0)
+    b.arc(0, "P", "speaker1")
+    b.window("speaker", "OLNRG", 3)
+    for k in (1, 2, 3):
+        b.arc(f"speaker{k}", "X", "own1")
+    b.arc(0, "J", "own1")
+    b.arc(0, "X", "intent1")
+    for state in ("own", "intent"):
+        b.window(state, "OLXG", 4)
+        for k in (1, 2, 3, 4):
+            b.arc(f"{state}{k}", "H", "deed1")
+            if state == "own":
+                b.arc(f"{state}{k}", "W", "figure1")
+    b.window("deed", "OLP", 4)
+    b.window("figure", "OLP", 4)
+    for k in (1, 2, 3, 4):
+        b.arc(f"deed{k}", "T", "threat", weights["threat"])
+        b.arc(f"figure{k}", "T", "figured", weights["threat"])
+    b.arc("figured", without("G"), "threat")
+    b.arc("threat", ALPHABET, "threat")
+    b.finals |= {"threat": 0.0, "figured": 0.0}
+    return b.made()
+
+
+def union(*machines: Machine) -> Machine:
+    """Any of the machines; other states than the start are told apart by their machine's number."""
+    b = Builder()
+    for n, m in enumerate(machines):
+        for (state, s), out in m.arcs.items():
+            for o, weight, to in out:
+                b.arcs[(n, state), s].append((o, weight, (n, to)))
+                if state == 0:
+                    b.arcs[0, s].append((o, weight, (n, to)))
+        b.finals |= {(n, state): w for state, w in m.finals.items()}
+    return b.made()
+
+
+def compose(first: Machine, second: Machine) -> Machine:
+    """The machine that reads what first reads and gives what second makes of its output."""
+    arcs, finals, seen, todo = {}, {}, {(0, 0)}, [(0, 0)]
+    name = lambda a, b: 0 if (a, b) == (0, 0) else (a, b)
+    while todo:
+        a, b = todo.pop()
+        if a in first.finals and b in second.finals:
+            finals[name(a, b)] = first.finals[a] + second.finals[b]
+        for s in ALPHABET:
+            made = [
+                (out, w1 + w2, (a2, b2))
+                for middle, w1, a2 in first.arcs.get((a, s), ())
+                for out, w2, b2 in second.arcs.get((b, middle), ())
+            ]
+            if made:
+                arcs[name(a, b), s] = [(out, w, name(*to)) for out, w, to in made]
+            for _, _, to in made:
+                if to not in seen:
+                    seen.add(to)
+                    todo.append(to)
+    return Machine(arcs, finals)
+
+
+def kind_of(state) -> str:
+    """The kind of path that a last state of the composed machine stands for."""
+    while isinstance(state, tuple):
+        state = state[-1]
+    return "threat" if state == "figured" else state
+
+
+class Model(NamedTuple):
+    """Learned insults (word or stem with a trailing *, to I or K) and the weights of paths by kind."""
+
+    words: dict[str, str]
+    weights: dict[str, float]
+
+
+def default_model(words: dict[str, str] | None = None) -> Model:
+    return Model(words or {}, {k: (low + high) / 2 for k, (low, high) in BOUNDS.items()})
+
+
 class Grammar:
-    """The composed transducers for one lexicon of insult weights."""
+    """The composed machines for one model."""
 
-    def __init__(self, words: dict[str, float], stems: dict[str, float]):
-        self.words = dict.fromkeys(INSULTS, SEED_WEIGHT) | words
-        self.stems = stems
-        self.classes: dict[str, str] = {}
-        for name, listed in (("V", REPORTS), ("L", LINKS), ("T", TARGETS), ("I", INTENTS), ("H", THREATS), ("N", NEGATIONS)):
-            self.classes |= dict.fromkeys(listed, name)
+    def __init__(self, model: Model):
+        self.machine = compose(negation(), compose(reported_speech(), union(insults(model.weights), targets(model.weights), threats(model.weights))))
+        self.symbols = {w: s for s, listed in CLASSES.items() for w in listed}
+        self.symbols |= dict.fromkeys(AIMED_LINKS, "T") | dict.fromkeys(DOUBTFUL, "A") | dict.fromkeys(SEEDS, "I")
+        learned = {w: s for w, s in model.words.items() if not w.endswith("*")}
+        self.symbols |= {w: "D" if w in DOUBTFUL else s for w, s in learned.items() if self.symbols.get(w, "A") in "AI"}
+        self.stems = {w[:-1]: s for w, s in model.words.items() if w.endswith("*")}
+        self.known: dict[str, tuple[float, str]] = {}
 
-    def insult(self, word: str) -> float:
-        found = self.words.get(word)
+    def symbol(self, word: str) -> str:
+        found = self.symbols.get(word)
         if found is None and self.stems:
             found = next((self.stems[word[:n]] for n in STEMS if len(word) > n and word[:n] in self.stems), None)
-        return found or 0.0
-
-    def clause(self, words: list[str]) -> float:
-        """Weight of the best path through one clause; 0 without a match.
-
-        One pass of the automaton. Its state: words since the last target,
-        link, negation and intent, and whether a reporting verb opened quoted
-        speech.
-        """
-        far = 99
-        target = link = negation = intent = far
-        reported, threat, best = False, -1, 0.0
-        for place, word in enumerate(words):
-            target, link, negation, intent = target + 1, link + 1, negation + 1, intent + 1
-            kind = self.classes.get(word, "")
-            weight = self.insult(word)
-            if weight:
-                if target <= 4:
-                    weight += 1.0
-                if negation <= 2 and link <= 3 and target <= 5:
-                    weight *= 0.25
-                if reported:
-                    weight *= 0.6
-                best = max(best, weight)
-            elif kind == "H" and intent <= 2:
-                threat = place
-            elif kind == "T":
-                if 0 <= threat and place - threat <= 3:
-                    best = max(best, THREAT_WEIGHT * (0.25 if negation <= 4 else 1.0) * (0.6 if reported else 1.0))
-                target = 0
-            elif kind == "L":
-                link = 0
-            elif kind == "N":
-                negation = 0
-            elif kind == "I":
-                intent = 0
-            elif kind == "V" and target <= 3:
-                reported = True
-        return best
+        return found or "O"
+
+    def clause(self, words: list[str]) -> tuple[float, str]:
+        """Weight and kind of the best path through a clause; (0, none) without one or where it is no evidence."""
+        symbols = "".join(map(self.symbol, words))
+        if not any(s in symbols for s in INSULTS + "HW"):
+            return 0.0, "none"  # every path of the matching machines needs one of these
+        if symbols not in self.known:
+            found = self.machine.best(symbols)
+            result = (found[0], kind_of(found[1])) if found and found[0] > 0 else (0.0, "none")
+            if len(self.known) < 1 << 16 and len(symbols) < 64:
+                self.known[symbols] = result
+            return result
+        return self.known[symbols]
+
+    def matches(self, text: str | None) -> list[tuple[float, str]]:
+        parts = CLAUSE.findall((text or "").lower().replace("’", "'"))
+        return [m for part in parts if (m := self.clause(WORD.findall(part)))[0]]
 
     def score(self, text: str | None) -> float:
-        total = [
-            found
-            for part in CLAUSE.findall((text or "").lower())
-            if (found := self.clause(WORD.findall(part)))
-        ]
-        if not total:
-            return 1.0 / (1.0 + math.exp(-BIAS))
-        top = max(total)
-        logit = BIAS + top + REPEATS * math.log1p(sum(total) / top - 1.0)
+        found = [weight for weight, _ in self.matches(text)]
+        logit = BIAS
+        if found:
+            top = max(found)
+            logit += top + REPEATS * math.log1p(sum(found) / top - 1.0)
         return 1.0 / (1.0 + math.exp(-logit))
 
+    def kind(self, text: str | None) -> str:
+        """The kind of the text's best path."""
+        return max(self.matches(text), default=(0.0, "none"))[1]
+
 
 def distinct_evidence(texts: DataFrame) -> DataFrame:
     """(__y, __text) without the verified near copies of another text of the same label."""
@@ -136,40 +336,61 @@ def distinct_evidence(texts: DataFrame) -> DataFrame:
     return texts.join(first, ["__sketch", "__y"]).where((F.col("__text") == F.col("__r.__text")) | ~alike).select("__y", "__text")
 
 
-def fit(docs: DataFrame, labels: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED) -> tuple[dict[str, float], dict[str, float]]:
-    """Insult weights of words and of stems. training is a condition on the label rows' doc_id."""
-    known = (
-        labels.where(F.col("toxic").isNotNull() & training).groupBy(F.col("doc_id").alias("__l")).agg(F.max("toxic").alias("__y"))
-        .orderBy(F.xxhash64("__l"), "__l").limit(max_labelled)
-    )
-    texts = docs.select(F.col(id_col).alias("__d"), F.col(text_col).alias("__text")).join(F.broadcast(known), F.col("__d") == F.col("__l"))
-    texts = distinct_evidence(texts.select("__y", F.coalesce("__text", F.lit("")).alias("__text")))
+def insult_words(texts: DataFrame) -> dict[str, str]:
+    """Words and stems that the support and share of toxic texts show to be insults, each strong (I) or medium (K)."""
     total = texts.agg(F.count("*").alias("n"), F.sum("__y").alias("t")).first()
     if not total.t or total.t == total.n:
-        return {}, {}
-    words = F.array_distinct(F.regexp_extract_all(F.lower("__text"), F.lit(r"([\p{L}\p{Nd}]+(?:['’][\p{L}\p{Nd}]+)*)"), F.lit(1)))
-    stem = lambda n: F.transform(F.filter(words, lambda w: F.length(w) > n), lambda w: F.concat(F.lit("*"), F.substring(w, 1, n)))
+        return {}
+    words = F.array_distinct(F.regexp_extract_all(F.translate(F.lower("__text"), "’", "'"), F.lit(r"([\p{L}\p{Nd}]+(?:'[\p{L}\p{Nd}]+)*)"), F.lit(1)))
+    stem = lambda n: F.transform(F.filter(words, lambda w: F.length(w) > n), lambda w: F.concat(F.substring(w, 1, n), F.lit("*")))
     stems = F.array_distinct(F.concat(*(stem(n) for n in STEMS)))
     each = texts.select("__y", F.explode(F.concat(words, stems)).alias("w"))
     counted = each.groupBy("w").agg(F.count("*").alias("n"), F.sum("__y").alias("t"))
-    least = F.when(F.col("w").startswith("*"), (F.col("t") >= STEM_SUPPORT) & (F.col("t") >= STEM_SHARE * F.col("n"))).otherwise((F.col("t") >= MIN_SUPPORT) & (F.col("t") >= MIN_SHARE * F.col("n")))
+    enough = lambda support, share: (F.col("t") >= max(support, MIN_RATE * total.t)) & (F.col("t") >= share * F.col("n"))
+    least = F.when(F.col("w").endswith("*"), enough(STEM_SUPPORT, STEM_SHARE)).otherwise(enough(MIN_SUPPORT, MIN_SHARE))
     prior = math.log(total.t / (total.n - total.t))
-    out: tuple[dict[str, float], dict[str, float]] = ({}, {})
-    for row in counted.where(least).orderBy(F.desc("t"), "w").limit(MAX_LEXICON).collect():
-        weight = round(min(7.0, math.log((row.t + 0.5) / (row.n - row.t + 0.5)) - prior), 6)
-        if row.w.startswith("*"):
-            out[1][row.w[1:]] = weight
-        else:
-            out[0][row.w] = weight
+    odds = lambda r: math.log((r.t + 0.5) / (r.n - r.t + 0.5)) - prior
+    return {r.w: "I" if odds(r) >= STRONG else "K" for r in counted.where(least).orderBy("w").collect()}
+
+
+def path_weights(texts: DataFrame, model: Model) -> dict[str, float]:
+    """Log odds of each kind of best path over texts that the model's words were not learned from, inside BOUNDS."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grammar = Grammar(model)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([grammar.kind(x.as_py()) for x in batch.column(1)], pa.string())], ["y", "kind"])
+
+    kinds = texts.select(F.col("__y").cast("long"), "__text").mapInArrow(run, "y long, kind string")
+    counts = {r.kind: (r.n, r.t) for r in kinds.groupBy("kind").agg(F.count("*").alias("n"), F.sum("y").alias("t")).collect()}
+    out = dict(model.weights)
+    for kind, (low, high) in BOUNDS.items():
+        if kind in counts:
+            n, t = counts[kind]
+            out[kind] = round(min(high, max(low, math.log((t + 0.5) / (n - t + 0.5)) - BIAS)), 6)
     return out
 
 
-def classify(docs: DataFrame, model: tuple[dict[str, float], dict[str, float]], id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+def fit(docs: DataFrame, labels: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED) -> Model:
+    """The model. training is a condition on the label rows' doc_id."""
+    known = (
+        labels.where(F.col("toxic").isNotNull() & training).groupBy(F.col("doc_id").alias("__l")).agg(F.max("toxic").alias("__y"))
+        .orderBy(F.xxhash64("__l"), "__l").limit(max_labelled)
+    )
+    texts = docs.select(F.col(id_col).alias("__d"), F.col(text_col).alias("__text")).join(F.broadcast(known), F.col("__d") == F.col("__l"))
+    texts = materialize(distinct_evidence(texts.select("__y", F.coalesce("__text", F.lit("")).alias("__text"))), "evidence")
+    half = F.pmod(F.xxhash64("__text"), F.lit(2))
+    first = default_model(insult_words(texts.where(half == 0)))
+    return Model(insult_words(texts), path_weights(texts.where(half == 1), first))
+
+
+def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
     """(doc_id, score, predicted) for every row."""
     kind = docs.schema[id_col].dataType.simpleString()
+    plain = tuple(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grammar = Grammar(*model)
+        grammar = Grammar(Model(*plain))
         for batch in batches:
             scores = [grammar.score(x.as_py()) for x in batch.column(1)]
             hits = [int(s >= threshold) for s in scores]
