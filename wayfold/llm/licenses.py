@@ -1,26 +1,32 @@
 """Licence scans: a paragraph classifier over sparse word n-grams, native on the scan.
 
+A text is cut at blank lines; comment marks go and wrapped lines are joined, so
+a paragraph is whole whatever its layout. Its statements (sentences and
+clauses ended by a semicolon) are what is classified; one that lists several
+licences is read once for each of them besides. Statements without one of the
+cue words (licence, rights reserved, redistribution and so on) are unknown by
+definition, which leaves most texts after one pattern match.
+
 A multinomial logistic regression over presence of word n-grams (one and two
 words) tells licence families and ``unknown`` apart. It is trained on the
-driver from the notices below, with words dropped at random, against fixed
-ordinary sentences; weights under MIN_WEIGHT are pruned, which leaves a few
-hundred n-grams. A temperature fitted on held-out variants calibrates the
-probabilities; under MIN_PROBABILITY a paragraph is unknown. A prediction
+driver: families on the notices below with words dropped at random; unknown on
+ordinary sentences, on the notices without their cue words, and on statements
+of the corpus (at most MAX_DOCUMENTS texts and MAX_STATEMENTS statements with
+the smallest hashes, a documented bound). Weights under MIN_WEIGHT are pruned.
+A temperature fitted on other wordings, which training never sees, calibrates
+the probabilities; under MIN_PROBABILITY a statement is unknown. A prediction
 counts only when the template comparison confirms it: the share of one of the
-family's notices whose n-grams the paragraph holds must reach MIN_OVERLAP.
-
-Scanning is row-local: a text is cut at line breaks, only paragraphs holding a
-word of the model are scored (all others are unknown by the model itself), and
-nothing is shuffled.
+family's notices or names whose n-grams the statement holds must reach
+MIN_OVERLAP. A negated statement (not released under ...) is never confirmed.
 
-Null and blank texts have no paragraphs. Families are reported in order of
-name, so ties do not matter. Repeated rows are scanned each; extra columns pass
-through.
+Scanning is row-local: nothing is shuffled. Null and blank texts have no
+statements. Families are reported in order of place; of equal probabilities the
+later name wins. Repeated rows are scanned each; extra columns pass through,
+but one named like the result is replaced.
 """
 
 from __future__ import annotations
 
-import math
 import random
 import re
 from typing import NamedTuple
@@ -30,14 +36,15 @@ from pyspark.sql import functions as F
 
 from wayfold.llm.common import double_literal, let
 
-SEED, ROUNDS, RATE, DECAY = 11, 60, 0.5, 1e-4
-MIN_WEIGHT, MIN_PROBABILITY, MIN_OVERLAP = 0.25, 0.6, 0.5
+SEED, ROUNDS, RATE, DECAY = 11, 400, 2.0, 1e-4
+MIN_WEIGHT, MIN_PROBABILITY, MIN_OVERLAP = 0.1, 0.6, 0.5
+MAX_DOCUMENTS, MAX_STATEMENTS = 256, 2_000
 UNKNOWN = "unknown"
 
 # Common public licence notices by family.
 TEMPLATES = {
     "agpl": ["This program is licensed under the GNU Affero General Public License, version 3.", "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License"],
-    "apache-2.0": ["Licensed under the Apache License, Version 2.0.", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.', "SPDX-License-Identifier: Apache-2.0"],
+    "apache-2.0": ["Licensed under the Apache License, Version 2.0.", "you may not use this file except in compliance with the License. You may obtain a copy of the License at", "SPDX-License-Identifier: Apache-2.0"],
     "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Licensed under the BSD 3-Clause License.", "SPDX-License-Identifier: BSD-3-Clause"],
     "cc-by": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "Licensed under CC BY-SA 4.0."],
     "cc-by-nc": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
@@ -50,6 +57,38 @@ TEMPLATES = {
     "public-domain": ["This work is released into the public domain.", "This is free and unencumbered software released into the public domain.", "Dedicated to the public domain under CC0 1.0 Universal."],
 }
 
+# Short names, as lists of licences use them.
+NAMES = {
+    "agpl": ["under AGPL", "under AGPL-3.0", "GNU Affero General Public License"],
+    "apache-2.0": ["under Apache-2.0", "Apache License 2.0", "Apache 2.0 license"],
+    "bsd": ["under BSD", "under BSD-3-Clause", "under BSD-2-Clause", "BSD license"],
+    "cc-by": ["under CC BY", "Creative Commons Attribution"],
+    "cc-by-nc": ["under CC BY-NC", "Creative Commons Attribution-NonCommercial"],
+    "gpl": ["under GPL", "under GPL-3.0", "under GPLv3", "under GPLv2", "GNU General Public License"],
+    "isc": ["under ISC", "ISC license"],
+    "lgpl": ["under LGPL", "under LGPL-2.1", "GNU Lesser General Public License"],
+    "mit": ["under MIT", "MIT license"],
+    "mpl-2.0": ["under MPL-2.0", "Mozilla Public License 2.0"],
+    "public-domain": ["under CC0", "in the public domain"],
+}
+
+# Other wordings, on which the probabilities are calibrated; training never sees them.
+CALIBRATION = {
+    "agpl": ["Distributed under the terms of the GNU AGPL version 3 license", "This server is free software under the GNU Affero General Public License v3.0"],
+    "apache-2.0": ["This project is made available under the Apache License 2.0", "Code in this repository is licensed under Apache License Version 2.0", "Unless required by applicable law, software distributed under the Apache License is distributed on an as is basis"],
+    "bsd": ["Use of this source code is governed by a BSD-style license", "This package is distributed under the 3-clause BSD license", "Redistributions of source code in source and binary forms are permitted provided the conditions are met"],
+    "cc-by": ["Text is available under the Creative Commons Attribution 4.0 License", "Images are published under a CC BY 4.0 license"],
+    "cc-by-nc": ["Available under a Creative Commons Attribution-NonCommercial license", "The data are shared under CC BY-NC 4.0 license terms"],
+    "gpl": ["This program comes under the terms of the GNU General Public License version 2", "Distributed under the GPL license", "released under GNU General Public License v3"],
+    "isc": ["This module uses the ISC license", "Permission to use, copy and distribute this software with or without fee is hereby granted"],
+    "lgpl": ["You may use this library under the GNU Lesser General Public License", "This library is distributed under the LGPL license"],
+    "mit": ["This software is available under the MIT license", "The code is MIT licensed", "Permission is hereby granted, free of charge, to use this software and associated documentation"],
+    "mpl-2.0": ["This file is under the Mozilla Public License version 2.0", "Covered by the Mozilla Public License"],
+    "proprietary": ["Copyright 2020 Example Corporation. All rights reserved", "This document is proprietary and confidential and all rights are reserved"],
+    "public-domain": ["The author places this work in the public domain", "This image is in the public domain and free of known copyright"],
+    UNKNOWN: ["the city gave its permission for the market", "he lost his driving license last week", "a licensed electrician must do this work", "the rights of the tenants were reserved for another day", "redistribution of wealth was the topic of the debate", "the public domain of debate has grown", "the license plate of the car was found", "permission is needed to enter the park", "her letters are confidential", "the software license costs ten dollars a month"],
+}
+
 # Ordinary sentences near licence wording, which train the unknown class.
 ORDINARY = """the driver lost his license after the accident in march
 she was released from hospital under the care of her doctor
@@ -68,7 +107,24 @@ use the following words in a sentence and read it to the class
 for any person in the town the price of bread is of great importance
 with or without rain the game will be played on sunday
 the commons voted on the bill and the lords sent it back
-that of by as for it this to and on with from are at be was is the a in""".splitlines()
+he asked for permission to leave and permission is seldom granted
+a licence to sell beer costs more than a licence to sell bread
+the talks were confidential and the room was reserved for them
+redistribution of land came before the redistribution of money
+the doctor is licensed and the shop is licensed to sell wine
+they renewed the fishing license at the office
+all seats were reserved and all rights were respected
+that of by as for it this to and on with from at are be was is the a in""".splitlines()
+
+#: Without one of these a statement is unknown.
+CUES = r"(?i)licen[sc]|permission is|permission to|redistribut|rights (?:are )?reserved|public domain|spdx|confidential|creative commons|cc0|cc[ -]by"
+#: What begins a comment line, what ends a comment.
+COMMENT = r"(?m)^[ \t]*(?:/\*+!?|\*+/|\*+|//+!?|#+|;+|--+|%+|<!--+|dnl\b|\.\\\")?[ \t]*|[ \t]*(?:\*+/|--+>)[ \t]*$"
+PARAGRAPH_END, LINE_END = r"\n[ \t\r]*(?:\n[ \t\r]*)+", r"[ \t\r]*\n[ \t\r]*"
+STATEMENT_END = r"(?<=[\p{L}\p{N}\"')\]]{2}[.;!?])\s+"
+SEVERAL = r"(?i)^(.*?(?:licen[sc]ed(?: \w+){0,3}? under|spdx-license-identifier:)) +(?:either |both )?(.*(?: or | and |/).*)$"
+BETWEEN = r"(?i),? (?:or|and) | ?/ ?"
+NEGATED = r"(?i)\b(?:not|never|no longer|isn't|aren't|wasn't)\b(?:\W+\w+){0,3}?\W+(?:licen[sc]ed|released|distributed|available|covered|subject|under|governed)\b"
 
 
 def words_in(text: str) -> list[str]:
@@ -87,69 +143,100 @@ class Model(NamedTuple):
     templates: list[tuple[str, list[str]]]
 
 
-def train(seed: int = SEED) -> Model:
-    """Fits, prunes and calibrates the model; the same result every time."""
+def train(corpus: list[str] = (), seed: int = SEED) -> Model:
+    """Fits, prunes and calibrates the model. corpus: statements without a cue; the same result for the same ones."""
     import numpy as np
 
     rng = random.Random(seed)
     families = [*sorted(TEMPLATES), UNKNOWN]
+    notices = [(f, t) for f in sorted(TEMPLATES) for t in (*TEMPLATES[f], *NAMES.get(f, ()))]
 
     def variants(text: str, n: int) -> list[set[str]]:
         words = words_in(text)
         return [grams_of(words), *(grams_of([w for w in words if rng.random() > 0.15]) for _ in range(n))]
 
-    rows = [(g, families.index(f)) for f in sorted(TEMPLATES) for t in TEMPLATES[f] for g in variants(t, 8)]
+    rows = [(g, families.index(f)) for f, t in notices for g in variants(t, 8)]
+    blunt = [" ".join(re.sub(CUES, " ", t).split()) for _, t in notices]
     rows += [(g, len(families) - 1) for t in ORDINARY for g in variants(t, 8)]
+    rows += [(grams_of(words_in(t)), len(families) - 1) for t in (*blunt, *sorted(corpus))]
     rows += [(set(), len(families) - 1)] * 20
-    grams = sorted(set().union(*(g for g, _ in rows)))
+    grams = sorted({g for _, t in notices for g in grams_of(words_in(t))} | {g for t in ORDINARY for g in grams_of(words_in(t))})
     place = {g: i for i, g in enumerate(grams)}
-    x = np.zeros((len(rows), len(grams)))
-    for i, (own, _) in enumerate(rows):
-        x[i, [place[g] for g in own]] = 1.0
-    y = np.eye(len(families))[[k for _, k in rows]]
-    held = np.arange(len(rows)) % 5 == 4
-    w, b = np.zeros((len(grams), len(families))), np.zeros(len(families))
+
+    def table(sets: list[set[str]]):
+        x = np.zeros((len(sets), len(grams)))
+        for i, own in enumerate(sets):
+            x[i, [place[g] for g in own if g in place]] = 1.0
+        return x
 
     def probability(logits):
         e = np.exp(logits - logits.max(axis=1, keepdims=True))
         return e / e.sum(axis=1, keepdims=True)
 
-    fit_x, fit_y = x[~held], y[~held]
-    for _ in range(ROUNDS * 5):
-        gap = probability(fit_x @ w + b) - fit_y
-        w -= RATE * (fit_x.T @ gap / len(fit_x) * 5 + DECAY * w)
-        b -= RATE * gap.mean(axis=0) * 5
+    x, y = table([g for g, _ in rows]), np.eye(len(families))[[k for _, k in rows]]
+    # Every family weighs as much as any other, whatever the number of its rows.
+    each = (y / y.sum(axis=0)).sum(axis=1, keepdims=True) / len(families)
+    w, b = np.zeros((len(grams), len(families))), np.zeros(len(families))
+    for _ in range(ROUNDS):
+        gap = (probability(x @ w + b) - y) * each
+        w -= RATE * (x.T @ gap + DECAY * w)
+        b -= RATE * gap.sum(axis=0)
     w[np.abs(w - w[:, -1:]).max(axis=1) < MIN_WEIGHT] = 0.0
-    loss = {t: -np.log((probability((x[held] @ w + b) * t) * y[held]).sum(axis=1) + 1e-12).mean() for t in (0.5, 0.75, 1.0, 1.5, 2.0, 3.0)}
-    heat = min(loss, key=loss.get)
+    held = [(grams_of(words_in(t)), families.index(f)) for f in sorted(CALIBRATION) for t in CALIBRATION[f]]
+    logits = table([g for g, _ in held]) @ w + b
+    loss = {t: -np.log(probability(logits * t)[np.arange(len(held)), [k for _, k in held]] + 1e-12).mean() for t in np.arange(0.5, 6.1, 0.25)}
+    heat = float(min(loss, key=loss.get))
     keep = np.nonzero(np.abs(w).max(axis=1) > 0)[0]
-    templates = [(f, sorted(grams_of(words_in(t)))) for f in sorted(TEMPLATES) for t in TEMPLATES[f]]
+    templates = [(f, sorted(grams_of(words_in(t)))) for f, t in notices]
     used = sorted({grams[i] for i in keep} | {g for _, own in templates for g in own})
     column = lambda g, k: round(float(w[place[g], k] * heat), 6)
     return Model(families, used, [[column(g, k) for g in used] for k in range(len(families))], [round(float(v * heat), 6) for v in b], templates)
 
 
-def anchors(model: Model) -> list[str]:
-    """Words without which no paragraph can be anything but unknown: all that pull a single word's way from unknown."""
-    unknown = model.weights[-1]
-    return [g for i, g in enumerate(model.grams) if " " not in g and max(row[i] for row in model.weights[:-1]) - unknown[i] > MIN_WEIGHT]
+def statements(text: Column) -> Column:
+    """Array of (paragraph, statement) with a cue, given a non-null text."""
+    paragraphs = F.split(F.regexp_replace(text, COMMENT, ""), PARAGRAPH_END)
+
+    def of_paragraph(p: Column, i: Column) -> Column:
+        found = F.filter(F.split(F.regexp_replace(p, LINE_END, " "), STATEMENT_END), lambda s: s.rlike(CUES))
+        return F.transform(found, lambda s: F.struct(i.cast("int").alias("paragraph"), s.alias("statement")))
+
+    cued = F.flatten(F.transform(paragraphs, of_paragraph))
+    return F.when(text.rlike(CUES), cued).otherwise(F.array().cast("array<struct<paragraph:int,statement:string>>"))
 
 
-def scan(docs: DataFrame, model: Model | None = None, text_col: str = "text") -> DataFrame:
-    """docs with an array column __licences: paragraph, family, probability, overlap, confirmed.
+def readings(statement: Column) -> Column:
+    """The statement, and one reading for each licence that it lists."""
+    head, tail = F.regexp_extract(statement, SEVERAL, 1), F.regexp_extract(statement, SEVERAL, 2)
+    each = F.transform(F.filter(F.split(tail, BETWEEN), lambda t: F.trim(t) != ""), lambda t: F.concat(head, F.lit(" "), t))
+    return F.concat(F.array(statement), F.when(head != "", each).otherwise(F.array().cast("array<string>")))
 
-    Only paragraphs whose class is not unknown are listed, in order.
+
+def corpus_statements(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_documents: int = MAX_DOCUMENTS, max_statements: int = MAX_STATEMENTS) -> list[str]:
+    """Statements without a cue of the documents with the smallest id hashes, to train the unknown class."""
+    chosen = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__c")).distinct().orderBy(F.xxhash64("__c"), "__c").limit(max_documents)
+    texts = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("__c")).select(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), COMMENT, "").alias("t"))
+    each = texts.select(F.explode(F.split(F.regexp_replace("t", LINE_END, " "), STATEMENT_END)).alias("s")).where(~F.col("s").rlike(CUES) & (F.length("s") < 2_000)).distinct()
+    return [r.s for r in each.orderBy(F.xxhash64("s"), "s").limit(max_statements).collect()]
+
+
+def scan(docs: DataFrame, model: Model | None = None, text_col: str = "text", into: str = "__licences") -> DataFrame:
+    """docs with an array column: paragraph, family, probability, overlap, confirmed, negated.
+
+    Only statements whose class is not unknown are listed, in order.
     """
     model = model or train()
     known = F.split(F.lit("\n".join(model.grams)), "\n")
-    first = F.split(F.lit("\n".join(anchors(model))), "\n")
-    cut = lambda p: F.split(F.lower(p), "[^a-z0-9]+")
     weight = [double_literal(row) for row in model.weights]
 
-    def places(words: Column) -> Column:
-        pairs = F.transform(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: F.concat_ws(" ", w, F.get(words, i + 1)))
-        held = F.array_intersect(F.array_distinct(F.concat(words, pairs)), known)
-        return F.transform(held, lambda g: (F.array_position(known, g) - 1).cast("int"))
+    def places(text: Column) -> Column:
+        words = F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
+
+        def held(words: Column) -> Column:
+            pairs = F.transform(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: F.concat_ws(" ", w, F.get(words, i + 1)))
+            return F.transform(F.array_intersect(F.array_distinct(F.concat(words, pairs)), known), lambda g: (F.array_position(known, g) - 1).cast("int"))
+
+        return let(words, held)
 
     def logit(at: Column, k: int) -> Column:
         return F.aggregate(at, F.lit(model.bias[k]), lambda a, i: a + F.get(weight[k], i))
@@ -167,28 +254,28 @@ def scan(docs: DataFrame, model: Model | None = None, text_col: str = "text") ->
             out = F.when(family == name, best).otherwise(out)
         return out
 
-    def judged(index: Column, at: Column) -> Column:
+    def judged(paragraph: Column, text: Column, at: Column) -> Column:
         logits = F.array(*(F.struct(logit(at, k).alias("z"), F.lit(f).alias("f")) for k, f in enumerate(model.families)))
 
         def decide(z: Column) -> Column:
             top = F.array_max(z)
             total = F.aggregate(z, F.lit(0.0), lambda a, s: a + F.exp(s["z"] - top["z"]))
             return F.struct(
-                index.cast("int").alias("paragraph"),
+                paragraph.alias("paragraph"),
                 F.when(1 / total >= MIN_PROBABILITY, top["f"]).otherwise(F.lit(UNKNOWN)).alias("family"),
                 F.round(1 / total, 6).alias("probability"),
                 F.round(overlap(at, top["f"]), 6).alias("overlap"),
+                text.rlike(NEGATED).alias("negated"),
             )
 
         return let(logits, decide)
 
-    paragraphs = F.filter(
-        F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), lambda p, i: F.struct(i.alias("i"), cut(p).alias("w"))),
-        lambda p: F.arrays_overlap(p["w"], first),
-    )
-    found = F.transform(paragraphs, lambda p: let(places(F.filter(p["w"], lambda w: w != "")), lambda at: judged(p["i"], at)))
+    def read(s: Column) -> Column:
+        return F.transform(readings(s["statement"]), lambda t: let(places(t), lambda at: judged(s["paragraph"], t, at)))
+
+    found = F.flatten(F.transform(statements(F.coalesce(F.col(text_col), F.lit(""))), read))
     named = F.transform(
         F.filter(found, lambda r: r["family"] != UNKNOWN),
-        lambda r: F.struct(r["paragraph"].alias("paragraph"), r["family"].alias("family"), r["probability"].alias("probability"), r["overlap"].alias("overlap"), (r["overlap"] >= MIN_OVERLAP).alias("confirmed")),
+        lambda r: F.struct(*(r[n].alias(n) for n in ("paragraph", "family", "probability", "overlap")), ((r["overlap"] >= MIN_OVERLAP) & ~r["negated"]).alias("confirmed"), r["negated"].alias("negated")),
     )
-    return docs.withColumn("__licences", named)
+    return docs.withColumn(into, named)
