@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from wayfold.llm import ann, bpe, html_text, langid, licenses, mixing, near, pii, quality, queries, simhash, toxicity
+from wayfold.llm import ann, bpe, html_text, langid, mixing, near, pii, quality, queries, recipe, simhash, toxicity
 from wayfold.llm.components import connected_components
 
 SF = "/root/testdata/sf0.001"
@@ -207,7 +207,7 @@ def test_mixing_budgets_and_shortages(spark):
 def test_bpe_equals_the_library(spark, texts):
     from tokenizers import Tokenizer
 
-    path = corpus_pipeline.tokenizer_file()
+    path = recipe.tokenizer_file()
     theirs = Tokenizer.from_file(path)
     ours = bpe.RankArrayBpe(open(path, "rb").read())
     many = [*texts.values(), *(t or "" for t in ODD), "a<|endoftext|>b", "日本語 🎉 café", "ab" * 700]
@@ -224,7 +224,7 @@ def test_bpe_equals_the_library(spark, texts):
 
 
 def test_bpe_scan_equals_heap():
-    ours = bpe.RankArrayBpe(open(corpus_pipeline.tokenizer_file(), "rb").read())
+    ours = bpe.RankArrayBpe(open(recipe.tokenizer_file(), "rb").read())
     rng = np.random.default_rng(2)
     for n in (1, 2, 7, 40, 150):
         for _ in range(20):
@@ -243,14 +243,6 @@ def test_toxicity_held_out(spark):
     assert n.get((0, 1), 0) <= 0.05 * n.get((0, 0), 0)
 
 
-def test_toxicity_grammar():
-    g = toxicity.Grammar({}, {})
-    plain, aimed = g.score("An idiot."), g.score("You are an idiot.")
-    assert 0.7 <= plain < aimed
-    assert g.score("You are not an idiot.") < 0.3 and g.score("He said you are an idiot.") < aimed
-    assert g.score("I will kill you.") > 0.7 > g.score("I will kill time.") and g.score("") == g.score(None) < 0.1
-
-
 def test_toxicity_evidence(spark):
     rng = np.random.default_rng(10)
     draw = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 5_000, n))
@@ -269,31 +261,7 @@ def test_toxicity_edges(spark):
     docs = odd_docs(spark)
     labels = spark.createDataFrame([(5, 1, 1), (5, 0, 0), (3, None, None)], LABEL)
     model = toxicity.fit(docs, labels, F.lit(True))
-    assert model == ({}, {}) and toxicity.classify(docs, model).count() == docs.count()
-
-
-def test_licence_families(spark):
-    rows = [(k, f"Some ordinary text of the day.\n{t}", None, None, None) for k, t in enumerate(t for f in sorted(licenses.TEMPLATES) for t in licenses.TEMPLATES[f])]
-    want = [f for f in sorted(licenses.TEMPLATES) for _ in licenses.TEMPLATES[f]]
-    model = licenses.train()
-    got = {r.doc_id: [x for x in r["__licences"] if x.confirmed] for r in licenses.scan(spark.createDataFrame(rows, DOC), model).collect()}
-    assert all([x.family for x in got[k]] == [want[k]] and got[k][0].paragraph == 1 for k in got)
-    clean = [(k, t, None, None, None) for k, t in enumerate(licenses.ORDINARY)]
-    assert all(not any(x.confirmed for x in r["__licences"]) for r in licenses.scan(spark.createDataFrame(clean, DOC), model).collect())
-    assert all(r["__licences"] == [] for r in licenses.scan(odd_docs(spark), model).collect() if not (r.text or "").strip())
-
-
-def test_licence_lines_of_the_table(spark):
-    lines = {"All rights reserved.": ["proprietary"]}
-    for (text,) in duckdb.sql("select text from '/root/testdata/sf0.1/documents.parquet' where regexp_matches(text, '(?i)licen[sc]e|all rights reserved')").fetchall():
-        for line in re.findall(r"(?im)^.*(?:licen[sc]e|all rights reserved).*$", text):
-            if len(line) < 200:
-                lines.setdefault(line, None)
-    assert 5 <= len(lines) < 100
-    rows = [(k, t, None, None, None) for k, t in enumerate(lines)]
-    for r in licenses.scan(spark.createDataFrame(rows, DOC), licenses.train()).collect():
-        families = [x.family for x in r["__licences"] if x.confirmed]
-        assert families == lines[r.text] if lines[r.text] else families, r.text
+    assert model.words == {} and toxicity.classify(docs, model).count() == docs.count()
 
 
 def test_surrogates_hold_type_format_and_distinctness():
@@ -340,7 +308,7 @@ def test_surrogates_of_every_mention(text, names):
 
 def test_surrogate_rows(spark):
     odd = odd_docs(spark)
-    got = pii.replace_documents(odd, with_entities=True)
+    got = pii.replace_documents(odd, "k", with_entities=True)
     assert got.columns == [*odd.columns, "__entities"]
     assert sorted(map(repr, got.select("text").collect())) == sorted(map(repr, odd.select("text").collect()))
 
@@ -473,7 +441,7 @@ def test_clashing_columns_pass_through(spark):
         assert got.columns == docs.columns and got.where(altered).count() == 0 and got.count() > 0, name
     assert langid.identify(docs, langid.fit(docs, F.lit(True))).count() == docs.count()
     assert toxicity.classify(docs, toxicity.fit(docs, labels, F.lit(True))).count() == docs.count()
-    assert "array" in dict(pii.replace_documents(docs.withColumn("__entities", F.lit(1)), with_entities=True).dtypes)["__entities"]
+    assert "array" in dict(pii.replace_documents(docs.withColumn("__entities", F.lit(1)), "k", with_entities=True).dtypes)["__entities"]
 
 
 def test_stages_with_nulls_everywhere(spark):

@@ -8,11 +8,15 @@ water-filling at every node, solved in closed form with windows over the
 per-leaf sums.
 
 A leaf with budget b and supply s takes floor(b / s) whole epochs and, of the
-next epoch, the prefix that holds the rest: documents in the order of a seeded
-hash until their tokens reach it. The prefix needs no global sort: the hash is
-cut into BINS ranges, bins below the cut are taken whole, and only the leaf's
-one cut bin is ordered. A leaf that holds a third of all rows is therefore
-summed and cut like any other.
+next epoch, the prefix that holds the rest: documents in that epoch's own
+order, a hash of seed, epoch, id and text, until their tokens reach it. The
+prefix needs no global sort: the hash is cut into BINS ranges, bins below the
+cut are taken whole, and only the leaf's one cut bin is ordered. A leaf that
+holds a third of all rows, or an id (null or not) that does, is therefore summed
+and cut like any other; only rows that repeat id and text share a bin.
+
+Texts are read once: rows with their token counts are written to the scratch
+folder, and sums, cuts and the selection read what they need of that table.
 
 Weights are a dictionary from (domain,), (domain, lang) or (domain, lang,
 source) to a number; what is not listed weighs 1, null keys are keys of their
@@ -24,7 +28,8 @@ whatever their names; what is added to them begins with a prefix of your choice.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import math
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,25 +41,25 @@ BINS, GROUP = 4096, 64
 LEVELS = ("__domain", "__lang", "__source")
 
 
-def order_key(seed: int, doc_id: Column) -> Column:
-    """60-bit position of a document in the seeded order."""
-    text = F.concat(F.lit(f"{seed}-"), F.coalesce(doc_id.cast("string"), F.lit("")))
+def order_key(seed: int, epoch: Column, doc_id: Column, digest: Column) -> Column:
+    """60-bit position of a document in the order of an epoch, by its id and its text's MD5."""
+    text = F.concat(F.lit(f"{seed}-"), epoch.cast("string"), F.lit("-"), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit("-"), digest)
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
-def _tagged(docs: DataFrame, domain: Column, id_col: str, text_col: str, lang_col: str, source_col: str, seed: int) -> DataFrame:
-    """The input's columns as c0, c1 and so on, beside the operator's own."""
-    order = order_key(seed, F.col(id_col))
-    kept = [F.col(c).alias(f"c{k}") for k, c in enumerate(docs.columns)]
+def _tagged(docs: DataFrame, columns: Sequence[str], domain: Column, id_col: str, text_col: str, lang_col: str, source_col: str) -> DataFrame:
+    """The input's columns as c0, c1 and so on, beside the operator's own; without rows that have no tokens."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    kept = [F.col(c).alias(f"c{k}") for k, c in enumerate(columns)]
     return docs.select(
         *kept,
         F.col(id_col).alias("__id"),
         domain.alias("__domain"),
         F.col(lang_col).alias("__lang"),
         F.col(source_col).alias("__source"),
-        F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD_CLASS)).cast("long").alias("__tokens"),
-        order.alias("__order"),
-    ).withColumn("__bin", F.shiftright("__order", 60 - (BINS.bit_length() - 1)))
+        F.regexp_count(text, F.lit(WORD_CLASS)).cast("long").alias("__tokens"),
+        F.md5(text.cast("binary")).alias("__digest"),
+    ).where("__tokens > 0")
 
 
 def _weight(weights: Mapping[tuple, float], depth: int) -> Column:
@@ -94,14 +99,13 @@ def _share(children: DataFrame, parent: list[str], own: str, weights: Mapping[tu
     return spent.withColumn("__budget", budget).drop("__w", "__ratio", "__left", "__open", "__exact", "__upto", "__given")
 
 
-def budgets(bins: DataFrame, weights: Mapping[tuple, float], fraction: float, max_epochs: int) -> DataFrame:
-    """Leaf rows (domain, lang, source, supply, budget) from per-bin sums."""
-    leaf = bins.groupBy(*LEVELS).agg(F.sum("__sum").alias("__supply"))
+def budgets(leaf: DataFrame, weights: Mapping[tuple, float], fraction: float, max_epochs: int) -> DataFrame:
+    """Leaf rows (domain, lang, source, supply, budget) from leaf rows with their supply."""
+    total = leaf.agg(F.sum("__supply")).first()[0] or 0
     leaf = leaf.withColumn("__cap", F.col("__supply") * max_epochs)
     lang = leaf.groupBy(*LEVELS[:2]).agg(F.sum("__cap").alias("__cap"))
     domain = lang.groupBy(LEVELS[0]).agg(F.sum("__cap").alias("__cap"))
-    total = domain.agg(F.floor(F.sum("__cap") / max_epochs * F.lit(fraction)).alias("__given"))
-    one = domain.withColumn("__one", F.lit(1)).join(F.broadcast(total), F.lit(True), "left")
+    one = domain.withColumn("__one", F.lit(1)).withColumn("__given", F.lit(math.floor(total * fraction)).cast("long"))
     domain = _share(one, ["__one"], LEVELS[0], weights, 1).drop("__one")
     lang = _share(_under(lang, domain, LEVELS[:1]), [LEVELS[0]], LEVELS[1], weights, 2)
     return _share(_under(leaf, lang, LEVELS[:2]), list(LEVELS[:2]), LEVELS[2], weights, 3).select(*LEVELS, "__supply", "__budget")
@@ -142,41 +146,51 @@ def mix(
     lang_col: str = "lang",
     source_col: str = "source",
     prefix: str = "__",
+    columns: Sequence[str] | None = None,
 ) -> DataFrame:
     """The taken rows of docs with domain, tokens, epochs and taken, each named with the prefix.
 
+    Of the input only columns are kept, all if they are not given.
+
     epochs counts how often the row is taken, taken its tokens over all
     epochs: the last document of a prefix is taken whole but counts with what
     was left of the budget.
     """
-    tagged = _tagged(docs, domain, id_col, text_col, lang_col, source_col, seed).where("__tokens > 0")
-    bins = materialize(tagged.groupBy(*LEVELS, "__bin").agg(F.sum("__tokens").alias("__sum")), "bins")
-    leaves = budgets(bins, weights, fraction, max_epochs)
-    plan = leaves.where("__budget > 0").select(
+    kept = list(columns or docs.columns)
+    tagged = materialize(_tagged(docs, kept, domain, id_col, text_col, lang_col, source_col), "tokens-of-rows")
+    leaf = materialize(tagged.groupBy(*LEVELS).agg(F.sum("__tokens").alias("__supply")), "leaves")
+    plan = budgets(leaf, weights, fraction, max_epochs).where("__budget > 0").select(
         *(F.col(k).alias(f"{k}_l") for k in LEVELS),
-        F.floor(F.col("__budget") / F.col("__supply")).alias("__whole"),
+        F.expr("__budget div __supply").alias("__whole"),
         F.pmod("__budget", "__supply").alias("__rest"),
     )
+    # Written first, so that Spark knows its size and, while it is small, need not shuffle the texts.
+    plan = materialize(plan, "budgets")
     same = F.lit(True)
     for k in LEVELS:
         same = same & F.col(k).eqNullSafe(F.col(f"{k}_l"))
+    position = order_key(seed, F.col("__whole") + 1, F.col("__id"), F.col("__digest"))
+    ordered = lambda rows: rows.withColumn("__order", position).withColumn("__bin", F.shiftright("__order", 60 - (BINS.bit_length() - 1)))
+    slim = ordered(tagged.join(plan.where("__rest > 0"), same))
+    bins = materialize(slim.groupBy(*LEVELS, "__bin").agg(F.sum("__tokens").alias("__sum"), F.first("__rest").alias("__rest")), "bins")
     start = _starts(bins)
     cut = (
-        start.join(plan, same)
-        .groupBy(*(f"{k}_l" for k in LEVELS), "__whole", "__rest")
-        .agg(F.max(F.when(F.col("__start") < F.col("__rest"), F.struct("__bin", "__start"))).alias("__cut"))
-    )
-    # Written first, so that Spark knows its size and, while it is small, need not shuffle the texts.
-    cut = materialize(cut, "cuts")
-    placed = tagged.join(cut, same).drop(*(f"{k}_l" for k in LEVELS))
+        start.where(F.col("__start") < F.col("__rest")).groupBy(*(F.col(k).alias(f"{k}_c") for k in LEVELS))
+        .agg(F.max(F.struct("__bin", "__start")).alias("__cut"))
+    )
+    known = F.lit(True)
+    for k in LEVELS:
+        known = known & F.col(f"{k}_l").eqNullSafe(F.col(f"{k}_c"))
+    plan = materialize(plan.join(cut, known, "left").drop(*(f"{k}_c" for k in LEVELS)), "cuts")
+    placed = ordered(tagged.join(plan, same)).drop(*(f"{k}_l" for k in LEVELS))
     inside = (F.col("__cut").isNotNull()) & (F.col("__bin") == F.col("__cut.__bin"))
     apart = placed.where(~F.coalesce(inside, F.lit(False))).withColumn("__part", F.when(F.col("__bin") < F.col("__cut.__bin"), F.col("__tokens")).otherwise(F.lit(0)))
     ranked = Window.partitionBy(*LEVELS).orderBy("__order", "__id", "__tokens").rowsBetween(Window.unboundedPreceding, -1)
     at = F.col("__cut.__start") + F.coalesce(F.sum("__tokens").over(ranked), F.lit(0))
-    ordered = placed.where(inside).withColumn("__part", F.greatest(F.lit(0), F.least(F.col("__tokens"), F.col("__rest") - at)))
-    both = apart.unionByName(ordered)
+    in_cut = placed.where(inside).withColumn("__part", F.greatest(F.lit(0), F.least(F.col("__tokens"), F.col("__rest") - at)))
+    both = apart.unionByName(in_cut)
     chosen = both.select(
-        *(F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)),
+        *(F.col(f"c{k}").alias(c) for k, c in enumerate(kept)),
         F.col("__domain").alias(f"{prefix}domain"),
         F.col("__tokens").alias(f"{prefix}tokens"),
         (F.col("__whole") + F.when(F.col("__part") > 0, 1).otherwise(0)).cast("int").alias(f"{prefix}epochs"),

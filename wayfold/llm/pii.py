@@ -1,19 +1,26 @@
 """Personal data replaced by keyed surrogates of the same type and format.
 
+Every replacement is a keyed permutation, so it needs no table to share:
+distinct entities stay distinct over the whole corpus and one entity has one
+surrogate everywhere.
+
 Structured entities (mail addresses, phone and card numbers, network addresses,
-social security and account numbers, access keys, secrets) are permuted by a
-keyed Feistel network over exactly the strings of their format, walking cycles
-until a member of the format comes up. A permutation cannot collide: distinct
-entities stay distinct over the whole corpus, and the same entity gets the same
-surrogate everywhere, with no table to share. Card numbers keep their first
-digit and their checksum's state.
-
-Names are found after a title or several, with or without initials, which stay;
-every other whole-word mention of a found name in the document is replaced
-alike. Names draw a given or family name from a pool of the title's
-gender and the name's script, chosen by a keyed hash; pools are finite, so a
-surrogate that another entity of the document already holds, or that occurs as
-an original, gets a further keyed syllable until it is distinct.
+social security and account numbers, access keys, secrets) are moved by a
+Feistel network over exactly the strings of their format, conjugated with a
+cyclic shift, which leaves no string where it was. What formatting does not
+change about an entity (case of a mail address, blanks in a number) does not
+change its surrogate. Country codes stay, and the check digits of cards and
+account numbers keep their state, right or wrong.
+
+Names are found after titles, which may stack, after initials and particles,
+and as a common given name before a capitalised word. Every other capitalised
+whole-word mention in the document, in whatever case, is the same name. A name
+becomes a pronounceable one: its letters' rank among all names of its script is
+permuted and spelt in syllables, with an ending that shows the gender of given
+names. Hyphens, apostrophes, initials, particles and capitals stay as they are.
+A surrogate that is itself a name or a capitalised word of the document is
+drawn again. So a name's surrogate depends on key, name and kind (given name of
+a man or woman, other) alone, but for such a clash.
 
 Null texts stay null with no entity; texts without entities stay as they are,
 byte for byte. Repeated rows are treated alike. Null ids and extra columns need
@@ -24,7 +31,7 @@ named __entities gives way to the array of that name where it is asked for.
 from __future__ import annotations
 
 import hashlib
-import hmac
+import ipaddress
 import re
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -33,48 +40,67 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: For tests and the registered query only; production passes its own secret.
+#: For tests and the registered queries; whoever replaces real data passes a secret of their own.
 DEMO_KEY = "wayfold-demo-key"
 ROUNDS = 6
+#: Characters that are permuted together; longer entities are permuted in parts, each keyed by those before it.
+PART = 48
 LOWER, UPPER, DIGITS, HEX = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "0123456789abcdef"
-CYRILLIC = "абвгдежзийклмнопрстуфхцчшщъыьэюя"
-GREEK = "αβγδεζηθικλμνξοπρστυφχψω"
-
-# Titles by gender and name pools by gender and script.
-TITLES = {"m": "Mr Mister Herr Señor Sr Monsieur Don Sir".split(), "f": "Mrs Ms Miss Frau Señora Sra Madame Mme Doña Lady".split(), "n": "Dr Prof Professor Doctor Doktor".split()}
-POOLS = {
-    ("m", "latin"): "Adrian Bernard Conrad Damian Edgar Felix Gareth Hugo Ivan Julian Karl Leonard Martin Norbert Oscar Philip".split(),
-    ("f", "latin"): "Adela Beatrice Clara Daphne Elena Flora Greta Helena Irene Judith Katrin Leonora Marina Nora Olivia Paula".split(),
-    ("n", "latin"): "Alder Barlow Calder Denholm Ellery Farrow Garland Harlow Ingram Jarrow Kendal Larkin Marlow Norwood Orrin Parrish".split(),
-    ("m", "cyrillic"): "Антон Борис Виктор Григорий Денис Егор Кирилл Леонид".split(),
-    ("f", "cyrillic"): "Анна Вера Галина Дарья Елена Ирина Ксения Лидия".split(),
-    ("n", "cyrillic"): "Беров Варов Горин Дарин Елин Жарин Зорин Карин".split(),
-    ("m", "greek"): "Ανδρέας Βασίλης Γιώργος Δημήτρης".split(),
-    ("f", "greek"): "Άννα Βασιλική Γεωργία Δήμητρα".split(),
-    ("n", "greek"): "Αλεξίου Βενιζέλου Γεωργίου Δημητρίου".split(),
+CYRILLIC = "абвгдежзийклмнопрстуфхцчшщъыьэюяё"
+GREEK = "αβγδεζηθικλμνξοπρσςτυφχψωάέήίόύώϊϋΐΰ"
+#: Latin letters beyond a to z that names of European languages hold.
+ACCENTED = "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿßāăąćčďđēėęěğģīįıķļłńņňōőœŕřśşšţťūůűųźżžșț"
+
+# Titles by gender, particles of family names, common given names.
+TITLES = {"m": "Mr Mister Herr Señor Sr Monsieur Don Sir".split(), "f": "Mrs Ms Miss Frau Señora Sra Madame Mme Doña Lady Dame".split(), "n": "Dr Prof Professor Doctor Doktor".split()}
+#: Titles that go with a given name when one name follows.
+GIVEN_TITLES = "Don Doña Sir Lady Dame Miss".split()
+PARTICLES = "de del della di da dos das du la le van von der den ter ten zu zur al bin ibn".split()
+GIVEN = {
+    "m": "James John Robert Michael William David Richard Joseph Thomas Charles Christopher Daniel Matthew Anthony Steven Paul Andrew Kevin Brian George Edward Peter Henry Juan José Carlos Luis Miguel Pedro Javier Hans Klaus Jürgen Wolfgang Heinrich Pierre Jacques François Philippe Antoine".split(),
+    "f": "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Margaret Emily Michelle Laura Anna Rebecca Helen Maria María Carmen Isabel Lucía Ursula Sabine Monika Gisela Ingrid Heike Françoise Monique Nathalie Sylvie Brigitte Céline Élodie".split(),
 }
-SYLLABLES = {"latin": "ba da fa ga ka la ma na pa ra sa ta va za bo do".split(), "cyrillic": "ба да га ка ла ма на па ра са та ва".split(), "greek": "βα γα δα κα λα μα να πα".split()}
+# Country calling codes of two digits; 1 and 7 have one digit, all others three.
+CALLING_CODES = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 
-_NAME = r"[^\W\d_][^\W\d_'’-]+(?:[-'’][^\W\d_]+)?"
+#: Syllables by script, and by kind of name the ending of a name spelt in plain letters, in accented ones, in others.
+SYLLABLES = {
+    "latin": [a + b for a in "b d f g h k l m n p r s t v w j".split() for b in "aeiou"],
+    "cyrillic": [a + b for a in "б в г д ж з к л м н п р с т ф х".split() for b in "аеиоу"],
+    "greek": [a + b for a in "β γ δ ζ θ κ λ μ ν π ρ τ φ χ".split() for b in "αειου"],
+}
+ENDINGS = {
+    "latin": {"m": ("n", "s", "x"), "f": ("na", "sa", "xa"), "n": ("r", "l", "m")},
+    "cyrillic": {"m": ("н", "с", "ш"), "f": ("ня", "ся", "шя"), "n": ("р", "л", "м")},
+    "greek": {"m": ("ς", "ρ", "ξ"), "f": ("νη", "ρη", "ξη"), "n": ("ν", "λ", "μ")},
+}
+
+_LETTER = r"[^\W\d_]"
+_NAME = rf"(?:[DO]['’])?{_LETTER}{{2,}}(?:[-'’]{_LETTER}{{2,}})*"
 _TITLE = "|".join(sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True))
 #: Don is a given name too: it goes with another title only after Señor.
 _STACKED = "|".join(t for t in _TITLE.split("|") if t != "Don")
 _MORE = rf"(?: +(?:{_STACKED})\.?(?= )|(?:(?<=Señor)|(?<=Sr)|(?<=Sr\.)) +Don(?= ))*"
 _INITIALS = r"(?:[^\W\d_a-z]\.[ -]*|[^\W\d_a-z] +)*"
+_PARTICLES = rf"(?:(?i:{'|'.join(PARTICLES)}) +)*"
+_GIVEN = "|".join(sorted((g for gs in GIVEN.values() for g in gs), key=len, reverse=True))
 #: Types in the order in which they claim text.
 PATTERNS = [
     ("email", r"(?<![\w.+-])[A-Za-z0-9][\w.+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}(?![\w-])"),
     ("access_key", r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"),
-    ("secret", r"(?i:password|passwd|pwd|secret|token|api_?key)\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9+/_=-]{6,200})"),
+    ("secret", r"(?i:password|passwd|pwd|secret|token|api_?key)\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9+/_=-]{6,})"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
-    ("phone", r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\w+(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])"),
+    ("ip", r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:]|\.\d)"),
+    ("phone", r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\w+(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\w.-])\d{3}([ .-])\d{3}\1\d{4}(?![\w-])"),
     ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
     ("ip", r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\w]|\.\d)"),
     ("card", r"(?<![\w-])[3-6]\d{3}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\w-])"),
-    ("name", rf"(?<!\w)(?P<title>(?:{_TITLE})\.?{_MORE}) +{_INITIALS}(?P<given>(?!(?:{_STACKED})\.? ){_NAME})(?: +{_INITIALS}(?P<family>{_NAME}))?"),
-]
+    ("name", rf"(?<!\w)(?P<title>(?:{_TITLE})\.?{_MORE}) +{_INITIALS}{_PARTICLES}(?P<given>(?!(?:{_STACKED})\.? ){_NAME})(?: +{_INITIALS}{_PARTICLES}(?P<family>{_NAME}))?"),
+    ("name", rf"(?<!\w)(?P<given>{_GIVEN})(?: +{_INITIALS}{_PARTICLES}(?P<family>{_NAME}))"),
+]
 COMPILED = [(kind, re.compile(p)) for kind, p in PATTERNS]
-HINT = re.compile(rf"[0-9@]|[=:]|(?<!\w)(?:{_TITLE})\.? ")
+HINT = re.compile(rf"[0-9@]|[=:]|(?<!\w)(?:(?:{_TITLE})\.? |(?:{_GIVEN}) )")
+WORD = re.compile(rf"(?<!\w){_NAME}(?!\w)")
 
 
 class Entity(NamedTuple):
@@ -94,84 +120,158 @@ def luhn(digits: str) -> int:
     return -total % 10
 
 
+def iban_check(country: str, body: str) -> int:
+    """The two check digits of an account number, 2 to 98."""
+    spelt = "".join(str(int(c, 36)) for c in f"{body}{country}00")
+    return 98 - int(spelt) % 97
+
+
 class Surrogates:
     """Keyed replacements; one instance serves any number of documents."""
 
     def __init__(self, key: str):
-        self.key = key.encode()
+        if not key:
+            raise ValueError("surrogates need a key")
+        self.key = hashlib.sha256(key.encode()).digest()
+        self.known: dict[tuple[str, str], str] = {}
 
-    def digest(self, *parts: str | int) -> int:
+    def draw(self, bits: int, *parts: str | int) -> int:
+        """So many bits that the key and the parts decide."""
         text = "\x1f".join(map(str, parts)).encode("utf-8", "surrogatepass")
-        return int.from_bytes(hmac.new(self.key, text, hashlib.sha256).digest(), "big")
+        return int.from_bytes(hashlib.shake_256(self.key + text).digest(-(-bits // 8)), "big") & ((1 << bits) - 1)
 
-    def permute(self, value: int, size: int, tweak: str) -> int:
-        """A keyed permutation of range(size)."""
-        if size < 2:
-            return value
+    def network(self, value: int, size: int, tweak: str, rounds: range) -> int:
+        """A keyed permutation of range(size); rounds in reverse invert it."""
         half = max(1, ((size - 1).bit_length() + 1) // 2)
         mask = (1 << half) - 1
+        back = rounds.step < 0
         while True:
             left, right = value >> half, value & mask
-            for k in range(ROUNDS):
-                left, right = right, left ^ (self.digest(tweak, size, k, right) & mask)
+            for k in rounds:
+                if back:
+                    left, right = right ^ self.draw(half, tweak, size, k, left), left
+                else:
+                    left, right = right, left ^ self.draw(half, tweak, size, k, right)
             value = left << half | right
             if value < size:
                 return value
 
-    def reshape(self, text: str, tweak: str, fixed: frozenset[int] = frozenset(), hexadecimal: bool = False) -> str:
-        """text with every letter and digit, but those at fixed places, permuted within its class."""
-        places, value, size = [], 0, 1
-        for place, c in enumerate(text):
-            if place in fixed:
-                continue
-            alphabet = HEX if hexadecimal and c in HEX else next((a for a in (DIGITS, LOWER, UPPER, CYRILLIC, CYRILLIC.upper(), GREEK) if c in a), None)
-            if alphabet:
-                places.append((place, alphabet))
-                value, size = value * len(alphabet) + alphabet.index(c), size * len(alphabet)
-        shape = "".join("." if p in fixed else next((s for s, a in (("0", DIGITS), ("a", LOWER), ("A", UPPER)) if c in a), "x") for p, c in enumerate(text)) if not hexadecimal else f"hex{len(text)}"
-        moved, out = self.permute(value, size, f"{tweak}:{shape}"), list(text)
-        for place, alphabet in reversed(places):
-            moved, digit = divmod(moved, len(alphabet))
-            out[place] = alphabet[digit]
+    def permute(self, value: int, size: int, tweak: str) -> int:
+        """A keyed permutation of range(size) that moves every value, if there are two."""
+        if size < 2:
+            return value
+        shift = 1 + self.draw(size.bit_length() + 64, tweak, size, "shift") % (size - 1)
+        moved = (self.network(value, size, tweak, range(ROUNDS)) + shift) % size
+        return self.network(moved, size, tweak, range(ROUNDS - 1, -1, -1))
+
+    def inject(self, value: int, size: int, tweak: str) -> int:
+        return self.network(value, size, tweak, range(ROUNDS)) if size > 1 else value
+
+    def reshape(self, text: str, tweak: str, hexadecimal: bool = False) -> str:
+        """text with every letter and digit permuted within its class; other characters stay."""
+        classes = (HEX,) if hexadecimal else (DIGITS, LOWER, UPPER, CYRILLIC, CYRILLIC.upper(), GREEK)
+        places = [(p, a) for p, c in enumerate(text) if (a := next((a for a in classes if c in a), None))]
+        shape = "".join("0" if a is DIGITS else "a" if a is LOWER else "A" if a is UPPER else "x" for _, a in places)
+        out, before = list(text), ""
+        for begin in range(0, len(places), PART):
+            part, value, size = places[begin : begin + PART], 0, 1
+            for place, alphabet in part:
+                value, size = value * len(alphabet) + alphabet.index(text[place]), size * len(alphabet)
+            moved = self.permute(value, size, f"{tweak}:{shape if len(shape) <= PART else len(shape)}:{shape[begin : begin + PART]}:{before}")
+            for place, alphabet in reversed(part):
+                moved, digit = divmod(moved, len(alphabet))
+                out[place] = alphabet[digit]
+            before = hashlib.sha256(f"{before}{text[part[0][0] : part[-1][0] + 1]}".encode("utf-8", "surrogatepass")).hexdigest()
         return "".join(out)
 
     def structured(self, kind: str, value: str) -> str:
         if kind == "email":
-            local, _, domain = value.partition("@")
+            local, _, domain = value.lower().partition("@")
             top = domain.rfind(".")
-            return f"{self.reshape(local, 'local')}@{self.reshape(domain[:top], 'domain')}{domain[top:]}"
+            fresh = f"{self.reshape(local, 'local')}@{self.reshape(domain[:top], 'domain')}{domain[top:]}"
+            return "".join(f.upper() if v.isupper() else f for f, v in zip(fresh, value, strict=True))
         if kind == "access_key":
             return value[:4] + self.reshape(value[4:], kind)
         if kind == "ip":
-            number = 0
-            for part in value.split("."):
-                number = number * 256 + int(part)
-            moved = self.permute(number, 1 << 32, kind)
-            return ".".join(str(moved >> shift & 255) for shift in (24, 16, 8, 0))
+            own = ipaddress.ip_address(value)
+            moved = self.permute(int(own), 1 << own.max_prefixlen, f"ip{own.version}")
+            fresh = str(type(own)(moved))
+            return fresh.upper() if value.upper() == value and value.lower() != value else fresh
+        if kind == "secret":
+            return self.reshape(value, kind, bool(re.fullmatch(r"[0-9a-f]+", value)))
+        bare = re.sub(r"[ ().+-]", "", value)
         if kind == "card":
-            digits = [c for c in value if c.isdigit()]
-            number = "".join(digits)
-            body = number[0] + self.reshape(number[1:-1], f"card{number[0]}")
-            last = (luhn(body) + int(number[-1]) - luhn(number[:-1])) % 10
-            fresh = iter(body + str(last))
-            return "".join(next(fresh) if c.isdigit() else c for c in value)
-        if kind == "iban":
-            return value[:2] + self.reshape(value[2:], kind)
-        if kind == "phone":
-            code = re.match(r"\+\d{1,3}(?=[ .(-])", value)
-            return self.reshape(value, kind, frozenset(range(code.end() if code else 0)))
-        if kind == "secret" and re.fullmatch(r"[0-9a-f]+", value):
-            return self.reshape(value, kind, hexadecimal=True)
-        return self.reshape(value, kind)
-
-    def name(self, value: str, gender: str, taken: set[str]) -> str:
-        script = "cyrillic" if re.search(r"[Ѐ-ӿ]", value) else "greek" if re.search(r"[Ͱ-Ͽ]", value) else "latin"
-        drawn = self.digest("name", gender, value.casefold())
-        pool, extra = POOLS[gender, script], SYLLABLES[script]
-        out, left = pool[drawn % len(pool)], drawn // len(pool)
-        while out in taken:
-            out, left = out + extra[left % len(extra)], left // len(extra) or self.digest("more", out)
-        return out.upper() if value.isupper() else out
+            body = bare[0] + self.reshape(bare[1:-1], f"card{bare[0]}")
+            bare_fresh = body + str((luhn(body) + int(bare[-1]) - luhn(bare[:-1])) % 10)
+        elif kind == "iban":
+            country, body = bare[:2], self.reshape(bare[4:], f"iban{bare[:2]}")
+            off = int(bare[2:4]) - iban_check(country, bare[4:])
+            bare_fresh = f"{country}{(iban_check(country, body) + off) % 100:02d}{body}"
+        elif kind == "phone":
+            code = 0 if value[0] != "+" else 1 if bare[0] in "17" else 2 if bare[:2] in CALLING_CODES else 3
+            bare_fresh = bare[:code] + self.reshape(bare[code:], f"phone{bare[:code]}")
+        else:
+            bare_fresh = self.reshape(bare, kind)
+        fresh = iter(bare_fresh)
+        return "".join(next(fresh) if c.isalnum() else c for c in value)
+
+    def spelt(self, folded: str, kind: str, tries: int) -> str:
+        """The surrogate of a part of a name, in lower case. kind: m, f or n."""
+        script = "cyrillic" if re.search(r"[Ѐ-ӿ]", folded) else "greek" if re.search(r"[Ͱ-Ͽἀ-῿]", folded) else "latin"
+        plain = {"latin": LOWER, "cyrillic": CYRILLIC, "greek": GREEK}[script]
+        alphabets = [plain, plain + ACCENTED]
+        level = next((k for k, a in enumerate(alphabets) if all(c in a for c in folded)), 2)
+        base = len(alphabets[level]) if level < 2 else 0x110000
+        rank = 0
+        for c in folded:  # the place among all strings, shorter ones first
+            rank = rank * base + (alphabets[level].index(c) if level < 2 else ord(c)) + 1
+        known, count, size = SYLLABLES[script], 2, len(SYLLABLES[script]) ** 2
+        while rank >= size:  # each number of syllables takes the ranks that it can hold
+            rank, count, size = rank - size, count + 1, size * len(known)
+        moved, out = self.inject(rank, size, f"name:{script}:{kind}:{level}:{tries}"), ""
+        for _ in range(count):
+            moved, digit = divmod(moved, len(known))
+            out = known[digit] + out
+        return out + ENDINGS[script][kind][level]
+
+    def name(self, folded: str, kind: str, taken: set[str] = frozenset()) -> str:
+        """The surrogate of a case-folded name; not one of taken."""
+        for tries in range(len(taken) + 2):
+            parts = re.split(r"([-'’])", folded)
+            fresh = "".join(self.spelt(p, kind, tries) if len(p) > 1 else p for p in parts)
+            if fresh not in taken and fresh != folded:
+                break
+        return fresh
+
+
+def in_case_of(fresh: str, like: str) -> str:
+    """fresh with the capitals of a name: all of them, or those that begin its parts."""
+    if like.isupper():
+        return fresh.upper()
+    begins = [p[:1].isupper() for p in re.split(r"[-'’]", like)]
+    parts = re.split(r"([-'’])", fresh)
+    return "".join(p if k % 2 or not begins[k // 2] else p[:1].upper() + p[1:] for k, p in enumerate(parts))
+
+
+def valid(kind: str, value: str) -> bool:
+    if kind == "ip":
+        try:
+            ipaddress.ip_address(value)
+        except ValueError:
+            return False
+        return any(c.isdigit() for c in value)
+    return kind != "secret" or any(c.isalnum() for c in value)
+
+
+def named_parts(m: re.Match) -> Iterator[tuple[str, str]]:
+    """(group, kind) of the names of a match: m or f for given names of known gender, else n."""
+    titles = re.findall(r"\w+", m.groupdict().get("title") or "")
+    gender = next((g for t in titles for g in "mf" if t in TITLES[g]), None) or next((g for g in "mf" if m["given"] in GIVEN[g]), "n")
+    both = bool(m["family"] and m["family"][0].isupper())
+    if m["given"][0].isupper() and (titles or both):
+        yield "given", gender if both or titles and titles[-1] in GIVEN_TITLES else "n"
+        if both:
+            yield "family", "n"
 
 
 def detect(text: str) -> list[tuple[int, int, str, str, str]]:
@@ -189,23 +289,27 @@ def detect(text: str) -> list[tuple[int, int, str, str, str]]:
     for kind, pattern in COMPILED:
         for m in pattern.finditer(text):
             if kind == "name":
-                titles = re.findall(r"\w+", m["title"])
-                gender = next((g for t in titles for g in "mf" if t in TITLES[g]), "n")
-                for part in ("given", "family"):
-                    if m[part] and m[part][0].isupper():
-                        claim(*m.span(part), kind, gender if part == "given" and m["family"] and m["family"][0].isupper() else "n")
-                    else:
-                        break
-            else:
+                for part, gender in named_parts(m):
+                    claim(*m.span(part), kind, gender)
+            elif valid(kind, m[1] if kind == "secret" else m[0]):
                 claim(*m.span(1 if kind == "secret" else 0), kind)
     names: dict[str, str] = {}
     for _, _, kind, value, gender in sorted(found):
         if kind == "name":
-            names.setdefault(value, gender)
+            folded = value.casefold()
+            for name in {folded, *(p for p in re.split(r"[-'’]", folded) if len(p) > 1)}:
+                if names.get(name, "n") == "n":
+                    names[name] = gender
     if names:
-        for m in re.finditer(rf"(?<!\w)(?:{'|'.join(map(re.escape, sorted(names, key=len, reverse=True)))})(?!\w)", text):
-            claim(*m.span(), "name", names[m[0]])
-    return sorted(found)
+        for m in WORD.finditer(text):
+            if m[0][0].isupper():
+                if m[0].casefold() in names:
+                    claim(*m.span(), "name")
+                else:  # a name may be part of a hyphenated word
+                    for part in re.finditer(rf"{_LETTER}{{2,}}", m[0]):
+                        if part[0][0].isupper() and part[0].casefold() in names:
+                            claim(m.start() + part.start(), m.start() + part.end(), "name")
+    return sorted((a, b, k, v, names[v.casefold()] if k == "name" else g) for a, b, k, v, g in found)
 
 
 def anonymise(text: str, keyed: Surrogates) -> tuple[str, list[Entity]]:
@@ -213,24 +317,26 @@ def anonymise(text: str, keyed: Surrogates) -> tuple[str, list[Entity]]:
     spans = detect(text)
     if not spans:
         return text, []
-    originals = {value for _, _, kind, value, _ in spans if kind == "name"}
     names: dict[str, str] = {}
+    if any(kind == "name" for _, _, kind, _, _ in spans):
+        taken = {m[0].casefold() for m in WORD.finditer(text) if m[0][0].isupper()}
+        for _, _, kind, value, gender in spans:
+            folded = value.casefold()
+            if kind == "name" and folded not in names:
+                names[folded] = keyed.name(folded, gender, taken)
+                taken.add(names[folded])
     entities, parts, at = [], [], 0
-    for start, end, kind, value, gender in spans:
-        if kind == "name":
-            if value not in names:
-                names[value] = keyed.name(value, gender, originals | set(names.values()))
-            fresh = names[value]
-        else:
-            fresh = keyed.structured(kind, value)
+    for start, end, kind, value, _ in spans:
+        fresh = in_case_of(names[value.casefold()], value) if kind == "name" else keyed.structured(kind, value)
         parts += [text[at:start], fresh]
         at = end
         entities.append(Entity(start, end, kind, value, fresh))
     return "".join(parts) + text[at:], entities
 
 
-def replace_documents(docs: DataFrame, key: str = DEMO_KEY, text_col: str = "text", with_entities: bool = False) -> DataFrame:
+def replace_documents(docs: DataFrame, key: str, text_col: str = "text", with_entities: bool = False) -> DataFrame:
     """docs with surrogates in the text and, if asked for, an array column __entities."""
+    Surrogates(key)
     if with_entities:
         docs = docs.drop("__entities")
     schema = T.StructType([f if f.name != text_col else T.StructField(f.name, T.StringType()) for f in docs.schema])

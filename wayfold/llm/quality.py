@@ -39,8 +39,10 @@ def tokens_of(text: Column) -> Column:
 def repeated_words(words: Column) -> Column:
     """Words inside three-word windows that occur at least twice in the text.
 
-    Each window hash is packed above its position into one long; after sorting,
-    equal windows are neighbours, and neighbours are compared by whole hash.
+    Each window hash is packed above its position into one long, which drops its
+    top bits; after sorting, equal windows are neighbours, and neighbours are
+    compared by whole hash. Another window with the same lower bits could stand
+    between two equal ones: odds of n^3 / 2^(64 - log n) for n windows, ignored.
     """
 
     def marked(h: Column, bits: Column) -> Column:

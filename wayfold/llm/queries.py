@@ -7,8 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-from wayfold.llm import ann, bpe, html_text, langid, licenses, mixing, pii, quality, simhash, toxicity
+from wayfold.llm import ann, bpe, html_text, langid, licenses, mixing, pii, quality, recipe, simhash, toxicity
 from wayfold.llm.common import crc_mod
 
 
@@ -34,13 +33,13 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents taken for the target weights, with epochs and tokens."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    got = mixing.mix(docs, corpus_pipeline.domain_of(F.col("source")), corpus_pipeline.WEIGHTS, corpus_pipeline.FRACTION, corpus_pipeline.MAX_EPOCHS, corpus_pipeline.SEED)
+    got = mixing.mix(docs, recipe.domain_of(F.col("source")), recipe.WEIGHTS, recipe.FRACTION, recipe.MAX_EPOCHS, recipe.SEED, columns=("doc_id", "lang", "source"))
     return got.select("doc_id", F.col("__domain").alias("domain"), "lang", "source", F.col("__tokens").alias("n_tokens"), F.col("__epochs").alias("epochs"), F.col("__taken").alias("taken_tokens"))
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and of the decoded text."""
-    return bpe.encode_documents(table(spark, sf_dir, "documents"), corpus_pipeline.tokenizer_file())
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), recipe.tokenizer_file())
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +53,8 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence families confirmed in every document, and the best unconfirmed evidence."""
-    got = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    got = licenses.scan(docs, licenses.train(licenses.corpus_statements(docs)))
     hits = F.filter("__licences", lambda r: r["confirmed"])
     return got.select(
         "doc_id",
@@ -68,7 +68,7 @@ def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entities replaced in every document and a digest of the new text."""
-    got = pii.replace_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), with_entities=True)
+    got = pii.replace_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), recipe.surrogate_key(spark), with_entities=True)
     kinds = F.array_sort(F.array_distinct(F.col("__entities.kind")))
     return got.select("doc_id", F.size("__entities").cast("long").alias("n_entities"), F.array_join(kinds, ",").alias("kinds"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
@@ -93,6 +93,8 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
     return corpus_pipeline.run(spark, sf_dir)
 
 
@@ -103,7 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 
 def _weight_case(depth: int, columns: tuple[str, ...]) -> str:
-    rows = [(k, w) for k, w in corpus_pipeline.WEIGHTS.items() if len(k) == depth]
+    rows = [(k, w) for k, w in recipe.WEIGHTS.items() if len(k) == depth]
     cases = "".join(" WHEN " + " AND ".join(f"{c} = '{v}'" for c, v in zip(columns, k, strict=False)) + f" THEN {float(w)}" for k, w in rows)
     return f"CASE{cases} ELSE 1.0 END" if cases else "1.0"
 
@@ -128,21 +130,24 @@ OP3_SQL = f"""
 WITH t AS (SELECT doc_id, lang, source,
     CASE WHEN regexp_matches(source, '^src[0-9]+$') THEN 'd' || CAST(CAST(substr(source, 4) AS BIGINT) % 4 AS VARCHAR) ELSE 'other' END AS domain,
     CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS n_tokens,
-    CAST('0x' || substr(md5('{corpus_pipeline.SEED}-' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS pos
+    md5(coalesce(text, '')) AS digest
   FROM documents),
 d AS (SELECT * FROM t WHERE n_tokens > 0),
-leaf0 AS (SELECT domain, lang, source, CAST(sum(n_tokens) AS BIGINT) AS supply, CAST(sum(n_tokens) * {corpus_pipeline.MAX_EPOCHS} AS BIGINT) AS cap FROM d GROUP BY ALL),
+leaf0 AS (SELECT domain, lang, source, CAST(sum(n_tokens) AS BIGINT) AS supply, CAST(sum(n_tokens) * {recipe.MAX_EPOCHS} AS BIGINT) AS cap FROM d GROUP BY ALL),
 lang0 AS (SELECT domain, lang, CAST(sum(cap) AS BIGINT) AS cap FROM leaf0 GROUP BY ALL),
 dom0 AS (SELECT 1 AS one, domain, CAST(sum(cap) AS BIGINT) AS cap FROM leaf0 GROUP BY ALL),
-dom1 AS (SELECT dom0.*, (SELECT CAST(floor(CAST(sum(cap) AS DOUBLE) / {corpus_pipeline.MAX_EPOCHS} * {corpus_pipeline.FRACTION}) AS BIGINT) FROM dom0) AS given FROM dom0),
+dom1 AS (SELECT dom0.*, (SELECT CAST(floor(CAST(sum(cap) // {recipe.MAX_EPOCHS} AS DOUBLE) * {recipe.FRACTION}) AS BIGINT) FROM dom0) AS given FROM dom0),
 {_filled("dom", "dom1", "one", "domain", 1, ("domain",))},
 lang1 AS (SELECT l.*, p.budget AS given FROM lang0 l JOIN dom p ON l.domain IS NOT DISTINCT FROM p.domain),
 {_filled("lng", "lang1", "domain", "lang", 2, ("domain", "lang"))},
 leaf1 AS (SELECT l.*, p.budget AS given FROM leaf0 l JOIN lng p ON l.domain IS NOT DISTINCT FROM p.domain AND l.lang IS NOT DISTINCT FROM p.lang),
 {_filled("lef", "leaf1", "domain, lang", "source", 3, ("domain", "lang", "source"))},
-placed AS (SELECT d.*, budget // supply AS whole, budget % supply AS rest,
-    coalesce(sum(n_tokens) OVER (PARTITION BY d.domain, d.lang, d.source ORDER BY pos, doc_id, n_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_at
+budgeted AS (SELECT d.*, budget // supply AS whole, budget % supply AS rest
   FROM d JOIN lef ON d.domain IS NOT DISTINCT FROM lef.domain AND d.lang IS NOT DISTINCT FROM lef.lang AND d.source IS NOT DISTINCT FROM lef.source),
+keyed AS (SELECT *, CAST('0x' || substr(md5('{recipe.SEED}-' || CAST(whole + 1 AS VARCHAR) || '-' || coalesce(CAST(doc_id AS VARCHAR), '') || '-' || digest), 1, 15) AS BIGINT) AS pos FROM budgeted),
+placed AS (SELECT *,
+    coalesce(sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY pos, doc_id, n_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_at
+  FROM keyed),
 part AS (SELECT *, greatest(0, least(n_tokens, rest - start_at)) AS part FROM placed)
 SELECT doc_id, domain, lang, source, n_tokens, CAST(whole + CASE WHEN part > 0 THEN 1 ELSE 0 END AS INTEGER) AS epochs,
   CAST(whole * n_tokens + part AS BIGINT) AS taken_tokens
