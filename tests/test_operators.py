@@ -71,17 +71,6 @@ def test_improver_on_a_still_and_a_moving_device(spark):
     assert improve.improve(drive).where("event_id > 40 and activity = 'Walking'").count() == 0
 
 
-def test_improver_matches_its_state_machine(spark):
-    df = clean.stateless(with_time_offset(tracks(spark, SF)))
-    got = {r.event_id: r.activity for r in improve.improve(df, SPARSE).collect()}
-    state, last = None, None
-    for r in sorted(df.collect(), key=lambda r: (r.subject_id, r.unix_s, r.event_id)):
-        if last is None or last.subject_id != r.subject_id or last.device_id != r.device_id or r.unix_s - last.unix_s > SPARSE.improver_reset_s:
-            state = improve.Improver(SPARSE)
-        assert got[r.event_id] == state.row(r.unix_s, r.lon, r.lat, r.time_offset, r.accuracy, r.speed, r.heading, r.activity)
-        last = r
-
-
 def test_ewma_first_tick_and_decay():
     rate = improve.Ewma(100)
     rate.tick(10.0, 2)
@@ -152,10 +141,18 @@ def test_invalid_rows(spark):
             at[last] = v
         return json.dumps(f)
 
-    bad = [but(properties={}), but(properties__Name=""), but(properties__UUID=None), but(properties__Time="bad"), but(geometry__type="LineString")]
-    got = quality.validate(ingest.decode(spark.createDataFrame([(m,) for m in [json.dumps(FEATURE), *bad]], "value string")))
+    bad = {
+        "no properties": but(properties={}), "no name": but(properties__Name=""), "device not text": but(properties__UUID=42), "times differ": but(properties__Time="bad"), "not a point": but(geometry__type="LineString"),
+        "no device": but(properties__UUID=None), "name not text": but(properties__Name=7), "accuracy not a number": but(properties__Accuracy="5"), "no accuracy": but(properties__Accuracy=None), "bad latitude": but(geometry__coordinates=[1, 91]),
+        "no geometry": but(geometry=None), "bad longitude": but(geometry__coordinates=["x", 1]),
+    }
+    legacy = dict(LEGACY, uuid=7)
+    texts = [json.dumps(FEATURE), *bad.values(), json.dumps(legacy), json.dumps(dict(LEGACY, accuracy="5"))]
+    got = quality.validate(ingest.decode(spark.createDataFrame([(m,) for m in texts], "value string")))
     valid, invalid = quality.split_valid(got)
-    assert (valid.count(), invalid.count()) == (1, 5)
+    assert valid.count() == 1 and sorted(r.invalid_reason for r in invalid.collect()) == sorted([*bad, "device not text", "accuracy not a number"])
+    # An empty device is text.
+    assert quality.split_valid(quality.validate(ingest.decode(spark.createDataFrame([(but(properties__UUID=""),)], "value string"))))[0].count() == 1
 
 
 def test_sinks_round_trip(spark, tmp_path):
@@ -203,9 +200,12 @@ def test_stream_segments_equal_batch(spark, tmp_path):
 
 def test_stream_ingest(spark, tmp_path):
     (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "a.json").write_text("\n".join([json.dumps(FEATURE)] * 2 + ["bad"]))
-    seen = []
-    query = streaming.run_batches(streaming.arriving(spark, str(tmp_path / "in")), str(tmp_path / "cp"), lambda df, n: seen.append(df.count()))
+    other = json.dumps(dict(FEATURE, properties=dict(FEATURE["properties"], UUID=42)))
+    lines = [json.dumps(FEATURE)] * 2 + ["bad", '{"type":"Other"}', '{"uuid":"x","name":"n"}', other]
+    (tmp_path / "in" / "a.json").write_text("\n".join(lines))
+    seen, refused = [], []
+    query = streaming.run_batches(streaming.arriving(spark, str(tmp_path / "in")), str(tmp_path / "cp"), lambda df, n: seen.append(df.count()), lambda df, n: refused.extend(df.collect()))
     query.awaitTermination(120)
     query.stop()
-    assert seen == [1]
+    # Rows in are kept, refused or the repeat of a kept one.
+    assert seen == [1] and sorted(r.invalid_reason for r in refused) == ["device not text", "no place", "not readable", "unknown type"] and all(r.object for r in refused)

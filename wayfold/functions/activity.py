@@ -34,6 +34,15 @@ def from_code(x: Column) -> Column:
     return F.coalesce(F.try_element_at(F.array(*map(F.lit, C.ACTIVITIES)), F.when(x >= 0, x.cast("int") + 1)), F.lit(C.UNKNOWN))
 
 
+# A picture of each activity, unknown last.
+EMOJI = ("\N{STANDING PERSON}", "\N{PEDESTRIAN}", "\N{RUNNER}", "\N{BICYCLIST}", "\N{AUTOMOBILE}", "\N{AIRPLANE}", "\N{BLACK QUESTION MARK ORNAMENT}")
+
+
+def emoji(name: Column) -> Column:
+    at = code(name)
+    return F.element_at(F.array(*map(F.lit, EMOJI)), F.when(at < 0, len(EMOJI)).otherwise(at + 1))
+
+
 def delta(a: Column, b: Column) -> Column:
     return code(a) - code(b)
 

@@ -73,23 +73,31 @@ def leaf_ids(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
     return out << np.uint64(1) | np.uint64(1)
 
 
-def ring_of(cell: int) -> list[tuple[float, float]]:
-    """The four (lon, lat) vertices of a cell, not closed."""
-    cell &= (1 << 64) - 1
-    lsb = cell & -cell
-    level = MAX_LEVEL - (lsb.bit_length() - 1) // 2
-    face = cell >> 61
-    orientation, i, j = face & 1, 0, 0
-    for k in range(level):
-        ij = int(QUAD[orientation, cell >> (59 - 2 * k) & 3])
-        orientation = int(AFTER[orientation, ij])
-        i, j = i << 1 | ij >> 1, j << 1 | ij & 1
-    scale, out = 1 / (1 << level), []
+def rings_of(cells: np.ndarray) -> np.ndarray:
+    """The four (lon, lat) vertices of cells (unsigned 64-bit), not closed: an array of shape (cells, 4, 2)."""
+    cells = cells.astype(np.uint64)
+    lowest = cells & (~cells + np.uint64(1))
+    level = MAX_LEVEL - np.bitwise_count(lowest - np.uint64(1)).astype(np.int64) // 2
+    face = (cells >> np.uint64(61)).astype(np.int64)
+    orientation, i, j = face & 1, np.zeros(len(cells), dtype=np.int64), np.zeros(len(cells), dtype=np.int64)
+    for k in range(MAX_LEVEL):
+        deeper = k < level
+        ij = QUAD[orientation, (cells >> np.uint64(59 - 2 * k) & np.uint64(3)).astype(np.int64)]
+        orientation = np.where(deeper, AFTER[orientation, ij], orientation)
+        i, j = np.where(deeper, i << 1 | ij >> 1, i), np.where(deeper, j << 1 | ij & 1, j)
+    scale, out = 1.0 / (1 << level).astype(np.float64), []
     for di, dj in ((0, 0), (1, 0), (1, 1), (0, 1)):
-        u, v = (float(uv_of_st(np.float64(t))) for t in ((i + di) * scale, (j + dj) * scale))
-        x, y, z = [(1, u, v), (-u, 1, v), (-u, -v, 1), (-1, -v, -u), (v, -1, -u), (v, u, -1)][face]
-        out.append((float(np.degrees(np.arctan2(y, x))), float(np.degrees(np.arctan2(z, np.hypot(x, y))))))
-    return out
+        u, v, one = uv_of_st((i + di) * scale), uv_of_st((j + dj) * scale), np.ones(len(cells))
+        x = np.choose(face, [one, -u, -u, -one, v, v])
+        y = np.choose(face, [u, one, -v, -v, -one, u])
+        z = np.choose(face, [v, v, one, -u, -u, -one])
+        out.append(np.stack([np.degrees(np.arctan2(y, x)), np.degrees(np.arctan2(z, np.hypot(x, y)))], axis=1))
+    return np.stack(out, axis=1)
+
+
+def ring_of(cell: int) -> list[tuple[float, float]]:
+    """The vertices of one cell."""
+    return [tuple(p) for p in rings_of(np.array([cell & (1 << 64) - 1], dtype=np.uint64))[0].tolist()]
 
 
 @F.pandas_udf(T.LongType())
@@ -102,7 +110,10 @@ def leaf_id(lat: pd.Series, lon: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("lon", T.DoubleType()), T.StructField("lat", T.DoubleType())])))
 def cell_ring(cell: pd.Series) -> pd.Series:
-    return cell.map(lambda c: None if pd.isna(c) else [{"lon": x, "lat": y} for x, y in ring_of(int(c))])
+    known = cell.dropna().astype(np.int64)
+    rings = rings_of(known.to_numpy().view(np.uint64)).tolist()
+    made = pd.Series([[{"lon": x, "lat": y} for x, y in ring] for ring in rings], index=known.index, dtype=object)
+    return made.reindex(cell.index).where(cell.notna(), None)
 
 
 def parent(cell: Column, level: int) -> Column:

@@ -1,9 +1,19 @@
-"""Administrative areas: containment joins and the area index."""
+"""Administrative areas: readers, containment joins, geometry and the area index.
+
+Areas are covered by square tiles of the smallest of three sizes that keeps
+their number down. A tile wholly inside an area needs no test; a border tile
+carries only the edges that meet it and whether its lower left corner is
+inside, so no polygon is copied. Points meet tiles in an equi-join, and the test
+is a native count of edges crossed on the way from that corner.
+"""
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfold.config import Settings
@@ -12,8 +22,11 @@ from wayfold.operators.cells import accumulate
 
 #: Datasets in bucket order.
 DATASETS = ("cities", "countries", "provinces", "counties")
-#: Side of the grid squares that an area's box is cut into for the equi-join.
-TILE_DEGREES = 0.25
+#: Sides of tiles in degrees, and how many an area may have before it takes the next larger ones.
+TILES, MOST_TILES = (0.25, 2.0, 16.0), 1_024
+RINGS = "array<array<struct<lon:double,lat:double>>>"
+EDGES = "array<struct<x1:double,y1:double,x2:double,y2:double>>"
+BOX = ("min_lon", "max_lon", "min_lat", "max_lat")
 
 
 def area_key(dataset: Column) -> Column:
@@ -29,8 +42,88 @@ def area_key(dataset: Column) -> Column:
     )
 
 
-def _tiles(low: Column, high: Column) -> Column:
-    return F.explode(F.sequence(F.floor(low / TILE_DEGREES).cast("long"), F.floor(high / TILE_DEGREES).cast("long")))
+def read_areas(spark: SparkSession, path: str, dataset: str) -> DataFrame:
+    """Areas of a file of polygon and multipolygon features, one a line, keyed by their place-name properties."""
+    v = F.try_parse_json("value")
+    rows = spark.read.text(path).select(v.alias("v")).where("v is not null")
+    get = lambda p, kind: F.try_variant_get("v", p, kind)
+    named = rows.select(
+        *(get(f"$.properties.{c}", "string").alias(c) for c in ("country_code3", "province_code", "county", "city")),
+        F.when(get("$.geometry.type", "string") == "Polygon", get("$.geometry.coordinates", "array<array<array<double>>>")).otherwise(F.flatten(get("$.geometry.coordinates", "array<array<array<array<double>>>>"))).alias("xy"),
+    )
+    point = lambda p: F.struct(F.get(p, F.lit(0)).alias("lon"), F.get(p, F.lit(1)).alias("lat"))
+    shaped = named.withColumn("rings", F.transform("xy", lambda ring: F.transform(ring, point))).withColumn("all", F.flatten("rings"))
+    low, high = (lambda c: F.array_min(F.transform("all", lambda p: p[c]))), (lambda c: F.array_max(F.transform("all", lambda p: p[c])))
+    box = [low("lon").alias("min_lon"), high("lon").alias("max_lon"), low("lat").alias("min_lat"), high("lat").alias("max_lat")]
+    return shaped.select(F.lit(dataset).alias("dataset"), area_key(F.lit(dataset)).alias("area_key"), *box, "rings").where("area_key is not null and rings is not null")
+
+
+def tile_side(size: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, TILES)), size + 1)
+
+
+def tile_size(box: tuple[float, float, float, float]) -> int:
+    """Number of the smallest tile side that covers a box in MOST_TILES, else of the largest."""
+    x1, x2, y1, y2 = box
+    for k, side in enumerate(TILES):
+        if (np.floor(x2 / side) - np.floor(x1 / side) + 1) * (np.floor(y2 / side) - np.floor(y1 / side) + 1) <= MOST_TILES:
+            return k
+    return len(TILES) - 1
+
+
+def cover(areas: DataFrame) -> DataFrame:
+    """Tiles of all areas: dataset, area_key, box, size, tx, ty, corner_inside and edges (null where no test is needed)."""
+
+    def tiles_of(row: dict) -> Iterator[dict]:
+        box = tuple(row[c] for c in BOX)
+        size = tile_size(box)
+        side, known = TILES[size], {c: row[c] for c in ("dataset", "area_key", *BOX)} | {"size": size}
+        xs, ys = (np.arange(np.floor(a / side), np.floor(b / side) + 1) for a, b in (box[:2], box[2:]))
+        tx, ty = (g.ravel().astype(np.int64) for g in np.meshgrid(xs, ys))
+        if row["rings"] is None:
+            yield from (known | {"tx": x, "ty": y} for x, y in zip(tx.tolist(), ty.tolist(), strict=True))
+            return
+        rings = [[(p["lon"], p["lat"]) for p in ring] for ring in row["rings"]]
+        edges = np.array([(*a, *b) for ring in rings for a, b in zip(ring, [*ring[1:], *ring[:1]], strict=True)], dtype=float).reshape(-1, 4)
+        inside = in_rings(tx * side, ty * side, rings)
+        low = np.floor(np.minimum(edges[:, :2], edges[:, 2:]) / side).astype(np.int64)
+        high = np.floor(np.maximum(edges[:, :2], edges[:, 2:]) / side).astype(np.int64)
+        met: dict[tuple[int, int], list] = {}
+        for edge, (x1, y1), (x2, y2) in zip(edges.tolist(), low.tolist(), high.tolist(), strict=True):
+            for x in range(x1, x2 + 1):
+                for y in range(y1, y2 + 1):
+                    met.setdefault((x, y), []).append(dict(zip(("x1", "y1", "x2", "y2"), edge, strict=True)))
+        for x, y, corner in zip(tx.tolist(), ty.tolist(), inside.tolist(), strict=True):
+            if own := met.get((x, y)):
+                yield known | {"tx": x, "ty": y, "corner_inside": bool(corner), "edges": own}
+            elif corner:
+                yield known | {"tx": x, "ty": y}
+
+    edge = pa.struct([(c, pa.float64()) for c in ("x1", "y1", "x2", "y2")])
+    made = pa.schema([("dataset", pa.string()), ("area_key", pa.string()), *((c, pa.float64()) for c in BOX), ("size", pa.int32()), ("tx", pa.int64()), ("ty", pa.int64()), ("corner_inside", pa.bool_()), ("edges", pa.list_(edge))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield pa.RecordBatch.from_pylist(list(tiles_of(row)), made)
+
+    kind = f"dataset string, area_key string, {', '.join(f'{c} double' for c in BOX)}, size int, tx long, ty long, corner_inside boolean, edges {EDGES}"
+    return areas.select("dataset", "area_key", *BOX, "rings").mapInArrow(run, kind)
+
+
+def crossed(x: Column, y: Column, x0: Column, y0: Column, edges: Column) -> Column:
+    """Whether an odd number of edges is crossed on the way from (x0, y0) along y0 to x, then along x to y."""
+
+    def crosses(e: Column) -> Column:
+        flat = (e["y1"] > y0) != (e["y2"] > y0)
+        at_x = e["x1"] + (e["x2"] - e["x1"]) * F.try_divide(y0 - e["y1"], e["y2"] - e["y1"])
+        steep = (e["x1"] > x) != (e["x2"] > x)
+        at_y = e["y1"] + (e["y2"] - e["y1"]) * F.try_divide(x - e["x1"], e["x2"] - e["x1"])
+        first = F.coalesce(flat & (at_x > x0) & (at_x <= x), F.lit(False))
+        second = F.coalesce(steep & (at_y > y0) & (at_y <= y), F.lit(False))
+        return first != second
+
+    return F.aggregate(edges, F.lit(False), lambda odd, e: odd != crosses(e))
 
 
 def locate(points: DataFrame, areas: DataFrame, refine: bool = True) -> DataFrame:
@@ -38,28 +131,31 @@ def locate(points: DataFrame, areas: DataFrame, refine: bool = True) -> DataFram
 
     areas: dataset, area_key, min_lon, max_lon, min_lat, max_lat and rings
     (array of arrays of (lon, lat) structs, null for plain boxes). Boxes are
-    half-open: they hold their lower edges. Both sides meet on grid squares, an
-    equi-join that needs no broadcast; Spark broadcasts small area tables by
-    itself.
+    half-open: they hold their lower edges. Without refine the boxes alone count.
     """
-    cut = areas.select("*", _tiles(F.col("min_lon"), F.col("max_lon")).alias("__x")).select("*", _tiles(F.col("min_lat"), F.col("max_lat")).alias("__y"))
-    placed = points.withColumn("__x", F.floor(F.col("lon") / TILE_DEGREES).cast("long")).withColumn("__y", F.floor(F.col("lat") / TILE_DEGREES).cast("long"))
+    tiles = cover(areas if refine else areas.withColumn("rings", F.lit(None).cast(RINGS)))
+    sizes = F.explode(F.array(*(F.lit(k) for k in range(len(TILES)))))
+    placed = points.withColumn("__size", sizes)
+    placed = placed.withColumn("__tx", F.floor(F.col("lon") / tile_side(F.col("__size"))).cast("long")).withColumn("__ty", F.floor(F.col("lat") / tile_side(F.col("__size"))).cast("long"))
     boxed = (F.col("lon") >= F.col("min_lon")) & (F.col("lon") < F.col("max_lon")) & (F.col("lat") >= F.col("min_lat")) & (F.col("lat") < F.col("max_lat"))
-    found = placed.join(cut, ["__x", "__y"]).where(boxed).drop("__x", "__y", "min_lon", "max_lon", "min_lat", "max_lat")
-    if not refine:
-        return found.drop("rings")
-
-    @F.pandas_udf("boolean")
-    def holds(lon: pd.Series, lat: pd.Series, rings: pd.Series) -> pd.Series:
-        out = pd.Series(True, index=lon.index)
-        for i, shape in rings.items():
-            if shape is not None:
-                out[i] = bool(in_rings(lon[i : i + 1].to_numpy(), lat[i : i + 1].to_numpy(), [[(p["lon"], p["lat"]) for p in r] for r in shape])[0])
-        return out
-
-    return found.where(F.col("rings").isNull() | holds("lon", "lat", "rings"))
+    found = placed.join(tiles, (F.col("__size") == F.col("size")) & (F.col("__tx") == F.col("tx")) & (F.col("__ty") == F.col("ty"))).where(boxed)
+    side = tile_side(F.col("size"))
+    odd = crossed(F.col("lon"), F.col("lat"), F.col("tx") * side, F.col("ty") * side, F.col("edges"))
+    return found.where(F.col("edges").isNull() | (F.col("corner_inside") != odd)).select(*points.columns, "dataset", "area_key")
 
 
 def admin_index(points: DataFrame, areas: DataFrame, visit_gap_s: int = Settings.admin_visit_s, refine: bool = True) -> DataFrame:
     """Accumulators by subject, dataset and area; points outside every area are skipped."""
     return accumulate(locate(points, areas, refine), ["subject_id", "dataset", "area_key"], visit_gap_s)
+
+
+def enrich(index: DataFrame, areas: DataFrame) -> DataFrame:
+    """Accumulators of areas with the areas' rings and boxes: the rows of an area layer."""
+    return index.join(areas, ["dataset", "area_key"])
+
+
+def geometry(points: DataFrame, areas: DataFrame, dataset: str) -> DataFrame:
+    """Points with the key and rings of the area of one dataset that holds them; null where none does."""
+    mine = areas.where(F.col("dataset") == dataset)
+    found = locate(points, mine).join(mine.select("area_key", "rings"), "area_key").drop("dataset")
+    return points.join(found.select(*(F.col(c).alias(f"__g_{c}") for c in ("event_id",)), "area_key", "rings"), F.col("event_id") == F.col("__g_event_id"), "left").drop("__g_event_id")

@@ -1,8 +1,14 @@
-"""Mergeable accumulators by cell, area or subject."""
+"""Mergeable accumulators by cell, area or subject.
+
+Rows first collapse into runs: a subject's consecutive rows in one finest cell.
+Only runs, with their counts, tallies and inner gaps, are copied to the levels
+and merged there. Consecutive rows of a run are consecutive in every coarser
+cell too, so visits stay exact.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +18,7 @@ from wayfold.functions import s2
 from wayfold.operators.ordered import BUCKET, bucketed
 
 AM = tuple(f"am_{a.lower()}" for a in TALLY_ORDER)
+SUMS = ("count", "total_offset_s", *AM)
 
 
 def dominant() -> Column:
@@ -23,32 +30,62 @@ def dominant() -> Column:
     return out
 
 
-def accumulate(tracks: DataFrame, keys: Sequence[str], visit_gap_s: int, width: int = Settings.bucket_s) -> DataFrame:
-    """Count, visits, first and last time, dwell and dwell by activity for each key.
+def _tallied(tracks: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows as runs of one point."""
+    # A stored total stands for the time of all that it was made of.
+    known = ["total_time_offset"] if "total_time_offset" in tracks.columns else []
+    offset = F.coalesce(*(F.col(c) for c in (*known, "time_offset")), F.lit(1)).cast("long")
+    name = F.when(F.col("activity") == "", F.lit("Unknown")).otherwise(F.col("activity"))
+    return tracks.select(
+        *keys, BUCKET, F.col("unix_s").alias("first_s"), F.col("unix_s").alias("last_s"), F.lit(1).cast("long").alias("count"), F.lit(0).cast("long").alias("__gaps"), offset.alias("total_offset_s"),
+        *(F.when(name == a, offset).otherwise(F.lit(0)).alias(c) for a, c in zip(TALLY_ORDER, AM, strict=True)),
+    )
+
+
+def runs(tracks: DataFrame, cell: Column, visit_gap_s: int, order: Sequence[str] = ("unix_s", "event_id"), width: int = Settings.bucket_s) -> DataFrame:
+    """Runs (subject_id, cell, first_s, last_s, count, __gaps, tallies) of a subject's consecutive rows in one cell.
+
+    A run ends at its time bucket at the latest. One shuffle by subject and bucket.
+    """
+    rows = bucketed(tracks.withColumn("__cell", cell), width=width)
+    rows = _tallied(rows, ["subject_id", "__cell", *(c for c in order if c != "unix_s")])
+    time = [F.col("first_s") if c == "unix_s" else F.col(c) for c in order]
+    near = Window.partitionBy("subject_id", BUCKET).orderBy(*time)
+    new = ~F.col("__cell").eqNullSafe(F.lag("__cell").over(near)) | F.lag("first_s").over(near).isNull()
+    gap = F.coalesce((F.col("first_s") - F.lag("first_s").over(near) > visit_gap_s).cast("long"), F.lit(0))
+    marked = rows.withColumn("__new", new.cast("int")).withColumn("__gaps", gap)
+    marked = marked.withColumn("__run", F.sum("__new").over(near.rowsBetween(Window.unboundedPreceding, 0)))
+    return marked.groupBy("subject_id", BUCKET, "__run").agg(
+        F.first("__cell").alias("__cell"), F.min("first_s").alias("first_s"), F.max("last_s").alias("last_s"),
+        F.coalesce(F.sum(F.when(F.col("__new") == 0, F.col("__gaps"))), F.lit(0)).alias("__gaps"), *(F.sum(c).alias(c) for c in SUMS),
+    ).drop("__run")
+
+
+def merged(parts: DataFrame, keys: Sequence[str], visit_gap_s: int) -> DataFrame:
+    """Accumulators of keys from runs.
 
     A visit begins where a point comes more than visit_gap_s after all earlier
     ones. Visits are counted inside time buckets and then across them, so a key
-    with very many rows is many tasks.
+    with very many runs is many tasks.
     """
-    offset = F.coalesce(F.col("time_offset"), F.lit(1)).cast("long")
-    name = F.when(F.col("activity") == "", F.lit("Unknown")).otherwise(F.col("activity"))
-    rows = bucketed(tracks, width=width).select(*keys, BUCKET, "unix_s", offset.alias("__o"), name.alias("__a"))
-    near = Window.partitionBy(*keys, BUCKET).orderBy("unix_s")
-    gaps = rows.withColumn("__new", (F.col("unix_s") - F.lag("unix_s").over(near) > visit_gap_s).cast("int"))
-    tally = lambda a: F.sum(F.when(F.col("__a") == a, F.col("__o")).otherwise(0))
-    parts = gaps.groupBy(*keys, BUCKET).agg(
-        F.count("*").alias("count"), F.coalesce(F.sum("__new"), F.lit(0)).alias("__gaps"), F.min("unix_s").alias("first_s"), F.max("unix_s").alias("last_s"),
-        F.sum("__o").alias("total_offset_s"), *(tally(a).alias(f"am_{a.lower()}") for a in TALLY_ORDER),
-    )
+    near = Window.partitionBy(*keys, BUCKET).orderBy("first_s", "last_s").rowsBetween(Window.unboundedPreceding, -1)
+    gaps = parts.withColumn("__new", (F.col("first_s") - F.max("last_s").over(near) > visit_gap_s).cast("long"))
+    each = gaps.groupBy(*keys, BUCKET).agg(
+        (F.sum("__gaps") + F.coalesce(F.sum("__new"), F.lit(0))).alias("__gaps"), F.min("first_s").alias("first_s"), F.max("last_s").alias("last_s"), *(F.sum(c).alias(c) for c in SUMS)
+    )
     across = Window.partitionBy(*keys).orderBy(BUCKET)
-    parts = parts.withColumn("__gaps", F.col("__gaps") + F.coalesce((F.col("first_s") - F.lag("last_s").over(across) > visit_gap_s).cast("int"), F.lit(0)))
-    whole = parts.groupBy(*keys).agg(
-        F.sum("count").alias("count"), (F.sum("__gaps") + 1).alias("visit_count"), F.min("first_s").alias("first_s"), F.max("last_s").alias("last_s"),
-        F.sum("total_offset_s").alias("total_offset_s"), *(F.sum(c).alias(c) for c in AM),
-    )
+    each = each.withColumn("__gaps", F.col("__gaps") + F.coalesce((F.col("first_s") - F.lag("last_s").over(across) > visit_gap_s).cast("int"), F.lit(0)))
+    whole = each.groupBy(*keys).agg(
+        F.sum("count").alias("count"), (F.sum("__gaps") + 1).alias("visit_count"), F.min("first_s").alias("first_s"), F.max("last_s").alias("last_s"), *(F.sum(c).alias(c) for c in SUMS[1:])
+    )
     return whole.withColumn("activity_mode", dominant())
 
 
+def accumulate(tracks: DataFrame, keys: Sequence[str], visit_gap_s: int, width: int = Settings.bucket_s) -> DataFrame:
+    """Count, visits, first and last time, dwell and dwell by activity for each key."""
+    return merged(_tallied(bucketed(tracks, width=width), keys), keys, visit_gap_s)
+
+
 def merge(stored: DataFrame, batch: DataFrame, keys: Sequence[str], visit_gap_s: int) -> DataFrame:
     """Accumulators of two disjoint pieces of time, merged; the stored one is the earlier or the later."""
     fields = ["count", "visit_count", "first_s", "last_s", "total_offset_s", *AM]
@@ -73,19 +110,47 @@ def with_s2(tracks: DataFrame, levels: Sequence[int] = s2.LEVELS) -> DataFrame:
     return leaf.select(*tracks.columns, F.explode(at).alias("__at")).select(*tracks.columns, "__at.*")
 
 
-def s2_index(tracks: DataFrame, levels: Sequence[int] = s2.LEVELS, visit_gap_s: int = Settings.cell_visit_s) -> DataFrame:
-    cells = accumulate(with_s2(tracks, levels), ["subject_id", "level", "cell_id"], visit_gap_s)
+def s2_index(tracks: DataFrame, levels: Sequence[int] = s2.LEVELS, visit_gap_s: int = Settings.cell_visit_s, width: int = Settings.bucket_s) -> DataFrame:
+    leaf = tracks.withColumn("__leaf", s2.leaf_id("lat", "lon")).where("__leaf is not null")
+    found = runs(leaf, s2.parent(F.col("__leaf"), max(levels)), visit_gap_s, width=width)
+    at = F.array(*(F.struct(F.lit(k).alias("level"), s2.parent(F.col("__cell"), k).alias("cell_id")) for k in levels))
+    cells = merged(found.withColumn("__at", F.explode(at)).select("*", "__at.*"), ["subject_id", "level", "cell_id"], visit_gap_s)
     return cells.withColumn("cell_key", s2.token(F.col("cell_id"))).drop("cell_id")
 
 
-def with_grid(tracks: DataFrame, per_degree: Sequence[int] = (1, 10, 100)) -> DataFrame:
-    """A plain longitude-latitude grid at several resolutions."""
-    at = F.array(*(F.struct(F.lit(k).alias("level"), F.concat_ws(":", F.floor(F.col("lat") * n).cast("string"), F.floor(F.col("lon") * n).cast("string")).alias("cell_key")) for k, n in enumerate(per_degree)))
-    return tracks.select("*", F.explode(at).alias("__at")).select(*tracks.columns, "__at.*")
+def grid_key(lat: Column, lon: Column, n: int) -> Column:
+    return F.concat_ws(":", F.floor(lat * n).cast("string"), F.floor(lon * n).cast("string"))
+
 
+def grid_index(tracks: DataFrame, per_degree: Sequence[int] = (1, 10, 100), visit_gap_s: int = Settings.cell_visit_s, width: int = Settings.bucket_s) -> DataFrame:
+    """A plain longitude-latitude grid at several resolutions, the last of which the others divide."""
+    finest = per_degree[-1]
+    found = runs(tracks, F.struct(F.floor(F.col("lat") * finest).alias("y"), F.floor(F.col("lon") * finest).alias("x")), visit_gap_s, width=width)
+    up = lambda c, n: F.floor(F.col(f"__cell.{c}") / (finest // n)).cast("string")
+    at = F.array(*(F.struct(F.lit(k).alias("level"), F.concat_ws(":", up("y", n), up("x", n)).alias("cell_key")) for k, n in enumerate(per_degree)))
+    return merged(found.withColumn("__at", F.explode(at)).select("*", "__at.*"), ["subject_id", "level", "cell_key"], visit_gap_s)
 
-def grid_index(tracks: DataFrame, per_degree: Sequence[int] = (1, 10, 100), visit_gap_s: int = Settings.cell_visit_s) -> DataFrame:
-    return accumulate(with_grid(tracks, per_degree), ["subject_id", "level", "cell_key"], visit_gap_s)
+
+def level_index(tracks: DataFrame, levels: Mapping[int, Callable[[], Column]], aggregates: Mapping[str, Column], own: Mapping[int, Mapping[str, Column]] | None = None, by: Sequence[str] = ("subject_id",)) -> DataFrame:
+    """Aggregates of your own over keys of your own, many levels in one pass: (by, level, cell_key, columns).
+
+    levels: level to a function that gives its key; rows whose key is null are
+    skipped. aggregates: what every level computes. own: what a level computes
+    in place of that; its columns are null at the others.
+    """
+    own = own or {}
+    at = F.array(*(F.struct(F.lit(k).alias("level"), key().cast("string").alias("cell_key")) for k, key in levels.items()))
+    rows = tracks.select("*", F.explode(at).alias("__at")).select("*", "__at.level", "__at.cell_key").where("cell_key is not null")
+    plain = [k for k in levels if k not in own]
+    made = []
+    if plain:
+        made.append(rows.where(F.col("level").isin(plain)).groupBy(*by, "level", "cell_key").agg(*(a.alias(n) for n, a in aggregates.items())))
+    for k, mine in own.items():
+        made.append(rows.where(F.col("level") == k).groupBy(*by, "level", "cell_key").agg(*(a.alias(n) for n, a in mine.items())))
+    out = made[0]
+    for more in made[1:]:
+        out = out.unionByName(more, allowMissingColumns=True)
+    return out
 
 
 def subject_index(tracks: DataFrame) -> DataFrame:
@@ -104,4 +169,3 @@ def tile_accumulate(tracks: DataFrame, zoom: int) -> DataFrame:
         F.count("*").alias("point_count"), F.max("speed").alias("max_speed"), F.max("elevation").alias("max_elevation"),
         F.sum("time_offset").alias("sum_offset"), F.round(F.avg("accuracy"), 6).alias("mean_accuracy"),
     )
-

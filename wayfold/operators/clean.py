@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from wayfold import config as C
 from wayfold.config import Settings
 from wayfold.functions.geo import distance_m, distance_py
-from wayfold.operators.ordered import scan_runs, with_previous, with_running_sum
+from wayfold.operators.ordered import BUCKET, lent_by_rows, own_rows, scan_runs, with_previous, with_running, with_running_sum
 
 ORDER = ("unix_s", "event_id")
 
@@ -84,9 +84,10 @@ def without_teleports(tracks: DataFrame, settings: Settings = Settings()) -> Dat
 
 def without_canyon_jumps(tracks: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Drops points far from the centroids of both the five before and the five after."""
-    w = Window.partitionBy("subject_id").orderBy(*ORDER)
+    rows = lent_by_rows(tracks, ["subject_id"], ORDER, 5, 5, width=settings.bucket_s)
+    w = Window.partitionBy("subject_id", BUCKET).orderBy(*ORDER)
     before, after, whole = w.rowsBetween(-5, -1), w.rowsBetween(1, 5), w.rowsBetween(-5, 5)
-    framed = tracks.select(
+    framed = rows.select(
         "*",
         F.count("*").over(whole).alias("__n"),
         (F.max("unix_s").over(whole) - F.min("unix_s").over(whole)).alias("__span"),
@@ -95,27 +96,26 @@ def without_canyon_jumps(tracks: DataFrame, settings: Settings = Settings()) ->
     limit = F.greatest(F.lit(settings.canyon_distance_m), F.greatest("speed", F.lit(0.0)) * 10)
     far = lambda n: distance_m(F.col("lon"), F.col("lat"), F.col(f"__lon_{n}"), F.col(f"__lat_{n}")) > limit
     drop = (F.col("__n") == 11) & (F.col("__span") <= settings.canyon_window_s) & far("b") & far("a")
-    return framed.where(~drop).select(*tracks.columns)
+    return own_rows(framed).where(~drop).select(*tracks.columns)
 
 
 def device_windows(tracks: DataFrame) -> DataFrame:
     return tracks.groupBy("subject_id", "device_id").agg(F.min("unix_s").alias("first_s"), F.max("unix_s").alias("last_s"))
 
 
-def unbacktracked(push: DataFrame, stored: DataFrame, order: tuple[str, ...] = ("event_id",)) -> DataFrame:
+def unbacktracked(push: DataFrame, stored: DataFrame, order: tuple[str, ...] = ("event_id",), width: int = 1_000_000) -> DataFrame:
     """Drops points of a push strictly inside what is known of their device.
 
     Known is the stored window, and the window of the push so far: its first
-    row and every earlier row not strictly inside the stored window.
+    row and every earlier row not strictly inside the stored window. Windows
+    hold a device's rows by width of the first order column.
     """
     known = stored.select(F.col("subject_id").alias("__s"), F.col("device_id").alias("__d"), "first_s", "last_s")
     joined = push.join(known, (F.col("subject_id") == F.col("__s")) & (F.col("device_id") == F.col("__d")), "left").drop("__s", "__d")
-    t = F.col("unix_s")
+    t, by = F.col("unix_s"), ["subject_id", "device_id"]
     inside = F.coalesce((t > F.col("first_s")) & (t < F.col("last_s")), F.lit(False))
-    w = Window.partitionBy("subject_id", "device_id").orderBy(*order)
-    past = w.rowsBetween(Window.unboundedPreceding, -1)
-    counted = joined.withColumn("__in", inside).withColumn("__counts", F.when(~F.col("__in") | (F.row_number().over(w) == 1), t))
-    framed = counted.select("*", F.min("__counts").over(past).alias("__lo"), F.max("__counts").over(past).alias("__hi"))
+    numbered = with_running(joined.withColumn("__in", inside), by, order, {"__before": ("sum", F.lit(1))}, order[0], width, current=False)
+    counts = F.when(~F.col("__in") | (F.col("__before") == 0), t)
+    framed = with_running(numbered, by, order, {"__lo": ("min", counts), "__hi": ("max", counts)}, order[0], width, current=False)
     again = F.coalesce((t > F.col("__lo")) & (t < F.col("__hi")), F.lit(False))
     return framed.where(~F.col("__in") & ~again).select(*push.columns)
-

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -75,20 +75,19 @@ def moves(active: DataFrame, inactive: DataFrame | None = None, settings: Settin
         *(weight(a) for a in ACTIVITIES),
         F.avg("speed").alias("__mean_speed"),
     )
-    out = out.where("raw_point_count >= 2").select(
+    # Which moves are open: the subject's last one, if no inactive row closed it.
+    out = out.withColumn("__last_active", F.max("end_s").over(Window.partitionBy("subject_id"))).where("raw_point_count >= 2").select(
         "*",
         (F.col("end_s") - F.col("start_s")).alias("duration_s"),
         F.round(distance_m(F.col("__first.lon"), F.col("__first.lat"), F.col("__last.lon"), F.col("__last.lat"))).alias("distance_absolute_m"),
         segment_activity(F.col("__mean_speed")).alias("activity"),
     )
-    # Which moves are open: the subject's last one, if no inactive row closed it.
-    last = active.groupBy("subject_id").agg(F.max("unix_s").alias("__last_active"))
     if inactive is not None:
-        last = last.join(inactive.groupBy("subject_id").agg(F.max("unix_s").alias("__last_idle")), "subject_id", "left")
+        out = out.join(inactive.groupBy("subject_id").agg(F.max("unix_s").alias("__last_idle")), "subject_id", "left")
     else:
-        last = last.withColumn("__last_idle", F.lit(None).cast("long"))
+        out = out.withColumn("__last_idle", F.lit(None).cast("long"))
     ended = F.coalesce(F.col("__last_idle") - F.col("end_s") > settings.move_gap_s, F.lit(False))
-    out = out.join(last, "subject_id").withColumn("is_open", (F.col("end_s") == F.col("__last_active")) & ~ended)
+    out = out.withColumn("is_open", (F.col("end_s") == F.col("__last_active")) & ~ended)
     return out.drop("__first", "__last", "__mean_speed", "__last_active", "__last_idle", *(f"w_{a.lower()}" for a in ACTIVITIES))
 
 
@@ -164,11 +163,18 @@ def stays(inactive: DataFrame, settings: Settings = Settings()) -> DataFrame:
         truncate(box_area_m2(F.min("lon"), F.min("lat"), F.max("lon"), F.max("lat"))).alias("area_m2"),
         F.avg("lon").alias("lon"), F.avg("lat").alias("lat"),
     )
-    last = inactive.groupBy("subject_id").agg(F.max("unix_s").alias("__last"))
-    out = out.join(last, "subject_id").withColumn("is_open", F.col("end_s") == F.col("__last")).drop("__last")
+    last = F.max("end_s").over(Window.partitionBy("subject_id"))
+    out = out.withColumn("is_open", F.col("end_s") == last)
     return out.where("raw_point_count >= 2").withColumn("duration_s", F.col("end_s") - F.col("start_s"))
 
 
 def plausible_stays(found: DataFrame, settings: Settings = Settings()) -> DataFrame:
     return found.where(F.col("duration_s") > settings.stay_min_s)
 
+
+
+def as_tracks(found: DataFrame) -> DataFrame:
+    """Moves or stays in the columns of points, at their end (stays: at their centre), for layers that hold both."""
+    place = ["lon", "lat"] if "lon" in found.columns else [F.lit(None).cast("double").alias(c) for c in ("lon", "lat")]
+    activity = F.col("activity") if "activity" in found.columns else F.lit("Stationary")
+    return found.select("subject_id", "device_id", F.col("end_s").alias("unix_s"), *place, F.col("accuracy_mean").alias("accuracy"), activity.alias("activity"), F.col("duration_s").alias("time_offset"))

@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from wayfold.functions import names, notes
 from wayfold.functions.num import truncate
 
+#: How deep collections may stand inside collections.
+NESTED = 8
+#: What is said about elements that are no points.
+UNREADABLE, UNKNOWN_KIND, TOO_DEEP, NO_PLACE = "not readable", "unknown type", "nested too deeply", "no place"
+
 # Declared, so that readers never infer; unknown properties stay in extras.
 PROPERTIES = {
     "name": ("Name", "string"), "device_id": ("UUID", "string"), "time": ("Time", "string"), "unix": ("UnixTime", "double"), "alias": ("Alias", "string"),
@@ -27,32 +32,58 @@ def read_messages(spark: SparkSession, path: str | list[str], whole: bool = Fals
     return spark.read.text(path, wholetext=whole)
 
 
-def elements(messages: DataFrame) -> DataFrame:
-    """Objects of messages: arrays and collections are taken apart, others pass; malformed text gives a null kind."""
+def elements(messages: DataFrame, depth: int = NESTED) -> DataFrame:
+    """Objects of messages: arrays are taken apart, and collections with what is nested in them, to a depth; others pass.
+
+    kind is the object's type. Malformed and blank text gives one row without
+    object; a collection deeper than the limit stays one object.
+    """
     top = F.try_parse_json(F.trim("value"))
     is_array = F.schema_of_variant(top).startswith("ARRAY")
     items = F.when(is_array, F.expr("cast(try_parse_json(trim(value)) as array<variant>)")).otherwise(F.array(top))
-    one = messages.select(F.col("value").alias("message"), F.explode_outer(items).alias("v"))
-    kind = F.try_variant_get("v", "$.type", "string")
-    inner = F.when(kind == "FeatureCollection", F.try_variant_get("v", "$.features", "array<variant>")).otherwise(F.array("v"))
-    return one.select("message", F.explode_outer(inner).alias("v")).select("message", "v", F.try_variant_get("v", "$.type", "string").alias("kind"))
+    now = messages.select(F.col("value").alias("message"), F.explode_outer(items).alias("v"))
+    for _ in range(depth):
+        kind = F.try_variant_get("v", "$.type", "string")
+        inner = F.when(kind == "FeatureCollection", F.try_variant_get("v", "$.features", "array<variant>")).otherwise(F.array("v"))
+        now = now.select("message", F.explode_outer(inner).alias("v"))
+    return now.select("message", "v", F.try_variant_get("v", "$.type", "string").alias("kind"))
+
+
+def json_kind(path: str) -> Column:
+    """text, number, or the variant's own name of what stands at a path of v; null where nothing does."""
+    own = F.schema_of_variant(F.try_variant_get("v", path, "variant"))
+    return F.when(own == "STRING", "text").when(own.isin("BIGINT", "DOUBLE", "FLOAT") | own.startswith("DECIMAL"), "number").when(own != "VOID", own)
+
+
+def wrong_types(paths: dict[str, tuple[str, str]]) -> Column:
+    """Names of those of (name: path, expected kind) that are there but of another kind."""
+    each = [F.when(json_kind(path) != kind, F.lit(name)) for name, (path, kind) in paths.items()]
+    return F.array_compact(F.array(*each))
 
 
 def features(objects: DataFrame) -> DataFrame:
-    """Flat points of feature objects."""
+    """Flat points of feature objects. What has another JSON type than its column's is null and named in wrong_types."""
     get = lambda path, kind: F.try_variant_get("v", path, kind)
+    typed = lambda path, kind: F.when(json_kind(path) == {"string": "text", "double": "number"}[kind], get(path, kind))
     rows = objects.where("kind = 'Feature'")
+    checked = {n: (f"$.properties.{PROPERTIES[n][0]}", "text" if PROPERTIES[n][1] == "string" else "number") for n in ("name", "device_id", "time", "accuracy")}
     flat = rows.select(
         F.col("kind").alias("type"),
         get("$.geometry.type", "string").alias("geometry_type"),
-        get("$.geometry.coordinates[0]", "double").alias("lon"),
-        get("$.geometry.coordinates[1]", "double").alias("lat"),
+        typed("$.geometry.coordinates[0]", "double").alias("lon"),
+        typed("$.geometry.coordinates[1]", "double").alias("lat"),
         (F.size(F.coalesce(get("$.properties", "map<string,variant>"), F.create_map().cast("map<string,variant>"))) > 0).alias("has_properties"),
-        *(get(f"$.properties.{source}", kind).alias(name) for name, (source, kind) in PROPERTIES.items()),
+        *(typed(f"$.properties.{source}", kind).alias(name) for name, (source, kind) in PROPERTIES.items()),
+        wrong_types(checked).alias("wrong_types"),
         F.map_filter(get("$.properties", "map<string,variant>"), lambda k, _: ~k.isin([s for s, _ in PROPERTIES.values()])).alias("__extras"),
     )
     extras = F.transform_values("__extras", lambda _, v: F.to_json(v))
-    return identified(flat.withColumn("extras", extras).drop("__extras"))
+    return with_gyro(identified(flat.withColumn("extras", extras).drop("__extras")))
+
+
+def with_gyro(points: DataFrame) -> DataFrame:
+    """Adds gyro_sum, the sum of the axes' sizes; null unless all three are there."""
+    return points.withColumn("gyro_sum", F.abs("gyro_x") + F.abs("gyro_y") + F.abs("gyro_z"))
 
 
 def identified(points: DataFrame) -> DataFrame:
@@ -61,16 +92,21 @@ def identified(points: DataFrame) -> DataFrame:
     return points.withColumn("subject_id", names.subject_id(F.coalesce("name", F.lit("")))).withColumn("unix_s", F.coalesce(F.floor("unix").cast("long"), parsed)).drop("unix")
 
 
+#: Of flat objects: whether they can be points at all.
+HAS_PLACE = "lat is not null or long is not null"
+
+
 def positive(x: Column) -> Column:
     return F.when(x > 0, x)
 
 
 def legacy_points(objects: DataFrame) -> DataFrame:
     """The older flat format as the same points."""
-    rows = objects.where("kind is null and v is not null").select(F.from_json(F.to_json("v"), LEGACY).alias("p")).select("p.*")
+    checked = {"name": ("$.name", "text"), "device_id": ("$.uuid", "text"), "time": ("$.time", "text"), "accuracy": ("$.accuracy", "number")}
+    rows = objects.where("kind is null and v is not null").select(F.from_json(F.to_json("v"), LEGACY).alias("p"), wrong_types(checked).alias("wrong_types")).select("p.*", "wrong_types")
     note = notes.parsed(F.col("notes"))
-    return identified(
-        rows.where("lat is not null or long is not null").select(
+    flat = identified(
+        rows.where(HAS_PLACE).select(
             F.lit("Feature").alias("type"), F.lit("Point").alias("geometry_type"), F.col("long").alias("lon"), "lat", F.lit(True).alias("has_properties"),
             "name", F.col("uuid").alias("device_id"), "time", F.lit(None).cast("double").alias("unix"), "version",
             truncate(F.col("speed"), 3).alias("speed"), truncate(F.col("elevation"), 2).alias("elevation"), truncate(F.col("heading"), 1).alias("heading"), truncate(F.col("accuracy"), 2).alias("accuracy"),
@@ -80,9 +116,10 @@ def legacy_points(objects: DataFrame) -> DataFrame:
             notes.battery(note)["level"].alias("battery_level"), notes.battery(note)["status"].alias("battery_status"), note["networkInfo"].alias("network_info"),
             note["imgb64"].alias("img_b64"), note["imgS3"].alias("img_s3"),
             note["gyroscopeX"].alias("gyro_x"), note["gyroscopeY"].alias("gyro_y"), note["gyroscopeZ"].alias("gyro_z"),
-            note["accelerometerX"].alias("accel_x"), note["accelerometerY"].alias("accel_y"), note["accelerometerZ"].alias("accel_z"),
+            note["accelerometerX"].alias("accel_x"), note["accelerometerY"].alias("accel_y"), note["accelerometerZ"].alias("accel_z"), "wrong_types",
         )
     )
+    return with_gyro(flat)
 
 
 def to_legacy(points: DataFrame) -> DataFrame:
@@ -92,11 +129,29 @@ def to_legacy(points: DataFrame) -> DataFrame:
 
 
 def decode(messages: DataFrame) -> DataFrame:
-    """All points of a text table, either format; unreadable messages drop (see malformed)."""
+    """All points of a text table, either format; see rejected for what is none."""
     objects = elements(messages)
     return features(objects).unionByName(legacy_points(objects), allowMissingColumns=True)
 
 
+def rejected(messages: DataFrame) -> DataFrame:
+    """(invalid_reason, message, object): every element of a text table that decode gives no point for.
+
+    Blank messages and empty arrays or collections hold nothing and are no
+    elements. Together with decode's rows this is all that the messages hold.
+    """
+    objects = elements(messages)
+    has_place = F.coalesce((json_kind("$.lat") == "number") | (json_kind("$.long") == "number"), F.lit(False))
+    reason = (
+        F.when(F.col("v").isNull() & F.try_parse_json(F.trim("message")).isNull(), UNREADABLE)
+        .when(F.col("v").isNull(), F.lit(None))
+        .when(F.col("kind") == "FeatureCollection", TOO_DEEP)
+        .when(F.col("kind").isNotNull() & (F.col("kind") != "Feature"), UNKNOWN_KIND)
+        .when(F.col("kind").isNull() & ~has_place, NO_PLACE)
+    )
+    return objects.where(F.trim("message") != "").select(reason.alias("invalid_reason"), "message", F.to_json("v").alias("object")).where("invalid_reason is not null")
+
+
 def malformed(messages: DataFrame) -> DataFrame:
     """Messages that are not JSON."""
     return messages.where(F.try_parse_json("value").isNull() & (F.trim("value") != ""))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Battery states of the metrics export.
@@ -49,19 +49,43 @@ def push_layer(points: DataFrame, path: str, source: str, layer: str, append: bo
     points.select(feature_json(points).alias("value")).write.mode("append" if append else "overwrite").option("compression", "gzip").text(f"{path}/{source}/{layer}")
 
 
-def compact_layer(df: DataFrame, path: str, rows_a_file: int = 1_000_000) -> None:
-    """Small edge files rewritten as few canonical ones."""
-    df.write.option("maxRecordsPerFile", rows_a_file).mode("overwrite").text(path)
+def compact_layer(spark: SparkSession, edge: str, canonical: str, files: int, rows_a_file: int = 1_000_000) -> bool:
+    """Once an edge layer has more than so many files, its lines are appended to the canonical layer in few files.
 
+    Returns whether they were; the edge folder is then the caller's to clear.
+    """
+    lines = spark.read.text(edge)
+    if len(lines.inputFiles()) <= files:
+        return False
+    lines.coalesce(max(1, -(-lines.count() // rows_a_file))).write.mode("append").option("compression", "gzip").text(canonical)
+    return True
 
-def metrics(points: DataFrame) -> DataFrame:
-    """Wide rows of the time-series export."""
+
+#: Number fields of the time-series export, where a point has them.
+METRIC_FIELDS = ("lon", "lat", "accuracy", "v_accuracy", "speed", "speed_accuracy", "heading", "heading_accuracy", "elevation", "pressure", "heart_rate", "battery_level", "steps", "distance", "pace", "cadence", "acceleration", "time_offset", "accel_x", "accel_y", "accel_z", "user_accel_x", "user_accel_y", "user_accel_z", "gyro_x", "gyro_y", "gyro_z", "gyro_sum")
+
+
+def metrics(points: DataFrame, measurement: str = "track") -> DataFrame:
+    """Wide rows of the time-series export: tags, time and every number field that the points have."""
     status = F.lit(0)
     if "battery_status" in points.columns:
         for name, number in BATTERY_STATES.items():
             status = F.when(F.lower("battery_status") == name, F.lit(number)).otherwise(status)
-    tags = [F.lit("cattrack").alias("measurement"), "subject_id", "device_id", F.when(F.col("activity") == "", "Unknown").otherwise(F.col("activity")).alias("activity")]
-    return points.select(*tags, F.timestamp_seconds("unix_s").alias("time"), "lon", "lat", "accuracy", "speed", "heading", "elevation", status.alias("battery_state"))
+    tags = [F.lit(measurement).alias("measurement"), *(c for c in ("alias", "name") if c in points.columns), "subject_id", "device_id", F.when(F.col("activity") == "", "Unknown").otherwise(F.col("activity")).alias("activity")]
+    fields = [F.col(c).cast("double").alias(c) for c in METRIC_FIELDS if c in points.columns]
+    return points.select(*tags, F.timestamp_seconds("unix_s").alias("time"), *fields, status.alias("battery_state"))
+
+
+def put_state(rows: DataFrame, path: str, bucket: str, key: str = "key") -> None:
+    """Values by key as a table, one folder a bucket of keys; a bucket is replaced as a whole."""
+    kept = [c for c in rows.columns if c != key]
+    rows.select(F.col(key).cast("string").alias("key"), F.to_json(F.struct(*kept)).alias("value")).write.mode("overwrite").parquet(f"{path}/bucket={bucket}")
+
+
+def get_state(spark: SparkSession, path: str, bucket: str, keys: list[str] | None = None) -> DataFrame:
+    """(key, value) of a bucket: all, or those of the keys."""
+    rows = spark.read.schema("key string, value string").parquet(f"{path}/bucket={bucket}")
+    return rows if keys is None else rows.where(F.col("key").isin(keys))
 
 
 def merge_cells(stored: DataFrame, batch: DataFrame, path: str, visit_gap_s: int, keys: list[str]) -> None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -9,13 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from wayfold.config import Settings
-from wayfold.operators import quality
+from wayfold.config import ACTIVITIES, Settings
+from wayfold.operators import clean, improve, quality
 from wayfold.operators.segments import StayCounter
 from wayfold.sources import ingest
 
 #: transformWithState needs this state store.
 STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+#: Columns that tell one point from another when files are sent again.
+IDENTITY = ["subject_id", "device_id", "unix_s", "lon", "lat"]
 
 
 def arriving(spark: SparkSession, folder: str, files_a_trigger: int = 100) -> DataFrame:
@@ -23,58 +26,72 @@ def arriving(spark: SparkSession, folder: str, files_a_trigger: int = 100) -> Da
     return spark.readStream.schema("value string").option("maxFilesPerTrigger", files_a_trigger).text(folder)
 
 
-def run_batches(messages: DataFrame, checkpoint: str, on_batch: Callable[[DataFrame, int], None], whitelist: list[str] | None = None):
-    """Decodes, validates, dedupes and hands every micro-batch on; returns the running query."""
+def run_batches(messages: DataFrame, checkpoint: str, on_batch: Callable[[DataFrame, int], None], on_rejected: Callable[[DataFrame, int], None], whitelist: list[str] | None = None):
+    """Decodes, validates, dedupes and hands every micro-batch on; returns the running query.
+
+    on_rejected gets (invalid_reason, object) of everything else but exact
+    repeats and subjects outside of the whitelist: unreadable messages, elements
+    that are no points, and invalid points.
+    """
 
     def handle(batch: DataFrame, number: int) -> None:
-        points = ingest.decode(batch)
-        if whitelist:
-            points = ingest.whitelisted(points, whitelist)
-        valid, _ = quality.split_valid(quality.validate(points))
-        on_batch(quality.stamp(quality.sanitize(quality.dedupe(valid, ["subject_id", "device_id", "unix_s", "lon", "lat"])), F.lit(number)), number)
+        batch.persist()
+        try:
+            points = ingest.decode(batch)
+            if whitelist:
+                points = ingest.whitelisted(points, whitelist)
+            valid, bad = quality.split_valid(quality.validate(points))
+            kept = [c for c in bad.columns if c != "invalid_reason"]
+            refused = ingest.rejected(batch).select("invalid_reason", F.coalesce("object", "message").alias("object"))
+            on_rejected(refused.unionByName(bad.select("invalid_reason", F.to_json(F.struct(*kept)).alias("object"))), number)
+            on_batch(quality.stamp(quality.sanitize(quality.dedupe(valid, IDENTITY)), F.lit(number)), number)
+        finally:
+            batch.unpersist()
 
     return messages.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 class OpenSegments(StatefulProcessor):
-    """Emits finished segments of a subject and keeps the open one.
+    """Emits finished segments of a subject and keeps what the open one needs.
 
-    State is a list of the open segment's points, so a segment that spans
-    micro-batches comes out once, as in the batch form over time-ordered input.
+    State is one row: begin, last time, count, and the running centroid or the
+    last activity. A segment that spans micro-batches comes out once, as in the
+    batch form over time-ordered input, and a long one costs no more than a
+    short one.
     """
 
+    STATE = "start_s long, last_s long, count long, x double, y double, n int, code int"
+
     def __init__(self, settings: Settings, kind: str):
         self.settings, self.kind = settings, kind
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.open = handle.getListState("open", "event_id long, unix_s long, lon double, lat double, activity string")
-
-    def numbers(self, rows: pd.DataFrame) -> list[int]:
-        if self.kind == "stay":
-            counter = StayCounter(self.settings)
-            return [counter.add(*p) for p in zip(rows["unix_s"].tolist(), rows["lon"].tolist(), rows["lat"].tolist(), strict=True)]
-        out, k = [], 0
-        names = ["Stationary", "Walking", "Running", "Bike", "Automotive", "Fly"]
-        t, code = rows["unix_s"].tolist(), [names.index(a) if a in names else -1 for a in rows["activity"]]
-        for i in range(len(t)):
-            if i:
-                a, b = code[i - 1], code[i]
-                joined = (1 <= a <= 3 and 1 <= b <= 3) or (1 <= a <= 3 and b == 4) or abs(a - b) <= 1
-                k += t[i] - t[i - 1] > self.settings.move_gap_s or t[i] - t[i - 1] <= -1 or not joined
-            out.append(k)
-        return out
+        self.open = handle.getValueState("open", self.STATE)
+
+    def breaks(self, step: int, code: int, last: int) -> bool:
+        joined = (1 <= last <= 3 and 1 <= code <= 3) or (1 <= last <= 3 and code == 4) or abs(last - code) <= 1
+        return step > self.settings.move_gap_s or step <= -1 or not joined
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        columns = ["event_id", "unix_s", "lon", "lat", "activity"]
-        old = [list(r) for r in self.open.get()] if self.open.exists() else []
-        new = pd.concat(list(rows))[columns].sort_values(["unix_s", "event_id"], kind="stable")
-        points = pd.concat([pd.DataFrame(old, columns=columns), new]) if old else new
-        number = pd.Series(self.numbers(points), index=range(len(points)))
-        points = points.reset_index(drop=True)
-        last = number.iloc[-1]
-        self.open.put([tuple(r) for r in points[number == last].itertuples(index=False, name=None)])
-        done = [points[number == k] for k in sorted(set(number)) if k != last]
-        found = [(key[0], int(p["unix_s"].iloc[0]), int(p["unix_s"].iloc[-1]), len(p)) for p in done if len(p) >= 2]
+        new = pd.concat(list(rows)).sort_values(["unix_s", "event_id"], kind="stable")
+        counter, start, count, last = StayCounter(self.settings), None, 0, -1
+        if self.open.exists():
+            start, counter.t, count, counter.x, counter.y, counter.n, last = self.open.get()
+        codes = [ACTIVITIES.index(a) if a in ACTIVITIES else -1 for a in new["activity"]]
+        found = []
+        for t, lon, lat, code in zip(new["unix_s"].tolist(), new["lon"].tolist(), new["lat"].tolist(), codes, strict=True):
+            before, number = counter.t, counter.stay
+            if self.kind == "stay":
+                cut = counter.add(t, lon, lat) != number
+            else:
+                cut = count > 0 and self.breaks(t - before, code, last)
+                counter.t, last = t, code
+            if cut and count >= 2:
+                found.append((key[0], start, before, count))
+            if cut or not count:
+                start, count = t, 0
+            count += 1
+        self.open.update((start, counter.t, count, counter.x, counter.y, counter.n, last))
         yield pd.DataFrame(found, columns=["subject_id", "start_s", "end_s", "raw_point_count"])
 
     def close(self) -> None:
@@ -86,3 +103,77 @@ def stream_segments(points: DataFrame, kind: str, settings: Settings = Settings(
     return points.groupBy("subject_id").transformWithStateInPandas(
         OpenSegments(settings, kind), "subject_id string, start_s long, end_s long, raw_point_count long", "Append", "None"
     )
+
+
+class Scan(StatefulProcessor):
+    """A sequential scan of each subject's rows whose small state object outlives the micro-batch."""
+
+    def __init__(self, fresh: Callable, step: Callable, columns: tuple[str, ...], result: str):
+        self.fresh, self.step, self.columns, self.result = fresh, step, columns, result
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.kept = handle.getValueState("kept", "data binary")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        new = pd.concat(list(rows)).sort_values(["unix_s", "event_id"], kind="stable")
+        state = pickle.loads(bytes(self.kept.get()[0])) if self.kept.exists() else self.fresh()
+        found = [self.step(state, *values) for values in zip(*(new[c].tolist() for c in self.columns), strict=True)]
+        self.kept.update((pickle.dumps(state),))
+        yield pd.DataFrame({"subject_id": key[0], "event_id": new["event_id"].tolist(), self.result: found})
+
+    def close(self) -> None:
+        pass
+
+
+def _scanned(points: DataFrame, scan: Scan, kind: str) -> DataFrame:
+    return points.groupBy("subject_id").transformWithStateInPandas(scan, f"subject_id string, event_id long, {scan.result} {kind}", "Append", "None")
+
+
+def stream_teleports(points: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """(subject_id, event_id, accepted) of a time-ordered stream of points: the last accepted point is kept across pushes."""
+    scan = Scan(lambda: clean.LastAccepted(settings), clean.LastAccepted.accept, ("unix_s", "lon", "lat", "speed", "time_offset"), "accepted")
+    return _scanned(points, scan, "boolean")
+
+
+def stream_improved(points: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """(subject_id, event_id, activity) of a time-ordered stream of points: averages and modes are kept across pushes."""
+
+    def step(states: dict, device: str, *values) -> str:
+        # A change of device begins anew, as in the batch form.
+        if states.get("device") != device:
+            states.update(device=device, improver=improve.Improver(settings))
+        return states["improver"].row(*values)
+
+    columns = ("device_id", "unix_s", "lon", "lat", "time_offset", "accuracy", "speed", "heading", "activity")
+    return _scanned(points, Scan(dict, step, columns, "activity"), "string")
+
+
+class DeviceWindows(StatefulProcessor):
+    """Drops rows inside what is known of their device, and extends it at the end of each push."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.known = handle.getValueState("known", "first_s long, last_s long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        new = pd.concat(list(rows)).sort_values("event_id", kind="stable")
+        known = tuple(self.known.get()) if self.known.exists() else None
+        low = high = None
+        kept = []
+        for t in new["unix_s"].tolist():
+            stored = known is not None and known[0] < t < known[1]
+            pushed = low is not None and low < t < high
+            kept.append(not stored and not pushed)
+            if low is None:
+                low = high = t
+            elif not stored:
+                low, high = min(low, t), max(high, t)
+        self.known.update((low, high) if known is None else (min(low, known[0]), max(high, known[1])))
+        yield pd.DataFrame({"subject_id": key[0], "device_id": key[1], "event_id": new["event_id"][kept].tolist()})
+
+    def close(self) -> None:
+        pass
+
+
+def stream_unbacktracked(points: DataFrame) -> DataFrame:
+    """(subject_id, device_id, event_id) of the rows of a stream that do not go back into a device's known time."""
+    return points.groupBy("subject_id", "device_id").transformWithStateInPandas(DeviceWindows(), "subject_id string, device_id string, event_id long", "Append", "None")
