@@ -336,21 +336,32 @@ def distinct_evidence(texts: DataFrame) -> DataFrame:
     return texts.join(first, ["__sketch", "__y"]).where((F.col("__text") == F.col("__r.__text")) | ~alike).select("__y", "__text")
 
 
-def insult_words(texts: DataFrame) -> dict[str, str]:
-    """Words and stems that the support and share of toxic texts show to be insults, each strong (I) or medium (K)."""
-    total = texts.agg(F.count("*").alias("n"), F.sum("__y").alias("t")).first()
-    if not total.t or total.t == total.n:
-        return {}
+def insult_words(texts: DataFrame, part: Column) -> tuple[dict[str, str], dict[str, str]]:
+    """Words and stems that the support and share of toxic texts show to be insults, each strong (I) or medium (K).
+
+    Once over all texts and once over a part of them; both come from one count.
+    """
+    sums = lambda y: [F.count("*").alias("n"), F.sum(y).alias("t"), F.count_if("__p").alias("n0"), F.coalesce(F.sum(F.when(F.col("__p"), F.col(y))), F.lit(0)).alias("t0")]
+    texts = texts.withColumn("__p", part)
+    total = texts.agg(*sums("__y")).first()
     words = F.array_distinct(F.regexp_extract_all(F.translate(F.lower("__text"), "’", "'"), F.lit(r"([\p{L}\p{Nd}]+(?:'[\p{L}\p{Nd}]+)*)"), F.lit(1)))
     stem = lambda n: F.transform(F.filter(words, lambda w: F.length(w) > n), lambda w: F.concat(F.substring(w, 1, n), F.lit("*")))
     stems = F.array_distinct(F.concat(*(stem(n) for n in STEMS)))
-    each = texts.select("__y", F.explode(F.concat(words, stems)).alias("w"))
-    counted = each.groupBy("w").agg(F.count("*").alias("n"), F.sum("__y").alias("t"))
-    enough = lambda support, share: (F.col("t") >= max(support, MIN_RATE * total.t)) & (F.col("t") >= share * F.col("n"))
-    least = F.when(F.col("w").endswith("*"), enough(STEM_SUPPORT, STEM_SHARE)).otherwise(enough(MIN_SUPPORT, MIN_SHARE))
-    prior = math.log(total.t / (total.n - total.t))
-    odds = lambda r: math.log((r.t + 0.5) / (r.n - r.t + 0.5)) - prior
-    return {r.w: "I" if odds(r) >= STRONG else "K" for r in counted.where(least).orderBy("w").collect()}
+    counted = texts.select("__y", "__p", F.explode(F.concat(words, stems)).alias("w")).groupBy("w").agg(*sums("__y"))
+
+    def enough(n: str, t: str, whole: int | None) -> Column:
+        reach = lambda support, share: (F.col(t) >= max(support, MIN_RATE * (whole or 0))) & (F.col(t) >= share * F.col(n))
+        return F.when(F.col("w").endswith("*"), reach(STEM_SUPPORT, STEM_SHARE)).otherwise(reach(MIN_SUPPORT, MIN_SHARE))
+
+    kinds = (("n", "t", total.n, total.t), ("n0", "t0", total.n0, total.t0))
+    marked = counted.select("*", *(enough(n, t, whole).alias(f"ok_{n}") for n, t, _, whole in kinds)).where("ok_n or ok_n0")
+    found: tuple[dict[str, str], dict[str, str]] = ({}, {})
+    for row in marked.orderBy("w").collect():
+        for out, (n, t, size, toxic) in zip(found, kinds, strict=True):
+            if row[f"ok_{n}"] and toxic < size:  # without clean texts nothing tells insults from other words
+                odds = math.log((row[t] + 0.5) / (row[n] - row[t] + 0.5)) - math.log(toxic / (size - toxic))
+                out[row.w] = "I" if odds >= STRONG else "K"
+    return found
 
 
 def path_weights(texts: DataFrame, model: Model) -> dict[str, float]:
@@ -380,8 +391,8 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, id_col: str = "doc
     texts = docs.select(F.col(id_col).alias("__d"), F.col(text_col).alias("__text")).join(F.broadcast(known), F.col("__d") == F.col("__l"))
     texts = materialize(distinct_evidence(texts.select("__y", F.coalesce("__text", F.lit("")).alias("__text"))), "evidence")
     half = F.pmod(F.xxhash64("__text"), F.lit(2))
-    first = default_model(insult_words(texts.where(half == 0)))
-    return Model(insult_words(texts), path_weights(texts.where(half == 1), first))
+    words, first = insult_words(texts, half == 0)
+    return Model(words, path_weights(texts.where(half == 1), default_model(first)))
 
 
 def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
