@@ -509,3 +509,31 @@ def test_pipeline_against_brute_force(spark):
         row = (k, len(ids), hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
         want += [row] * epochs.get(k, 0)
     assert sorted(map(tuple, corpus_pipeline.run(spark, SF).collect())) == sorted(want) and want
+
+
+def test_empty_tables_and_repeated_rows(spark):
+    none = frame(spark, ["x"]).where("false")
+    labels = spark.createDataFrame([], LABEL)
+    model = toxicity.fit(none, labels, F.lit(True))
+    assert model.words == {} and model.weights == toxicity.default_model().weights and toxicity.classify(none, model).count() == 0
+    assert pii.replace_documents(none, "k", with_entities=True).count() == 0
+    assert langid.fit(none, F.lit(True)) == {} and langid.identify(none, {}).count() == 0
+    twice = frame(spark, ["You are an idiot. Mr. John Smith", "You are an idiot. Mr. John Smith"])
+    assert len({r.score for r in toxicity.classify(twice, model).collect()}) == 1
+    assert len({r.text for r in pii.replace_documents(twice, "k").collect()}) == 1
+
+
+def test_near_copies_by_blocks_alone(spark, monkeypatch):
+    monkeypatch.setattr(near, "FEW_SETS", 1)
+    monkeypatch.setattr(near, "BLOCK_SETS", 3)
+    monkeypatch.setattr(near, "HUB_ROUNDS", 1)
+    rng = random.Random(3)
+    base, texts = [f"w{rng.randrange(5_000)}" for _ in range(150)], []
+    for _ in range(24):  # alike texts, some near copies of each other and some not
+        words = list(base)
+        for _ in range(rng.randint(0, 12)):
+            words[rng.randrange(150)] = f"x{rng.randrange(9_999)}"
+        texts.append(" ".join(words))
+    docs = frame(spark, texts)
+    want = sorted(k for k, _ in brute_near(list(enumerate(texts))))
+    assert sorted(r.doc_id for r in near.keep_one(docs).collect()) == want and 1 < len(want) < 24
