@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold.scratch import materialize, scratch_dir
 
-__all__ = ["SPACE_CLASS", "WORD_CLASS", "crc_mod", "double_literal", "free_prefix", "let", "materialize", "scratch_dir", "words_of"]
+__all__ = ["SPACE_CLASS", "WORD_CLASS", "crc_mod", "double_literal", "free_prefix", "let", "materialize", "number_rows", "scratch_dir", "words_of"]
 
 #: The word separators of the contracts: space and \x09-\x0D, nothing else.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
@@ -47,3 +47,22 @@ def double_literal(values: Iterable[float]) -> Column:
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n (null id: null)."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n
+
+
+def number_rows(df: DataFrame, order: list[Column], name: str, into: str) -> DataFrame:
+    """Adds a gapless long from 0 by an order over all rows, without a task that sees them all.
+
+    Rows are sorted over range partitions and written with their place in their
+    partition; only the partitions' sizes are summed up and broadcast. An order
+    that ends with a column of distinct values splits any group of ties.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = free_prefix([*df.columns, into])
+    place = F.col(f"{own}place")
+    kept = materialize(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn(f"{own}place", F.monotonically_increasing_id()), name)
+    part = F.shiftright(place, 33).alias(f"{own}part")
+    sizes = kept.groupBy(part).agg(F.count("*").alias(f"{own}n"))
+    before = F.coalesce(F.sum(f"{own}n").over(Window.orderBy(f"{own}part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select(f"{own}part", before.alias(f"{own}before"))
+    found = kept.withColumn(f"{own}part", part).join(F.broadcast(starts), f"{own}part")
+    return found.withColumn(into, F.col(f"{own}before") + place.bitwiseAND(F.lit((1 << 33) - 1))).drop(f"{own}part", f"{own}place", f"{own}before")
