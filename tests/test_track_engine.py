@@ -193,15 +193,23 @@ def messages(spark, texts):
     return spark.createDataFrame([(t,) for t in texts], "value string")
 
 
-def test_collections_in_collections(spark):
+@pytest.mark.parametrize("depth", [1, 2, 9, 200])
+def test_collections_in_collections(spark, depth):
     now = FEATURE
-    for depth in range(1, ingest.NESTED + 2):
+    for _ in range(depth):
         now = {"type": "FeatureCollection", "features": [now, FEATURE]}
-        df = messages(spark, [json.dumps(now)])
-        # Every level adds a point; what is deeper than the limit is refused, not lost.
-        deep = depth > ingest.NESTED
-        assert ingest.decode(df).count() == (ingest.NESTED if deep else depth + 1)
-        assert [r.invalid_reason for r in ingest.rejected(df).collect()] == ([ingest.TOO_DEEP] if deep else [])
+    df = messages(spark, [json.dumps(now), json.dumps([now])])
+    # Every level adds a point.
+    assert ingest.decode(df).count() == 2 * (depth + 1) and ingest.rejected(df).count() == 0
+
+
+def test_collections_without_features_and_odd_types(spark):
+    texts = ['{"type":"FeatureCollection"}', json.dumps([{"type": "FeatureCollection", "features": None}, {"type": "FeatureCollection", "features": FEATURE}]), "[" * 100_000, '{"type":"Feature\\u0043ollection","features":[]}', '{"type":"Feature","geometry":"x","properties":5}']
+    texts.append(json.dumps(dict(FEATURE, properties=dict(FEATURE["properties"], UnixTime="1704067200"))))
+    df = messages(spark, texts)
+    assert sorted(r.invalid_reason for r in ingest.rejected(df).collect()) == [ingest.TOO_DEEP, ingest.TOO_DEEP, ingest.NO_FEATURES]
+    points = quality.validate(ingest.decode(df))
+    assert sorted(str(r.invalid_reason) for r in points.collect()) == ["None", "empty", "times differ"]
 
 
 def test_every_element_is_accounted_for(spark):
@@ -403,6 +411,32 @@ def test_stream_of_device_windows(spark, points, tmp_path):
     assert rows_of(got, "event_id") == rows_of(late, "event_id")
 
 
+def stored_keys(rows):
+    return sorted((r.subject_id, r.unix_s, r.accuracy, r.speed, r.lon) for r in rows)
+
+
+def test_stream_accounts_for_generated_faults(spark, tmp_path):
+    """Messages in = stored + repeats + refused, in one push or several, as in the batch form."""
+    texts = [r.value for r in queries.message_texts(spark, SF).collect()]
+    unlike = [dict(FEATURE, properties=dict(FEATURE["properties"], Accuracy=a, Speed=v)) for a, v in ((5.0, 1.0), (5.0, 2.0), (6.0, 1.0))]
+    texts += [json.dumps(unlike), json.dumps(unlike[0]), json.dumps({"type": "FeatureCollection", "features": unlike[:2]})]
+    (tmp_path / "in").mkdir()
+    for k in range(3):
+        again = texts if k == 0 else texts[k::3]
+        (tmp_path / "in" / f"{k}.json").write_text("\n".join(again))
+    every = spark.read.text(str(tmp_path / "in"))
+    stored, refused = [], []
+    stream = streaming.arriving(spark, str(tmp_path / "in"), 1)
+    query = streaming.run_batches(stream, str(tmp_path / "cp"), lambda df, n: stored.extend(df.collect()), lambda df, n: refused.extend(df.collect()))
+    query.awaitTermination(240)
+    query.stop()
+    batch, _, bad = pipeline.admit(ingest.decode(every))
+    assert stored_keys(stored) == stored_keys(batch.collect())
+    plain = sorted([r.invalid_reason for r in bad.collect()] + [r.invalid_reason for r in ingest.rejected(every).collect()])
+    assert sorted(r.invalid_reason for r in refused) == plain and all(r.object for r in refused)
+    assert len([r for r in stored if r.subject_id == "tester"]) == 3
+
+
 def test_stream_drops_repeats_within_the_watermark(spark, points, tmp_path):
     rows = points.select("event_id", "subject_id", "unix_s").withColumn("ts", F.timestamp_seconds("unix_s"))
     stream = in_pieces(spark, rows.unionByName(rows), tmp_path / "in", pieces=2)

@@ -33,7 +33,7 @@ def invalid_reason(subject: str | None = None, typed: bool = False) -> Column:
         ("device not text", wrong("device_id")),
         ("no device", F.col("device_id").isNull()),
         ("no time", F.coalesce("unix_s", parsed).isNull()),
-        ("times differ", apart | (wrong("time") & F.col("unix_s").isNotNull())),
+        ("times differ", apart | (wrong("time") & F.col("unix_s").isNotNull()) | (wrong("unix") & F.col("time").isNotNull())),
         ("accuracy not a number", wrong("accuracy")),
         ("no accuracy", F.col("accuracy").isNull()),
     ]
@@ -52,7 +52,7 @@ def split_valid(points: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def dedupe(points: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Exact duplicates removed, the time of receipt aside; streams use dedupe_stream."""
+    """Exact duplicates removed, the time of receipt aside; streams use dedupe_arriving."""
     if columns:
         return points.dropDuplicates(columns)
     kinds = dict(points.dtypes)
@@ -62,10 +62,31 @@ def dedupe(points: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return keyed.dropDuplicates(keys).select(*points.columns)
 
 
+def row_digest(points: DataFrame) -> Column:
+    """A digest of whole rows, the time of receipt aside: equal for exact repeats alone, whatever the order of map entries."""
+    kinds = dict(points.dtypes)
+    names = sorted(c for c in points.columns if c != "received_at")
+    return F.sha2(F.to_json(F.struct(*(F.array_sort(F.map_entries(c)).alias(c) if kinds[c].startswith("map<") else F.col(c) for c in names))), 256)
+
+
 def dedupe_stream(points: DataFrame, columns: list[str], delay: str = "1 hour") -> DataFrame:
+    """First rows by some columns of a stream with a time ts; rows behind the watermark drop out."""
     return points.withWatermark("ts", delay).dropDuplicatesWithinWatermark(columns)
 
 
+def dedupe_arriving(points: DataFrame, remember: str = "1 day", unless: Column | None = None) -> DataFrame:
+    """A stream without exact repeats of rows that came within the last so long, in this push or an earlier one.
+
+    The clock is the time of arrival, so points of the past are never late.
+    Rows for which unless holds are kept, however often they come.
+    """
+    key = row_digest(points)
+    if unless is not None:
+        key = F.when(unless, F.uuid()).otherwise(key)
+    rows = points.withColumn("__key", key).withColumn("__arrived", F.current_timestamp())
+    return rows.withWatermark("__arrived", remember).dropDuplicatesWithinWatermark(["__key"]).drop("__key", "__arrived")
+
+
 def sanitize(points: DataFrame) -> DataFrame:
     """Whole-number accuracy; an alias where there is none; an id of the feature's own reset; null extras dropped."""
     out = points.withColumn("accuracy", truncate(F.col("accuracy")))

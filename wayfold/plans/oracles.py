@@ -156,8 +156,8 @@ better AS (SELECT * EXCLUDE (act, accel, activity), {[*ACTIVITIES, "Unknown"]}[C
 
 
 ALL_LEVELS = "[0] || range(3, 18)"
-FAULTS = """CASE WHEN event_id % 43 = 0 THEN 'not readable' WHEN event_id % 47 = 0 THEN 'unknown type' WHEN event_id % 59 = 0 THEN 'no place' WHEN event_id % 23 = 0 THEN 'not a point'
-  WHEN event_id % 19 = 0 THEN 'no properties' WHEN event_id % 29 = 0 THEN 'name not text' WHEN event_id % 31 = 0 THEN 'device not text' WHEN event_id % 37 = 0 THEN 'times differ' WHEN event_id % 41 = 0 THEN 'accuracy not a number' ELSE 'valid' END"""
+FAULTS = """CASE WHEN event_id % 43 = 0 THEN 'not readable' WHEN event_id % 47 = 0 THEN 'unknown type' WHEN event_id % 59 = 0 THEN 'no place' WHEN event_id % 67 = 0 THEN 'no features' WHEN event_id % 23 = 0 THEN 'not a point'
+  WHEN event_id % 19 = 0 THEN 'no properties' WHEN event_id % 29 = 0 THEN 'name not text' WHEN event_id % 31 = 0 THEN 'device not text' WHEN event_id % 37 = 0 OR event_id % 61 = 0 THEN 'times differ' WHEN event_id % 41 = 0 THEN 'accuracy not a number' ELSE 'valid' END"""
 HALVES = "CASE WHEN lon >= -113.0 AND lon < -112.5 AND lat >= 47.0 AND lat < 47.25 THEN CASE WHEN lat - 47.0 < (lon + 113.0) / 2 THEN 'low' ELSE 'high' END END"
 
 

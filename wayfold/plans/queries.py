@@ -84,23 +84,28 @@ def message_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     stamp = F.date_format(F.timestamp_seconds("unix_s"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     name, device = F.when(every(29), "7").otherwise(quoted(F.col("subject_id"))), F.when(every(31), "42").otherwise(quoted(F.col("device_id")))
     time, accuracy = F.when(every(37), '"bad"').otherwise(quoted(stamp)), F.when(every(41), '"5"').otherwise(F.col("accuracy").cast("string"))
+    unix = F.when(every(61) & ~every(37), quoted(F.col("unix_s").cast("string"))).otherwise(F.col("unix_s").cast("string"))
     text = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
-    properties = F.when(every(19), "{}").otherwise(text('{"Name":', name, ',"UUID":', device, ',"Time":', time, ',"UnixTime":', F.col("unix_s").cast("string"), ',"Accuracy":', accuracy, ',"Odd":null}'))
+    properties = F.when(every(19), "{}").otherwise(text('{"Name":', name, ',"UUID":', device, ',"Time":', time, ',"UnixTime":', unix, ',"Accuracy":', accuracy, ',"Odd":null}'))
     place = text("[", F.col("lon").cast("string"), ",", F.col("lat").cast("string"), "]")
     geometry = F.when(every(23), text('{"type":"LineString","coordinates":[', place, "]}")).otherwise(text('{"type":"Point","coordinates":', place, "}"))
     feature = text('{"type":"Feature","geometry":', geometry, ',"properties":', properties, "}")
     collection = lambda x: text('{"type":"FeatureCollection","features":[', x, "]}")
-    whole = F.when(every(7), text("[", collection(collection(feature)), "]")).when(every(3), collection(feature)).otherwise(feature)
-    value = F.when(every(43), "malformed {").when(every(47), '{"type":"Other"}').when(every(59), '{"uuid":"x","name":"n"}').otherwise(whole)
-    return tracks(spark, sf_dir).select("event_id", value.alias("value"))
+    deep = feature
+    for _ in range(12):
+        deep = collection(deep)
+    whole = F.when(every(11), deep).when(every(7), text("[", collection(collection(feature)), "]")).when(every(3), collection(feature)).otherwise(feature)
+    value = F.when(every(43), "malformed {").when(every(47), '{"type":"Other"}').when(every(59), '{"uuid":"x","name":"n"}').when(every(67), '{"type":"FeatureCollection"}').otherwise(whole)
+    # A generated column is computed once, however often ingest looks at it, as the text of a file would be.
+    return tracks(spark, sf_dir).select("event_id", F.explode(F.array(value)).alias("value"))
 
 
 @query
 def ingest_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What becomes of JSON messages: valid points, and everything refused by its reason."""
     texts = message_texts(spark, sf_dir)
-    judged = quality.validate(ingest.decode(texts)).select(F.coalesce("invalid_reason", F.lit("valid")).alias("reason"))
-    return judged.unionByName(ingest.rejected(texts).select(F.col("invalid_reason").alias("reason"))).groupBy("reason").agg(F.count("*").alias("n"))
+    reason = F.coalesce("unfit", quality.invalid_reason(typed=True), F.lit("valid"))
+    return ingest.sorted_out(texts).groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
 
 
 @query

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wayfold.functions import names, notes
 from wayfold.functions.num import truncate
 
-#: How deep collections may stand inside collections.
-NESTED = 8
 #: What is said about elements that are no points.
-UNREADABLE, UNKNOWN_KIND, TOO_DEEP, NO_PLACE = "not readable", "unknown type", "nested too deeply", "no place"
+UNREADABLE, UNKNOWN_KIND, TOO_DEEP, NO_PLACE, NO_FEATURES = "not readable", "unknown type", "nested too deeply", "no place", "no features"
 
 # Declared, so that readers never infer; unknown properties stay in extras.
 PROPERTIES = {
@@ -32,26 +34,83 @@ def read_messages(spark: SparkSession, path: str | list[str], whole: bool = Fals
     return spark.read.text(path, wholetext=whole)
 
 
-def elements(messages: DataFrame, depth: int = NESTED) -> DataFrame:
-    """Objects of messages: arrays are taken apart, and collections with what is nested in them, to a depth; others pass.
+#: What one parse of an object gives. Values keep their JSON types, so that a text is not taken for a number.
+OBJECT = (
+    "type variant, geometry struct<type variant, coordinates variant>, properties struct<" + ", ".join(f"{source} variant" for source, _ in PROPERTIES.values()) + ">, "
+    "name variant, uuid variant, time variant, accuracy variant, lat variant, `long` variant, _corrupt_record string"
+)
+
+
+def elements_of(text: str) -> list[dict]:
+    """(object, reason) of every element of a message, collections taken apart however deep they stand in one another."""
+    try:
+        root = json.loads(text)
+    except RecursionError:
+        return [{"object": text, "reason": TOO_DEEP}]
+    except ValueError:
+        return [{"object": None, "reason": UNREADABLE}]
+    found, open_ = [], list(reversed(root)) if isinstance(root, list) else [root]
+    while open_:
+        now, reason = open_.pop(), None
+        if isinstance(now, dict) and now.get("type") == "FeatureCollection":
+            inner = now.get("features")
+            if "features" in now:
+                open_.extend(reversed(inner) if isinstance(inner, list) else [] if inner is None else [inner])
+                continue
+            reason = NO_FEATURES
+        try:
+            found.append({"object": json.dumps(now, ensure_ascii=False), "reason": reason})
+        except RecursionError:
+            found.append({"object": text, "reason": TOO_DEEP})
+    return found
+
+
+#: The result of taking a message apart.
+APART = T.ArrayType(T.StructType([T.StructField("object", T.StringType()), T.StructField("reason", T.StringType())]))
+
+
+@F.pandas_udf(APART)
+def taken_apart(texts: pd.Series) -> pd.Series:
+    return texts.map(elements_of)
+
+
+def elements(messages: DataFrame) -> DataFrame:
+    """(message, object, reason): the elements of messages as texts; a reason where one cannot be taken further.
+
+    Only arrays and what names a collection are taken apart; a plain object is
+    its own text. Blank messages and empty arrays or collections hold nothing
+    and give no rows; a collection without features is refused. A value of
+    features that is no array counts as its only element.
+    """
+    text = F.trim("value")
+    several = text.startswith("[") | F.contains(text, F.lit("FeatureCollection"))
+    plain = messages.where(~several & (text != "")).select(F.col("value").alias("message"), text.alias("object"), F.lit(None).cast("string").alias("reason"))
+    apart = messages.where(several).select(F.col("value").alias("message"), F.explode(taken_apart(text)).alias("e")).select("message", "e.*")
+    return plain.unionByName(apart)
+
+
+def _once(df: DataFrame, **values: Column) -> DataFrame:
+    """Adds columns that are computed once a row. Merely named ones are inlined by the optimizer wherever they are used, in filters too; generated ones are not."""
+    return df.select("*", F.inline(F.array(F.struct(*(v.alias(n) for n, v in values.items())))))
+
 
-    kind is the object's type. Malformed and blank text gives one row without
-    object; a collection deeper than the limit stays one object.
+def parsed(objects: DataFrame) -> DataFrame:
+    """Adds v, the parse by the declared schema, every, all properties, and kind, the object's type.
+
+    v is null where the element is no readable JSON; only those that do not fit
+    the schema are read a second time to tell.
     """
-    top = F.try_parse_json(F.trim("value"))
-    is_array = F.schema_of_variant(top).startswith("ARRAY")
-    items = F.when(is_array, F.expr("cast(try_parse_json(trim(value)) as array<variant>)")).otherwise(F.array(top))
-    now = messages.select(F.col("value").alias("message"), F.explode_outer(items).alias("v"))
-    for _ in range(depth):
-        kind = F.try_variant_get("v", "$.type", "string")
-        inner = F.when(kind == "FeatureCollection", F.try_variant_get("v", "$.features", "array<variant>")).otherwise(F.array("v"))
-        now = now.select("message", F.explode_outer(inner).alias("v"))
-    return now.select("message", "v", F.try_variant_get("v", "$.type", "string").alias("kind"))
-
-
-def json_kind(path: str) -> Column:
-    """text, number, or the variant's own name of what stands at a path of v; null where nothing does."""
-    own = F.schema_of_variant(F.try_variant_get("v", path, "variant"))
+    rows = _once(objects, read=F.from_json("object", OBJECT), every=F.from_json("object", "properties map<string,variant>")["properties"])
+    bad = F.col("read._corrupt_record").isNotNull() & F.try_parse_json("object").isNull() | F.col("reason").isNotNull()
+    rows = _once(rows, v=F.when(~bad, F.col("read"))).drop("read")
+    rows = rows.withColumn("kind", F.try_variant_get("v.type", "$", "string"))
+    flat = F.col("kind").isNull() & F.col("v").isNotNull()
+    return _once(rows, flat=F.when(flat, F.from_json("object", LEGACY)))
+
+
+def json_kind(value: str | Column) -> Column:
+    """text, number, or the variant's own name; null where nothing stands."""
+    own = F.schema_of_variant(value)
     return F.when(own == "STRING", "text").when(own.isin("BIGINT", "DOUBLE", "FLOAT") | own.startswith("DECIMAL"), "number").when(own != "VOID", own)
 
 
@@ -61,24 +120,21 @@ def wrong_types(paths: dict[str, tuple[str, str]]) -> Column:
     return F.array_compact(F.array(*each))
 
 
-def features(objects: DataFrame) -> DataFrame:
-    """Flat points of feature objects. What has another JSON type than its column's is null and named in wrong_types."""
-    get = lambda path, kind: F.try_variant_get("v", path, kind)
-    typed = lambda path, kind: F.when(json_kind(path) == {"string": "text", "double": "number"}[kind], get(path, kind))
-    rows = objects.where("kind = 'Feature'")
-    checked = {n: (f"$.properties.{PROPERTIES[n][0]}", "text" if PROPERTIES[n][1] == "string" else "number") for n in ("name", "device_id", "time", "accuracy")}
-    flat = rows.select(
-        F.col("kind").alias("type"),
-        get("$.geometry.type", "string").alias("geometry_type"),
-        typed("$.geometry.coordinates[0]", "double").alias("lon"),
-        typed("$.geometry.coordinates[1]", "double").alias("lat"),
-        (F.size(F.coalesce(get("$.properties", "map<string,variant>"), F.create_map().cast("map<string,variant>"))) > 0).alias("has_properties"),
-        *(typed(f"$.properties.{source}", kind).alias(name) for name, (source, kind) in PROPERTIES.items()),
-        wrong_types(checked).alias("wrong_types"),
-        F.map_filter(get("$.properties", "map<string,variant>"), lambda k, _: ~k.isin([s for s, _ in PROPERTIES.values()])).alias("__extras"),
-    )
-    extras = F.transform_values("__extras", lambda _, v: F.to_json(v))
-    return with_gyro(identified(flat.withColumn("extras", extras).drop("__extras")))
+def typed(value: str | Column, kind: str) -> Column:
+    """A variant as string or double; null where it holds another JSON type."""
+    return F.when(json_kind(value) == {"string": "text", "double": "number"}[kind], F.try_variant_get(value, "$", kind))
+
+
+def feature_columns() -> dict[str, Column]:
+    """A point's columns from a parsed feature. What has another JSON type than its column's is null and named in wrong_types."""
+    checked = {n: (f"v.properties.{PROPERTIES[n][0]}", "text" if PROPERTIES[n][1] == "string" else "number") for n in ("name", "device_id", "time", "unix", "accuracy")}
+    place = lambda k: F.try_variant_get("v.geometry.coordinates", f"$[{k}]", "variant")
+    others = F.map_filter("every", lambda k, _: ~k.isin([s for s, _ in PROPERTIES.values()]))
+    return {
+        "type": F.col("kind"), "geometry_type": F.try_variant_get("v.geometry.type", "$", "string"), "lon": typed(place(0), "double"), "lat": typed(place(1), "double"),
+        "has_properties": F.coalesce(F.size("every") > 0, F.lit(False)), **{name: typed(f"v.properties.{source}", kind) for name, (source, kind) in PROPERTIES.items()},
+        "wrong_types": wrong_types(checked), "extras": F.transform_values(others, lambda _, v: F.to_json(v)),
+    }
 
 
 def with_gyro(points: DataFrame) -> DataFrame:
@@ -92,34 +148,31 @@ def identified(points: DataFrame) -> DataFrame:
     return points.withColumn("subject_id", names.subject_id(F.coalesce("name", F.lit("")))).withColumn("unix_s", F.coalesce(F.floor("unix").cast("long"), parsed)).drop("unix")
 
 
-#: Of flat objects: whether they can be points at all.
-HAS_PLACE = "lat is not null or long is not null"
+def has_place() -> Column:
+    """Of flat objects: whether they can be points at all."""
+    return F.coalesce((json_kind("v.lat") == "number") | (json_kind("v.long") == "number"), F.lit(False))
 
 
 def positive(x: Column) -> Column:
     return F.when(x > 0, x)
 
 
-def legacy_points(objects: DataFrame) -> DataFrame:
-    """The older flat format as the same points."""
-    checked = {"name": ("$.name", "text"), "device_id": ("$.uuid", "text"), "time": ("$.time", "text"), "accuracy": ("$.accuracy", "number")}
-    rows = objects.where("kind is null and v is not null").select(F.from_json(F.to_json("v"), LEGACY).alias("p"), wrong_types(checked).alias("wrong_types")).select("p.*", "wrong_types")
-    note = notes.parsed(F.col("notes"))
-    flat = identified(
-        rows.where(HAS_PLACE).select(
-            F.lit("Feature").alias("type"), F.lit("Point").alias("geometry_type"), F.col("long").alias("lon"), "lat", F.lit(True).alias("has_properties"),
-            "name", F.col("uuid").alias("device_id"), "time", F.lit(None).cast("double").alias("unix"), "version",
-            truncate(F.col("speed"), 3).alias("speed"), truncate(F.col("elevation"), 2).alias("elevation"), truncate(F.col("heading"), 1).alias("heading"), truncate(F.col("accuracy"), 2).alias("accuracy"),
-            positive(F.col("vAccuracy")).alias("v_accuracy"), positive(F.col("speed_accuracy")).alias("speed_accuracy"), positive(F.col("heading_accuracy")).alias("heading_accuracy"),
-            F.coalesce(positive(F.col("heartrate")), positive(notes.heart_rate(note["heartRateS"]))).alias("heart_rate"),
-            note["activity"].alias("activity"), positive(note["numberOfSteps"]).alias("steps"), positive(note["pressure"]).alias("pressure"), positive(note["distance"]).alias("distance"),
-            notes.battery(note)["level"].alias("battery_level"), notes.battery(note)["status"].alias("battery_status"), note["networkInfo"].alias("network_info"),
-            note["imgb64"].alias("img_b64"), note["imgS3"].alias("img_s3"),
-            note["gyroscopeX"].alias("gyro_x"), note["gyroscopeY"].alias("gyro_y"), note["gyroscopeZ"].alias("gyro_z"),
-            note["accelerometerX"].alias("accel_x"), note["accelerometerY"].alias("accel_y"), note["accelerometerZ"].alias("accel_z"), "wrong_types",
-        )
-    )
-    return with_gyro(flat)
+def legacy_columns() -> dict[str, Column]:
+    """A point's columns from an object of the older flat format."""
+    checked = {"name": ("v.name", "text"), "device_id": ("v.uuid", "text"), "time": ("v.time", "text"), "accuracy": ("v.accuracy", "number")}
+    p = lambda name: F.col(f"flat.{name}")
+    note = notes.parsed(p("notes"))
+    return {
+        "type": F.lit("Feature"), "geometry_type": F.lit("Point"), "lon": p("long"), "lat": p("lat"), "has_properties": F.lit(True),
+        "name": p("name"), "device_id": p("uuid"), "time": p("time"), "version": p("version"),
+        "speed": truncate(p("speed"), 3), "elevation": truncate(p("elevation"), 2), "heading": truncate(p("heading"), 1), "accuracy": truncate(p("accuracy"), 2),
+        "v_accuracy": positive(p("vAccuracy")), "speed_accuracy": positive(p("speed_accuracy")), "heading_accuracy": positive(p("heading_accuracy")),
+        "heart_rate": F.coalesce(positive(p("heartrate")), positive(notes.heart_rate(note["heartRateS"]))),
+        "activity": note["activity"], "steps": positive(note["numberOfSteps"]), "pressure": positive(note["pressure"]), "distance": positive(note["distance"]),
+        "battery_level": notes.battery(note)["level"], "battery_status": notes.battery(note)["status"], "network_info": note["networkInfo"],
+        "img_b64": note["imgb64"], "img_s3": note["imgS3"], "gyro_x": note["gyroscopeX"], "gyro_y": note["gyroscopeY"], "gyro_z": note["gyroscopeZ"],
+        "accel_x": note["accelerometerX"], "accel_y": note["accelerometerY"], "accel_z": note["accelerometerZ"], "wrong_types": wrong_types(checked),
+    }
 
 
 def to_legacy(points: DataFrame) -> DataFrame:
@@ -128,28 +181,34 @@ def to_legacy(points: DataFrame) -> DataFrame:
     return points.select(F.col("device_id").alias("uuid"), "name", "lat", F.col("lon").alias("long"), "accuracy", "speed", "heading", "elevation", stamp.alias("time"), F.to_json(F.struct("activity")).alias("notes"))
 
 
+def sorted_out(messages: DataFrame) -> DataFrame:
+    """Every element of a text table, read once: message, object (text), unfit (why it is no point, else null) and a point's columns."""
+    rows = parsed(elements(messages))
+    unfit = (
+        F.when(F.col("reason").isNotNull(), F.col("reason"))
+        .when(F.col("v").isNull(), UNREADABLE)
+        .when(F.col("kind") == "FeatureCollection", TOO_DEEP)  # its name is spelled so that it was not seen
+        .when(F.col("kind").isNotNull() & (F.col("kind") != "Feature"), UNKNOWN_KIND)
+        .when(F.col("kind").isNull() & ~has_place(), NO_PLACE)
+    )
+    feature, flat = feature_columns(), legacy_columns()
+    names = list(dict.fromkeys([*feature, *flat]))
+    either = [F.when(F.col("kind") == "Feature", feature[n]).when(F.col("kind").isNull(), flat[n]) if n in feature and n in flat else F.when(F.col("kind") == "Feature", feature[n]) if n in feature else F.when(F.col("kind").isNull(), flat[n]) for n in names]
+    shown = F.when(F.coalesce(unfit != UNREADABLE, F.lit(True)), F.col("object"))
+    return with_gyro(identified(rows.select("message", shown.alias("object"), unfit.alias("unfit"), *(c.alias(n) for n, c in zip(names, either, strict=True)))))
+
+
 def decode(messages: DataFrame) -> DataFrame:
     """All points of a text table, either format; see rejected for what is none."""
-    objects = elements(messages)
-    return features(objects).unionByName(legacy_points(objects), allowMissingColumns=True)
+    return sorted_out(messages).where("unfit is null").drop("message", "object", "unfit")
 
 
 def rejected(messages: DataFrame) -> DataFrame:
     """(invalid_reason, message, object): every element of a text table that decode gives no point for.
 
-    Blank messages and empty arrays or collections hold nothing and are no
-    elements. Together with decode's rows this is all that the messages hold.
+    Together with decode's rows this is all that the messages hold.
     """
-    objects = elements(messages)
-    has_place = F.coalesce((json_kind("$.lat") == "number") | (json_kind("$.long") == "number"), F.lit(False))
-    reason = (
-        F.when(F.col("v").isNull() & F.try_parse_json(F.trim("message")).isNull(), UNREADABLE)
-        .when(F.col("v").isNull(), F.lit(None))
-        .when(F.col("kind") == "FeatureCollection", TOO_DEEP)
-        .when(F.col("kind").isNotNull() & (F.col("kind") != "Feature"), UNKNOWN_KIND)
-        .when(F.col("kind").isNull() & ~has_place, NO_PLACE)
-    )
-    return objects.where(F.trim("message") != "").select(reason.alias("invalid_reason"), "message", F.to_json("v").alias("object")).where("invalid_reason is not null")
+    return sorted_out(messages).where("unfit is not null").select(F.col("unfit").alias("invalid_reason"), "message", "object")
 
 
 def malformed(messages: DataFrame) -> DataFrame:

@@ -17,38 +17,47 @@ from wayfold.sources import ingest
 
 #: transformWithState needs this state store.
 STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-#: Columns that tell one point from another when files are sent again.
-IDENTITY = ["subject_id", "device_id", "unix_s", "lon", "lat"]
 
 
 def arriving(spark: SparkSession, folder: str, files_a_trigger: int = 100) -> DataFrame:
-    """Points of text files as they land."""
+    """Lines of text files as they land."""
     return spark.readStream.schema("value string").option("maxFilesPerTrigger", files_a_trigger).text(folder)
 
 
-def run_batches(messages: DataFrame, checkpoint: str, on_batch: Callable[[DataFrame, int], None], on_rejected: Callable[[DataFrame, int], None], whitelist: list[str] | None = None):
+def judged(messages: DataFrame, whitelist: list[str] | None = None) -> DataFrame:
+    """Points with invalid_reason, and every other element with its reason and text (object); valid rows have no object."""
+    rows = ingest.sorted_out(messages)
+    unfit = F.col("unfit").isNotNull()
+    if whitelist:
+        rows = rows.where(unfit | F.col("subject_id").isin(whitelist))
+    reason = F.coalesce("unfit", quality.invalid_reason(typed=True))
+    rows = rows.withColumn("invalid_reason", reason)
+    points = [c for c in rows.columns if c not in ("message", "object", "unfit", "invalid_reason")]
+    text = F.when(unfit, F.coalesce("object", "message")).when(F.col("invalid_reason").isNotNull(), F.to_json(F.struct(*points)))
+    return rows.select(*points, "invalid_reason", text.alias("object"))
+
+
+def run_batches(messages: DataFrame, checkpoint: str, on_batch: Callable[[DataFrame, int], None], on_rejected: Callable[[DataFrame, int], None], whitelist: list[str] | None = None, remember: str = "1 day"):
     """Decodes, validates, dedupes and hands every micro-batch on; returns the running query.
 
-    on_rejected gets (invalid_reason, object) of everything else but exact
-    repeats and subjects outside of the whitelist: unreadable messages, elements
-    that are no points, and invalid points.
+    Exact repeats of a point that came within the time to remember are dropped,
+    in one push or across pushes; points that differ in anything are kept.
+    on_rejected gets (invalid_reason, object) of everything else but subjects
+    outside of the whitelist: unreadable messages, elements that are no points,
+    and invalid points, as often as they come.
     """
 
     def handle(batch: DataFrame, number: int) -> None:
         batch.persist()
         try:
-            points = ingest.decode(batch)
-            if whitelist:
-                points = ingest.whitelisted(points, whitelist)
-            valid, bad = quality.split_valid(quality.validate(points))
-            kept = [c for c in bad.columns if c != "invalid_reason"]
-            refused = ingest.rejected(batch).select("invalid_reason", F.coalesce("object", "message").alias("object"))
-            on_rejected(refused.unionByName(bad.select("invalid_reason", F.to_json(F.struct(*kept)).alias("object"))), number)
-            on_batch(quality.stamp(quality.sanitize(quality.dedupe(valid, IDENTITY)), F.lit(number)), number)
+            refused = F.col("invalid_reason").isNotNull()
+            on_rejected(batch.where(refused).select("invalid_reason", "object"), number)
+            on_batch(quality.stamp(quality.sanitize(batch.where(~refused).drop("invalid_reason", "object")), F.lit(number)), number)
         finally:
             batch.unpersist()
 
-    return messages.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    rows = quality.dedupe_arriving(judged(messages, whitelist), remember, F.col("invalid_reason").isNotNull())
+    return rows.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 class OpenSegments(StatefulProcessor):
