@@ -3,6 +3,7 @@
 import base64
 import json
 import math
+import time
 import random
 
 import numpy as np
@@ -383,25 +384,94 @@ def result(spark, stream, name, tmp_path):
     return spark.table(name)
 
 
-def test_stream_moves_equal_batch(spark, points, tmp_path):
-    active = segments.act_split(points)[0].select("event_id", "subject_id", "unix_s", "lon", "lat", "activity")
-    got = result(spark, streaming.stream_segments(in_pieces(spark, active, tmp_path / "in"), "move", SPARSE), "moves_out", tmp_path)
-    full = segments.move_segments(segments.act_split(points)[0], SPARSE).groupBy("subject_id", "segment").agg(F.min("unix_s").alias("start_s"), F.max("unix_s").alias("end_s"), F.count("*").alias("raw_point_count"))
-    closed = full.withColumn("last", F.max("segment").over(Window.partitionBy("subject_id"))).where("segment < last and raw_point_count >= 2")
-    assert rows_of(got, "subject_id", "start_s", "end_s", "raw_point_count") == rows_of(closed, "subject_id", "start_s", "end_s", "raw_point_count")
+FLUSH = 10**10
+
+
+def shuffled_pieces(spark, df, folder, bound, pieces=4):
+    """A stream whose rows arrive up to bound seconds late, followed by two far later rows of every subject."""
+    arrival = F.col("unix_s") + F.abs(F.hash("event_id")) % bound
+    rows = df.withColumn("__arrival", arrival)
+    first = df.groupBy("subject_id").agg(*(F.first(c).alias(c) for c in df.columns if c not in ("subject_id", "unix_s")))
+    for time_s in (FLUSH, 2 * FLUSH):
+        rows = rows.unionByName(first.withColumns({"unix_s": F.lit(time_s), "__arrival": F.lit(time_s), "event_id": -F.abs("event_id") - time_s}))
+    return in_pieces(spark, rows, folder, "__arrival", pieces)
+
+
+def alike(got, wanted, columns):
+    a, b = (sorted(tuple(None if x is None else round(x, 6) if isinstance(x, float) else x for x in (r[c] for c in columns)) for r in df.collect()) for df in (got, wanted))
+    assert [r[:4] for r in a] == [r[:4] for r in b] and a
+    for x, y in zip(a, b, strict=True):
+        # Sums in another order can fall on the other side of a truncation.
+        assert all(p == q or isinstance(p, float) and abs(p - q) <= 1.0 for p, q in zip(x, y, strict=True)), (x, y)
+    assert sum(x != y for x, y in zip(a, b, strict=True)) <= len(a) // 50
+
+
+@pytest.mark.parametrize("kind", ["move", "stay"])
+def test_stream_segments_equal_batch_though_shuffled(spark, points, tmp_path, kind):
+    active, idle = segments.act_split(points)
+    rows = active if kind == "move" else idle
+    stream = shuffled_pieces(spark, rows, tmp_path / "in", 3 * queries.DAY)
+    got = result(spark, streaming.stream_segments(stream, kind, SPARSE, bound_s=3 * queries.DAY), f"{kind}_out", tmp_path)
+    full = segments.moves(active, None, SPARSE) if kind == "move" else segments.stays(idle, SPARSE)
+    quantities = segments.MOVE_QUANTITIES if kind == "move" else segments.STAY_QUANTITIES
+    own = ("duration_s", "activity", "distance_traversed_m", "distance_absolute_m", "elevation_gain_m", "elevation_loss_m") if kind == "move" else ("duration_s", "area_m2", "lon", "lat")
+    columns = ("subject_id", "start_s", "end_s", "raw_point_count", "device_id", *own, *(f"{q}_{s}" for q in quantities for s in ("mean", "median", "min", "max")))
+    assert got.where("late").count() == 0
+    alike(got, full, columns)
+
+
+def test_stream_rows_beyond_the_bound_are_counted(spark, tmp_path):
+    rows = [(k, "u", "d", t, 0.0, 0.0, 5.0, 1.0, 1.0, 1) for k, t in enumerate((100, 200, 300, 150, 290, 400))]
+    df = spark.createDataFrame(rows, "event_id long, subject_id string, device_id string, unix_s long, lon double, lat double, accuracy double, speed double, heading double, time_offset long")
+    got = result(spark, streaming.stream_teleports(in_pieces(spark, df, tmp_path / "in", "event_id", 6), SPARSE, bound_s=20), "bound_out", tmp_path)
+    # 150 came after 300 had released up to 280; 290 came in time; 400 still waits.
+    assert sorted((r.event_id, r.late) for r in got.collect()) == [(0, False), (1, False), (2, False), (3, True), (4, False)]
+
+
+def test_silent_subject_is_closed_once(spark, points, tmp_path):
+    rows = [(k, s, "d", t, 0.0, k * 1e-5, "Walking", 5.0, 10.0, 1.0, 1) for k, (s, t) in enumerate([("a", 0), ("a", 10), ("a", 20), ("b", 5)])]
+    kind = "event_id long, subject_id string, device_id string, unix_s long, lon double, lat double, activity string, accuracy double, elevation double, speed double, time_offset long"
+    folder, schema = tmp_path / "in", spark.createDataFrame(rows, kind).schema
+    found = []
+
+    def push(more):
+        spark.createDataFrame(more, kind).coalesce(1).write.mode("append").parquet(str(folder))
+
+    def wait_for(subject):
+        end = time.time() + 90
+        while time.time() < end and not any(r.subject_id == subject and not r.late for r in found):
+            time.sleep(0.2)
+
+    push(rows)
+    stream = streaming.stream_segments(spark.readStream.schema(schema).parquet(str(folder)), "move", Settings(), bound_s=15, silence_s=2)
+    # Timers need a trigger that goes on; one that ends with the data waits for them.
+    query = stream.writeStream.foreachBatch(lambda df, n: found.extend(df.collect())).option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="500 milliseconds").start()
+    try:
+        wait_for("a")
+        assert [(r.subject_id, r.start_s, r.end_s, r.raw_point_count) for r in found if not r.late] == [("a", 0, 20, 3)]
+        # Its state is gone: an earlier time is not late, and what was closed does not come again.
+        push([(10 + k, s, "d", 2 + k, 0.0, 0.0, "Walking", 5.0, 10.0, 1.0, 1) for k, s in enumerate("amm")])
+        wait_for("m")
+        assert sorted((r.subject_id, r.raw_point_count, r.late) for r in found) == [("a", 3, False), ("m", 2, False)]
+    finally:
+        query.stop()
 
 
 def test_stream_teleports_equal_batch(spark, points, tmp_path):
     columns = ["event_id", "subject_id", "unix_s", "lon", "lat", "speed", "time_offset"]
-    got = result(spark, streaming.stream_teleports(in_pieces(spark, points.select(*columns), tmp_path / "in"), SPARSE), "teleports_out", tmp_path)
-    assert rows_of(got.where("accepted"), "event_id") == rows_of(clean.without_teleports(points, SPARSE), "event_id")
+    stream = shuffled_pieces(spark, points.select(*columns), tmp_path / "in", queries.DAY)
+    got = result(spark, streaming.stream_teleports(stream, SPARSE, bound_s=queries.DAY), "teleports_out", tmp_path)
+    assert rows_of(got.where("accepted and event_id >= 0"), "event_id") == rows_of(clean.without_teleports(points, SPARSE), "event_id")
 
 
 def test_stream_improver_equals_batch(spark, points, tmp_path):
-    kept = clean.stateless(points)
-    columns = ["event_id", "subject_id", "device_id", "unix_s", "lon", "lat", "time_offset", "accuracy", "speed", "heading", "activity"]
-    got = result(spark, streaming.stream_improved(in_pieces(spark, kept.select(*columns), tmp_path / "in"), SPARSE), "improved_out", tmp_path)
-    assert rows_of(got, "event_id", "activity") == rows_of(improve.improve(kept, SPARSE), "event_id", "activity")
+    kept = clean.stateless(points).withColumn("gyro_sum", F.when(F.col("event_id") % 5 > 0, (F.col("event_id") % 3) * 0.005))
+    columns = ["event_id", "subject_id", "device_id", "unix_s", "lon", "lat", "time_offset", "accuracy", "speed", "heading", "activity", "gyro_sum"]
+    stream = shuffled_pieces(spark, kept.select(*columns), tmp_path / "in", queries.DAY)
+    got = result(spark, streaming.stream_improved(stream, SPARSE, bound_s=queries.DAY), "improved_out", tmp_path).withColumn("acceleration", F.round("acceleration", 9))
+    wanted = improve.improve(kept, SPARSE).withColumn("acceleration", F.round("acceleration", 9))
+    assert rows_of(got.where("event_id >= 0"), "event_id", "activity", "acceleration") == rows_of(wanted, "event_id", "activity", "acceleration")
+    assert rows_of(wanted, "event_id", "activity") != rows_of(improve.improve(kept.drop("gyro_sum"), SPARSE), "event_id", "activity")
 
 
 def test_stream_of_device_windows(spark, points, tmp_path):

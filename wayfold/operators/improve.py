@@ -55,6 +55,17 @@ class Modes:
         return sorted(self.sums.items(), key=lambda x: (-x[1], CODES[x[0]]))
 
 
+    STATE = "t array<long>, name array<string>, weight array<double>, names array<string>, sums array<double>"
+
+    def dump(self) -> tuple:
+        t, name, weight = ([r[k] for r in self.rows] for k in range(3))
+        return t, name, [float(w) for w in weight], list(self.sums), [float(w) for w in self.sums.values()]
+
+    def load(self, kept: tuple) -> None:
+        t, name, weight, names, sums = kept
+        self.rows, self.sums = deque(zip(t, name, weight, strict=True)), dict(zip(names, sums, strict=True))
+
+
 def finite(x, default: float) -> float:
     return default if x is None or not math.isfinite(x) else float(x)
 
@@ -101,6 +112,22 @@ class Improver:
         """add() for a table's values, which may be missing."""
         return self.add(t, lon, lat, finite(offset, 1), accuracy, speed, heading, name if name in CODES else C.UNKNOWN, None if gyro is None or math.isnan(gyro) else gyro)
 
+    #: What outlives a push, by name and type.
+    STATE = f"last_t long, first_t long, lon double, lat double, gyro_seen long, last_speed double, activity string, acceleration double, rates array<double>, started array<boolean>, reported struct<{Modes.STATE.replace(' ', ':').replace(',:', ', ')}>, canonical struct<{Modes.STATE.replace(' ', ':').replace(',:', ', ')}>"
+
+    def dump(self) -> tuple:
+        lon, lat = self.place or (None, None)
+        averages = (self.speed, self.calc, self.gyro)
+        return self.last_t, self.first_t, lon, lat, int(self.gyro_seen), float(self.last_speed), self.activity, float(self.acceleration), [float(a.rate) for a in averages], [a.started for a in averages], self.reported.dump(), self.canonical.dump()
+
+    def load(self, kept: tuple) -> None:
+        self.last_t, self.first_t, lon, lat, self.gyro_seen, self.last_speed, self.activity, self.acceleration, rates, started, reported, canonical = kept
+        self.place = None if lon is None else (lon, lat)
+        for average, rate, begun in zip((self.speed, self.calc, self.gyro), rates, started, strict=True):
+            average.rate, average.started = rate, begun
+        self.reported.load(reported)
+        self.canonical.load(canonical)
+
     def propose(self, t: int, safe: float, speed: float, heading: float, name: str, has_gyro: bool) -> str:
         rate, calc = self.speed.value, self.calc.value
         slow = min(rate, calc) if t - self.first_t > self.settings.improver_interval_s else min(rate, safe)

@@ -55,7 +55,7 @@ def moves(active: DataFrame, inactive: DataFrame | None = None, settings: Settin
     metres = F.when(inner, distance_m(F.col("prev.lon"), F.col("prev.lat"), F.col("lon"), F.col("lat")))
     climb = F.when(inner & (step > 0), F.col("elevation") - F.round("prev.elevation"))
     rows = rows.select("*", step.alias("__s"), metres.alias("__m"), climb.alias("__climb"), F.when(step > 0, metres / step).alias("__calc"))
-    stats = lambda c, name, places: [truncate(f(c), places).alias(f"{name}_{s}") for s, f in (("mean", F.avg), ("median", F.median), ("min", F.min), ("max", F.max))]
+    stats = lambda c, name: [f(c).alias(f"{name}_{s}") for s, f in (("mean", F.avg), ("median", F.median), ("min", F.min), ("max", F.max))]
     point = F.struct("unix_s", "event_id", "lon", "lat")
     weight = lambda a: F.sum(F.when(F.col("activity") == a, F.col("time_offset")).otherwise(0)).alias(f"w_{a.lower()}")
     out = rows.groupBy("subject_id", "segment").agg(
@@ -63,32 +63,51 @@ def moves(active: DataFrame, inactive: DataFrame | None = None, settings: Settin
         F.count("*").alias("raw_point_count"),
         F.min("unix_s").alias("start_s"),
         F.max("unix_s").alias("end_s"),
-        *stats(F.col("accuracy"), "accuracy", 0),
-        *stats(F.round("elevation"), "elevation", 0),
-        *stats(F.col("speed"), "speed_reported", 2),
-        *stats(F.coalesce("__calc", F.lit(None)), "speed_calculated", 2),
-        F.round(F.sum("__m")).alias("distance_traversed_m"),
-        F.min(point).alias("__first"),
-        F.max(point).alias("__last"),
-        F.floor(F.coalesce(F.sum(F.when(F.col("__climb") > 0, F.col("__climb"))), F.lit(0.0))).cast("double").alias("elevation_gain_m"),
-        F.floor(F.coalesce(F.sum(F.when(F.col("__climb") < 0, -F.col("__climb"))), F.lit(0.0))).cast("double").alias("elevation_loss_m"),
+        *stats(F.col("accuracy"), "accuracy"),
+        *stats(F.round("elevation"), "elevation"),
+        *stats(F.col("speed"), "speed_reported"),
+        *stats(F.col("__calc"), "speed_calculated"),
+        F.sum("__m").alias("metres"),
+        F.min(point).alias("first"),
+        F.max(point).alias("last"),
+        F.coalesce(F.sum(F.when(F.col("__climb") > 0, F.col("__climb"))), F.lit(0.0)).alias("gain"),
+        F.coalesce(F.sum(F.when(F.col("__climb") < 0, -F.col("__climb"))), F.lit(0.0)).alias("loss"),
         *(weight(a) for a in ACTIVITIES),
-        F.avg("speed").alias("__mean_speed"),
     )
     # Which moves are open: the subject's last one, if no inactive row closed it.
-    out = out.withColumn("__last_active", F.max("end_s").over(Window.partitionBy("subject_id"))).where("raw_point_count >= 2").select(
-        "*",
-        (F.col("end_s") - F.col("start_s")).alias("duration_s"),
-        F.round(distance_m(F.col("__first.lon"), F.col("__first.lat"), F.col("__last.lon"), F.col("__last.lat"))).alias("distance_absolute_m"),
-        segment_activity(F.col("__mean_speed")).alias("activity"),
-    )
+    out = finished_moves(out.withColumn("__last_active", F.max("end_s").over(Window.partitionBy("subject_id"))).where("raw_point_count >= 2"))
     if inactive is not None:
         out = out.join(inactive.groupBy("subject_id").agg(F.max("unix_s").alias("__last_idle")), "subject_id", "left")
     else:
         out = out.withColumn("__last_idle", F.lit(None).cast("long"))
     ended = F.coalesce(F.col("__last_idle") - F.col("end_s") > settings.move_gap_s, F.lit(False))
     out = out.withColumn("is_open", (F.col("end_s") == F.col("__last_active")) & ~ended)
-    return out.drop("__first", "__last", "__mean_speed", "__last_active", "__last_idle", *(f"w_{a.lower()}" for a in ACTIVITIES))
+    return out.drop("__last_active", "__last_idle")
+
+
+#: Quantities of moves and stays with the places to which their statistics are given.
+MOVE_QUANTITIES = {"accuracy": 0, "elevation": 0, "speed_reported": 2, "speed_calculated": 2}
+STAY_QUANTITIES = {"accuracy": 0, "elevation": 0}
+
+
+def given(quantities: dict[str, int]) -> dict[str, Column]:
+    return {f"{q}_{s}": truncate(F.col(f"{q}_{s}"), places) for q, places in quantities.items() for s in ("mean", "median", "min", "max")}
+
+
+def finished_moves(sums: DataFrame) -> DataFrame:
+    """Moves from what was summed up over their points, in a batch or a stream."""
+    weights = [f"w_{a.lower()}" for a in ACTIVITIES]
+    out = sums.withColumns(
+        {
+            "activity": segment_activity(F.col("speed_reported_mean")),
+            "duration_s": F.col("end_s") - F.col("start_s"),
+            "distance_traversed_m": F.round("metres"),
+            "distance_absolute_m": F.round(distance_m(F.col("first.lon"), F.col("first.lat"), F.col("last.lon"), F.col("last.lat"))),
+            "elevation_gain_m": F.floor("gain").cast("double"),
+            "elevation_loss_m": F.floor("loss").cast("double"),
+        }
+    )
+    return out.withColumns(given(MOVE_QUANTITIES)).drop("metres", "first", "last", "gain", "loss", *weights)
 
 
 def segment_activity(mean_speed: Column) -> Column:
@@ -156,16 +175,22 @@ def stay_segments(inactive: DataFrame, settings: Settings = Settings()) -> DataF
 def stays(inactive: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """One row a stay of at least two points; the subject's last stay is open."""
     rows = stay_segments(inactive, settings)
-    stats = lambda c: [truncate(f(c), 0).alias(f"{c}_{s}") for s, f in (("mean", F.avg), ("median", F.median), ("min", F.min), ("max", F.max))]
+    stats = lambda c: [f(c).alias(f"{c}_{s}") for s, f in (("mean", F.avg), ("median", F.median), ("min", F.min), ("max", F.max))]
     out = rows.groupBy("subject_id", "run", "stay").agg(
         F.min_by("device_id", F.struct(*ORDER)).alias("device_id"),
         F.count("*").alias("raw_point_count"), F.min("unix_s").alias("start_s"), F.max("unix_s").alias("end_s"), *stats("accuracy"), *stats("elevation"),
-        truncate(box_area_m2(F.min("lon"), F.min("lat"), F.max("lon"), F.max("lat"))).alias("area_m2"),
+        F.struct(F.min("lon").alias("w"), F.min("lat").alias("s"), F.max("lon").alias("e"), F.max("lat").alias("n")).alias("box"),
         F.avg("lon").alias("lon"), F.avg("lat").alias("lat"),
     )
     last = F.max("end_s").over(Window.partitionBy("subject_id"))
     out = out.withColumn("is_open", F.col("end_s") == last)
-    return out.where("raw_point_count >= 2").withColumn("duration_s", F.col("end_s") - F.col("start_s"))
+    return finished_stays(out.where("raw_point_count >= 2"))
+
+
+def finished_stays(sums: DataFrame) -> DataFrame:
+    """Stays from what was summed up over their points, in a batch or a stream."""
+    area = truncate(box_area_m2(F.col("box.w"), F.col("box.s"), F.col("box.e"), F.col("box.n")))
+    return sums.withColumns({"duration_s": F.col("end_s") - F.col("start_s"), "area_m2": area, **given(STAY_QUANTITIES)}).drop("box")
 
 
 def plausible_stays(found: DataFrame, settings: Settings = Settings()) -> DataFrame:

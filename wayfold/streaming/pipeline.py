@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -10,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from wayfold.config import ACTIVITIES, Settings
-from wayfold.operators import clean, improve, quality
-from wayfold.operators.segments import StayCounter
+from wayfold.config import Settings
+from wayfold.operators import quality, segments
 from wayfold.sources import ingest
+from wayfold.streaming import scans
 
 #: transformWithState needs this state store.
 STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
@@ -60,101 +59,26 @@ def run_batches(messages: DataFrame, checkpoint: str, on_batch: Callable[[DataFr
     return rows.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-class OpenSegments(StatefulProcessor):
-    """Emits finished segments of a subject and keeps what the open one needs.
+def stream_segments(points: DataFrame, kind: str, settings: Settings = Settings(), bound_s: int = 0, silence_s: int = 0) -> DataFrame:
+    """Finished moves (of active rows) or stays (of inactive ones) of a stream, with all statistics of the batch form.
 
-    State is one row: begin, last time, count, and the running centroid or the
-    last activity. A segment that spans micro-batches comes out once, as in the
-    batch form over time-ordered input, and a long one costs no more than a
-    short one.
+    Rows may come up to bound_s out of order; what comes later is a row with
+    late true and its event_id. An open segment of a subject that is silent for
+    silence_s of the clock is finished too, by a query whose trigger goes on; at
+    0 it stays open.
     """
+    found = scans.scan_stream(points, scans.Moves(settings) if kind == "move" else scans.Stays(settings), bound_s, silence_s)
+    return (segments.finished_moves if kind == "move" else segments.finished_stays)(found)
 
-    STATE = "start_s long, last_s long, count long, x double, y double, n int, code int"
 
-    def __init__(self, settings: Settings, kind: str):
-        self.settings, self.kind = settings, kind
+def stream_teleports(points: DataFrame, settings: Settings = Settings(), bound_s: int = 0, silence_s: int = 0) -> DataFrame:
+    """(subject_id, late, event_id, accepted) of a stream of points: the last accepted point is kept across pushes."""
+    return scans.scan_stream(points, scans.Teleports(settings), bound_s, silence_s)
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.open = handle.getValueState("open", self.STATE)
-
-    def breaks(self, step: int, code: int, last: int) -> bool:
-        joined = (1 <= last <= 3 and 1 <= code <= 3) or (1 <= last <= 3 and code == 4) or abs(last - code) <= 1
-        return step > self.settings.move_gap_s or step <= -1 or not joined
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        new = pd.concat(list(rows)).sort_values(["unix_s", "event_id"], kind="stable")
-        counter, start, count, last = StayCounter(self.settings), None, 0, -1
-        if self.open.exists():
-            start, counter.t, count, counter.x, counter.y, counter.n, last = self.open.get()
-        codes = [ACTIVITIES.index(a) if a in ACTIVITIES else -1 for a in new["activity"]]
-        found = []
-        for t, lon, lat, code in zip(new["unix_s"].tolist(), new["lon"].tolist(), new["lat"].tolist(), codes, strict=True):
-            before, number = counter.t, counter.stay
-            if self.kind == "stay":
-                cut = counter.add(t, lon, lat) != number
-            else:
-                cut = count > 0 and self.breaks(t - before, code, last)
-                counter.t, last = t, code
-            if cut and count >= 2:
-                found.append((key[0], start, before, count))
-            if cut or not count:
-                start, count = t, 0
-            count += 1
-        self.open.update((start, counter.t, count, counter.x, counter.y, counter.n, last))
-        yield pd.DataFrame(found, columns=["subject_id", "start_s", "end_s", "raw_point_count"])
-
-    def close(self) -> None:
-        pass
-
-
-def stream_segments(points: DataFrame, kind: str, settings: Settings = Settings()) -> DataFrame:
-    """Finished moves or stays of a stream of active or inactive rows."""
-    return points.groupBy("subject_id").transformWithStateInPandas(
-        OpenSegments(settings, kind), "subject_id string, start_s long, end_s long, raw_point_count long", "Append", "None"
-    )
-
-
-class Scan(StatefulProcessor):
-    """A sequential scan of each subject's rows whose small state object outlives the micro-batch."""
-
-    def __init__(self, fresh: Callable, step: Callable, columns: tuple[str, ...], result: str):
-        self.fresh, self.step, self.columns, self.result = fresh, step, columns, result
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.kept = handle.getValueState("kept", "data binary")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        new = pd.concat(list(rows)).sort_values(["unix_s", "event_id"], kind="stable")
-        state = pickle.loads(bytes(self.kept.get()[0])) if self.kept.exists() else self.fresh()
-        found = [self.step(state, *values) for values in zip(*(new[c].tolist() for c in self.columns), strict=True)]
-        self.kept.update((pickle.dumps(state),))
-        yield pd.DataFrame({"subject_id": key[0], "event_id": new["event_id"].tolist(), self.result: found})
-
-    def close(self) -> None:
-        pass
-
-
-def _scanned(points: DataFrame, scan: Scan, kind: str) -> DataFrame:
-    return points.groupBy("subject_id").transformWithStateInPandas(scan, f"subject_id string, event_id long, {scan.result} {kind}", "Append", "None")
-
-
-def stream_teleports(points: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """(subject_id, event_id, accepted) of a time-ordered stream of points: the last accepted point is kept across pushes."""
-    scan = Scan(lambda: clean.LastAccepted(settings), clean.LastAccepted.accept, ("unix_s", "lon", "lat", "speed", "time_offset"), "accepted")
-    return _scanned(points, scan, "boolean")
-
-
-def stream_improved(points: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """(subject_id, event_id, activity) of a time-ordered stream of points: averages and modes are kept across pushes."""
-
-    def step(states: dict, device: str, *values) -> str:
-        # A change of device begins anew, as in the batch form.
-        if states.get("device") != device:
-            states.update(device=device, improver=improve.Improver(settings))
-        return states["improver"].row(*values)
 
-    columns = ("device_id", "unix_s", "lon", "lat", "time_offset", "accuracy", "speed", "heading", "activity")
-    return _scanned(points, Scan(dict, step, columns, "activity"), "string")
+def stream_improved(points: DataFrame, settings: Settings = Settings(), bound_s: int = 0, silence_s: int = 0) -> DataFrame:
+    """(subject_id, late, event_id, activity, acceleration) of a stream of points: averages and modes are kept across pushes, the gyroscope's too."""
+    return scans.scan_stream(points, scans.Improved(settings), bound_s, silence_s)
 
 
 class DeviceWindows(StatefulProcessor):
