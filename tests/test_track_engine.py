@@ -17,8 +17,9 @@ from wayfold.operators import admin, cells, clean, improve, modes, ordered, qual
 from wayfold.operators.offsets import with_time_offset
 from wayfold.plans import job, pipeline, queries
 from wayfold.plans.tracks import tracks
-from wayfold.scratch import scratch_dir
-from wayfold.sources import ingest, sinks
+from wayfold.scratch import materialize, scratch_dir
+from wayfold.sources import ingest, sinks, versions
+from wayfold.streaming import indexes, layers
 from wayfold.streaming import pipeline as streaming
 
 SF = "/root/testdata/sf0.001"
@@ -281,18 +282,75 @@ def test_sinks_and_layers(spark, tmp_path):
     raw = messages(spark, ["one", "two"])
     sinks.raw_log(raw, str(tmp_path / "log"))
     assert sorted(r.value for r in spark.read.text(str(tmp_path / "log")).collect()) == ["one", "two"]
-    edge, whole = str(tmp_path / "edge"), str(tmp_path / "whole")
-    t.select(sinks.feature_json(t).alias("value")).repartition(4).write.text(edge)
-    assert not sinks.compact_layer(spark, edge, whole, files=9) and sinks.compact_layer(spark, edge, whole, files=2)
-    assert spark.read.text(whole).count() == t.count() and len(spark.read.text(whole).inputFiles()) == 1
-    index = lambda part: cells.accumulate(with_time_offset(part), ["subject_id"], 60)
-    old, new = index(t.where(F.col("unix_s") < queries.SPLIT)), index(t.where(F.col("unix_s") >= queries.SPLIT))
-    sinks.merge_cells(old, new, str(tmp_path / "cells"), 60, ["subject_id"])
-    assert spark.read.parquet(str(tmp_path / "cells")).agg(F.sum("count")).first()[0] == t.count()
+    sinks.store_monthly(t, str(tmp_path / "monthly"), 4)
+    own = sinks.stored_points(spark, str(tmp_path / "monthly"), "u7", 4)
+    assert sinks.stored_points(spark, str(tmp_path / "monthly")).count() == t.count() and rows_of(own, "event_id") == rows_of(t.where("subject_id = 'u7'"), "event_id")
+    filters = own._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1].split("]")[0]
+    assert "subject_bucket" in filters
     wide = sinks.metrics(with_time_offset(t).withColumn("alias", F.lit("a")).withColumn("pressure", F.lit(1.0)))
     assert {"measurement", "alias", "pressure", "time_offset", "battery_state"} <= set(wide.columns)
 
 
+def test_compaction_loses_and_doubles_nothing(spark, tmp_path, monkeypatch):
+    t = tracks(spark, SF)
+    edge, whole = str(tmp_path / "edge"), str(tmp_path / "whole")
+    push = lambda: t.select(sinks.feature_json(t).alias("value")).repartition(4).write.mode("append").text(edge)
+    count = lambda: sinks.layer_lines(spark, whole, edge).count()
+    push()
+    assert not sinks.compact_layer(spark, edge, whole, files=9) and count() == t.count()
+    stop = lambda *a: (_ for _ in ()).throw(RuntimeError("crash"))
+    with monkeypatch.context() as m:
+        m.setattr(versions, "commit", stop)
+        with pytest.raises(RuntimeError):
+            sinks.compact_layer(spark, edge, whole, files=2)
+    assert count() == t.count() and sinks.layer_lines(spark, whole).count() == 0
+    assert sinks.compact_layer(spark, edge, whole, files=2) and not sinks.compact_layer(spark, edge, whole, files=2)
+    # The edge files are still there, and no line counts twice.
+    assert count() == sinks.layer_lines(spark, whole).count() == t.count() and len(sinks.layer_lines(spark, whole).inputFiles()) == 1
+    push()
+    assert count() == 2 * t.count() and sinks.compact_layer(spark, edge, whole, files=2) and count() == 2 * t.count()
+
+
+def test_visits_of_any_batches_unite_to_the_index(points):
+    """Batches that overlap in time, and in any order, give the index of all points."""
+    some = materialize(points.where("event_id < 400"), "some")
+    part = F.pmod(F.hash("event_id"), F.lit(3))
+    keys = list(cells.S2_KEYS)
+    united = None
+    for k in range(3):
+        new = cells.s2_visits(some.where(part == k), (5, 10), 3_600)
+        united = materialize(new if united is None else cells.visits(united.unionByName(new), keys, 3_600), "united")
+    wanted = cells.s2_index(some, (5, 10), 3_600)
+    columns = [*keys, "count", "visit_count", "first_s", "last_s", "total_offset_s", *cells.AM, "activity_mode"]
+    assert rows_of(cells.of_visits(united, keys), *columns) == rows_of(wanted, *columns)
+
+
+def test_indexed_pushes_survive_crash_and_replay(spark, points, tmp_path, monkeypatch):
+    some, folder = materialize(points.where("event_id < 300"), "some"), str(tmp_path)
+    pushes = [some.where(F.pmod(F.hash("event_id"), F.lit(2)) == k) for k in range(2)]
+    go = lambda k: indexes.index_push(spark, folder, pushes[k], k, levels=(5, 8))
+    go(0)
+    with monkeypatch.context() as m:
+        m.setattr(versions, "commit", lambda *a: (_ for _ in ()).throw(RuntimeError("crash")))
+        with pytest.raises(RuntimeError):
+            go(1)
+    visits = cells.s2_visits(some, (5, 8))
+    before = indexes.stored_visits(spark, f"{folder}/cells", visits)
+    assert before.agg(F.sum("count")).first()[0] == 2 * pushes[0].count()
+    go(1)
+    go(1)
+    keys = list(cells.S2_KEYS)
+    columns = [*keys, "count", "visit_count", "first_s", "last_s", "total_offset_s", "activity_mode"]
+    assert rows_of(cells.of_visits(indexes.stored_visits(spark, f"{folder}/cells", visits), keys), *columns) == rows_of(cells.s2_index(some, (5, 8)), *columns)
+    subjects = indexes.stored_visits(spark, f"{folder}/subjects", indexes.visits_of(some, ["subject_id"], 0))
+    assert rows_of(cells.of_visits(subjects, ["subject_id"]), "subject_id", "count", "visit_count") == rows_of(cells.subject_index(some), "subject_id", "count", "visit_count")
+    first = indexes.read_feed(spark, f"{folder}/first_seen")
+    # Every cell is first seen once, and the last change of each is its accumulator.
+    assert rows_of(first, *keys) == rows_of(visits.select(*keys).distinct(), *keys)
+    last = indexes.read_feed(spark, f"{folder}/changed").where("batch = 1")
+    assert last.join(cells.s2_index(some, (5, 8)).select(*keys, F.col("count").alias("n")), keys).where("count <> n").count() == 0 and last.count() > 0
+
+
 def test_state_by_key(spark, tmp_path):
     rows = spark.createDataFrame([("u1", 1, "x"), ("u2", 2, None)], "key string, n int, s string")
     sinks.put_state(rows, str(tmp_path), "last")
@@ -514,5 +572,44 @@ def test_stream_drops_repeats_within_the_watermark(spark, points, tmp_path):
     assert rows_of(got, "event_id") == rows_of(rows, "event_id")
 
 
+def test_burst_of_requests_gives_one(spark, tmp_path):
+    schema, folder, found = "layer string, requested_at long, request string", tmp_path / "in", []
+    push = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(folder))
+    push([("a", 1, "first"), ("a", 3, "last"), ("a", 2, "mid"), ("b", 1, "only")])
+    out = layers.debounced(spark.readStream.schema(schema).parquet(str(folder)), 3)
+    query = out.writeStream.foreachBatch(lambda df, n: found.extend(df.collect())).option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="500 milliseconds").start()
+    try:
+        end = time.time() + 90
+        while len(found) < 2 and time.time() < end:
+            time.sleep(0.2)
+    finally:
+        query.stop()
+    assert sorted((r.layer, r.requested_at, r.request, r.requests) for r in found) == [("a", 3, "last", 3), ("b", 1, "only", 1)]
+
+
+def test_meters_of_a_running_query(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for k in range(3):
+        (folder / f"{k}.json").write_text("\n".join(["é234"] * (k + 1)))
+    listener = layers.Throughput("points-meter")
+    spark.streams.addListener(listener)
+    try:
+        stream = layers.metered(streaming.arriving(spark, str(folder), 1), "points-meter")
+        query = stream.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        query.awaitTermination(120)
+        end = time.time() + 30
+        while listener.meters["rows"].total < 6 and time.time() < end:
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(listener)
+    rows, size = listener.meters["rows"], listener.meters["bytes"]
+    assert (rows.total, size.total) == (6, 30) and rows.mean > 0 and set(rows.rates) == {1, 5, 15}
+    one = layers.Meter()
+    for n in (10, 20):
+        one.add(n, 60)
+    assert math.isclose(one.rates[1], 10 / 60 + (1 - math.exp(-1)) * 10 / 60) and math.isclose(one.mean, 0.25)
+
+
 def test_settings_are_values():
     assert Settings() == Settings() and SPARSE != Settings()

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from wayfold.config import TALLY_ORDER, Settings
 from wayfold.functions import s2
-from wayfold.operators.ordered import BUCKET, bucketed
+from wayfold.operators.ordered import BUCKET, bucketed, with_running, with_running_sum
 
 AM = tuple(f"am_{a.lower()}" for a in TALLY_ORDER)
 SUMS = ("count", "total_offset_s", *AM)
@@ -103,6 +103,38 @@ def merge(stored: DataFrame, batch: DataFrame, keys: Sequence[str], visit_gap_s:
     return out.withColumn("activity_mode", dominant())
 
 
+def visits(parts: DataFrame, keys: Sequence[str], visit_gap_s: int, width: int = Settings.bucket_s) -> DataFrame:
+    """One row a visit: keys, first_s, last_s, count and tallies, from runs, points or visits.
+
+    Rows of a key that are at most visit_gap_s apart are one visit. Visits are
+    closed under this: those of any batches, overlapping ones too, unite to
+    those of all their points, so they are what an index is stored as.
+    """
+    rows = parts.drop("__gaps", BUCKET).withColumn(BUCKET, F.floor(F.col("first_s") / width))
+    order = ("first_s", "last_s", "count")
+    seen = with_running(rows, keys, order, {"__seen": ("max", F.col("last_s"))}, "first_s", width, current=False)
+    new = (F.col("__seen").isNull() | (F.col("first_s") - F.col("__seen") > visit_gap_s)).cast("long")
+    numbered = with_running_sum(seen.withColumn("__new", new), keys, order, F.col("__new"), "__visit", "first_s", width)
+    return numbered.groupBy(*keys, "__visit").agg(F.min("first_s").alias("first_s"), F.max("last_s").alias("last_s"), *(F.sum(c).cast("long").alias(c) for c in SUMS)).drop("__visit")
+
+
+def of_visits(stored: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Accumulators of keys from all their visits."""
+    whole = stored.groupBy(*keys).agg(F.sum("count").alias("count"), F.count("*").alias("visit_count"), F.min("first_s").alias("first_s"), F.max("last_s").alias("last_s"), *(F.sum(c).alias(c) for c in SUMS[1:]))
+    return whole.withColumn("activity_mode", dominant())
+
+
+S2_KEYS = ("subject_id", "level", "cell_key")
+
+
+def s2_visits(tracks: DataFrame, levels: Sequence[int] = s2.LEVELS, visit_gap_s: int = Settings.cell_visit_s, width: int = Settings.bucket_s) -> DataFrame:
+    """Visits of every cell of every level; rows are tallied by point, as runs hide the gaps that a later batch may fill."""
+    at = F.array(*(F.struct(F.lit(k).alias("level"), s2.token(s2.parent(F.col("__leaf"), k)).alias("cell_key")) for k in levels))
+    leaf = tracks.withColumn("__leaf", s2.leaf_id("lat", "lon")).where("__leaf is not null")
+    points = _tallied(bucketed(leaf.withColumn("__at", F.explode(at)).select("*", "__at.*"), width=width), S2_KEYS)
+    return visits(points, S2_KEYS, visit_gap_s, width)
+
+
 def with_s2(tracks: DataFrame, levels: Sequence[int] = s2.LEVELS) -> DataFrame:
     """One row per level with level and cell_id; points without a place drop out."""
     leaf = tracks.withColumn("__leaf", s2.leaf_id("lat", "lon")).where("__leaf is not null")

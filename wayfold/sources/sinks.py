@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayfold.sources import versions
+
 # Battery states of the metrics export.
 BATTERY_STATES = {"unplugged": 1, "charging": 2, "full": 3}
 
@@ -14,9 +16,28 @@ def month(unix_s: Column) -> Column:
     return F.date_format(F.timestamp_seconds(unix_s), "yyyy-MM")
 
 
-def store_monthly(points: DataFrame, path: str) -> None:
-    """Appends points, one folder a subject and month."""
-    points.withColumn("ym", month(F.col("unix_s"))).repartition("subject_id", "ym").write.mode("append").partitionBy("subject_id", "ym").parquet(path)
+def store_monthly(points: DataFrame, path: str, buckets: int = 64) -> None:
+    """Appends points, one folder a month and bucket of subjects.
+
+    Subjects hash to so many buckets, so folders do not grow with them; rows of
+    one bucket and month go to several writers, so a subject with very many
+    rows is no single task. A reader of one subject prunes to its bucket.
+    """
+    placed = points.withColumn("ym", month(F.col("unix_s"))).withColumn("subject_bucket", subject_bucket(F.col("subject_id"), buckets))
+    day = F.floor(F.col("unix_s") / 86_400)
+    placed.repartition("ym", "subject_bucket", day).sortWithinPartitions("ym", "subject_bucket", "subject_id", "unix_s").write.mode("append").partitionBy("ym", "subject_bucket").parquet(path)
+
+
+def subject_bucket(subject: Column, buckets: int = 64) -> Column:
+    return F.pmod(F.xxhash64(subject), F.lit(buckets)).cast("int")
+
+
+def stored_points(spark: SparkSession, path: str, subject: str | None = None, buckets: int = 64) -> DataFrame:
+    """Points of the monthly store, all or one subject's."""
+    rows = spark.read.parquet(path)
+    if subject is None:
+        return rows
+    return rows.where((F.col("subject_bucket") == subject_bucket(F.lit(subject), buckets)) & (F.col("subject_id") == subject))
 
 
 def store_pushed(points: DataFrame, all_path: str, last_path: str) -> None:
@@ -49,15 +70,35 @@ def push_layer(points: DataFrame, path: str, source: str, layer: str, append: bo
     points.select(feature_json(points).alias("value")).write.mode("append" if append else "overwrite").option("compression", "gzip").text(f"{path}/{source}/{layer}")
 
 
+def edge_files(spark: SparkSession, edge: str, canonical: str) -> list[str]:
+    """Files of the edge layer that the canonical one does not hold yet."""
+    held = set(versions.manifest(spark, canonical).note.get("edge", []))
+    return sorted(f for f in spark.read.text(edge).inputFiles() if f not in held)
+
+
+def layer_lines(spark: SparkSession, canonical: str, edge: str | None = None) -> DataFrame:
+    """(value): the canonical layer, and with edge also what was pushed since; every line once, whenever a compaction stopped."""
+    now = versions.manifest(spark, canonical)
+    files = [f"{canonical}/{f}" for f in now.parts.values()] + (edge_files(spark, edge, canonical) if edge else [])
+    return spark.read.schema("value string").text(files) if files else spark.createDataFrame([], "value string")
+
+
 def compact_layer(spark: SparkSession, edge: str, canonical: str, files: int, rows_a_file: int = 1_000_000) -> bool:
-    """Once an edge layer has more than so many files, its lines are appended to the canonical layer in few files.
+    """Once more than so many edge files are new, their lines are added to the canonical layer in few files; returns whether they were.
 
-    Returns whether they were; the edge folder is then the caller's to clear.
+    One manifest names both the new folder and the edge files it holds, so a
+    run that stops before it has done nothing and one that stops after it has
+    done all; the files may then be deleted at leisure. Names of deleted files
+    leave the manifest with the next compaction.
     """
-    lines = spark.read.text(edge)
-    if len(lines.inputFiles()) <= files:
+    new = edge_files(spark, edge, canonical)
+    if len(new) <= files:
         return False
-    lines.coalesce(max(1, -(-lines.count() // rows_a_file))).write.mode("append").option("compression", "gzip").text(canonical)
+    now, lines = versions.manifest(spark, canonical), spark.read.schema("value string").text(new)
+    folder, there = f"data/v={now.version + 1}", set(spark.read.text(edge).inputFiles())
+    lines.coalesce(max(1, -(-lines.count() // rows_a_file))).write.mode("overwrite").option("compression", "gzip").text(f"{canonical}/{folder}")
+    held = [f for f in now.note.get("edge", []) if f in there] + new
+    versions.commit(spark, canonical, versions.Manifest(now.version + 1, now.batch, now.parts | {str(now.version + 1): folder}, {"edge": held}))
     return True
 
 
@@ -86,10 +127,3 @@ def get_state(spark: SparkSession, path: str, bucket: str, keys: list[str] | Non
     """(key, value) of a bucket: all, or those of the keys."""
     rows = spark.read.schema("key string, value string").parquet(f"{path}/bucket={bucket}")
     return rows if keys is None else rows.where(F.col("key").isin(keys))
-
-
-def merge_cells(stored: DataFrame, batch: DataFrame, path: str, visit_gap_s: int, keys: list[str]) -> None:
-    """Merged accumulators written beside the stored ones, to be swapped in by the caller."""
-    from wayfold.operators.cells import merge
-
-    merge(stored, batch, keys, visit_gap_s).write.mode("overwrite").partitionBy(*(k for k in ("level",) if k in keys)).parquet(path)
