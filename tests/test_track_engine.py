@@ -3,8 +3,8 @@
 import base64
 import json
 import math
-import time
 import random
+import time
 
 import numpy as np
 import pytest
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from wayfold.config import SPARSE, Settings
 from wayfold.functions import activity, geo, notes, num, s2
-from wayfold.operators import admin, cells, clean, improve, modes, ordered, quality, segments
+from wayfold.operators import admin, cells, clean, improve, modes, ordered, paths, quality, segments
 from wayfold.operators.offsets import with_time_offset
 from wayfold.plans import job, pipeline, queries
 from wayfold.plans.tracks import tracks
@@ -400,6 +400,31 @@ def test_paths_against_plain_recursion(points):
         assert got[key] == plain(path, SPARSE.simplify_degrees * (0.5 if length < 500 else 1.0))
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_path_rates_against_every_pair(spark, seed):
+    rng, lon, lat, rows = random.Random(seed), 0.0, 0.0, []
+    for k in range(400):
+        far = 10 ** rng.uniform(-6, -3) * rng.choice([0, 1, 1, 1])
+        lon, lat = lon + rng.gauss(0, far), lat + rng.gauss(0, far)
+        rows.append((k, "u", "d", k // 200 * 1000 + k, lon, lat, "Walking", 5.0, 1.0, 1.0, 1))
+    df = spark.createDataFrame(rows, "event_id long, subject_id string, device_id string, unix_s long, lon double, lat double, activity string, accuracy double, elevation double, speed double, time_offset long")
+    got = {r.segment: r for r in paths.path_rates(df).collect()}
+    for number, part in ((1, rows[:200]), (2, rows[200:])):
+        ends = [((a[4], a[5]), (b[4], b[5])) for a, b in zip(part, part[1:], strict=False)]
+        metres = [geo.distance_py(*a, *b) for a, b in ends]
+        crossed = sum(metres[i] + metres[j] for i in range(len(ends)) for j in range(i) if geo.segments_cross(*ends[j], *ends[i]))
+        assert crossed > 0 and math.isclose(got[number].self_crossing_rate, crossed / sum(metres), rel_tol=1e-9)
+
+
+def test_path_rates_of_a_long_path(spark):
+    i = F.col("id")
+    df = spark.range(100_000).select(i.alias("event_id"), F.lit("u").alias("subject_id"), F.lit("d").alias("device_id"), i.alias("unix_s"), (i * 1e-5 * F.cos(i * 0.01)).alias("lon"), (i * 1e-5 * F.sin(i * 0.01)).alias("lat"), F.lit("Walking").alias("activity"), F.lit(5.0).alias("accuracy"), F.lit(1.0).alias("elevation"), F.lit(1.0).alias("speed"), F.lit(1).alias("time_offset"))
+    began = time.time()
+    row = paths.path_rates(df).first()
+    # A spiral turns all the way and never crosses itself.
+    assert row.self_crossing_rate == 0 and row.bearing_delta_rate > 0 and time.time() - began < 90
+
+
 def test_segments_as_points(points):
     active, idle = segments.act_split(points)
     both = segments.as_tracks(segments.moves(active, idle, SPARSE)).unionByName(segments.as_tracks(segments.stays(idle, SPARSE)))

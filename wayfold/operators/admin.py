@@ -144,9 +144,9 @@ def locate(points: DataFrame, areas: DataFrame, refine: bool = True) -> DataFram
     return found.where(F.col("edges").isNull() | (F.col("corner_inside") != odd)).select(*points.columns, "dataset", "area_key")
 
 
-def admin_index(points: DataFrame, areas: DataFrame, visit_gap_s: int = Settings.admin_visit_s, refine: bool = True) -> DataFrame:
+def admin_index(points: DataFrame, areas: DataFrame, visit_gap_s: int = Settings.admin_visit_s, refine: bool = True, width: int = Settings.bucket_s) -> DataFrame:
     """Accumulators by subject, dataset and area; points outside every area are skipped."""
-    return accumulate(locate(points, areas, refine), ["subject_id", "dataset", "area_key"], visit_gap_s)
+    return accumulate(locate(points, areas, refine), ["subject_id", "dataset", "area_key"], visit_gap_s, width)
 
 
 def enrich(index: DataFrame, areas: DataFrame) -> DataFrame:

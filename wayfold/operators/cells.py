@@ -185,9 +185,9 @@ def level_index(tracks: DataFrame, levels: Mapping[int, Callable[[], Column]], a
     return out
 
 
-def subject_index(tracks: DataFrame) -> DataFrame:
+def subject_index(tracks: DataFrame, width: int = Settings.bucket_s) -> DataFrame:
     """One accumulator a subject, in which every forward step is a visit."""
-    return accumulate(tracks, ["subject_id"], 0)
+    return accumulate(tracks, ["subject_id"], 0, width)
 
 
 def tile_accumulate(tracks: DataFrame, zoom: int) -> DataFrame:

@@ -158,6 +158,17 @@ better AS (SELECT * EXCLUDE (act, accel, activity), {[*ACTIVITIES, "Unknown"]}[C
 ALL_LEVELS = "[0] || range(3, 18)"
 FAULTS = """CASE WHEN event_id % 43 = 0 THEN 'not readable' WHEN event_id % 47 = 0 THEN 'unknown type' WHEN event_id % 59 = 0 THEN 'no place' WHEN event_id % 67 = 0 THEN 'no features' WHEN event_id % 23 = 0 THEN 'not a point'
   WHEN event_id % 19 = 0 THEN 'no properties' WHEN event_id % 29 = 0 THEN 'name not text' WHEN event_id % 31 = 0 THEN 'device not text' WHEN event_id % 37 = 0 OR event_id % 61 = 0 THEN 'times differ' WHEN event_id % 41 = 0 THEN 'accuracy not a number' ELSE 'valid' END"""
+TURNS = f"""turns AS (SELECT *, lag(b) OVER w AS pb, lag(m) OVER w AS pm, row_number() OVER w AS k FROM (SELECT subject_id, segment, unix_s, event_id, plon AS x1, plat AS y1, lon AS x2, lat AS y2, m,
+  degrees(atan2(sin(radians(lon - plon)) * cos(radians(lat)), cos(radians(plat)) * sin(radians(lat)) - sin(radians(plat)) * cos(radians(lat)) * cos(radians(lon - plon)))) AS b FROM inner_ WHERE starts = 0)
+  WINDOW w AS (PARTITION BY subject_id, segment ORDER BY unix_s, event_id))"""
+
+
+def crosses(a: str, b: str) -> str:
+    """Whether two steps cross properly, by the sides on which their ends lie."""
+    side = lambda p, q, n: f"(({p}.x2 - {p}.x1) * ({q}.y{n} - {p}.y1) - ({p}.y2 - {p}.y1) * ({q}.x{n} - {p}.x1))"
+    return f"{side(a, b, 1)} * {side(a, b, 2)} < 0 AND {side(b, a, 1)} * {side(b, a, 2)} < 0"
+
+
 HALVES = "CASE WHEN lon >= -113.0 AND lon < -112.5 AND lat >= 47.0 AND lat < 47.25 THEN CASE WHEN lat - 47.0 < (lon + 113.0) / 2 THEN 'low' ELSE 'high' END END"
 
 
@@ -244,6 +255,10 @@ ORACLES = {
     "moves_segments": on_tracks("SELECT event_id, subject_id, segment FROM seg", ACTIVE, MOVES),
     "moves_stats": on_tracks(f"""SELECT subject_id, segment, raw_point_count, start_s, end_s, duration_s, accuracy_mean, accuracy_median, speed_reported_min, speed_reported_max, elevation_min, elevation_max, distance_traversed_m,
         round({metres("lon1", "lat1", "lon2", "lat2")}) AS distance_absolute_m, elevation_gain_m, elevation_loss_m FROM made""", ACTIVE, MOVES),
+    "move_rates": on_tracks(f"""SELECT t.subject_id, t.segment, round(turned / total, 4) AS bearing_delta_rate, round(coalesce(crossed, 0) / total, 4) AS self_crossing_rate
+        FROM (SELECT subject_id, segment, sum(m) AS total, coalesce(sum(abs(pb - b) * (pm + m)), 0) AS turned FROM turns GROUP BY ALL) t
+        LEFT JOIN (SELECT a.subject_id, a.segment, sum(a.m + b.m) AS crossed FROM turns a JOIN turns b ON a.subject_id = b.subject_id AND a.segment = b.segment AND a.k < b.k
+          WHERE {crosses("a", "b")} GROUP BY ALL) c ON c.subject_id = t.subject_id AND c.segment = t.segment WHERE total > 0""", ACTIVE, MOVES, TURNS),
     "moves_filtered": on_tracks(f"SELECT subject_id, segment, distance_traversed_m FROM made WHERE distance_traversed_m >= 100 AND NOT ({trunc('calc_mean', 2)} > 10 * {trunc('speed_mean', 2)})", ACTIVE, MOVES),
     "moves_activity": on_tracks(f"""SELECT subject_id, segment, CASE WHEN a.k > 0 AND b.k > 0 AND b.w < 0 AND -a.w < -b.w * 1.61 THEN
           CASE WHEN a.k <= 3 AND b.k <= 3 AND abs(a.k - b.k) < 2 THEN names[least(a.k, b.k) + 1] ELSE names[greatest(a.k, b.k) + 1] END
@@ -273,6 +288,7 @@ ORACLES = {
     "improved_activity": on_tracks("SELECT event_id, subject_id, activity, round(acceleration, 6) AS acceleration FROM better", "cleaned AS (SELECT * FROM timed WHERE accuracy > 0 AND accuracy < 100 AND speed < 343 AND elevation > -330 AND elevation < 12801.6)", improved("cleaned")),
     "full_pipeline": WHOLE,
     "s2_cells": on_tracks(accumulated("celled", "subject_id, level, cell_key", HOUR), celled("timed", ALL_LEVELS, GROUNDED)),
+    "s2_cells_from_pushes": on_tracks(accumulated("celled", "subject_id, level, cell_key", HOUR), celled("timed", ALL_LEVELS, GROUNDED)),
     "s2_rollup_check": on_tracks("""SELECT d.cell_key, d.n AS n_direct, r.n AS n_rolled FROM (SELECT cell_key, count(*) AS n FROM celled WHERE level = 10 GROUP BY 1) d
         FULL JOIN (SELECT a.cell_key, count(*) AS n FROM celled a JOIN celled b USING (event_id) WHERE a.level = 10 AND b.level = 17 GROUP BY 1) r USING (cell_key)""", celled("timed", "[10, 17]")),
     "s2_polygons": on_tracks("""SELECT cell_key, corner, round(degrees(atan2(y, x)), 9) AS lon, round(degrees(atan2(z, sqrt(x * x + y * y))), 9) AS lat FROM (SELECT cell_key, corner,

@@ -57,8 +57,8 @@ def process(points: DataFrame, settings: Settings = Settings(), areas: DataFrame
         segments.plausible_moves(segments.moves(active, idle, settings), settings),
         segments.plausible_stays(segments.stays(idle, settings), settings),
         cells.s2_index(low, visit_gap_s=settings.cell_visit_s, width=settings.bucket_s),
-        admin.admin_index(low, areas, settings.admin_visit_s) if areas is not None else None,
-        cells.subject_index(better),
+        admin.admin_index(low, areas, settings.admin_visit_s, width=settings.bucket_s) if areas is not None else None,
+        cells.subject_index(better, settings.bucket_s),
     )
 
 

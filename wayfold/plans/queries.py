@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from wayfold.config import SPARSE, TALLY_ORDER
 from wayfold.functions import activity as A
 from wayfold.functions import names, num, s2
-from wayfold.operators import admin, cells, clean, improve, modes, quality, segments
+from wayfold.operators import admin, cells, clean, improve, modes, paths, quality, segments
 from wayfold.operators.offsets import with_time_offset
 from wayfold.operators.ordered import BUCKET, lent_by_rows, own_rows, with_previous, with_running_sum
 from wayfold.plans import pipeline
 from wayfold.plans.tracks import tracks
+from wayfold.scratch import materialize
 from wayfold.sources import ingest, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -257,6 +258,17 @@ def s2_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.s2_index(timed(spark, sf_dir).where(clean.grounded()))
 
 
+@query
+def s2_cells_from_pushes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cell index from the visits of three pushes that overlap in time."""
+    t = timed(spark, sf_dir).where(clean.grounded())
+    keys, gap, united = list(cells.S2_KEYS), SPARSE.cell_visit_s, None
+    for k in range(3):
+        new = cells.s2_visits(t.where(F.col("event_id") % 3 == k), visit_gap_s=gap)
+        united = new if united is None else united.unionByName(new)
+    return cells.of_visits(cells.visits(materialize(united, "pushes"), keys, gap), keys)
+
+
 @query
 def s2_rollup_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells at level 10 counted directly and rolled up from level 17."""
@@ -330,6 +342,13 @@ def moves_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(segments.moves(active_rows(spark, sf_dir), None, SPARSE), *MOVE_STATS)
 
 
+@query
+def move_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much every move turns and crosses itself."""
+    found = paths.path_rates(active_rows(spark, sf_dir), SPARSE)
+    return found.select("subject_id", "segment", F.round("bearing_delta_rate", 4).alias("bearing_delta_rate"), F.round("self_crossing_rate", 4).alias("self_crossing_rate"))
+
+
 @query
 def moves_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = segments.moves(active_rows(spark, sf_dir), None, SPARSE)
