@@ -50,6 +50,9 @@ CYRILLIC = "абвгдежзийклмнопрстуфхцчшщъыьэюяё"
 GREEK = "αβγδεζηθικλμνξοπρσςτυφχψωάέήίόύώϊϋΐΰ"
 #: Latin letters beyond a to z that names of European languages hold.
 ACCENTED = "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿßāăąćčďđēėęěğģīįıķļłńņňōőœŕřśşšţťūůűųźżžșț"
+#: Those of them with one capital each; structured values permute them within their case. ß, which has none, stays.
+ACCENTED_LOWER = "".join(c for c in ACCENTED if len(c.upper()) == 1 and c.upper().lower() == c)
+ACCENTED_UPPER = ACCENTED_LOWER.upper()
 
 # Titles by gender, particles of family names, common given names.
 TITLES = {"m": "Mr Mister Herr Señor Sr Monsieur Don Sir".split(), "f": "Mrs Ms Miss Frau Señora Sra Madame Mme Doña Lady Dame".split(), "n": "Dr Prof Professor Doctor Doktor".split()}
@@ -80,26 +83,37 @@ _NAME = rf"(?:[DO]['’])?{_LETTER}{{2,}}(?:[-'’]{_LETTER}{{2,}})*"
 _TITLE = "|".join(sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True))
 #: Don is a given name too: it goes with another title only after Señor.
 _STACKED = "|".join(t for t in _TITLE.split("|") if t != "Don")
-_MORE = rf"(?: +(?:{_STACKED})\.?(?= )|(?:(?<=Señor)|(?<=Sr)|(?<=Sr\.)) +Don(?= ))*"
+#: So many more at once: a match begins at every title, so longer rows of them are met from a later one.
+_MORE = rf"(?: +(?:{_STACKED})\.?(?= )|(?:(?<=Señor)|(?<=Sr)|(?<=Sr\.)) +Don(?= )){{0,6}}"
 _INITIALS = r"(?:[^\W\d_a-z]\.[ -]*|[^\W\d_a-z] +)*"
 _PARTICLES = rf"(?:(?i:{'|'.join(PARTICLES)}) +)*"
 _GIVEN = "|".join(sorted((g for gs in GIVEN.values() for g in gs), key=len, reverse=True))
+#: What names a secret, and one without quotes: up to the next blank, but for closing punctuation. After a colon or
+#: blanks it needs a digit or a symbol, since plain words may follow there.
+_LABEL = r"(?i:passwor[dt]|passwd|pwd|secret|token|contraseña|api[_-]?key|access[_-]?key)(?:[_-]\w{1,40})?"
+_VALUE = r"[^\s\"'<>]{5,}[^\s\"'<>.,;:)\]}]"
+#: What follows a given name in names of places.
+_PLACES = "Street|St|Road|Rd|Avenue|Ave|Lane|Square|Bridge|Park|Hall|Station|Airport|University|Straße|Platz|Allee|Brücke"
 #: Types in the order in which they claim text.
 PATTERNS = [
-    ("email", r"(?<![\w.+-])[A-Za-z0-9][\w.+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}(?![\w-])"),
+    ("secret", r"(?<=://)[^\s/:@]{1,256}:([^\s/@]+)(?=@)"),
+    ("email", r"(?<![\w.+-])[^\W_][\w.+-]*@[^\W_](?:[^\W_]|-){0,62}(?:\.(?:[^\W_]|-){1,63}){1,8}(?![\w-])"),
     ("access_key", r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"),
-    ("secret", r"(?i:password|passwd|pwd|secret|token|api_?key)\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9+/_=-]{6,})"),
+    ("secret", rf"{_LABEL}[\"']?\s{{0,3}}[=:]\s{{0,3}}(?:\"([^\"\n]{{4,}})\"|'([^'\n]{{4,}})')"),
+    ("secret", rf"{_LABEL}[\"']?(?:=|\s{{0,3}}[=:]\s{{0,3}}(?=\S*[^\W\d_]*[\d!#$%&*+/@^_=~-]\S))({_VALUE})"),
+    ("secret", r"(?<!\w)(?i:bearer) +([A-Za-z0-9._~+/=-]{16,})"),
+    ("secret", r"(?<!\w)(?:gh[pousr]_|github_pat_|glpat-|sk-|xox[abprs]-)([A-Za-z0-9_.-]*[A-Za-z0-9_-]{10,})"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     ("ip", r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:]|\.\d)"),
-    ("phone", r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\w+(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\w.-])\d{3}([ .-])\d{3}\1\d{4}(?![\w-])"),
+    ("phone", r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\w+(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\w.-])\d{3}([ .-])\d{3}\1\d{4}(?![\w-])|(?<![\w.+-])0\d{2,4}[ /-]\d{6,8}(?![\w-])"),
     ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
     ("ip", r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\w]|\.\d)"),
-    ("card", r"(?<![\w-])[3-6]\d{3}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\w-])"),
+    ("card", r"(?<![\w-])(?:[3-6]\d{3}(?:[ -]?\d{4}){2}[ -]?\d{1,7}|3[47]\d{2}[ -]?\d{6}[ -]?\d{5})(?![\w-])"),
     ("name", rf"(?<!\w)(?P<title>(?:{_TITLE})\.?{_MORE}) +{_INITIALS}{_PARTICLES}(?P<given>(?!(?:{_STACKED})\.? ){_NAME})(?: +{_INITIALS}{_PARTICLES}(?P<family>{_NAME}))?"),
-    ("name", rf"(?<!\w)(?P<given>{_GIVEN})(?: +{_INITIALS}{_PARTICLES}(?P<family>{_NAME}))"),
+    ("name", rf"(?<!\w)(?P<given>{_GIVEN})(?: +{_INITIALS}{_PARTICLES}(?P<family>(?!(?:{_PLACES})\b){_NAME})(?!\w))(?! +(?:{_PLACES})\b)"),
 ]
 COMPILED = [(kind, re.compile(p)) for kind, p in PATTERNS]
-HINT = re.compile(rf"[0-9@]|[=:]|(?<!\w)(?:(?:{_TITLE})\.? |(?:{_GIVEN}) )")
+HINT = re.compile(rf"[0-9@]|[=:]|(?i:bearer )|gh[pousr]_|github_pat_|glpat-|sk-|xox|(?<!\w)(?:(?:{_TITLE})\.? |(?:{_GIVEN}) )")
 WORD = re.compile(rf"(?<!\w){_NAME}(?!\w)")
 
 
@@ -169,7 +183,7 @@ class Surrogates:
 
     def reshape(self, text: str, tweak: str, hexadecimal: bool = False) -> str:
         """text with every letter and digit permuted within its class; other characters stay."""
-        classes = (HEX,) if hexadecimal else (DIGITS, LOWER, UPPER, CYRILLIC, CYRILLIC.upper(), GREEK)
+        classes = (HEX,) if hexadecimal else (DIGITS, LOWER, UPPER, CYRILLIC, CYRILLIC.upper(), GREEK, ACCENTED_LOWER, ACCENTED_UPPER)
         places = [(p, a) for p, c in enumerate(text) if (a := next((a for a in classes if c in a), None))]
         shape = "".join("0" if a is DIGITS else "a" if a is LOWER else "A" if a is UPPER else "x" for _, a in places)
         out, before = list(text), ""
@@ -186,10 +200,10 @@ class Surrogates:
 
     def structured(self, kind: str, value: str) -> str:
         if kind == "email":
-            local, _, domain = value.lower().partition("@")
+            local, _, domain = "".join(c.lower() if len(c.lower()) == 1 else c for c in value).partition("@")
             top = domain.rfind(".")
             fresh = f"{self.reshape(local, 'local')}@{self.reshape(domain[:top], 'domain')}{domain[top:]}"
-            return "".join(f.upper() if v.isupper() else f for f, v in zip(fresh, value, strict=True))
+            return "".join(f.upper() if v.isupper() and len(f.upper()) == 1 else f for f, v in zip(fresh, value, strict=True))
         if kind == "access_key":
             return value[:4] + self.reshape(value[4:], kind)
         if kind == "ip":
@@ -291,8 +305,10 @@ def detect(text: str) -> list[tuple[int, int, str, str, str]]:
             if kind == "name":
                 for part, gender in named_parts(m):
                     claim(*m.span(part), kind, gender)
-            elif valid(kind, m[1] if kind == "secret" else m[0]):
-                claim(*m.span(1 if kind == "secret" else 0), kind)
+            else:
+                group = m.lastindex if kind == "secret" else 0
+                if valid(kind, m[group]):
+                    claim(*m.span(group), kind)
     names: dict[str, str] = {}
     for _, _, kind, value, gender in sorted(found):
         if kind == "name":
