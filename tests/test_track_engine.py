@@ -168,8 +168,29 @@ def test_areas_against_plain_polygons(spark):
     want = {(places[i][0], k) for k, rings in shapes.items() for i in np.nonzero(geo.in_rings(lon, lat, rings))[0]}
     assert got == want and len(want) > 300
     tiles = admin.cover(areas)
-    assert tiles.groupBy("area_key").count().agg(F.max("count")).first()[0] <= 2 * admin.MOST_TILES
-    assert tiles.where("edges is null").count() > 0
+    assert tiles.where(F.size("edges") > admin.MOST_EDGES).count() == 0 and tiles.where("edges is null").count() > 0
+
+
+def test_long_borders_are_split(spark):
+    """A coast of 20,000 edges and a fan whose edges all meet in one place, across the equator and the prime meridian."""
+    rng = random.Random(9)
+    turn = [2 * math.pi * k / 20_000 for k in range(20_000)]
+    coast = [(0.3 + r * math.cos(a), r * math.sin(a) - 0.2) for a in turn for r in [9 + math.sin(7 * a) + rng.uniform(-0.01, 0.01)]]
+    fan = [p for k in range(300) for p in ((5.0, 5.0), *((5.0 + math.cos(a), 5.0 + math.sin(a)) for a in (k / 50, (k + 0.5) / 50)))]
+    shapes = {"coast": [coast], "fan": [fan]}
+    kind = f"dataset string, area_key string, {', '.join(f'{c} double' for c in admin.BOX)}, rings {admin.RINGS}"
+    rows = [("countries", k, *(f(p[i] for p in r[0]) for i in (0, 1) for f in (min, max)), [[{"lon": x, "lat": y} for x, y in r[0]]]) for k, r in shapes.items()]
+    areas = spark.createDataFrame([*rows, ("countries", "box", -1.0, 1.0, -1.0, 1.0, None)], kind)
+    tiles = admin.cover(areas)
+    sizes = {r.area_key: r for r in tiles.groupBy("area_key").agg(F.max(F.size("edges")).alias("edges"), F.max("size").alias("size"), F.count("*").alias("n")).collect()}
+    assert sizes["coast"].edges <= admin.MOST_EDGES and sizes["coast"].n < 10_000
+    assert sizes["fan"].size == len(admin.TILES) - 1  # what no split can part is kept whole
+    lon, lat = np.array([rng.uniform(-13, 13) for _ in range(4_000)] + [5 + rng.uniform(-1.2, 1.2) for _ in range(1_000)]), np.array([rng.uniform(-13, 13) for _ in range(4_000)] + [5 + rng.uniform(-1.2, 1.2) for _ in range(1_000)])
+    df = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(zip(lon, lat, strict=True))] + [(9_000, None, 1.0), (9_001, 400.0, 1.0)], "event_id long, lon double, lat double")
+    got = {(r.event_id, r.area_key) for r in admin.locate(df, areas).collect()}
+    want = {(int(i), k) for k, rings in shapes.items() for i in np.nonzero(geo.in_rings(lon, lat, rings))[0]}
+    assert got == want | {(int(i), "box") for i in np.nonzero((lon >= -1) & (lon < 1) & (lat >= -1) & (lat < 1))[0]}
+    assert {k for _, k in want} == {"coast", "fan"}
 
 
 def test_areas_are_read_and_looked_up(spark, tmp_path):
