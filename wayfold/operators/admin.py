@@ -21,7 +21,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfold.config import Settings
-from wayfold.functions.geo import in_rings
 from wayfold.operators.cells import accumulate
 
 #: Datasets in bucket order.
@@ -92,11 +91,13 @@ def meeting(edges: np.ndarray, x: float, y: float, side: float) -> np.ndarray:
 def crossings_odd(edges: np.ndarray, x0: float, y0: float, x: float, y: float) -> bool:
     """What crossed() counts, for one point."""
     x1, y1, x2, y2 = edges.T
-    with np.errstate(divide="ignore", invalid="ignore"):
-        at_x = x1 + (x2 - x1) * ((y0 - y1) / (y2 - y1))
-        at_y = y1 + (y2 - y1) * ((x - x1) / (x2 - x1))
-    first = ((y1 > y0) != (y2 > y0)) & (at_x > x0) & (at_x <= x)
-    second = ((x1 > x) != (x2 > x)) & (at_y > y0) & (at_y <= y)
+    turn = lambda px, py: (x2 - x1) * (py - y1) - (y2 - y1) * (px - x1)
+    rising = ((x2 > x1) & (y2 > y1)) | ((x2 < x1) & (y2 < y1))
+    right = lambda t: np.where(y2 > y1, t > 0, t < 0) | ((t == 0) & rising)
+    above = lambda t: np.where(x2 > x1, t < 0, t > 0)
+    bend = turn(x, y0)
+    first = ((y1 > y0) != (y2 > y0)) & right(turn(x0, y0)) & ~right(bend)
+    second = ((x1 > x) != (x2 > x)) & above(bend) & ~above(turn(x, y))
     return bool((np.count_nonzero(first) + np.count_nonzero(second)) % 2)
 
 
@@ -133,10 +134,11 @@ def cover(areas: DataFrame) -> DataFrame:
         edges, size = edges[(edges[:, :2] != edges[:, 2:]).any(1)], row["size"]
         side, known = TILES[size], {c: row[c] for c in ("dataset", "area_key", *BOX)}
         ranges = (range(int(np.floor(row[a] / side)), int(np.floor(row[b] / side)) + 1) for a, b in (BOX[:2], BOX[2:]))
-        tx, ty = (g.ravel() for g in np.meshgrid(*ranges))
-        inside = in_rings(tx * side, ty * side, rings)
-        for x, y, corner in zip(tx.tolist(), ty.tolist(), inside.tolist(), strict=True):
-            yield from (known | tile for tile in split(size, x, y, bool(corner), meeting(edges, x * side, y * side, side)))
+        tx, ty = np.meshgrid(*ranges)
+        outside = min(row["min_lon"], *edges[:, [0, 2]].ravel().tolist()) - 2 * TILES[0]
+        for x, y in zip(tx.ravel().tolist(), ty.ravel().tolist(), strict=True):
+            corner = crossings_odd(edges, outside, y * side, x * side, y * side)
+            yield from (known | tile for tile in split(size, x, y, corner, meeting(edges, x * side, y * side, side)))
 
     edge = pa.struct([(c, pa.float64()) for c in ("x1", "y1", "x2", "y2")])
     made = pa.schema([("dataset", pa.string()), ("area_key", pa.string()), *((c, pa.float64()) for c in BOX), ("size", pa.int32()), ("tx", pa.int64()), ("ty", pa.int64()), ("corner_inside", pa.bool_()), ("edges", pa.list_(edge))])
@@ -154,15 +156,19 @@ def cover(areas: DataFrame) -> DataFrame:
 
 
 def crossed(x: Column, y: Column, x0: Column, y0: Column, edges: Column) -> Column:
-    """Whether an odd number of edges is crossed on the way from (x0, y0) along y0 to x, then along x to y."""
+    """Whether an odd number of edges is crossed on the way from (x0, y0) along y0 to x, then along x to y.
+
+    All points count as moved up by a little and right by far less, and sides
+    are told by one exact sign, so that vertices on corners of tiles do no harm.
+    """
 
     def crosses(e: Column) -> Column:
-        flat = (e["y1"] > y0) != (e["y2"] > y0)
-        at_x = e["x1"] + (e["x2"] - e["x1"]) * F.try_divide(y0 - e["y1"], e["y2"] - e["y1"])
-        steep = (e["x1"] > x) != (e["x2"] > x)
-        at_y = e["y1"] + (e["y2"] - e["y1"]) * F.try_divide(x - e["x1"], e["x2"] - e["x1"])
-        first = F.coalesce(flat & (at_x > x0) & (at_x <= x), F.lit(False))
-        second = F.coalesce(steep & (at_y > y0) & (at_y <= y), F.lit(False))
+        dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
+        turn = lambda px, py: dx * (py - e["y1"]) - dy * (px - e["x1"])
+        right = lambda t: F.when(dy > 0, t > 0).otherwise(t < 0) | ((t == 0) & (((dx > 0) & (dy > 0)) | ((dx < 0) & (dy < 0))))
+        above = lambda t: F.when(dx > 0, t < 0).otherwise(t > 0)
+        first = ((e["y1"] > y0) != (e["y2"] > y0)) & right(turn(x0, y0)) & ~right(turn(x, y0))
+        second = ((e["x1"] > x) != (e["x2"] > x)) & above(turn(x, y0)) & ~above(turn(x, y))
         return first != second
 
     return F.aggregate(edges, F.lit(False), lambda odd, e: odd != crosses(e))
