@@ -12,14 +12,21 @@ What a browser does not show is left out: head, scripts and templates, hidden
 attributes, closed details and dialogs, display:none, and visibility:hidden
 unless a child is visible again, from style attributes and from the page's own
 style sheets where a rule's selector is a tag, class, id or their combination.
-Text hidden from assistive tools alone is visible.
-
-Both steps are loops over explicit stacks and take time in proportion to the
-page, whatever its nesting: open tags are looked up by name, columns pad no
-wider than WIDEST, indents stop at DEEPEST, and the cells of tables inside
-ALIGNED_TABLES others are plain blocks. None of these loses text.
-
-Null pages give null text; empty pages give empty text. Broken markup never
+Text hidden from assistive tools alone is visible, and so are the labels of
+buttons that inputs make. Selectors of several elements and rules inside @media
+are not read, so text that only they hide is emitted.
+
+Both steps are loops over explicit stacks, whatever the nesting: open tags are
+looked up by name, columns pad no wider than WIDEST, indents stop at DEEPEST,
+and the cells of tables inside ALIGNED_TABLES others are plain blocks. Spans
+push cells aside in the first SPANNED columns alone, and a row steps over
+columns taken from above in one jump as long as none of them falls free. A table
+whose padding would pass PADDING times its cells is set without padding, two
+blanks between cells, so that text stays in proportion to the page. None of
+these loses text.
+
+Null pages give null text; empty pages give empty text, an empty table of pages
+an empty result. Broken markup never
 raises; a tag that the page's end cuts off is dropped, as in browsers. Repeated
 rows are rendered each; other columns than id and page are ignored.
 """
@@ -37,7 +44,7 @@ from pyspark.sql import functions as F
 
 # Element classes of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("head script style template noscript title meta link iframe object audio video canvas datalist area base param source track input noframes noembed desc defs metadata".split())
+HIDDEN = frozenset("head script style template noscript title meta link iframe object audio video canvas datalist area base param source track noframes noembed desc defs metadata".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure hr fieldset".split())
 BLOCK = SPACED | frozenset("html body div section article aside nav header footer main address li dt dd form figcaption details summary caption center dir menu legend option optgroup dialog search hgroup tr td th".split())
 ENDS_P = BLOCK - frozenset("option optgroup tr td th caption legend html body".split())
@@ -56,10 +63,15 @@ CLOSES = {
 }
 SECTIONS = frozenset("thead tbody tfoot".split())
 CELLS = frozenset("td th".split())
+BUTTONS = frozenset("submit reset button".split())
 TABLE_PARTS = SECTIONS | CELLS | {"caption", "colgroup", "col", "tr"}
 TABLE_LEVELS = SECTIONS | {"table", "tr", "colgroup"}
 
-WIDEST, DEEPEST, ALIGNED_TABLES = 80, 40, 6
+WIDEST, DEEPEST, ALIGNED_TABLES, SPANNED, PADDING = 80, 40, 6, 1_000, 32
+#: What a line of a cell counts beside its characters when padding is weighed: about the tag that made it.
+LINE_COST = 5
+#: Rows that a cell may span in HTML; spans of no stated end take as many.
+MOST_ROWS = 65_534
 BLANK = " \t\n\r\f"
 SPACES = re.compile(r"[ \t\n\r\f]+")
 _TAG_NAME = re.compile(r"[^ \t\n\r\f/>]+")
@@ -437,31 +449,47 @@ class Table:
         self.rows: list[list[tuple[int, int, list[str]]]] = []
         #: Column to the first row below the cell that reaches down into it.
         self.taken: dict[int, int] = {}
+        #: Column to the next one that may be free, and the row at which some column between falls free.
+        self.jumps: dict[int, tuple[int, int]] = {}
 
     def new_row(self) -> None:
         self.rows.append([])
 
     def new_section(self) -> None:
-        self.taken = {}
+        self.taken, self.jumps = {}, {}
+
+    def free_column(self, first: int, row: int) -> int:
+        """The first column from first on that no cell above reaches down into."""
+        at, until = first, MOST_ROWS * 2
+        while at < SPANNED:
+            if (jump := self.jumps.get(at)) and jump[1] > row:
+                at, until = jump[0], min(until, jump[1])
+            elif (below := self.taken.get(at, 0)) > row:
+                at, until = at + 1, min(until, below)
+            else:
+                break
+        if at > first:
+            self.jumps[first] = (at, until)
+        return at
 
     def add(self, lines: list[str], attrs: dict[str, str]) -> None:
         """Takes the next free column of the row; spans are those of HTML, 1 to 1000 columns, 1 to 65534 rows."""
         span, down = (int(v) if (v := attrs.get(k, "1")).isascii() and v.isdecimal() and len(v) < 9 else 1 for k in ("colspan", "rowspan"))
-        span, down = min(max(span, 1), 1000), min(down, 65_534) if down else 65_534
+        span, down = min(max(span, 1), 1000), min(down, MOST_ROWS) if down else MOST_ROWS
         row, at = len(self.rows) - 1, 0
         if self.rows[row]:
             column, width, _ = self.rows[row][-1]
             at = column + width
-        while self.taken.get(at, 0) > row:
-            at += 1
-        if down > 1:
-            self.taken |= dict.fromkeys(range(at, at + span), row + down)
+        at = self.free_column(at, row)
+        if down > 1 and at < SPANNED:
+            for k in range(at, min(at + span, SPANNED)):
+                self.taken[k] = max(self.taken.get(k, 0), row + down)
         self.rows[row].append((at, span, lines))
 
     def layout(self) -> list[str]:
         """One text line for each line of the tallest cell of a row; a row without any text has no line."""
-        out = self.caption
         rows = [r for r in self.rows if any(lines for _, _, lines in r)]
+        budget = PADDING * sum(LINE_COST + len(x) for row in rows for _, _, lines in row for x in lines or ("",))
         starts = sorted({at for row in rows for at, _, _ in row})
         place = {at: k for k, at in enumerate(starts)}
         width = [0] * len(starts)
@@ -473,12 +501,20 @@ class Table:
         offset = [0]
         for w in width:
             offset.append(offset[-1] + w + 2)
+        found = self.lines_of(rows, [offset[k] for k in range(len(starts))], place, budget)
+        return self.caption + (self.lines_of(rows, [0] * len(starts), place, None) if found is None else found)
+
+    def lines_of(self, rows: list, offset: list[int], place: dict[int, int], budget: int | None) -> list[str] | None:
+        """Lines with cells at their columns' offsets; None where that takes more blanks than the budget."""
+        out = []
         for row in rows:
             for k in range(max(len(lines) for _, _, lines in row)):
                 parts, reached = [], 0
                 for at, _, lines in row:
                     if k < len(lines) and lines[k]:
                         gap = max(offset[place[at]] - reached, 2 if parts else 0)
+                        if budget is not None and (budget := budget - gap) < 0:
+                            return None
                         parts += [" " * gap, lines[k]]
                         reached += gap + columns_wide(lines[k])
                 out.append("".join(parts).rstrip())
@@ -524,6 +560,9 @@ class Renderer:
         elif tag == "img":
             if visible and (alt := node.attrs.get("alt", "").strip()):
                 canvas.words(alt)
+        elif tag == "input":
+            if visible and node.attrs.get("type", "").lower() in BUTTONS and (label := node.attrs.get("value", "").strip()):
+                canvas.words(label)
         elif tag == "hr":
             canvas.block(2)
         elif tag == "table" and len(self.tables) < ALIGNED_TABLES:
