@@ -251,6 +251,21 @@ def test_admitted_points(spark):
     assert (first.accuracy, first.received_at, first.extras, round(first.gyro_sum, 6)) == (5.0, 9, {}, 0.006) and "wrong_types" not in stored.columns
 
 
+def test_windowed_improver_by_hand(spark):
+    """A walk reported as such, a leap of the leader, a stillness that moves, points too close, a silence, another subject."""
+    rows = [(k, "a", 1_000 + 10 * k, "Walking" if k < 8 else "Bike", 1.0, 0.0) for k in range(16)]
+    rows += [(20, "a", 1_151, "Fly", 300.0, 0.0), (30, "a", 2_000, "", 3.0, 0.0), (31, "a", 2_010, "", 3.0, 0.0)]
+    rows += [(40 + k, "b", 1_000 + 20 * k, "Stationary", 0.0, 0.001 * k) for k in range(5)] + [(50, "c", 5, None, None, 0.0)]
+    df = spark.createDataFrame([(i, s, t, name, speed, 10.0 + east, 0.0) for i, s, t, name, speed, east in rows], "event_id long, subject_id string, unix_s long, activity string, speed double, lon double, lat double")
+    got = {r.event_id: r.activity for r in improve.improve_by_windows(df).collect()}
+    # Looked at 0, 40, 80 and 120 s after the start; the window of the third still holds more of walking.
+    assert [got[k] for k in range(16)] == ["Walking"] * 12 + ["Bike"] * 4
+    assert got[20] == "Bike" and got[30] == got[31] == "Running"  # within a second; after the reset its speed alone decides
+    assert [got[40 + k] for k in range(5)] == ["Stationary", "Stationary", "Running", "Running", "Running"]  # 111 m in 20 s, reported as none
+    assert got[50] == "Stationary"
+    assert improve.improve_by_windows(df.where("false")).count() == 0
+
+
 def test_gyro_stills_the_improver(spark):
     rows = [(i, "u1", "d1", i * 10, 0.0, i * 1e-5, 5.0, 0.1, 10.0, 100.0, "Walking", 0.001 if i else None) for i in range(20)]
     kind = "event_id long, subject_id string, device_id string, unix_s long, lon double, lat double, accuracy double, speed double, heading double, elevation double, activity string, gyro_sum double"

@@ -150,6 +150,73 @@ class Improver:
         return fits(self.canonical.ranked(), calc) or closest_py(calc)
 
 
+#: Upper speeds of activities by what a window's mean speed shows, slowest first; faster than all is a flight.
+PACES = ((C.WALKING_MAX, "Walking"), (C.RUNNING_MAX, "Running"), (C.CYCLING_MAX, "Bike"), (C.DRIVING_TOP, "Automotive"))
+
+
+class WindowImprover:
+    """The older form: the leading report of a window of points, looked at once an interval.
+
+    A point within a second of the last one taken changes nothing. Where the
+    leading known report moves, it becomes the activity; where it is stationary
+    or none is known, the mean of the window's reported and calculated speeds
+    decides. Points of a window are summed up only when they are looked at, so
+    a window is read once an interval.
+    """
+
+    def __init__(self, settings: Settings):
+        self.settings = settings
+        self.fresh()
+
+    def fresh(self) -> None:
+        self.t = self.place = self.checked = None
+        self.activity, self.window = C.UNKNOWN, deque()
+
+    def add(self, t: int, lon: float, lat: float, speed, name: str) -> str:
+        keep = self.settings.improver_interval_s
+        if self.t is not None:
+            if not -1 <= t - self.t <= self.settings.improver_reset_s:
+                gone_back = t < self.t
+                self.fresh()
+                if gone_back:
+                    return self.activity
+            elif t - self.t <= 1:
+                return self.activity
+        while self.window and t - self.window[0][0] > keep:
+            self.window.popleft()
+        reported = finite(speed, -1.0)
+        offset = 1 if self.t is None else min(t - self.t, keep)
+        calculated = distance_py(*self.place, lon, lat) / offset if self.window else max(reported, 0.0)
+        self.window.append((t, offset, name, reported * offset, calculated * offset))
+        self.t, self.place = t, (lon, lat)
+        if self.checked is None or t - self.checked > keep:
+            self.checked, self.activity = t, self.decide()
+        return self.activity
+
+    def decide(self) -> str:
+        weights = dict.fromkeys(C.ACTIVITIES, 0)
+        for _, offset, name, _, _ in self.window:
+            if name in weights:
+                weights[name] += offset
+        leader = max(C.ACTIVITIES, key=lambda a: (weights[a], -CODES[a]))
+        if leader != "Stationary":
+            return leader
+        span = sum(row[1] for row in self.window)
+        speed = (sum(row[3] for row in self.window) / span + sum(row[4] for row in self.window) / span) / 2
+        if speed <= C.WALKING_MIN:
+            return leader
+        return next((name for top, name in PACES if speed <= top), "Fly")
+
+
+def improve_by_windows(tracks: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """Replaces activity by the older form; state resets after a long silence."""
+    kept = [f for f in tracks.schema.fields if f.name != "activity"]
+    schema = T.StructType([*kept, T.StructField("activity", T.StringType())])
+    runs = with_resets(tracks, F.col("unix_s") - F.col("prev.unix_s") > settings.improver_reset_s, settings)
+    finish = lambda batch, found: batch.assign(activity=found)
+    return scan_runs(runs, ("unix_s", "event_id"), ("unix_s", "lon", "lat", "speed", "activity"), lambda: WindowImprover(settings), WindowImprover.add, finish, schema)
+
+
 def improve(tracks: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Replaces activity and adds acceleration.
 

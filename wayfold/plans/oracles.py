@@ -155,6 +155,23 @@ better AS (SELECT * EXCLUDE (act, accel, activity), {[*ACTIVITIES, "Unknown"]}[C
   FROM (SELECT s.*, w.act, w.accel FROM {source} s JOIN im_walk w ON w.subject_id = s.subject_id AND w.event_id = s.event_id AND w.r > 0))"""
 
 
+def improved_by_windows(source: str, settings=SPARSE) -> str:
+    """The older activity machine as a recursion; CTEs that end in ow_walk (subject_id, r, event_id, act)."""
+    keep, reset = settings.improver_interval_s, settings.improver_reset_s
+    empty = "CAST([] AS STRUCT(t BIGINT, c INTEGER, w DOUBLE, s DOUBLE, k DOUBLE)[])"
+    total = lambda c: f"list_sum([x.{c} for x in win])"
+    return f"""ow_rows AS (SELECT *, row_number() OVER ({ORDERED}) AS r, {sql_code('activity')} AS code FROM {source}),
+ow_walk AS (SELECT DISTINCT subject_id, CAST(0 AS BIGINT) AS r, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS BIGINT) AS last_t, CAST(NULL AS DOUBLE) AS px, CAST(NULL AS DOUBLE) AS py, CAST(NULL AS BIGINT) AS checked, -1 AS act, {empty} AS win FROM ow_rows
+  UNION ALL SELECT subject_id, r, event_id, CASE WHEN same THEN last_t ELSE unix_s END, CASE WHEN same THEN px ELSE lon END, CASE WHEN same THEN py ELSE lat END, CASE WHEN due THEN unix_s ELSE checked END,
+    CAST(CASE WHEN NOT due THEN act WHEN top > 0 THEN top WHEN pace <= 0.23 THEN 0 WHEN pace <= 1.78 THEN 1 WHEN pace <= 5.56 THEN 2 WHEN pace <= 11.76 THEN 3 WHEN pace <= 67.06 THEN 4 ELSE 5 END AS INTEGER), win
+  FROM (SELECT *, NOT same AND (checked IS NULL OR unix_s - checked > {keep}) AS due, list_filter({weights_of('win')}, lambda x: x.c >= 0)[1].c AS top, ({total('s')} / {total('w')} + {total('k')} / {total('w')}) / 2 AS pace
+    FROM (SELECT * EXCLUDE (win), CASE WHEN same THEN win ELSE list_append(win, {{'t': unix_s, 'c': code, 'w': o, 's': speed * o, 'k': CASE WHEN len(win) = 0 THEN greatest(speed, 0) * o ELSE {metres("px", "py", "lon", "lat")} / o * o END}}) END AS win
+      FROM (SELECT * EXCLUDE (win), CASE WHEN same THEN win ELSE list_filter(win, lambda x: unix_s - x.t <= {keep}) END AS win, CAST(CASE WHEN last_t IS NULL THEN 1 ELSE least(unix_s - last_t, {keep}) END AS DOUBLE) AS o
+        FROM (SELECT *, last_t IS NOT NULL AND unix_s - last_t <= 1 AS same
+          FROM (SELECT n.*, CASE WHEN NOT again THEN last_t END AS last_t, CASE WHEN NOT again THEN px END AS px, CASE WHEN NOT again THEN py END AS py, CASE WHEN NOT again THEN checked END AS checked, CASE WHEN again THEN -1 ELSE act END AS act, CASE WHEN again THEN {empty} ELSE win END AS win
+            FROM (SELECT n AS n, w.* EXCLUDE (subject_id, r, event_id), w.last_t IS NULL OR n.unix_s - w.last_t > {reset} AS again FROM ow_walk w JOIN ow_rows n ON n.subject_id = w.subject_id AND n.r = w.r + 1)))))))"""
+
+
 ALL_LEVELS = "[0] || range(3, 18)"
 FAULTS = """CASE WHEN event_id % 43 = 0 THEN 'not readable' WHEN event_id % 47 = 0 THEN 'unknown type' WHEN event_id % 59 = 0 THEN 'no place' WHEN event_id % 67 = 0 THEN 'no features' WHEN event_id % 23 = 0 THEN 'not a point'
   WHEN event_id % 19 = 0 THEN 'no properties' WHEN event_id % 29 = 0 THEN 'name not text' WHEN event_id % 31 = 0 THEN 'device not text' WHEN event_id % 37 = 0 OR event_id % 61 = 0 THEN 'times differ' WHEN event_id % 41 = 0 THEN 'accuracy not a number' ELSE 'valid' END"""
@@ -285,6 +302,7 @@ ORACLES = {
     "ring_window": on_tracks(f"SELECT event_id, first(event_id) OVER w AS head, count(*) OVER w AS n, round(avg(speed) OVER w, 6) AS mean_speed FROM tracks WINDOW w AS ({ORDERED} ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)"),
     "sorted_tracks": on_tracks("SELECT event_id, CAST(row_number() OVER (PARTITION BY subject_id ORDER BY device_id, unix_s, accuracy, event_id) AS INTEGER) AS place FROM tracks"),
     "snap_keys": on_tracks("SELECT event_id, CASE WHEN event_id % 6 = 0 THEN 'k' || event_id ELSE format('{}_{}_{:010d}', subject_id, device_id, unix_s) END AS snap_key, CASE WHEN event_id % 6 = 0 THEN 'bucket' ELSE '' END AS bucket FROM tracks WHERE event_id % 4 = 0 OR event_id % 6 = 0"),
+    "windowed_activity": on_tracks(f"SELECT event_id, subject_id, {[*ACTIVITIES, 'Unknown']}[CASE WHEN act < 0 THEN 7 ELSE act + 1 END] AS activity FROM ow_walk WHERE r > 0", "cleaned AS (SELECT * FROM timed WHERE accuracy > 0 AND accuracy < 100 AND speed < 343 AND elevation > -330 AND elevation < 12801.6)", improved_by_windows("cleaned")),
     "improved_activity": on_tracks("SELECT event_id, subject_id, activity, round(acceleration, 6) AS acceleration FROM better", "cleaned AS (SELECT * FROM timed WHERE accuracy > 0 AND accuracy < 100 AND speed < 343 AND elevation > -330 AND elevation < 12801.6)", improved("cleaned")),
     "full_pipeline": WHOLE,
     "s2_cells": on_tracks(accumulated("celled", "subject_id, level, cell_key", HOUR), celled("timed", ALL_LEVELS, GROUNDED)),

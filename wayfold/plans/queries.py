@@ -392,6 +392,11 @@ def improved_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return improve.improve(clean.stateless(timed(spark, sf_dir)), SPARSE).select("event_id", "subject_id", "activity", F.round("acceleration", 6).alias("acceleration"))
 
 
+@query
+def windowed_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return improve.improve_by_windows(clean.stateless(timed(spark, sf_dir)), SPARSE).select("event_id", "subject_id", "activity")
+
+
 @query
 def monthly_store_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tracks(spark, sf_dir).select("subject_id", sinks.month(F.col("unix_s")).alias("ym"))
