@@ -180,6 +180,14 @@ TURNS = f"""turns AS (SELECT *, lag(b) OVER w AS pb, lag(m) OVER w AS pm, row_nu
   WINDOW w AS (PARTITION BY subject_id, segment ORDER BY unix_s, event_id))"""
 
 
+AWAY = """CASE WHEN p[lo].x = p[hi].x AND p[lo].y = p[hi].y THEN sqrt(pow(p[i].x - p[lo].x, 2) + pow(p[i].y - p[lo].y, 2))
+    ELSE abs((p[i].x - p[lo].x) * (p[hi].y - p[lo].y) - (p[i].y - p[lo].y) * (p[hi].x - p[lo].x)) / sqrt(pow(p[hi].x - p[lo].x, 2) + pow(p[hi].y - p[lo].y, 2)) END"""
+KEPT = f"""paths AS (SELECT subject_id, segment, list({{'x': lon, 'y': lat}} ORDER BY unix_s, event_id) AS p, CASE WHEN sum(m) < 500 THEN 0.05 ELSE 0.1 END AS tolerance FROM inner_ GROUP BY ALL HAVING count(*) >= 2),
+kept AS (SELECT *, CAST(1 AS BIGINT) AS lo, CAST(len(p) AS BIGINT) AS hi FROM paths
+  UNION ALL SELECT subject_id, segment, p, tolerance, CASE WHEN part = 0 THEN lo ELSE -best.k END, CASE WHEN part = 0 THEN -best.k ELSE hi END
+  FROM (SELECT *, unnest([0, 1]) AS part FROM (SELECT *, list_sort([{{'d': {AWAY}, 'k': -i}} for i in range(lo, hi + 1)], 'DESC')[1] AS best FROM kept WHERE hi - lo >= 2) WHERE best.d > tolerance))"""
+
+
 def crosses(a: str, b: str) -> str:
     """Whether two steps cross properly, by the sides on which their ends lie."""
     side = lambda p, q, n: f"(({p}.x2 - {p}.x1) * ({q}.y{n} - {p}.y1) - ({p}.y2 - {p}.y1) * ({q}.x{n} - {p}.x1))"
@@ -276,6 +284,11 @@ ORACLES = {
         FROM (SELECT subject_id, segment, sum(m) AS total, coalesce(sum(abs(pb - b) * (pm + m)), 0) AS turned FROM turns GROUP BY ALL) t
         LEFT JOIN (SELECT a.subject_id, a.segment, sum(a.m + b.m) AS crossed FROM turns a JOIN turns b ON a.subject_id = b.subject_id AND a.segment = b.segment AND a.k < b.k
           WHERE {crosses("a", "b")} GROUP BY ALL) c ON c.subject_id = t.subject_id AND c.segment = t.segment WHERE total > 0""", ACTIVE, MOVES, TURNS),
+    "simplified_points": on_tracks("""SELECT subject_id, segment, len(p) AS raw_point_count, row_number() OVER (PARTITION BY subject_id, segment ORDER BY i) - 1 AS position, round(p[i].x, 9) AS lon, round(p[i].y, 9) AS lat
+        FROM (SELECT DISTINCT subject_id, segment, p, unnest([lo, hi]) AS i FROM kept)""", ACTIVE, MOVES, KEPT),
+    "moves_speeds": on_tracks(f"""SELECT subject_id, segment, {", ".join(f"{trunc(f'{f}(m / s) FILTER (s > 0)', 2)} AS speed_calculated_{n}" for n, f in (("mean", "avg"), ("median", "median"), ("min", "min"), ("max", "max")))},
+        {trunc("avg(speed)", 2)} AS speed_reported_mean, {trunc("median(speed)", 2)} AS speed_reported_median, {trunc("avg(round(elevation))", 0)} AS elevation_mean, {trunc("median(round(elevation))", 0)} AS elevation_median
+        FROM inner_ GROUP BY subject_id, segment HAVING count(*) >= 2""", ACTIVE, MOVES),
     "moves_filtered": on_tracks(f"SELECT subject_id, segment, distance_traversed_m FROM made WHERE distance_traversed_m >= 100 AND NOT ({trunc('calc_mean', 2)} > 10 * {trunc('speed_mean', 2)})", ACTIVE, MOVES),
     "moves_activity": on_tracks(f"""SELECT subject_id, segment, CASE WHEN a.k > 0 AND b.k > 0 AND b.w < 0 AND -a.w < -b.w * 1.61 THEN
           CASE WHEN a.k <= 3 AND b.k <= 3 AND abs(a.k - b.k) < 2 THEN names[least(a.k, b.k) + 1] ELSE names[greatest(a.k, b.k) + 1] END
@@ -285,6 +298,10 @@ ORACLES = {
     "stays_stats": on_tracks(f"""SELECT subject_id, min(unix_s) AS start_s, max(unix_s) AS end_s, max(unix_s) - min(unix_s) AS duration_s, count(*) AS raw_point_count,
           {trunc("avg(accuracy)", 0)} AS accuracy_mean, {trunc("median(accuracy)", 0)} AS accuracy_median, {trunc("min(elevation)", 0)} AS elevation_min, {trunc("max(elevation)", 0)} AS elevation_max, round(avg(lon), 9) AS lon, round(avg(lat), 9) AS lat
         FROM walk GROUP BY subject_id, stay HAVING count(*) >= 2 AND max(unix_s) - min(unix_s) > 120""", IDLE, STAYS),
+    "stays_extent": on_tracks(f"""SELECT * EXCLUDE (n, stay), end_s = max(end_s) OVER (PARTITION BY subject_id) AS is_open FROM (SELECT subject_id, min(unix_s) AS start_s, max(unix_s) AS end_s,
+          {trunc("CAST(6371000.0 AS DOUBLE) * 6371000.0 * radians(max(lon) - min(lon)) * (sin(radians(max(lat))) - sin(radians(min(lat))))", 0)} AS area_m2,
+          {trunc("min(accuracy)", 0)} AS accuracy_min, {trunc("max(accuracy)", 0)} AS accuracy_max, {trunc("avg(elevation)", 0)} AS elevation_mean, {trunc("median(elevation)", 0)} AS elevation_median, count(*) AS n, stay
+        FROM walk GROUP BY subject_id, stay) QUALIFY n >= 2""", IDLE, STAYS),
     "teleport_filter": on_tracks("SELECT event_id, subject_id FROM tele_walk WHERE kept", teleports("timed")),
     "ewma_speed": on_tracks(f"SELECT subject_id, round(list_reduce(list(speed ORDER BY unix_s, event_id), lambda a, x: a + CAST({ewma_alpha(1.0)!r} AS DOUBLE) * (x - a)), 6) AS rate FROM tracks GROUP BY 1"),
     "monthly_store_counts": on_tracks("SELECT subject_id, ym, count(*) AS n FROM (SELECT subject_id, strftime(to_timestamp(unix_s) AT TIME ZONE 'UTC', '%Y-%m') AS ym FROM tracks UNION ALL SELECT 'o' || o_orderstatus, strftime(o_orderdate, '%Y-%m') FROM orders) GROUP BY ALL"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -366,6 +367,19 @@ def moves_simplified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.move_paths(active_rows(spark, sf_dir), SPARSE)
 
 
+@query
+def simplified_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The points that simplification by a tenth of a degree, which suits points hours apart, keeps of every move, in order."""
+    kept = segments.move_paths(active_rows(spark, sf_dir), replace(SPARSE, simplify_degrees=0.1)).select("subject_id", "segment", "raw_point_count", F.posexplode("path").alias("position", "p"))
+    return kept.select("subject_id", "segment", "raw_point_count", F.col("position").cast("long").alias("position"), F.round("p.lon", 9).alias("lon"), F.round("p.lat", 9).alias("lat"))
+
+
+@query
+def moves_speeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Speeds of every move from its steps, and its medians."""
+    return segments.moves(active_rows(spark, sf_dir), None, SPARSE).select("subject_id", "segment", *(f"speed_calculated_{s}" for s in ("mean", "median", "min", "max")), "speed_reported_mean", "speed_reported_median", "elevation_mean", "elevation_median")
+
+
 def idle_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.act_split(timed(spark, sf_dir))[1]
 
@@ -377,6 +391,13 @@ def stays_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("subject_id", "start_s", "end_s", "duration_s", "raw_point_count", "accuracy_mean", "accuracy_median", "elevation_min", "elevation_max", *places)
 
 
+@query
+def stays_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The area that every stay takes up, and the rest of its statistics."""
+    found = segments.stays(idle_rows(spark, sf_dir), SPARSE)
+    return found.select("subject_id", "start_s", "end_s", "area_m2", "accuracy_min", "accuracy_max", "elevation_mean", "elevation_median", "is_open")
+
+
 @query
 def teleport_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.without_teleports(timed(spark, sf_dir), SPARSE).select("event_id", "subject_id")

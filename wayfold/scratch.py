@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir.
 
-    Where it is unset, a private folder on this machine, but only for a local
-    master: on a cluster every executor would write to a disk of its own.
+    Where it is unset, a private folder on this machine, but only for a master
+    known to be local: on a cluster every executor would write to a disk of its
+    own, and a session that does not name its master may be on one.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not spark.conf.get("spark.master", "local").startswith("local") or "cluster" in spark.conf.get("spark.master", ""):
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or "cluster" in master:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="wayfold-scratch-")
         spark.conf.set("spark.checkpoint.dir", found)
