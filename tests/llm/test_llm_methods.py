@@ -36,11 +36,12 @@ def every_path(machine, symbols, state=0, at=0):
 
 def test_composed_machine_equals_the_machines_in_turn():
     model = toxicity.default_model()
+    inside = lambda s: any(x == "M" for x in s)
     parts = [toxicity.insults(model.weights), toxicity.targets(model.weights), toxicity.threats(model.weights)]
     composed = toxicity.Grammar(model).machine
     rng = random.Random(1)
     for _ in range(400):
-        symbols = "".join(rng.choice("OOTLNRPJXHWGIKDA") for _ in range(rng.randint(0, 7)))
+        symbols = "".join(rng.choice("OOTYLNRPJXHWGVMIKDA") for _ in range(rng.randint(0, 7)))
         # Negation and report are deterministic: rewrite, then match.
         rewritten, reach, told, own = "", 0, False, False
         for s in symbols:
@@ -54,25 +55,76 @@ def test_composed_machine_equals_the_machines_in_turn():
         got = composed.best(symbols)
         assert (got is None) == (want is None)
         if got:
-            assert math.isclose(got[0], want + (toxicity.REPORTED if told else 0.0), abs_tol=1e-9), symbols
+            assert math.isclose(got[0], want + (toxicity.REPORTED if told else 0.0) + (toxicity.MENTIONED if inside(rewritten) else 0.0), abs_tol=1e-9), symbols
         brute = every_path(composed, symbols)
         assert (max(brute) if brute else None) == (got[0] if got else None)
 
 
 TOXIC = ["You are an idiot.", "You're an idiot.", "you trash", "they are disgusting", "idiots like you", "I will kill you.", "I'll beat you up", "scum loser", "A moron. What a loser."]
-CLEAN = ["Please take out the trash.", "The bin is full of trash and filth.", "idiot", "An idiot.", "I'll beat you at chess.", "They will destroy him in the election.", "You aren't an idiot.", "You are not an idiot.", "I won't kill you", "I will kill time.", "She put the trash out.", '"You are an idiot," he said.', "According to him you are an idiot.", "", None]
+CLEAN = ["Please take out the trash.", "The bin is full of trash and filth.", "idiot", "An idiot.", "I'll beat you at chess.", "They will destroy him in the election.", "You aren't an idiot.", "You are not an idiot.", "I won't kill you", "I will kill time.", "She put the trash out.", '"You are an idiot," he said.', "According to him you are an idiot.", "", None,
+    "The word idiot and the word moron are insults.", "The clown and the other clown juggled.", "The clown juggled. Another clown fell. A third clown laughed. The clown bowed.",
+    "They say scum, losers and clowns are common insults in the dictionary", "Your losers bracket match starts at 5", "I will kill time with you", "Trash and garbage are collected on Monday. Filth is not."]
 
 
-@pytest.mark.parametrize("words", [{}, {"trash": "I", "filth": "K", "pathetic": "I", "loser": "I"}])
+@pytest.mark.parametrize("words", [{}, {w: k for k, listed in (("I", "trash pathetic loser clown moron idiot scum"), ("K", "filth garbage losers")) for w in listed.split()}])
 def test_toxicity_sentences(words):
     for weights in (toxicity.default_model().weights, {k: b[0] for k, b in toxicity.BOUNDS.items()}, {k: b[1] for k, b in toxicity.BOUNDS.items()}):
         g = toxicity.Grammar(toxicity.Model(words, weights))
         assert all(g.score(t) >= 0.7 for t in TOXIC), [(t, g.score(t)) for t in TOXIC]
-        assert all(g.score(t) < 0.7 for t in CLEAN if "bin is" not in (t or "") or not words), [(t, g.score(t)) for t in CLEAN]
+        assert all(g.score(t) < 0.7 for t in CLEAN), [(t, g.score(t)) for t in CLEAN]
         direct, told = g.score("You are an idiot."), g.score("He said you are an idiot.")
         assert told < direct and g.score("You are not an idiot.") < 0.3 and g.score("") == g.score(None) < 0.1
 
 
+def test_insult_machine_alone_flags_little_of_what_is_aimed():
+    """Without targets and threats, aimed sentences with one insult stay under the cut."""
+    model = toxicity.default_model()
+    alone = toxicity.insults(model.weights)
+    g = toxicity.Grammar(model)
+    aimed = ["You are an idiot.", "You're an idiot.", "you trash", "they are disgusting", "idiots like you", "I will kill you.", "your idiot brother"]
+    for text in aimed:
+        found = alone.best("".join(g.symbol(w) for w in toxicity.WORD.findall(text.lower())))
+        assert g.score(text) >= 0.7 and (found is None or toxicity.BIAS + found[0] < math.log(0.7 / 0.3)), text
+
+
+def test_learned_insults_equal_a_plain_count(spark):
+    rng = random.Random(4)
+    texts = []
+    for i in range(400):
+        toxic = int(rng.random() < 0.3)
+        words = [f"w{rng.randint(0, 60)}" for _ in range(12)] + (rng.sample(["grobian", "grobianisch", "lump", "Lump’s"], 2) if toxic and rng.random() < 0.8 else []) + (["lump"] if rng.random() < 0.01 else [])
+        texts.append((toxic, f"t{i} " + " ".join(words)))
+    half = lambda t: int(t.split()[0][1:]) % 2 == 0
+    part = F.regexp_extract("__text", r"^t(\d+)", 1).cast("int") % 2 == 0
+    got = toxicity.insult_words(spark.createDataFrame(texts, "__y int, __text string"), part)
+    for found, used in zip(got, (texts, [x for x in texts if half(x[1])]), strict=True):
+        n, t = {}, {}
+        for y, text in used:
+            words = set(toxicity.WORD.findall(text.lower().replace("’", "'")))
+            for w in words | {w[:k] + "*" for w in words for k in toxicity.STEMS if len(w) > k}:
+                n[w], t[w] = n.get(w, 0) + 1, t.get(w, 0) + y
+        size, toxic = len(used), sum(y for y, _ in used)
+        want = {}
+        for w in n:
+            support, share = (toxicity.STEM_SUPPORT, toxicity.STEM_SHARE) if w.endswith("*") else (toxicity.MIN_SUPPORT, toxicity.MIN_SHARE)
+            if t[w] >= max(support, toxicity.MIN_RATE * toxic) and t[w] >= share * n[w]:
+                odds = math.log((t[w] + 0.5) / (n[w] - t[w] + 0.5)) - math.log(toxic / (size - toxic))
+                want[w] = "I" if odds >= toxicity.STRONG else "K"
+        assert found == want and "lump" in want and "grobi*" in want
+
+
+def test_path_weights_equal_plain_log_odds(spark):
+    sentences = ["You are an idiot.", "An idiot.", "scum idiot", "nothing here", "I will kill you.", "you trash"]
+    rng = random.Random(5)
+    texts = [(int(rng.random() < (0.9 if s != "nothing here" else 0.05)), s) for s in sentences * 40]
+    model = toxicity.default_model()
+    got, g = toxicity.path_weights(spark.createDataFrame(texts, "__y int, __text string"), model), toxicity.Grammar(model)
+    for kind, (low, high) in toxicity.BOUNDS.items():
+        labels = [y for y, t in texts if g.kind(t) == kind]
+        odds = math.log((sum(labels) + 0.5) / (len(labels) - sum(labels) + 0.5)) - toxicity.BIAS
+        assert got[kind] == (round(min(high, max(low, odds)), 6) if labels else model.weights[kind])
+
+
 def test_path_weights_keep_their_bounds(spark):
     texts = [(1, "You are an idiot. scum loser"), (0, "scum here"), (0, "fine words")] * 30
     got = toxicity.path_weights(spark.createDataFrame(texts, "__y int, __text string"), toxicity.default_model())

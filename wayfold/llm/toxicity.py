@@ -1,19 +1,23 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
 Each word of a clause becomes a symbol: a strong, medium or doubtful insult, a
-target, linking verb, negation, speaker, intent, threatening or figurative
-verb, place, reporting verb or other. Five machines read these symbols, each a
-table of weighted arcs, letter for letter: negation rewrites the insults and
-threats in its reach to harmless symbols, reported speech ends a clause with a
-discount, and the insult, target and threat machines, united, match a clause
-by one of their paths. They are composed once into one machine. A clause scores
-its best path: an insult aimed at a target, several insults together, a bare
-insult, or an intent with a threatening verb and a target. Doubtful words (they
-have a plain sense too) need a target just before them or a linking verb; bare
-ones count only where training found them. A document's score is
+target, possessive, linking verb, negation, speaker, intent, threatening or
+figurative verb, place, preposition, reporting verb, mention or other. Six
+machines read these symbols, each a table of weighted arcs, letter for letter:
+negation rewrites the insults and threats in its reach to harmless symbols,
+reported speech and mention (a clause about words: "the term idiot is an
+insult") end a clause with a discount, and the insult, target and threat
+machines, united, match a clause by one of their paths. They are composed once
+into one machine. A clause scores its best path: an insult aimed at a target,
+several insults together, a bare insult, or an intent with a threatening verb
+and a target. Doubtful words (they have a plain sense too) need a target just
+before them or a linking verb; bare ones count only where training found them,
+weigh less, make no pair among themselves, and count once a text each, as a
+text about clowns or trash repeats its subject. A document's score is
 the logistic of its best clause and the logarithm of what its other clauses
 add; arcs are bounded such that one clause with a single bare insult stays
-below the cut, and two such clauses or an aimed one do not.
+below the cut, as do two with bare doubtful words; two with other insults or
+an aimed one do not.
 
 The model is learned on labelled training texts. Insult words and stems are
 those that a large share of their texts is toxic for, strong or medium by their
@@ -54,15 +58,16 @@ MIN_RATE = 0.01
 STRONG = 5.0
 #: Of three-word windows, from which two training texts count as copies.
 MIN_SIMILARITY = 0.8
-BIAS, REPEATS, REPORTED = -4.5, 1.5, -3.0
+BIAS, REPEATS, REPORTED, MENTIONED = -4.5, 1.5, -3.0, -5.0
 #: Lowest and highest weight of a path by its kind; one bare insult must stay under logit(0.7) - BIAS = 5.35.
-BOUNDS = {"bare_strong": (4.4, 5.0), "bare_medium": (3.4, 4.4), "chain_strong": (5.8, 7.0), "chain_medium": (4.8, 6.2), "aimed_strong": (6.2, 7.5), "aimed_medium": (5.6, 7.0), "aimed_doubtful": (5.6, 6.6), "threat": (6.0, 7.5)}
+BOUNDS = {"bare_doubtful": (3.0, 4.0), "bare_strong": (4.4, 5.0), "bare_medium": (3.4, 4.4), "chain_strong": (5.8, 7.0), "chain_medium": (4.8, 6.2), "aimed_strong": (6.2, 7.5), "aimed_medium": (5.6, 7.0), "aimed_doubtful": (5.6, 6.6), "threat": (6.0, 7.5)}
 
 # Seed words of the grammar's classes.
-SEEDS = "idiot idiots moron morons imbecile scum loser losers bastard bitch asshole clown idiota estúpido estúpida imbécil idiotin trottel abschaum connard salaud abruti".split()
-DOUBTFUL = "stupid dumb trash garbage filth filthy vermin worthless pathetic disgusting basura dumm ordure".split()
+SEEDS = "idiot idiots moron morons imbecile scum loser bastard bitch asshole idiota estúpido estúpida imbécil idiotin trottel abschaum connard salaud abruti".split()
+DOUBTFUL = "losers clown clowns stupid dumb trash garbage filth filthy vermin worthless pathetic disgusting basura dumm ordure".split()
 CLASSES = {
-    "T": "you your yourself u he she they them him her tú usted ustedes du dich euch sie tu toi vous".split(),
+    "T": "you yourself u he she they them him tú usted ustedes du dich euch sie tu toi vous".split(),
+    "Y": "your her his their dein deine euer eure ton ta votre vos".split(),
     "L": "are is am be being was were 're eres es son bist ist sind est êtes sont you're they're he's she's".split(),
     "N": "not never no isn't aren't ain't wasn't weren't don't won't nicht kein keine nunca pas jamais".split(),
     "R": "said says wrote writes claimed called reported quoted dijo sagte schrieb dit écrit according".split(),
@@ -72,12 +77,14 @@ CLASSES = {
     "H": "kill strangle murder stab shoot matar töten umbringen tuer".split(),
     "W": "hurt destroy beat burn crush".split(),
     "G": "at in on during by".split(),
+    "V": "with for from about without".split(),
+    "M": "word words term terms insult insults slur slurs dictionary synonym synonyms wort wörter schimpfwort schimpfwörter wörterbuch palabra palabras insulto insultos diccionario mot mots insulte insultes dictionnaire".split(),
 }
 #: Targets written in one word with their linking verb count as the target.
 AIMED_LINKS = frozenset("you're they're he's she's".split())
 
 #: O other; I, K, D, A strong, medium, doubtful but learned, and doubtful insults; lower case is what negation leaves of them.
-ALPHABET = "OTLNRPJXHWGIKDAikdahw"
+ALPHABET = "OTYLNRPJXHWGVMIKDAikdahw"
 INSULTS = "IKDA"
 NEGATED = str.maketrans("IKDAHW", "ikdahw")
 REACH = 4
@@ -155,16 +162,27 @@ def reported_speech() -> Machine:
     return b.made()
 
 
+def mention() -> Machine:
+    """A discount at the end of a clause that is about words."""
+    b = Builder()
+    b.arc(0, without("M"), 0)
+    b.arc(0, "M", "mentioned")
+    b.arc("mentioned", ALPHABET, "mentioned")
+    b.finals |= {0: 0.0, "mentioned": MENTIONED}
+    return b.made()
+
+
 def insults(weights: dict[str, float]) -> Machine:
     """Bare insults and several in one clause."""
     b = Builder()
     b.arc(0, ALPHABET, 0)
-    for symbols, name in (("ID", "strong"), ("K", "medium")):
+    for symbol, name in (("I", "strong"), ("K", "medium"), ("D", "doubtful")):
         bare = f"bare_{name}"
-        b.arc(0, symbols, bare, weights[bare])
-        b.arc(bare, "ID" if name == "medium" else "IDK", "chain_strong", weights["chain_strong"] - weights[bare])
-    b.arc("bare_medium", "K", "chain_medium", weights["chain_medium"] - weights["bare_medium"])
-    for end in ("bare_strong", "bare_medium", "chain_strong", "chain_medium"):
+        b.arc(0, symbol, bare, weights[bare])
+        b.arc(bare, "IDK" if name == "strong" else "I", "chain_strong", weights["chain_strong"] - weights[bare])
+    b.arc("bare_medium", "KD", "chain_medium", weights["chain_medium"] - weights["bare_medium"])
+    b.arc("bare_doubtful", "K", "chain_medium", weights["chain_medium"] - weights["bare_doubtful"])
+    for end in ("bare_strong", "bare_medium", "bare_doubtful", "chain_strong", "chain_medium"):
         b.arc(end, ALPHABET, end)
         b.finals[end] = 0.0
     return b.made()
@@ -175,10 +193,11 @@ def targets(weights: dict[str, float]) -> Machine:
     b = Builder()
     b.arc(0, ALPHABET, 0)
     b.arc(0, "T", "near1")
+    b.arc(0, "Y", "near2")  # a possessive aims at what follows, but no doubtful word
     b.window("near", without(INSULTS), 5)
     # Doubtful words need the target just before, or a linking verb between.
     b.arc("near1", "L", "linked1")
-    b.window("linked", without(INSULTS + "TPG"), 4)
+    b.window("linked", without(INSULTS + "TYPG"), 4)
     for state in ("near1", "linked1", "linked2", "linked3", "linked4"):
         b.arc(state, "AD", "aimed_doubtful", weights["aimed_doubtful"])
     for symbol, name in (("I", "strong"), ("K", "medium")):
@@ -186,7 +205,7 @@ def targets(weights: dict[str, float]) -> Machine:
         for state in ("near1", "near2", "near3", "near4", "near5"):
             b.arc(state, symbol, end, weights[end])
         b.arc(0, symbol, f"after{symbol}1")
-        b.window(f"after{symbol}", without(INSULTS + "TPG"), 3)
+        b.window(f"after{symbol}", without(INSULTS + "TYPG"), 3)
         for k in (1, 2, 3):
             b.arc(f"after{symbol}{k}", "T", end, weights[end])
     for end in ("aimed_strong", "aimed_medium", "aimed_doubtful"):
@@ -200,13 +219,13 @@ def threats(weights: dict[str, float]) -> Machine:
     b = Builder()
     b.arc(0, ALPHABET, 0)
     b.arc(0, "P", "speaker1")
-    b.window("speaker", "OLNRG", 3)
+    b.window("speaker", "OLNRGV", 3)
     for k in (1, 2, 3):
         b.arc(f"speaker{k}", "X", "own1")
     b.arc(0, "J", "own1")
     b.arc(0, "X", "intent1")
     for state in ("own", "intent"):
-        b.window(state, "OLXG", 4)
+        b.window(state, "OLXGV", 4)
         for k in (1, 2, 3, 4):
             b.arc(f"{state}{k}", "H", "deed1")
             if state == "own":
@@ -280,7 +299,7 @@ class Grammar:
     """The composed machines for one model."""
 
     def __init__(self, model: Model):
-        self.machine = compose(negation(), compose(reported_speech(), union(insults(model.weights), targets(model.weights), threats(model.weights))))
+        self.machine = compose(negation(), compose(reported_speech(), compose(mention(), union(insults(model.weights), targets(model.weights), threats(model.weights)))))
         self.symbols = {w: s for s, listed in CLASSES.items() for w in listed}
         self.symbols |= dict.fromkeys(AIMED_LINKS, "T") | dict.fromkeys(DOUBTFUL, "A") | dict.fromkeys(SEEDS, "I")
         learned = {w: s for w, s in model.words.items() if not w.endswith("*")}
@@ -294,9 +313,19 @@ class Grammar:
             found = next((self.stems[word[:n]] for n in STEMS if len(word) > n and word[:n] in self.stems), None)
         return found or "O"
 
-    def clause(self, words: list[str]) -> tuple[float, str]:
-        """Weight and kind of the best path through a clause; (0, none) without one or where it is no evidence."""
+    def clause(self, words: list[str], seen: set[str]) -> tuple[float, str]:
+        """Weight and kind of the best path through a clause; (0, none) without one or where it is no evidence.
+
+        Doubtful words in seen no longer count bare; those of this clause join it.
+        """
         symbols = "".join(map(self.symbol, words))
+        if "D" in symbols:
+            marked = list(symbols)
+            for i, word in enumerate(words):
+                if marked[i] == "D":
+                    marked[i] = "A" if word in seen else "D"
+                    seen.add(word)
+            symbols = "".join(marked)
         if not any(s in symbols for s in INSULTS + "HW"):
             return 0.0, "none"  # every path of the matching machines needs one of these
         if symbols not in self.known:
@@ -309,7 +338,8 @@ class Grammar:
 
     def matches(self, text: str | None) -> list[tuple[float, str]]:
         parts = CLAUSE.findall((text or "").lower().replace("’", "'"))
-        return [m for part in parts if (m := self.clause(WORD.findall(part)))[0]]
+        seen: set[str] = set()
+        return [m for part in parts if (m := self.clause(WORD.findall(part), seen))[0]]
 
     def score(self, text: str | None) -> float:
         found = [weight for weight, _ in self.matches(text)]
