@@ -162,12 +162,37 @@ def test_licence_notices_and_ordinary_sentences(spark, licence_model):
     notices = [(f, t) for f in sorted(licenses.TEMPLATES) for t in licenses.TEMPLATES[f]]
     rows = licenses.scan(frame(spark, [f"Some ordinary text of the day.\n{t}" for _, t in notices]), licence_model).collect()
     assert all({x.family for x in r["__licences"] if x.confirmed} == {notices[r.doc_id][0]} for r in rows)
-    rows = licenses.scan(frame(spark, [*licenses.ORDINARY, *(t for t in licenses.CALIBRATION["unknown"] if "public domain" not in t)]), licence_model).collect()
+    rows = licenses.scan(frame(spark, [*licenses.ORDINARY, *licenses.CALIBRATION["unknown"]]), licence_model).collect()
     assert not any(x.confirmed for r in rows for x in r["__licences"])
-    held = [(f, t) for f in sorted(licenses.CALIBRATION) for t in licenses.CALIBRATION[f]]
+
+
+# Sentences that neither train nor calibrate.
+HELD_SENTENCES = {
+    "agpl": ["The program can be used under the terms of the GNU AGPLv3"],
+    "apache-2.0": ["Apache 2.0.", "Ce logiciel est distribué sous licence Apache 2.0.", "Veröffentlicht unter der Apache-Lizenz 2.0"],
+    "bsd": ["This tool is offered under the BSD license"],
+    "cc-by": ["Der Text steht unter der CC BY Lizenz"],
+    "cc-by-nc": ["This dataset is distributed under CC BY-NC 4.0"],
+    "gpl": ["Distributed under the terms of the GPLv3.", "Publicado bajo la licencia GPL."],
+    "lgpl": ["You may redistribute it under the GNU Lesser General Public License version 3", "This plugin uses the LGPLv3 license"],
+    "mit": ["Lizenziert unter der MIT-Lizenz.", "My scripts carry the MIT license"],
+    "mpl-2.0": ["Sources: Mozilla Public License 2.0", "This file may be used under the terms of the MPL 2.0 license"],
+    "proprietary": ["it is proprietary and confidential", "Todos los derechos reservados 2019 Casa Editorial"],
+    "public-domain": ["The photo belongs to the public domain"],
+    "unknown": ["Licensed under the Eclipse Public License 2.0", "Licensed under the EUPL 1.2", "Distributed under the Boost Software License, Version 1.0.", "Licensed under the Universal Permissive License 1.0", "This font is released under the Arphic Public License", "Released under the Nokia Open Source License.", "the debate about the public domain went on all night", "she studied at MIT and wrote about apache tribes", "the general public asked for a license to fish", "the confidential letters were lost", "mit Lizenz zum Fliegen kam er zurück", "perdió la licencia de maestro", "the pub lost its licence under the new law", "proprietary software is costly", "the gnu is an antelope of the general south", "The source is available under the terms of the Vim License", "Licensed under the Educational Community License 2.0", "He spoke of the public domain as a common good", "The apache helicopter was proprietary technology of the army", "Her rights of way were reserved by deed", "The fishing licence, valid under the terms of the act, was lost"],
+}
+
+
+def test_licences_on_held_out_sentences(spark, licence_model):
+    held = [(f, t) for f in sorted(HELD_SENTENCES) for t in HELD_SENTENCES[f]]
+    used = {t for listed in licenses.CALIBRATION.values() for t in listed} | {t for _, t in licenses.all_notices()} | set(licenses.ORDINARY)
+    assert not used & {t for _, t in held}
     rows = licenses.scan(frame(spark, [t for _, t in held]), licence_model).collect()
+    got = {r.doc_id: {x.family for x in r["__licences"] if x.confirmed} for r in rows}
+    wrong = [(t, got[i]) for i, (f, t) in enumerate(held) if got[i] != ({f} - {"unknown"})]
+    assert len(wrong) <= 1 and not any(found for _, found in wrong), wrong  # one is missed, none is taken for another
     found = [(x.probability, x.family == held[r.doc_id][0]) for r in rows for x in r["__licences"]]
-    # Reliability on wordings that training never sees: what is predicted is mostly right, about as often as it says.
+    # What is predicted is right about as often as it says.
     assert len(found) >= 18 and abs(sum(p for p, _ in found) - sum(ok for _, ok in found)) / len(found) < 0.15
 
 
@@ -192,7 +217,7 @@ def test_native_scorer_equals_a_plain_one(spark, licence_model):
 
 
 def test_every_notice_has_a_cue():
-    texts = [t for listed in (licenses.TEMPLATES, licenses.CALIBRATION) for f in listed if f != licenses.UNKNOWN for t in listed[f]]
+    texts = [t for _, t in licenses.all_notices()] + [t for f in licenses.CALIBRATION if f != licenses.UNKNOWN for t in licenses.CALIBRATION[f]]
     assert [t for t in texts if not re.search(licenses.CUES, t)] == []
 
 

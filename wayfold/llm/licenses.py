@@ -3,18 +3,20 @@
 A text is cut at blank lines; comment marks go and wrapped lines are joined, so
 a paragraph is whole whatever its layout. Its statements (sentences and
 clauses ended by a semicolon) are what is classified; one that lists several
-licences is read once for each of them besides. Statements without one of the
-cue words (licence, rights reserved, redistribution and so on) are unknown by
-definition, which leaves most texts after one pattern match.
+licences is read once for each of them besides. Only statements with a cue are
+classified: a licence word in one of four languages, a reservation of rights, or
+the name of a licence; every template and short name holds one, which a test
+asserts, so what the template comparison could confirm word for word passes.
 
 A multinomial logistic regression over presence of word n-grams (one and two
 words) tells licence families and ``unknown`` apart. It is trained on the
 driver: families on the notices below with words dropped at random; unknown on
-ordinary sentences, on the notices without their cue words, and on statements
-of the corpus (at most MAX_DOCUMENTS texts and MAX_STATEMENTS statements with
+ordinary sentences, on notices of licences outside the families, on the
+families' notices without their cue words, and on statements of the corpus (at most MAX_DOCUMENTS texts and MAX_STATEMENTS statements with
 the smallest hashes, a documented bound). Weights under MIN_WEIGHT are pruned.
-A temperature fitted on other wordings, which training never sees, calibrates
-the probabilities; under MIN_PROBABILITY a statement is unknown. A prediction
+A temperature and an offset of the unknown class, fitted on other wordings that
+training never sees, other licences among them, calibrate the probabilities;
+under MIN_PROBABILITY a statement is unknown. A prediction
 counts only when the template comparison confirms it: the share of one of the
 family's notices or names whose n-grams the statement holds must reach
 MIN_OVERLAP. A negated statement (not released under ...) is never confirmed.
@@ -53,25 +55,50 @@ TEMPLATES = {
     "lgpl": ["This library is licensed under the GNU Lesser General Public License, version 2.1.", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"],
     "mit": ["Released under the MIT License.", "Licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "SPDX-License-Identifier: MIT"],
     "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License 2.0."],
-    "proprietary": ["All rights reserved. Unauthorized copying of this file is strictly prohibited.", "Proprietary and confidential. All rights reserved.", "All rights reserved."],
+    "proprietary": ["Alle Rechte vorbehalten.", "Todos los derechos reservados.", "Tous droits réservés.", "This file is proprietary and confidential.", "All rights reserved. Unauthorized copying of this file is strictly prohibited.", "Proprietary and confidential. All rights reserved.", "All rights reserved."],
     "public-domain": ["This work is released into the public domain.", "This is free and unencumbered software released into the public domain.", "Dedicated to the public domain under CC0 1.0 Universal."],
 }
 
 # Short names, as lists of licences use them.
 NAMES = {
-    "agpl": ["under AGPL", "under AGPL-3.0", "GNU Affero General Public License"],
+    "agpl": ["AGPL", "AGPLv3", "under AGPL", "under AGPL-3.0", "GNU Affero General Public License"],
     "apache-2.0": ["under Apache-2.0", "Apache License 2.0", "Apache 2.0 license"],
     "bsd": ["under BSD", "under BSD-3-Clause", "under BSD-2-Clause", "BSD license"],
     "cc-by": ["under CC BY", "Creative Commons Attribution"],
     "cc-by-nc": ["under CC BY-NC", "Creative Commons Attribution-NonCommercial"],
-    "gpl": ["under GPL", "under GPL-3.0", "under GPLv3", "under GPLv2", "GNU General Public License"],
+    "gpl": ["under GPL", "under GPL-3.0", "GPL", "GPLv3", "GPLv2", "under GPLv3", "under GPLv2", "GNU General Public License"],
     "isc": ["under ISC", "ISC license"],
-    "lgpl": ["under LGPL", "under LGPL-2.1", "GNU Lesser General Public License"],
-    "mit": ["under MIT", "MIT license"],
+    "lgpl": ["LGPL", "LGPLv3", "under LGPL", "under LGPL-2.1", "GNU Lesser General Public License"],
+    "mit": ["under MIT", "MIT license", "MIT licensed"],
     "mpl-2.0": ["under MPL-2.0", "Mozilla Public License 2.0"],
-    "public-domain": ["under CC0", "in the public domain"],
+    "public-domain": ["under CC0", "this image is in the public domain", "this image belongs to the public domain", "gemeinfrei", "es de dominio público", "est dans le domaine public"],
 }
 
+# How three other languages of the corpus name a licence.
+FRAMES = ("lizenziert unter der {} Lizenz", "veröffentlicht unter der {} Lizenz", "bajo la licencia {}", "publicado bajo licencia {}", "sous licence {}", "distribué sous la licence {}")
+FRAMED = {"agpl": "AGPL", "apache-2.0": "Apache 2.0", "bsd": "BSD", "cc-by": "CC BY", "cc-by-nc": "CC BY-NC", "gpl": "GPL", "isc": "ISC", "lgpl": "LGPL", "mit": "MIT", "mpl-2.0": "MPL 2.0"}
+
+# Licences outside the families, which train the unknown class.
+OTHERS = """Eclipse Public License 2.0|EPL-2.0
+European Union Public Licence 1.1|EUPL-1.1
+Artistic License 2.0|Artistic-2.0
+zlib License|Zlib
+Common Development and Distribution License 1.0|CDDL-1.0
+Microsoft Public License|MS-PL
+PostgreSQL License|PostgreSQL
+SIL Open Font License 1.1|OFL-1.1
+Academic Free License 3.0|AFL-3.0
+Python Software Foundation License 2.0|PSF-2.0
+Open Software License 3.0|OSL-3.0
+Common Public License 1.0|CPL-1.0
+Business Source License 1.1|BUSL-1.1
+Server Side Public License 1|SSPL-1.0
+Open Database License 1.0|ODbL-1.0""".splitlines()
+OTHER_FRAMES = ("Licensed under the {}.", "This program and the accompanying materials are made available under the terms of the {}.", "This work is distributed under the {}, see the file for details.", "Released under {}")
+
+# Licences outside the families that only calibrate.
+OTHER_CALIBRATION = ["Licensed under the IBM Public License 1.0", "This library is free software under the Ruby License", "Released under the W3C Software Notice and License", "Covered by the Sun Industry Standards Source License", "made available under the terms of the CeCILL licence", "Licensed under the Elastic License 2.0"]
+
 # Other wordings, on which the probabilities are calibrated; training never sees them.
 CALIBRATION = {
     "agpl": ["Distributed under the terms of the GNU AGPL version 3 license", "This server is free software under the GNU Affero General Public License v3.0"],
@@ -86,7 +113,7 @@ CALIBRATION = {
     "mpl-2.0": ["This file is under the Mozilla Public License version 2.0", "Covered by the Mozilla Public License"],
     "proprietary": ["Copyright 2020 Example Corporation. All rights reserved", "This document is proprietary and confidential and all rights are reserved"],
     "public-domain": ["The author places this work in the public domain", "This image is in the public domain and free of known copyright"],
-    UNKNOWN: ["the city gave its permission for the market", "he lost his driving license last week", "a licensed electrician must do this work", "the rights of the tenants were reserved for another day", "redistribution of wealth was the topic of the debate", "the public domain of debate has grown", "the license plate of the car was found", "permission is needed to enter the park", "her letters are confidential", "the software license costs ten dollars a month"],
+    UNKNOWN: ["the city gave its permission for the market", "he lost his driving license last week", "a licensed electrician must do this work", "the rights of the tenants were reserved for another day", "redistribution of wealth was the topic of the debate", "the public domain of debate has grown", "the license plate of the car was found", "permission is needed to enter the park", "her letters are confidential", "the software license costs ten dollars a month", *OTHER_CALIBRATION],
 }
 
 # Ordinary sentences near licence wording, which train the unknown class.
@@ -113,11 +140,20 @@ the talks were confidential and the room was reserved for them
 redistribution of land came before the redistribution of money
 the doctor is licensed and the shop is licensed to sell wine
 they renewed the fishing license at the office
+the matter belongs in the public domain of politics and not at home
+public domain names are sold by many companies
+er fährt mit einer lizenz und der mann hat keine lizenz
+der trainer mit der lizenz wurde gelobt
+la licencia de conducir fue renovada y perdió la licencia
+la licence de pêche coûte cher et il a perdu sa licence
+the gnu lives in the grass of the south and the apache lived in the west
+the mozilla browser and the apache server were started
+the talk at mit was on general public policy
 all seats were reserved and all rights were respected
 that of by as for it this to and on with from at are be was is the a in""".splitlines()
 
 #: Without one of these a statement is unknown.
-CUES = r"(?i)licen[sc]|permission is|permission to|redistribut|rights (?:are )?reserved|public domain|spdx|confidential|creative commons|cc0|cc[ -]by"
+CUES = r"(?i)li[cz]en[scz]|permission is|permission to|redistribut|rights (?:are )?reserved|rechte vorbehalten|derechos reservados|droits réservés|public domain|dominio público|domaine public|gemeinfrei|spdx|confidential|proprietary|creative commons|cc0|cc[ -]by|\b[al]?gpl|gnu |\bapache\b|\bbsd\b|\bmpl\b|\bisc\b|mozilla public|(?-i:\bMIT\b)"
 #: What begins a comment line, what ends a comment.
 COMMENT = r"(?m)^[ \t]*(?:/\*+!?|\*+/|\*+|//+!?|#+|;+|--+|%+|<!--+|dnl\b|\.\\\")?[ \t]*|[ \t]*(?:\*+/|--+>)[ \t]*$"
 PARAGRAPH_END, LINE_END = r"\n[ \t\r]*(?:\n[ \t\r]*)+", r"[ \t\r]*\n[ \t\r]*"
@@ -143,24 +179,45 @@ class Model(NamedTuple):
     templates: list[tuple[str, list[str]]]
 
 
+def all_notices() -> list[tuple[str, str]]:
+    """(family, text) of every template, short name and its forms in other languages."""
+    framed = [(f, frame.format(name)) for f, name in sorted(FRAMED.items()) for frame in FRAMES]
+    return [(f, t) for f in sorted(TEMPLATES) for t in (*TEMPLATES[f], *NAMES.get(f, ()))] + framed
+
+
+def own_names() -> list[tuple[str, str]]:
+    """(family, name) of the families' short names without what stands around them."""
+    return [(f, t.removeprefix("under ")) for f in sorted(FRAMED) for t in NAMES[f]]
+
+
 def train(corpus: list[str] = (), seed: int = SEED) -> Model:
     """Fits, prunes and calibrates the model. corpus: statements without a cue; the same result for the same ones."""
     import numpy as np
 
     rng = random.Random(seed)
     families = [*sorted(TEMPLATES), UNKNOWN]
-    notices = [(f, t) for f in sorted(TEMPLATES) for t in (*TEMPLATES[f], *NAMES.get(f, ()))]
+    notices = all_notices()
 
     def variants(text: str, n: int) -> list[set[str]]:
         words = words_in(text)
         return [grams_of(words), *(grams_of([w for w in words if rng.random() > 0.15]) for _ in range(n))]
 
+    last = len(families) - 1
     rows = [(g, families.index(f)) for f, t in notices for g in variants(t, 8)]
     blunt = [" ".join(re.sub(CUES, " ", t).split()) for _, t in notices]
-    rows += [(g, len(families) - 1) for t in ORDINARY for g in variants(t, 8)]
-    rows += [(grams_of(words_in(t)), len(families) - 1) for t in (*blunt, *sorted(corpus))]
-    rows += [(set(), len(families) - 1)] * 20
-    grams = sorted({g for _, t in notices for g in grams_of(words_in(t))} | {g for t in ORDINARY for g in grams_of(words_in(t))})
+    # The same sentences around names of families and of other licences, so that the sentence itself tells nothing.
+    rows += [(g, families.index(f)) for f, t in own_names() for frame in OTHER_FRAMES for g in variants(frame.format(t), 2)]
+    others = [frame.format(name) for line in OTHERS for name in line.split("|") for frame in OTHER_FRAMES]
+    unknown = [
+        [g for t in others for g in variants(t, 2)],
+        [*(g for t in ORDINARY for g in variants(t, 8)), *(grams_of(words_in(t)) for t in blunt)],
+        [*(grams_of(words_in(t)) for t in sorted(corpus)), *[set()] * 20],
+    ]
+    # Every family weighs as much as any other, and so does every kind of unknown text, whatever the number of its rows.
+    share = [1 / sum(k == own for _, k in rows) for _, own in rows]
+    share += [1 / len(unknown) / len(kind) for kind in unknown for _ in kind]
+    rows += [(g, last) for kind in unknown for g in kind]
+    grams = sorted({g for _, t in notices for g in grams_of(words_in(t))} | {g for t in (*ORDINARY, *others) for g in grams_of(words_in(t))})
     place = {g: i for i, g in enumerate(grams)}
 
     def table(sets: list[set[str]]):
@@ -174,8 +231,7 @@ def train(corpus: list[str] = (), seed: int = SEED) -> Model:
         return e / e.sum(axis=1, keepdims=True)
 
     x, y = table([g for g, _ in rows]), np.eye(len(families))[[k for _, k in rows]]
-    # Every family weighs as much as any other, whatever the number of its rows.
-    each = (y / y.sum(axis=0)).sum(axis=1, keepdims=True) / len(families)
+    each = np.array(share)[:, None] / len(families)
     w, b = np.zeros((len(grams), len(families))), np.zeros(len(families))
     for _ in range(ROUNDS):
         gap = (probability(x @ w + b) - y) * each
@@ -184,8 +240,11 @@ def train(corpus: list[str] = (), seed: int = SEED) -> Model:
     w[np.abs(w - w[:, -1:]).max(axis=1) < MIN_WEIGHT] = 0.0
     held = [(grams_of(words_in(t)), families.index(f)) for f in sorted(CALIBRATION) for t in CALIBRATION[f]]
     logits = table([g for g, _ in held]) @ w + b
-    loss = {t: -np.log(probability(logits * t)[np.arange(len(held)), [k for _, k in held]] + 1e-12).mean() for t in np.arange(0.5, 6.1, 0.25)}
-    heat = float(min(loss, key=loss.get))
+    truth = np.arange(len(held)), [k for _, k in held]
+    shift = lambda v: np.eye(len(families))[-1] * v
+    loss = {(t, v): -np.log(probability(logits * t + shift(v))[truth] + 1e-12).mean() for t in np.arange(0.5, 6.1, 0.25) for v in np.arange(-3.0, 3.1, 0.25)}
+    heat, offset = map(float, min(loss, key=loss.get))
+    b = b + shift(offset / heat)
     keep = np.nonzero(np.abs(w).max(axis=1) > 0)[0]
     templates = [(f, sorted(grams_of(words_in(t)))) for f, t in notices]
     used = sorted({grams[i] for i in keep} | {g for _, own in templates for g in own})
