@@ -190,6 +190,11 @@ def own_names() -> list[tuple[str, str]]:
     return [(f, t.removeprefix("under ")) for f in sorted(FRAMED) for t in NAMES[f]]
 
 
+def other_sentences() -> list[str]:
+    """What the unknown class learns of licences outside the families."""
+    return [frame.format(name) for line in OTHERS for name in line.split("|") for frame in OTHER_FRAMES]
+
+
 def train(corpus: list[str] = (), seed: int = SEED) -> Model:
     """Fits, prunes and calibrates the model. corpus: statements without a cue; the same result for the same ones."""
     import numpy as np
@@ -207,7 +212,7 @@ def train(corpus: list[str] = (), seed: int = SEED) -> Model:
     blunt = [" ".join(re.sub(CUES, " ", t).split()) for _, t in notices]
     # The same sentences around names of families and of other licences, so that the sentence itself tells nothing.
     rows += [(g, families.index(f)) for f, t in own_names() for frame in OTHER_FRAMES for g in variants(frame.format(t), 2)]
-    others = [frame.format(name) for line in OTHERS for name in line.split("|") for frame in OTHER_FRAMES]
+    others = other_sentences()
     unknown = [
         [g for t in others for g in variants(t, 2)],
         [*(g for t in ORDINARY for g in variants(t, 8)), *(grams_of(words_in(t)) for t in blunt)],
