@@ -296,3 +296,19 @@ def test_matrix_blocks_are_bounded_and_whole(spark):
         for k in range(len(b.ids)):
             own = b.indices[b.starts[k] : b.starts[k + 1]]
             assert own == sorted(set(own))
+
+
+def test_matrix_row_groups_are_bounded(spark):
+    import pyarrow.parquet as pq
+
+    # One partition of many blocks: readers take a row group at once, so none may hold them all.
+    words = " ".join(f"w{x}" for x in range(3_000))
+    docs = spark.range(0, 2_000, 1, 1).select(F.col("id").alias("doc_id"), F.concat(F.lit(words), F.lit(" v"), "id").alias("text"))
+    matrix = importance.count_matrix(docs, importance.Recipe(), "csr-groups")
+    cells = sum(r.n for r in matrix.select(F.size("indices").alias("n")).collect())
+    groups = []
+    for file in matrix.inputFiles():
+        meta = pq.ParquetFile(file.removeprefix("file://")).metadata
+        at = next(k for k in range(meta.num_columns) if meta.schema.column(k).path.startswith("indices"))
+        groups += [meta.row_group(g).column(at).num_values for g in range(meta.num_row_groups)]
+    assert sum(groups) == cells > 1 << 22 and max(groups) <= 1 << 21

@@ -32,7 +32,10 @@ from pyspark.sql import functions as F
 
 from wayfold.llm.common import materialize, number_rows
 
-BLOCK_ROWS, BLOCK_CELLS, CACHE_WORDS = 4096, 1 << 20, 1 << 20
+BLOCK_ROWS, BLOCK_CELLS, CACHE_WORDS = 4096, 1 << 16, 1 << 17
+#: A row of the matrix's files is a whole block. Parquet holds 100 rows before it looks at their size, and
+#: Spark reads up to 4,096 rows of a row group at once, so a row group gets a fixed number of blocks.
+BLOCK_FILES = {"parquet.block.row.count.limit": "8"}
 #: A-Z become a-z, other ASCII but letters and digits a space; bytes of longer characters stay.
 FOLDED = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -94,7 +97,7 @@ def count_matrix(docs: DataFrame, recipe: Recipe, name: str, id_col: str = "doc_
             yield block()
 
     rows = docs.select(F.col(id_col), F.col(text_col), F.xxhash64(F.col(id_col), F.col(text_col)))
-    return materialize(rows.mapInArrow(run, schema), name)
+    return materialize(rows.mapInArrow(run, schema), name, BLOCK_FILES)
 
 
 def column_sums(matrix: DataFrame, buckets: int) -> list[int]:

@@ -25,13 +25,14 @@ def scratch_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
     """Write df once as Parquet in the shared scratch folder and read it back.
 
     The written table cuts the lineage and survives lost executors; unlike a
-    cached frame it is columnar, so later readers prune columns.
+    cached frame it is columnar, so later readers prune columns. options go to
+    the Parquet writer.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/wayfold/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
