@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from wayfold.llm import ann, html_text, langid, licenses, mixing, near, pii, quality, queries, recipe, toxicity
+from wayfold.llm import ann, html_text, langid, licenses, mixing, near, pii, quality, queries, recipe, simhash, toxicity
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -617,3 +617,23 @@ def test_near_copies_by_blocks_alone(spark, monkeypatch):
     docs = frame(spark, texts)
     want = sorted(k for k, _ in brute_near(list(enumerate(texts))))
     assert sorted(r.doc_id for r in near.keep_one(docs).collect()) == want and 1 < len(want) < 24
+
+
+def test_stage_links_by_simhash_where_bands_are_blind(spark, monkeypatch):
+    monkeypatch.setattr(near, "BANDS", 1)
+    monkeypatch.setattr(near, "ROWS", 4_000)  # one band of that many minima is shared by equal sets alone
+    rng = random.Random(5)
+    texts = []
+    for _ in range(10):
+        words = [f"w{rng.randrange(9_000)}" for _ in range(600)]
+        # One changed word, and none near: both are near copies of the text, and few bits apart from it.
+        texts += [" ".join(words), " ".join([*words[:300], "changed", *words[301:]]), " ".join([*words, "added"])]
+    prints = [simhash.fingerprint(t, near.SHINGLE) for t in texts]
+    linked = [k for k in range(30) if k % 3 and (prints[k] ^ prints[k - k % 3]).bit_count() <= 3]
+    assert len(linked) > 10 and all(near.similarity(near.shingles(texts[k]), near.shingles(texts[k - k % 3])) >= 0.8 for k in linked)
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, frame(spark, texts), SF).collect()}
+    assert kept.isdisjoint(linked) and {k for k in range(30) if k % 3 == 0} <= kept
+    # Of any two linked fingerprints both are compared with some linked one, and no text with more than one.
+    table = spark.createDataFrame([(k, near.signed(p)) for k, p in enumerate(prints)], "set long, fp long")
+    pairs = [(r.u, r.v) for r in near.simhash_pairs(table).collect()]
+    assert len(pairs) < 30 and all((prints[u] ^ prints[v]).bit_count() <= 3 for u, v in pairs) and {x for p in pairs for x in p} >= set(linked)

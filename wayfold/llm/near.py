@@ -1,14 +1,21 @@
-"""Near copies by shingle similarity: MinHash bands for candidates, exact Jaccard to confirm.
+"""Near copies by shingle similarity: SimHash links first, MinHash bands for what they cannot reach, exact Jaccard to confirm.
 
 Shingles: words lower-cased (A-Z) and split as in simhash, runs of SHINGLE words
 without repeats; a text with fewer words is one shingle, a blank one has none.
 Texts of equal shingle sets collapse to one row first. Two texts are near copies
 when the Jaccard similarity of their sets is MIN_SIMILARITY or more.
 
+Every set has the SimHash fingerprint of its text's shingles. Fingerprints at up
+to 3 differing bits are linked by the operator of op1; a set is compared with one
+set of its own or a linked fingerprint, the hub of those, so that a group of
+copies costs a pair a text. A pair at similarity 0.8 differs in some 10 bits, which
+no complete segments of 64 bits reach, so the rest is found by bands.
+
 Candidates share one of BANDS bands of ROWS minima each: a pair at similarity
 0.8 is missed with probability (1 - 0.8^5)^24 = 7e-5, and less above. Every
-candidate is verified on the whole sets. Only components matter, so a band's
-bucket is first compared with one member alone, in HUB_ROUNDS rounds with another
+candidate is verified on the whole sets. Only components matter, so bands of one
+component are left out, and a band's bucket is first compared with one member
+alone, in HUB_ROUNDS rounds with another
 member each. In buckets that still hold several components and at most FEW_SETS
 texts, all pairs across components are compared, so no more than half of that a
 text. Larger ones are cut into blocks of BLOCK_SETS texts, and each pair of
@@ -17,17 +24,21 @@ shingles, and of what is found one link a pair of components leaves the task.
 Texts are then sent once for each block of their bucket, pairs never. The products
 still grow with the square of a group of texts that are alike but under the
 similarity, which no exact method avoids.
+
+Only texts that share a band or a link with another are compared, so those alone
+are set apart and shuffled again.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wayfold.llm import simhash
 from wayfold.llm.common import free_prefix, materialize
 from wayfold.llm.components import connected_components
 
@@ -44,16 +55,16 @@ COLUMNS = 4_096
 BLOCK = 1 << 8
 
 
-def shingles(text: str | None, width: int = SHINGLE):
-    """Sorted distinct XXH64 of a text's shingles."""
+def shingle_set(hashes: list):
+    """Sorted distinct hashes of all arrays."""
     import numpy as np
-    import xxhash
 
-    hashed = xxhash.xxh64_intdigest
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    width = min(width, len(words))
-    runs = zip(*(words[k:] for k in range(width)), strict=False)
-    return np.array(sorted({hashed(b" ".join(run), 42) for run in runs}), dtype="<u8")
+    return np.unique(np.concatenate([*hashes, np.zeros(0, dtype="<u8")]))
+
+
+def shingles(text: str | None, width: int = SHINGLE):
+    """Sorted distinct XXH64 of a text's shingles."""
+    return shingle_set(list(simhash.shingle_hashes(text, width)))
 
 
 def similarity(a, b) -> float:
@@ -69,10 +80,10 @@ def signed(value: int) -> int:
 
 
 def sketch(rows: DataFrame, text_col: str, own: str) -> DataFrame:
-    """rows with the columns set (a hash of the shingle set), n (its size) and bands, their names after own."""
+    """rows with the columns set (a hash of the shingle set), n (its size), fp (the text's SimHash) and bands, their names after own."""
     column = rows.columns.index(text_col)
-    names = [*rows.columns, f"{own}set", f"{own}n", f"{own}bands"]
-    schema = rows.withColumns({names[-3]: F.lit(0).cast("long"), names[-2]: F.lit(0).cast("long"), names[-1]: F.array().cast("array<long>")}).schema
+    names = [*rows.columns, f"{own}set", f"{own}n", f"{own}fp", f"{own}bands"]
+    schema = rows.withColumns({**dict.fromkeys(names[-4:-1], F.lit(0).cast("long")), names[-1]: F.array().cast("array<long>")}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -82,16 +93,18 @@ def sketch(rows: DataFrame, text_col: str, own: str) -> DataFrame:
         turn = rng.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
         shift = rng.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64)
         for batch in batches:
-            keys, sizes, bands = [], [], []
+            keys, sizes, prints, bands = [], [], [], []
             for value in batch.column(column):
-                found = shingles(value.as_py())
+                hashes = list(simhash.shingle_hashes(value.as_py(), SHINGLE))
+                found = shingle_set(hashes)
                 least = np.full(BANDS * ROWS, (1 << 64) - 1, dtype=np.uint64)
                 for begin in range(0, len(found), BLOCK):
                     least = np.minimum(least, (found[begin : begin + BLOCK, None] * turn + shift).min(axis=0))
                 keys.append(signed(xxhash.xxh3_64_intdigest(found.tobytes())))
                 sizes.append(len(found))
+                prints.append(signed(simhash.majority(hashes)))
                 bands.append([signed(xxhash.xxh64_intdigest(part.tobytes(), k)) for k, part in enumerate(least.reshape(BANDS, ROWS))])
-            more = [pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+            more = [pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names)
 
     return rows.mapInArrow(run, schema)
@@ -177,23 +190,43 @@ def across_blocks(label: DataFrame, texts: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "u long, v long").distinct()
 
 
-def near_sets(sets: DataFrame) -> DataFrame:
-    """(node, root) of all sets with a near copy. sets: (set, n, bands, text), one row a set."""
-    texts = sets.select("set", "text")
-    filed = materialize(sets.select("set", "n", F.explode("bands").alias("band")), "bands")
+def simhash_pairs(sets: DataFrame) -> DataFrame:
+    """Pairs (u, v) of each set and one of its own or a linked fingerprint, at most one pair a set. sets: (set, fp)."""
+    first = materialize(sets.groupBy("fp").agg(F.min("set").alias("first")), "first-of-fingerprint")
+    links = materialize(simhash.links(first.select("fp")), "simhash-links")
+    near = links.select(F.col("u").alias("fp"), F.col("v").alias("hub")).unionByName(links.select(F.col("v").alias("fp"), F.col("u").alias("hub")))
+    near = near.unionByName(first.select("fp", F.col("fp").alias("hub")))
+    hub = near.groupBy("fp").agg(F.min(F.struct(F.xxhash64("hub").alias("h"), "hub"))["hub"].alias("hub"))
+    pairs = sets.join(hub, "fp").join(first.select(F.col("fp").alias("hub"), "first"), "hub").where("set != first")
+    return pairs.select(F.least("set", "first").alias("u"), F.greatest("set", "first").alias("v")).distinct()
+
+
+def near_sets(sets: DataFrame, texts_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, root) of all sets with a near copy.
+
+    sets: (set, n, fp, bands), one row a set; texts_of gives (set, text) of the sets in its argument's column set.
+    """
+    filed = sets.select("set", "n", F.explode("bands").alias("band"))
+    shared = filed.groupBy("band").agg(F.min("set").alias("low"), F.max("set").alias("high")).where("low != high").select("band")
+    filed = materialize(filed.join(shared, "band"), "shared-bands")
     pair = lambda x, y: (F.least(x, y).alias("u"), F.greatest(x, y).alias("v"))
     like = lambda x, y: F.least(x, y) >= F.lit(MIN_SIMILARITY) * F.greatest(x, y)
-    edges = tried = filed.sparkSession.createDataFrame([], "u long, v long")
-    label = filed.withColumn("root", F.col("set"))
-    for k in range(HUB_ROUNDS):
-        hub = label.groupBy("band").agg(F.min(F.struct(F.xxhash64("set", F.lit(k)).alias("h"), "set", "n", "root")).alias("r"))
-        spokes = label.join(hub, "band").where((F.col("root") != F.col("r.root")) & like(F.col("n"), F.col("r.n")))
-        spokes = materialize(spokes.select(*pair(F.col("set"), F.col("r.set"))).distinct().join(tried, ["u", "v"], "left_anti"), "hub-pairs")
-        tried, edges = tried.unionByName(spokes), edges.unionByName(materialize(verified(spokes, texts), "hub-edges"))
+    tried = materialize(simhash_pairs(sets.select("set", "fp")), "simhash-pairs")
+    compared = filed.select("set").unionByName(tried.select(F.col("u").alias("set"))).unionByName(tried.select(F.col("v").alias("set")))
+    texts = materialize(texts_of(compared.distinct()), "compared-texts")
+    edges = materialize(verified(tried, texts), "simhash-edges")
+    for k in range(HUB_ROUNDS + 1):
         roots = connected_components(edges)
         label = filed.join(roots, filed["set"] == roots["node"], "left").select("band", "set", "n", F.coalesce("root", "set").alias("root"))
         mixed = label.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("band")
         label = materialize(label.join(mixed, "band"), "mixed-bands")
+        if k == HUB_ROUNDS:
+            break
+        filed = label.drop("root")
+        hub = label.groupBy("band").agg(F.min(F.struct(F.xxhash64("set", F.lit(k)).alias("h"), "set", "n", "root")).alias("r"))
+        spokes = label.join(hub, "band").where((F.col("root") != F.col("r.root")) & like(F.col("n"), F.col("r.n")))
+        spokes = materialize(spokes.select(*pair(F.col("set"), F.col("r.set"))).distinct().join(tried, ["u", "v"], "left_anti"), "hub-pairs")
+        tried, edges = tried.unionByName(spokes), edges.unionByName(materialize(verified(spokes, texts), "hub-edges"))
     size = label.groupBy(F.col("band").alias("b")).agg(F.count("*").alias("k"), F.sum("n").alias("total"))
     label = materialize(label.join(size, F.col("band") == F.col("b")).drop("b"), "bands-with-size")
     few = label.where(F.col("k") <= FEW_SETS)
@@ -212,9 +245,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     own = free_prefix(docs.columns)
     rows = materialize(sketch(docs.withColumn(f"{own}row", F.monotonically_increasing_id()), text_col, own), "sketches")
-    sets = rows.groupBy(F.col(f"{own}set").alias("set")).agg(F.min(f"{own}row").alias(f"{own}row"))
-    sets = rows.join(sets, f"{own}row", "left_semi").select(F.col(f"{own}set").alias("set"), F.col(f"{own}n").alias("n"), F.col(f"{own}bands").alias("bands"), F.col(text_col).alias("text"))
-    roots = near_sets(sets)
+    first = materialize(rows.groupBy(F.col(f"{own}set").alias("set")).agg(F.min(f"{own}row").alias(f"{own}row")), "first-rows")
+    sets = rows.join(first, f"{own}row", "left_semi").select(*(F.col(f"{own}{name}").alias(name) for name in ("set", "n", "fp", "bands")))
+
+    def texts_of(some: DataFrame) -> DataFrame:
+        return rows.join(first.join(some, "set", "left_semi"), f"{own}row", "left_semi").select(F.col(f"{own}set").alias("set"), F.col(text_col).alias("text"))
+
+    roots = near_sets(materialize(sets, "sets"), texts_of)
     member = rows.select(F.col(id_col).alias("id"), F.col(f"{own}set").alias("set"), F.xxhash64(text_col).alias("text"), F.col(f"{own}row").alias(f"{own}row"))
     member = member.join(roots.withColumnRenamed("node", "set"), "set", "left")
     order: Column = F.struct(F.col("id").isNull(), "id", "set", "text", f"{own}row")

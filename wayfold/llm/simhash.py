@@ -19,7 +19,7 @@ never name one. Extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -33,26 +33,37 @@ BLOCK = 1 << 16
 SEGMENT_BITS = 32
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """Unsigned 64-bit SimHash of one text."""
+def shingle_hashes(text: str | None, shingle: int = 3) -> Iterator:
+    """Arrays of the XXH64 of a text's shingles in their order, repeats included."""
     import numpy as np
     import xxhash
 
     hashed = xxhash.xxh64_intdigest
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
     width = min(shingle, len(words))
-    total = len(words) - width + 1
-    votes = np.zeros(64, dtype=np.int64)
+    total = len(words) - width + 1 if words else 0
     for begin in range(0, total, BLOCK):
         part = words[begin : min(total, begin + BLOCK) + width - 1]
         rows = zip(*(part[k:] for k in range(width)), strict=False)
-        found = np.array([hashed(b" ".join(row), 42) for row in rows], dtype="<u8")
+        yield np.array([hashed(b" ".join(row), 42) for row in rows], dtype="<u8")
+
+
+def majority(hashes: Iterable) -> int:
+    """Unsigned 64-bit SimHash of shingle hashes, zero for none."""
+    import numpy as np
+
+    votes, total = np.zeros(64, dtype=np.int64), 0
+    for found in hashes:
         votes += np.unpackbits(found.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        total += len(found)
     return int(np.packbits(2 * votes > total, bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    """Unsigned 64-bit SimHash of one text."""
+    return majority(shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """(doc_id, fp): fp is the fingerprint as a signed long."""
     kind = docs.schema[id_col].dataType.simpleString()
