@@ -123,7 +123,9 @@ def segment_activity(mean_speed: Column) -> Column:
 
 
 def plausible_moves(found: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    keep = (F.col("distance_traversed_m") >= settings.move_min_m) & ~(F.col("speed_calculated_mean") > 10 * F.col("speed_reported_mean"))
+    # In whole hundredths, to which both means are cut: ten times 0.09 is under 0.9 in doubles.
+    calculated, reported = (F.round(F.col(f"speed_{kind}_mean") * 100) for kind in ("calculated", "reported"))
+    keep = (F.col("distance_traversed_m") >= settings.move_min_m) & ~(calculated > 10 * reported)
     return found.where(F.coalesce(keep, F.lit(False)))
 
 
