@@ -29,6 +29,9 @@ class Settings:
     teleport_window_s: int = 60
     teleport_factor: float = 5.0
     teleport_distance_m: float = 25.0
+    #: Whether a point far from the one accepted in the same second is always dropped. Where it is not, infinities
+    #: are compared as in the original, and a point without a time offset stays unless its speed is negative.
+    teleport_same_second: bool = False
     canyon_window_s: int = 60
     canyon_distance_m: float = 200.0
     improver_interval_s: int = 30
@@ -47,4 +50,4 @@ class Settings:
 
 
 #: For tables whose points lie hours apart.
-SPARSE = Settings(teleport_window_s=6 * 3_600, canyon_window_s=10 * DAY, improver_interval_s=6 * 3_600, improver_reset_s=DAY, move_gap_s=6 * 3_600, stay_gap_s=DAY, stay_radius_m=5_000.0)
+SPARSE = Settings(teleport_window_s=6 * 3_600, teleport_same_second=True, canyon_window_s=10 * DAY, improver_interval_s=6 * 3_600, improver_reset_s=DAY, move_gap_s=6 * 3_600, stay_gap_s=DAY, stay_radius_m=5_000.0)
