@@ -61,6 +61,15 @@ def runs(tracks: DataFrame, cell: Column, visit_gap_s: int, order: Sequence[str]
     ).drop("__run")
 
 
+def in_buckets(parts: DataFrame, keys: Sequence[str], visit_gap_s: int) -> DataFrame:
+    """Sums of keys and time buckets from runs, with the gaps inside the bucket."""
+    near = Window.partitionBy(*keys, BUCKET).orderBy("first_s", "last_s").rowsBetween(Window.unboundedPreceding, -1)
+    gaps = parts.withColumn("__new", (F.col("first_s") - F.max("last_s").over(near) > visit_gap_s).cast("long"))
+    return gaps.groupBy(*keys, BUCKET).agg(
+        (F.sum("__gaps") + F.coalesce(F.sum("__new"), F.lit(0))).alias("__gaps"), F.min("first_s").alias("first_s"), F.max("last_s").alias("last_s"), *(F.sum(c).alias(c) for c in SUMS)
+    )
+
+
 def merged(parts: DataFrame, keys: Sequence[str], visit_gap_s: int) -> DataFrame:
     """Accumulators of keys from runs.
 
@@ -68,11 +77,7 @@ def merged(parts: DataFrame, keys: Sequence[str], visit_gap_s: int) -> DataFrame
     ones. Visits are counted inside time buckets and then across them, so a key
     with very many runs is many tasks.
     """
-    near = Window.partitionBy(*keys, BUCKET).orderBy("first_s", "last_s").rowsBetween(Window.unboundedPreceding, -1)
-    gaps = parts.withColumn("__new", (F.col("first_s") - F.max("last_s").over(near) > visit_gap_s).cast("long"))
-    each = gaps.groupBy(*keys, BUCKET).agg(
-        (F.sum("__gaps") + F.coalesce(F.sum("__new"), F.lit(0))).alias("__gaps"), F.min("first_s").alias("first_s"), F.max("last_s").alias("last_s"), *(F.sum(c).alias(c) for c in SUMS)
-    )
+    each = in_buckets(parts, keys, visit_gap_s)
     across = Window.partitionBy(*keys).orderBy(BUCKET)
     each = each.withColumn("__gaps", F.col("__gaps") + F.coalesce((F.col("first_s") - F.lag("last_s").over(across) > visit_gap_s).cast("int"), F.lit(0)))
     whole = each.groupBy(*keys).agg(
@@ -142,14 +147,61 @@ def with_s2(tracks: DataFrame, levels: Sequence[int] = s2.LEVELS) -> DataFrame:
     return leaf.select(*tracks.columns, F.explode(at).alias("__at")).select(*tracks.columns, "__at.*")
 
 
+def with_levels(found: DataFrame, levels: Sequence[int]) -> DataFrame:
+    """Runs or visits of finest cells, once a level."""
+    at = F.array(*(F.struct(F.lit(k).alias("level"), s2.parent(F.col("__cell"), k).alias("cell_id")) for k in levels))
+    return found.withColumn("__at", F.explode(at)).select("*", "__at.*")
+
+
 def s2_index(tracks: DataFrame, levels: Sequence[int] = s2.LEVELS, visit_gap_s: int = Settings.cell_visit_s, width: int = Settings.bucket_s) -> DataFrame:
     leaf = tracks.withColumn("__leaf", s2.leaf_id("lat", "lon")).where("__leaf is not null")
     found = runs(leaf, s2.parent(F.col("__leaf"), max(levels)), visit_gap_s, width=width)
-    at = F.array(*(F.struct(F.lit(k).alias("level"), s2.parent(F.col("__cell"), k).alias("cell_id")) for k in levels))
-    cells = merged(found.withColumn("__at", F.explode(at)).select("*", "__at.*"), ["subject_id", "level", "cell_id"], visit_gap_s)
+    cells = merged(with_levels(found, levels), ["subject_id", "level", "cell_id"], visit_gap_s)
     return cells.withColumn("cell_key", s2.token(F.col("cell_id"))).drop("cell_id")
 
 
+#: Rows up to which a subject is one task where that spares a shuffle of what its cells hold.
+WHOLE_SUBJECT = 100_000
+
+
+def large_subjects(tracks: DataFrame, rows: int = WHOLE_SUBJECT) -> DataFrame:
+    """Subjects of more rows: at most a row for so many of tracks."""
+    return tracks.groupBy("subject_id").agg(F.count("*").alias("n")).where(F.col("n") > rows).select("subject_id")
+
+
+def s2_index_of_pushes(tracks: DataFrame, cell: Column, push: Column, large: DataFrame, levels: Sequence[int] = s2.LEVELS, visit_gap_s: int = Settings.cell_visit_s, width: int = Settings.bucket_s) -> DataFrame:
+    """The cell index of pushes that may overlap in time, from the visits of each; cell is the finest one of a row.
+
+    Visits of any batches unite, and a cell's are those of its parts united. So
+    a push gives visits of finest cells alone, and they are copied to the levels
+    behind the one shuffle that deals them by subject; nothing of a level is
+    shuffled. Subjects named by large are dealt by time bucket too, where a visit
+    ends at the latest, and their cells are put together across buckets.
+    """
+    points = tracks.withColumn("__cell", cell).withColumn("__push", push).where("__cell is not null")
+    many = large.select(F.col("subject_id").alias("__large"))
+    named = F.col("subject_id").eqNullSafe(F.col("__large"))
+    whole = _levels_of_pushes(points.join(F.broadcast(many), named, "left_anti").withColumn(BUCKET, F.lit(0).cast("long")), ["subject_id"], levels, visit_gap_s)
+    cut = _levels_of_pushes(bucketed(points.drop(BUCKET).join(F.broadcast(many), named, "left_semi"), width=width), ["subject_id", BUCKET], levels, visit_gap_s)
+    keys = ["subject_id", "level", "cell_id"]
+    alone = in_buckets(whole, keys, visit_gap_s).withColumn("visit_count", F.col("__gaps") + 1).withColumn("activity_mode", dominant())
+    together = merged(cut, keys, visit_gap_s)
+    return alone.select(*together.columns).unionByName(together).withColumn("cell_key", s2.token(F.col("cell_id"))).drop("cell_id")
+
+
+def _levels_of_pushes(points: DataFrame, by: Sequence[str], levels: Sequence[int], visit_gap_s: int) -> DataFrame:
+    """The visits that each push has in finest cells and one time bucket, once a level; dealt by columns that all windows behind it share."""
+    own = ["subject_id", BUCKET, "__push", "__cell"]
+    # Each row is copied to all levels before it is summed up: more and smaller tasks than the rows alone would need.
+    tasks = 4 * int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = _tallied(points, ["subject_id", "__push", "__cell"]).repartition(tasks, *by)
+    near = Window.partitionBy(*own).orderBy("first_s")
+    new = F.coalesce((F.col("first_s") - F.lag("first_s").over(near) > visit_gap_s).cast("long"), F.lit(0))
+    numbered = dealt.withColumn("__new", new).withColumn("__visit", F.sum("__new").over(near.rowsBetween(Window.unboundedPreceding, 0)))
+    found = numbered.groupBy(*own, "__visit").agg(F.min("first_s").alias("first_s"), F.max("last_s").alias("last_s"), F.lit(0).cast("long").alias("__gaps"), *(F.sum(c).cast("long").alias(c) for c in SUMS))
+    return with_levels(found.drop("__push", "__visit"), levels)
+
+
 def grid_key(lat: Column, lon: Column, n: int) -> Column:
     return F.concat_ws(":", F.floor(lat * n).cast("string"), F.floor(lon * n).cast("string"))
 
